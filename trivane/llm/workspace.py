@@ -1,11 +1,14 @@
-"""Written intermediate tables in the folder that driver and executors share."""
+"""Written intermediate tables in the folder that driver and executors share, and the code that executors need."""
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +33,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    work = Path(tempfile.mkdtemp(prefix="trivane-code-"))
+    shutil.copytree(package, work / "code" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(str(work / "trivane_code"), "zip", work / "code")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
+def bucket_count(docs: DataFrame, column: str = "text", each: int = 16 << 20) -> int:
+    """How many buckets a hash exchange of the words of ``column`` needs.
+
+    About one for each ``each`` bytes of text, so that a bucket's arrays fit in a task at any size of input,
+    and at least twice the shuffle partitions, so that the tasks are even.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return max(2 * partitions, total // each + 1)
