@@ -4,16 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import url_reputation
+from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, token_files, url_reputation
+from trivane.llm.workspace import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), remainder(7) == 2)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
+
+
+OP2_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n,
+              array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS win
+       FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, ns WHERE len(ws) >= n)),
+h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+hw AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::varchar AS x FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hw ON w.doc_id = hw.doc_id LEFT JOIN hi ON w.doc_id = hi.doc_id
+"""
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_corpus.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(False))
+    dictionaries = language.learn(docs.filter(~held_out))
+    judged = language.predict(docs, dictionaries, ["doc_id"])
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.checksums(token_files.read_tokens(spark, folder))
+
+
 #: Fixed values of the query: rules that come before the method.
 URL_RULES = [
     ("allow", "org/"),
@@ -79,11 +134,17 @@ FROM f LEFT JOIN r ON f.rule = r.rule LEFT JOIN bh ON f.host = bh.host
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_bloom": op1_lm_bloom,
+        "op2_decontamination": op2_decontamination,
+        "op4_bpe": op4_bpe,
+        "op5_language": op5_language,
+        "op6_token_files": op6_token_files,
         "op7_url_reputation": op7_url_reputation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": OP2_SQL,
         "op7_url_reputation": OP7_SQL,
     }

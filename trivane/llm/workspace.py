@@ -60,3 +60,17 @@ def bucket_count(docs: DataFrame, column: str = "text", each: int = 16 << 20) ->
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
     return max(2 * partitions, total // each + 1)
+
+
+#: Stands for a null id inside packed arrays; no document may have it.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as (id, tag, text), where rows of the same id and tag have the same text.
+
+    ``id`` is ``doc_id`` as long, NO_ID for null. ``tag`` is 0 where no doc_id repeats, else a hash of the text.
+    """
+    held = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    repeats = held.groupBy("id").count().filter("count > 1").limit(1).count()
+    return held.select("id", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("tag"), "text")
