@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, token_files, url_reputation
+from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, simhash, token_files, url_reputation
 from trivane.llm.workspace import new_path
 
 
@@ -132,6 +132,10 @@ FROM f LEFT JOIN r ON f.rule = r.rule LEFT JOIN bh ON f.host = bh.host
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_bloom": op1_lm_bloom,
@@ -140,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language": op5_language,
         "op6_token_files": op6_token_files,
         "op7_url_reputation": op7_url_reputation,
+        "op8_simhash": op8_simhash,
     }
 
 
