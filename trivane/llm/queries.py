@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, simhash, token_files, url_reputation
+from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, simhash, substring_dedup, token_files, topk, url_reputation
 from trivane.llm.workspace import new_path
 
 
@@ -136,20 +136,62 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+OP3_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+n AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+m AS (SELECT win, min(doc_id) AS least FROM n GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM n JOIN m USING (win) WHERE doc_id > least),
+p AS (SELECT doc_id, len(ws) AS n_words, ws, coalesce(js, []) AS js
+      FROM w LEFT JOIN (SELECT doc_id, list(j) AS js FROM g GROUP BY doc_id) USING (doc_id))
+SELECT p.doc_id, any_value(n_words)::bigint AS n_words, any_value(len(js))::bigint AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM p LEFT JOIN (
+  SELECT e.doc_id, e.i, e.word, g.j IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) e
+  LEFT JOIN g ON e.doc_id = g.doc_id AND e.i = g.j) x ON p.doc_id = x.doc_id
+GROUP BY p.doc_id
+"""
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::int AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_bloom": op1_lm_bloom,
         "op2_decontamination": op2_decontamination,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe": op4_bpe,
         "op5_language": op5_language,
         "op6_token_files": op6_token_files,
         "op7_url_reputation": op7_url_reputation,
         "op8_simhash": op8_simhash,
+        "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": OP2_SQL,
+        "op3_substring_dedup": OP3_SQL,
         "op7_url_reputation": OP7_SQL,
+        "op10_topk": OP10_SQL,
     }
