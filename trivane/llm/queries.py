@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, simhash, substring_dedup, token_files, topk, url_reputation
+from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, pii, simhash, substring_dedup, token_files, topk, url_reputation
 from trivane.llm.workspace import new_path
 
 
@@ -158,6 +158,11 @@ GROUP BY p.doc_id
 """
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagger = pii.train(pii.labelled_sentences())
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), tagger, ["doc_id"]))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
@@ -184,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": op6_token_files,
         "op7_url_reputation": op7_url_reputation,
         "op8_simhash": op8_simhash,
+        "op9_pii": op9_pii,
         "op10_topk": op10_topk,
     }
 
