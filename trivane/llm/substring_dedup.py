@@ -113,12 +113,18 @@ def signs(names: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.
     decided = mix(phrase_names(names, left, right) + symbols.names[inside])  # the symbol and the words that decide it
     lo = np.searchsorted(left, starts, side="left")
     best, place = np.full(len(starts), np.iinfo(np.uint64).max, np.uint64), np.full(len(starts), -1, np.int64)
+    open_ = np.arange(len(starts))
     for step in range(window):  # symbols in the window begin to be decided at one of its words
-        at = lo + step
-        ok = np.flatnonzero(at < len(left))
-        ok = ok[(right[at[ok]] <= starts[ok] + window) & (left[at[ok]] < starts[ok] + window)]
-        better = ok[(decided[at[ok]] < best[ok]) | (place[ok] < 0)]
-        best[better], place[better] = decided[at[better]], at[better]
+        at = lo[open_] + step
+        more = at < len(left)
+        open_, at = open_[more], at[more]
+        more = left[at] < starts[open_] + window
+        open_, at = open_[more], at[more]
+        if not len(open_):
+            break
+        name = decided[at]
+        better = (right[at] <= starts[open_] + window) & ((name < best[open_]) | (place[open_] < 0))
+        best[open_[better]], place[open_[better]] = name[better], at[better]
     none = np.flatnonzero(place < 0)
     best[none] = phrase_names(names, starts[none], starts[none] + window)
     place[none] = len(left) + none
@@ -127,8 +133,9 @@ def signs(names: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.
 
 _PACKED = "bucket int, names binary, ids binary, tags binary, places binary"
 _PACKED_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("names", "ids", "tags", "places")])
-_REPLY = "id long, tag long, places binary"
-_REPLY_SCHEMA = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
+_REPLY = "bucket int, ids binary, tags binary, places binary"
+_REPLY_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "tags", "places")])
+_PLACES = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("places", pa.binary())])
 
 
 class Packer:
@@ -181,11 +188,9 @@ def _reveal(buckets: int, window: int, batches: Iterator[pa.RecordBatch]) -> Ite
 def _verify(buckets: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and the places revealed in them to the names of all words of their candidate windows."""
     packer = Packer(buckets)
-    for piece, words, names, ids, tags in _slices(batches):
+    for piece, words, names, ids, tags in _slices(batch.filter(batch.column("revealed").is_valid()) for batch in batches):
         revealed = piece.column("revealed")
         starts, place, _ = signs(names, words, window)
-        if not len(starts) or revealed.null_count == len(revealed):
-            continue
         _, first, sign = np.unique(place, return_index=True, return_inverse=True)
         order = np.argsort(first, kind="stable")
         turn = np.empty_like(order)
@@ -195,34 +200,38 @@ def _verify(buckets: int, window: int, batches: Iterator[pa.RecordBatch]) -> Ite
         kept = np.zeros(len(order), bool)
         for d, held in enumerate(revealed.to_pylist()):
             if held is not None:
-                kept[begin[d] + np.concatenate([unsqueeze(x) for x in held])] = True
+                kept[begin[d] + unsqueeze(held)] = True
         chosen = starts[kept[turn[sign]]]
         document = np.searchsorted(words.first, chosen, side="right") - 1
         yield from packer.add(phrase_names(names, chosen, chosen + window), ids[document], tags[document], chosen - words.first[document])
     yield from packer.rows()
 
 
-def _match(rule: str, table: pa.Table) -> pa.Table:
-    """The names of a bucket to the places, by document, whose name another (or a smaller) document has."""
+def _match(rule: str, buckets: int, table: pa.Table) -> pa.Table:
+    """The names of a bucket to the places whose name another (or a smaller) document has, packed by bucket of documents."""
     names = joined(table.column("names").to_pylist(), np.uint64)
     ids, tags, places = (np.concatenate([unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("ids", "tags", "places"))
-    order = np.lexsort((ids, names))
-    names, ids, tags, places = names[order], ids[order], tags[order], places[order]
-    new = np.concatenate([[True], names[1:] != names[:-1]])
-    cuts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    least = ids[cuts][group]
-    if rule == "smaller":
-        hit = ids > least
-    else:
-        most = ids[np.append(cuts[1:], len(ids)) - 1][group]
-        hit = least != most
+    order = np.argsort(names)
+    names, own = names[order], ids[order]
+    cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    sizes = np.diff(np.append(cuts, len(names)))
+    least = np.repeat(np.minimum.reduceat(own, cuts), sizes)
+    hit = own > least if rule == "smaller" else np.repeat(np.maximum.reduceat(own, cuts), sizes) != least
+    hit = np.sort(order[hit])
     ids, tags, places = ids[hit], tags[hit], places[hit]
+    order, parts = by_bucket(mix(ids.astype(np.uint64)), buckets)
+    columns = [[b for b, _, _ in parts]] + [[squeeze(x[order[lo:hi]]) for _, lo, hi in parts] for x in (ids, tags, places)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REPLY_SCHEMA)], schema=_REPLY_SCHEMA)
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The replies of a bucket of documents to one row of ascending places for each document."""
+    ids, tags, places = (np.concatenate([unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("ids", "tags", "places"))
     order = np.lexsort((places, tags, ids))
     ids, tags, places = ids[order], tags[order], places[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
     packed = [squeeze(places[lo:hi]) for lo, hi in zip(cuts, np.append(cuts[1:], len(ids)))]
-    return pa.Table.from_arrays([pa.array(ids[cuts]), pa.array(tags[cuts]), pa.array(packed, pa.binary())], schema=_REPLY_SCHEMA)
+    return pa.Table.from_arrays([pa.array(ids[cuts]), pa.array(tags[cuts]), pa.array(packed, pa.binary())], schema=_PLACES)
 
 
 def _removed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +239,7 @@ def _removed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         cover = np.zeros(len(words.starts) + 1, np.int64)
         for d, held in enumerate(piece.column("repeated").to_pylist()):
             if held is not None:
-                at = words.first[d] + np.concatenate([unsqueeze(x) for x in held])
+                at = words.first[d] + unsqueeze(held)
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
@@ -261,17 +270,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = keyed(docs)
     known = rows.filter(F.col("id") != NO_ID)
 
-    def gathered(replies: DataFrame, name: str) -> DataFrame:
-        return replies.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list("places").alias(name))
+    def matched(packed: DataFrame, rule: str, name: str) -> DataFrame:
+        replies = packed.groupBy("bucket").applyInArrow(lambda table: _match(rule, buckets, table), _REPLY)
+        found = replies.groupBy("bucket").applyInArrow(lambda table: _by_document(table), "_id long, _tag long, places binary")
+        return found.withColumnRenamed("places", name)
 
     def beside(replies: DataFrame) -> DataFrame:
         return rows.join(replies, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").drop("_id", "_tag")
 
-    signs_ = known.mapInArrow(partial(_reveal, buckets, window), _PACKED)
-    revealed = signs_.groupBy("bucket").applyInArrow(lambda table: _match("another", table), _REPLY)
-    candidates = beside(gathered(revealed, "revealed")).mapInArrow(partial(_verify, buckets, window), _PACKED)
-    repeated = candidates.groupBy("bucket").applyInArrow(lambda table: _match("smaller", table), _REPLY)
-    out = beside(gathered(repeated, "repeated")).mapInArrow(partial(_removed, window), "id long, n_words long, n_removed long, kept string")
+    revealed = matched(known.mapInArrow(partial(_reveal, buckets, window), _PACKED), "another", "revealed")
+    candidates = beside(revealed).mapInArrow(partial(_verify, buckets, window), _PACKED)
+    repeated = matched(candidates, "smaller", "repeated")
+    out = beside(repeated).mapInArrow(partial(_removed, window), "id long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 
