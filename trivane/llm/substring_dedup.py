@@ -267,11 +267,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     ship(docs.sparkSession)
     buckets = bucket_count(docs)
+    replies_in = max(1, buckets // 4)  # replies are a few bits for each name, so fewer buckets hold them
     rows = keyed(docs)
     known = rows.filter(F.col("id") != NO_ID)
 
     def matched(packed: DataFrame, rule: str, name: str) -> DataFrame:
-        replies = packed.groupBy("bucket").applyInArrow(lambda table: _match(rule, buckets, table), _REPLY)
+        replies = packed.groupBy("bucket").applyInArrow(lambda table: _match(rule, replies_in, table), _REPLY)
         found = replies.groupBy("bucket").applyInArrow(lambda table: _by_document(table), "_id long, _tag long, places binary")
         return found.withColumnRenamed("places", name)
 
