@@ -47,8 +47,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text."""
-    path = public_tokenizers.path(VOCABULARY)
-    ids = bpe_corpus.decode(bpe_corpus.encode(docs, path, COLUMNS), path)
+    ids = bpe_corpus.encode(docs, public_tokenizers.path(VOCABULARY), COLUMNS, decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return ids.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", same.alias("round_trip"))
 

@@ -51,6 +51,9 @@ def byte_characters() -> list[str]:
 class Vocabulary:
     """Tokens as bytes, and whether two tokens may stand side by side in an encoding."""
 
+    #: Answers about pairs of tokens that are kept.
+    pairs_kept = 500_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -114,6 +117,8 @@ class Vocabulary:
                     limit, a = newest_a, self.parts[a][1]
                 else:
                     limit, b = newest_b + 1, self.parts[b][0]
+            if len(self._fits) >= self.pairs_kept:
+                self._fits.clear()
             self._fits[left << 20 | right] = known
         return known
 
@@ -232,7 +237,7 @@ def split(column: pa.Array, classes: np.ndarray, added: dict[bytes, int]) -> Pie
 class Encoder:
     """Texts to token ids and back. Encodings of words met before are kept, up to ``room`` words."""
 
-    def __init__(self, path: str, room: int = 1_500_000, vocabulary=None):
+    def __init__(self, path: str, room: int = 1_000_000, vocabulary=None):
         self.vocabulary, self.classes, self.room = vocabulary or Vocabulary(path), character_classes(), room
         self.forget()
 
