@@ -19,7 +19,7 @@ def tsv(spark: SparkSession, path: str | list[str], fields: str) -> DataFrame:
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their 0-based number in the file; text is read whole by file, as its order is its meaning."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("line", "value"))
     return lines
 
 
