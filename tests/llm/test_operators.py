@@ -106,6 +106,7 @@ def test_bpe_and_token_files(spark, edge_documents, edge_rows, tmp_path):
     got = bpe_corpus.encode(docs, PATH, ["doc_id"], decoded=True).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == want
     assert all(r["decoded"] == library.decode(want[r["doc_id"]], skip_special_tokens=False) for r in got)
+    assert all(r["round_trip"] for r in bpe_corpus.encode(docs.filter("doc_id % 2 = 0"), PATH, ["doc_id"], verify=True).collect())
     again = bpe_corpus.decode(bpe_corpus.encode(docs, PATH, ["doc_id"]), PATH).collect()
     assert {r["doc_id"]: r["decoded"] for r in again} == {r["doc_id"]: r["decoded"] for r in got}
     token_files.write_tokens(docs, PATH, str(tmp_path / "tokens"))

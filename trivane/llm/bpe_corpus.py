@@ -16,32 +16,43 @@ from trivane.llm.words import text_slices
 from trivane.llm.workspace import ship
 
 
-def _encode(path: str, decoded: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(encoder: bpe.Encoder, ids: np.ndarray, counts: np.ndarray) -> Iterator[str]:
+    """The decoded texts of documents, one after the other."""
+    ends = np.cumsum(counts)
+    return (encoder.decode(ids[lo:hi].tolist()) for lo, hi in zip(ends - counts, ends))
+
+
+def _encode(path: str, decoded: bool, verify: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = bpe.encoder(path)
     for batch in batches:
         for piece in text_slices(batch, "_text"):
-            ids, counts = encoder.encode(piece.column("_text"))
+            texts = piece.column("_text")
+            ids, counts = encoder.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             kept = piece.drop_columns(["_text"])
             more = {}
             if decoded:
-                whole, ends = ids.tolist(), np.cumsum(counts).tolist()
-                more = {"decoded": pa.array([encoder.decode(whole[lo:hi]) for lo, hi in zip([0, *ends], ends)], pa.string())}
+                more["decoded"] = pa.array(_texts(encoder, ids, counts), pa.string())
+            if verify:
+                same = [back == (text.as_py() or "") for text, back in zip(texts, _texts(encoder, ids, counts))]
+                more["round_trip"] = pa.array(same, pa.bool_())
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*kept.columns, lists, pa.array(counts, pa.int64()), *more.values()], [*kept.schema.names, "ids", "n_tokens", *more])
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str], decoded: bool = False, verify: bool = False) -> DataFrame:
     """The columns ``keep`` of every row, and the token ids (array) and n_tokens of its whole text.
 
-    With ``decoded`` the ids are decoded again in the same task, as a column of that name.
+    With ``decoded`` the ids are decoded again in the same task, as a column of that name; with ``verify`` only
+    round_trip is returned, whether they decode to the text (null: empty).
     Null and empty texts have no tokens. Repeated rows are all encoded. ``keep`` must not name the added columns.
     Nothing is shuffled; a task holds one slice of texts, and words it has met before up to a bound.
     """
     ship(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([f"`{n}` {t}" for n, t in rows.drop("_text").dtypes] + ["ids array<int>", "n_tokens long"] + ["decoded string"] * decoded)
-    return rows.mapInArrow(partial(_encode, path, decoded), schema)
+    added = ["ids array<int>", "n_tokens long", *["decoded string"] * decoded, *["round_trip boolean"] * verify]
+    schema = ", ".join([f"`{n}` {t}" for n, t in rows.drop("_text").dtypes] + added)
+    return rows.mapInArrow(partial(_encode, path, decoded, verify), schema)
 
 
 def _decode(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,12 +40,15 @@ _shipped: set[str] = set()
 
 #: Rows of a batch that goes to a Python worker, where the session has Spark's default of 10000: texts are long.
 BATCH_ROWS = "2000"
+#: Bytes of such a batch.
+BATCH_BYTES = str(16 << 20)
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, and keep batches of texts small."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
