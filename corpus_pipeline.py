@@ -24,11 +24,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of the smallest id of each group, once. Documents without an id are in no group and stay."""
     groups = simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     groups = materialise(groups.withColumnRenamed("doc_id", "_id"), "kept")
-    kept = docs.join(groups, docs["doc_id"].cast("long") == groups["_id"], "left").filter("_copies is not null or doc_id is null")
+    # one join at every size: texts are dealt once and not sorted, each task holds its part of the ids
+    kept = docs.join(groups.hint("shuffle_hash"), docs["doc_id"].cast("long") == groups["_id"])
     if not groups.filter("_copies > 1").isEmpty():
         once = kept.filter("_copies > 1").dropDuplicates(["doc_id"])
-        kept = kept.filter("_copies is null or _copies = 1").unionByName(once)
-    return kept.select(*COLUMNS)
+        kept = kept.filter("_copies = 1").unionByName(once)
+    return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
