@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
 from trivane.operators import evaluation, ids, ontology, perturb, scoring, stats
-from trivane.operators.ranking import ntile, ranked
+from trivane.operators.ranking import ntile, ranked, ranked_within
 from trivane.plans import queries as Q
 from trivane.sources import readers
 
@@ -59,6 +59,61 @@ def test_ranks(spark):
     assert tiles == [r[0] for r in duckdb.sql("select ntile(10) over (order by i) from range(103) t(i) order by i").fetchall()]
 
 
+def test_ranks_within(spark):
+    rows = spark.range(90).select((F.col("id") * 37 % 90).alias("v"), F.when(F.col("id") < 80, "hot").when(F.col("id") < 88, "b").alias("k"))
+    got = sorted((r["k"] or "", r["v"], r["rank"], r["s"]) for r in ranked_within(rows, ["k"], [F.col("v")], {"s": F.col("v")}).collect())
+    seen, expected = {}, []
+    for k, v in sorted((r["k"] or "", r["v"]) for r in rows.collect()):
+        n, s = seen.get(k, (0, 0))
+        seen[k] = (n + 1, s + v)
+        expected.append((k, v, *seen[k]))
+    assert got == expected
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"{i * 7}" + "x" * (i % 50) for i in range(3000)]
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = readers.numbered(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert sorted((r["line"], r["value"]) for r in got) == sorted(2 * list(enumerate(lines)))
+
+
+def groomed(edges, target, most, growth):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    first = min(near, key=lambda e: (-len(near[e]), e))
+    chosen, total, out = {first}, 0, [(0, first, 0)]
+    while total < most:
+        gain = {e: len(near[e] & chosen) for e in near if e not in chosen and near[e] & chosen}
+        size = len(chosen)
+        best = sorted(gain, key=lambda e: (abs((total + gain[e]) / (size + 1) - target), e))[: max(1, int(growth * size))]
+        if not best:
+            break
+        for e in best:
+            if total < most:
+                total += len(near[e] & chosen)
+                chosen.add(e)
+                out.append((len(out), e, total))
+    return out
+
+
+@pytest.mark.parametrize(("most", "growth"), [(6, 0.0), (40, 1.0), (1000, 2.0)])
+def test_grooming(spark, most, growth):
+    edges = [(f"e{i * i % 23}", f"e{i * 5 % 29}") for i in range(60)]
+    rows = triples(spark, [(a, b, "r") for a, b in edges])
+    got = perturb.groomed_entities(perturb.neighbours(rows), 2.0, most, growth).collect()
+    assert sorted(tuple(r) for r in got) == groomed(edges, 2.0, most, growth)
+    assert perturb.groomed_entities(perturb.neighbours(rows.limit(0))).count() == 0
+
+
 @pytest.mark.parametrize(("n", "sizes"), [(20, (18, 1, 1)), (15, (13, 1, 1)), (10, (9, 0, 0))])
 def test_split(spark, n, sizes):
     got = {r["split"]: r["count"] for r in perturb.split(triples(spark, [(f"h{i}", f"t{i}", "r") for i in range(n)])).groupBy("split").count().collect()}
@@ -130,7 +185,7 @@ def test_readers(spark, tmp_path):
     assert held == {"size": "100", "datadir": "b"}
 
 
-@pytest.mark.parametrize("name", ["score_transe_l1", "corruptions_skyline", "link_ranks", "auc_pr", "dataset_stats", "dense_triples", "centile_dataset", "sparsity_noise_grid"])
+@pytest.mark.parametrize("name", ["score_transe_l1", "corruptions_skyline", "link_ranks", "auc_pr", "dataset_stats", "dense_triples", "centile_dataset", "sparsity_noise_grid", "sparser_rounds", "external_triples", "dataset_compiled", "dataset_annotated", "confidences_replaced"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ranked
+from trivane.operators.ranking import ranked, ranked_within, settled
 
 KEY = ["head", "tail", "relation"]
 
@@ -67,15 +67,15 @@ def link_ranks(test: DataFrame, scored: DataFrame, valid: DataFrame) -> DataFram
 
     Lower energies rank first, ties by triple. Corruptions that are valid triples do not count in the filtered rank. A
     test triple that was not scored has raw rank 1, and all other corruptions before it in the filtered one.
-    Counts are made by a running count in each (kept part, relation), then joined to the test triples.
+    Running counts of all scored rows start anew in each (kept part, relation), however many rows it has, and are joined
+    to the test triples.
     """
     flags = valid.select(*KEY).distinct().withColumn("_valid", F.lit(1))
-    rows = scored.join(flags, KEY, "left").withColumn("_other", F.when(F.col("_valid").isNull(), 1).otherwise(0))
+    rows = settled(scored.join(flags, KEY, "left").select(*KEY, "energy", F.when(F.col("_valid").isNull(), 1).otherwise(0).alias("_other")))
     out = None
     for side, kept in (("head", "tail"), ("tail", "head")):
-        order = Window.partitionBy(kept, "relation").orderBy("energy", side)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        place = rows.select(*KEY, F.row_number().over(order).alias("raw"), (1 + F.coalesce(F.sum("_other").over(before), F.lit(0))).alias("filtered"))
+        place = ranked_within(rows, [kept, "relation"], [F.col("energy"), F.col(side)], {"_seen": F.col("_other")}, rank="raw")
+        place = place.select(*KEY, "raw", (1 + F.col("_seen") - F.col("_other")).alias("filtered"))
         absent = rows.groupBy(kept, "relation").agg((1 + F.sum("_other")).alias("_all"))
         one = test.select(*KEY).join(place, KEY, "left").join(absent, [kept, "relation"], "left")
         one = one.select(*KEY, F.lit(side).alias("side"), F.coalesce("raw", F.lit(1)).cast("long").alias("raw"), F.coalesce("filtered", "_all", F.lit(1)).cast("long").alias("filtered"), F.col("raw").isNull().alias("missing"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ranked
+from trivane.operators.ranking import ranked, ranked_within, settled
 
 KEY = ["head", "tail", "relation"]
 
@@ -47,8 +47,7 @@ def sample_entities(triples: DataFrame, size: int, seed: int = 4) -> DataFrame:
 
 
 def _by_relation(triples: DataFrame, seed: int) -> DataFrame:
-    order = Window.partitionBy("relation").orderBy(C.hash_order(seed, *map(F.col, KEY)), *KEY)
-    return triples.withColumn("_place", F.row_number().over(order))
+    return ranked_within(triples, ["relation"], [C.hash_order(seed, *map(F.col, KEY)), *map(F.col, KEY)], rank="_place")
 
 
 def sparser(triples: DataFrame, n: int, seed: int = 4, mode: str = "draw") -> DataFrame:
@@ -144,40 +143,48 @@ def grid(triples: DataFrame, removed: int, step: int, levels: int, shares: list[
     return cells.select("level", F.col("s.share").alias("share"), *KEY, (F.col("_in_block") <= F.col("s.most")).alias("corrupt"))
 
 
-def groomed_entities(adjacency: DataFrame, target: float = 3.3478, most: int = 600_000) -> DataFrame:
-    """Entities in the order in which a greedy search for a density adds them: (step, entity, triples).
+def neighbours(triples: DataFrame) -> DataFrame:
+    """Distinct (entity, other) of both directions, loops included."""
+    return triples.select(F.col("head").alias("entity"), F.col("tail").alias("other")).union(triples.select("tail", "head")).distinct()
 
-    ``adjacency`` is (entity, neighbours array). Each step adds, of the neighbours of what is chosen, the one that
-    brings triples / entities closest to ``target``, ties by name; it ends at ``most`` triples or without
-    candidates. The search is sequential by nature and runs in one task over adjacency lists: it does not scale out.
-    """
-
-    def run(key, frame):
-        import pandas as pd
 
-        near = {e: set(ns) - {e} for e, ns in zip(frame["entity"], frame["neighbours"])}
-        if not near:
-            return pd.DataFrame({"step": [], "entity": [], "triples": []})
-        first = min(near, key=lambda e: (-len(near[e]), e))
-        chosen, triples, rows = {first}, 0, [(0, first, 0)]
-        gain = {e: 1 for e in near[first]}
-        while gain and triples < most:
-            best = min(gain, key=lambda e: (abs((triples + gain[e]) / (len(chosen) + 1) - target), e))
-            triples += gain.pop(best)
-            chosen.add(best)
-            rows.append((len(rows), best, triples))
-            for e in near.get(best, ()):
-                if e not in chosen:
-                    gain[e] = gain.get(e, 0) + 1
-        return pd.DataFrame(rows, columns=["step", "entity", "triples"])
+def adjacency(triples: DataFrame) -> DataFrame:
+    """Distinct neighbours of each entity, in both directions."""
+    return neighbours(triples).groupBy("entity").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
 
-    return adjacency.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "step int, entity string, triples long")
 
+def groomed_entities(edges: DataFrame, target: float = 3.3478, most: int = 600_000, growth: float = 0.5) -> DataFrame:
+    """Entities in the order in which a search for a density adds them: (step, entity, triples).
 
-def adjacency(triples: DataFrame) -> DataFrame:
-    """Distinct neighbours of each entity, in both directions."""
-    both = triples.select(F.col("head").alias("entity"), F.col("tail").alias("other")).union(triples.select("tail", "head"))
-    return both.groupBy("entity").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
+    ``edges`` is (entity, other) in both directions. The search starts at the entity of most neighbours. A round takes
+    the neighbours of what is chosen, orders them by how close each alone would bring triples / entities to ``target``
+    (ties by name), and adds the first of them, as many as ``growth`` times those chosen, one at least. ``triples``
+    counts the edges among what is chosen at each step. The search ends with the step that reaches ``most`` or
+    without candidates. With ``growth`` 0 a round adds one entity, which is the plain greedy search; beyond that the
+    number of rounds grows with the logarithm of the result. Every round is joins over all edges.
+    """
+    edges = settled(edges.filter("entity != other"))
+    first = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(1)
+    chosen = new = settled(first.select(F.lit(0).cast("long").alias("step"), "entity", F.lit(0).cast("long").alias("triples")))
+    gains = edges.select("entity", F.lit(0).cast("long").alias("gain")).limit(0)
+    size, total = chosen.count(), 0
+    while size and total < most:
+        met = edges.join(new.select(F.col("entity").alias("other")), "other").select("entity", F.lit(1).cast("long").alias("gain"))
+        gains = gains.union(met).groupBy("entity").agg(F.sum("gain").alias("gain"))
+        gains = settled(gains.join(chosen, "entity", "left_anti"))
+        far = F.abs((total + F.col("gain")) / F.lit(size + 1) - target)
+        best = settled(ranked(gains.withColumn("far", far), [F.col("far"), F.col("entity")]).filter(F.col("rank") <= max(1, int(growth * size))))
+        here, there = best.select("entity", "rank"), best.select(F.col("entity").alias("other"), F.col("rank").alias("before"))
+        within = edges.join(here, "entity").join(there, "other").filter("before < rank").groupBy("entity").agg(F.count(F.lit(1)).alias("more"))
+        added = best.join(within, "entity", "left").select("entity", "rank", (F.col("gain") + F.coalesce("more", F.lit(0))).alias("own"))
+        run = ranked(added, [F.col("rank")], {"triples": F.col("own")}, rank="at").filter(F.col("triples") - F.col("own") + total < most)
+        new = settled(run.select((F.col("at") + (size - 1)).alias("step"), "entity", (F.col("triples") + total).alias("triples")))
+        n, top = new.agg(F.count(F.lit(1)), F.max("triples")).first()
+        if not n:
+            break
+        size, total = size + n, top
+        chosen = settled(chosen.union(new))
+    return chosen
 
 
 def dataset_name(kind: str, base: str, *values: float) -> str:

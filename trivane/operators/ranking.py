@@ -12,7 +12,7 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows written to the checkpoint folder, which cuts lineage; a folder is set only where there is none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="trivane-checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trivane-checkpoint-"))
     return df.checkpoint()
 
 
@@ -23,7 +23,8 @@ def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
     hold; of these only one row for each partition comes to the driver. ``order`` must have no ties.
     """
     sums = sums or {}
-    parts = settled(df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())) if sums else settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held = df.withColumns(sums) if sums else df
+    parts = settled(held.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums]).collect()
     before, rows = [0] * (1 + len(sums)), []
     for r in sorted(totals):
@@ -40,6 +41,22 @@ def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
     return out.withColumnsRenamed({f"_run_{c}": c for c in sums})
 
 
+def ranked_within(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
+    """As ``ranked``, but ranks and sums begin anew for each value of ``keys``.
+
+    All rows are numbered together and each group's first number is taken off, so a group of very many rows is
+    spread over as many partitions as it needs.
+    """
+    sums = sums or {}
+    held = df.withColumns({f"_own_{c}": x for c, x in sums.items()}) if sums else df
+    rows = ranked(held, [*map(F.col, keys), *order], {c: F.col(f"_own_{c}") for c in sums}, rank)
+    before = [F.min_by(F.col(c) - F.col(f"_own_{c}"), rank).alias(f"_start_{c}") for c in sums]
+    starts = rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg((F.min(rank) - 1).alias("_start"), *before)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    out = rows.join(starts, same).withColumns({rank: F.col(rank) - F.col("_start"), **{c: F.col(c) - F.col(f"_start_{c}") for c in sums}})
+    return out.drop("_start", *[f"_key_{k}" for k in keys], *[f"_{x}_{c}" for c in sums for x in ("own", "start")])
+
+
 def ntile(df: DataFrame, order: list[Column], tiles: int, name: str) -> DataFrame:
     """NTILE(tiles) over the whole table: the first tiles are one row longer where rows do not divide."""
     n = df.count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trivane.functions import columns as C
 from trivane.operators import evaluation, ids, ontology, perturb, relational, scoring, stats
 from trivane.operators.ranking import settled
+from trivane.plans import compiled
 from trivane.plans import fixture as X
 
 KEY = ["head", "tail", "relation"]
@@ -336,7 +337,7 @@ def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def density_groomed(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.groomed_entities(perturb.adjacency(X.activity(spark, d)), most=2000)
+    return perturb.groomed_entities(perturb.neighbours(X.activity(spark, d)), most=2000, growth=1.0)
 
 
 _OFTEN = "SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= 10"
@@ -356,6 +357,89 @@ def top_readable(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.readable_top(scored, scored.filter(F.col("head").cast("long") % 2 == 0))
 
 
+@query(f"WITH {X.STRUCTURE}, {_COUNTS.format('tri')} SELECT relation, n, ntile(100) OVER (ORDER BY n, relation)::int AS centile FROM rc")
+def relation_centiles(spark: SparkSession, d: str) -> DataFrame:
+    return relational.with_centiles(stats.relation_counts(X.structure(spark, d)), "relation")
+
+
+@query(f"""WITH {X.STRUCTURE}, c AS (SELECT e, count(*)::double AS v FROM (SELECT unnest([head, tail]) AS e FROM tri) GROUP BY e), k AS (SELECT min(v) AS a, max(v) AS b FROM c),
+p AS (SELECT trunc((v - a) / (b - a) * 10 - 1e-7)::int AS bucket, a, b FROM c, k) SELECT bucket, a + bucket * ((b - a) / 10) AS lo, a + (bucket + 1) * ((b - a) / 10) AS hi, count(*) AS n FROM p GROUP BY bucket, a, b""")
+def entity_count_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.histogram(stats.entity_counts(X.structure(spark, d)), F.col("n"))
+
+
+@query(f"WITH {X.STRUCTURE}, {_FIRST} SELECT key, idx FROM re")
+def dense_relation_ids(spark: SparkSession, d: str) -> DataFrame:
+    return ids.relation_ids(_placed(spark, d))
+
+
+@query(f"WITH {X.STRUCTURE} SELECT head, tail, relation FROM tri")
+def external_triples(spark: SparkSession, d: str) -> DataFrame:
+    placed = _placed(spark, d)
+    entities, relations = settled(ids.entity_ids(placed)), settled(ids.relation_ids(placed))
+    return ids.to_external(ids.to_dense(placed, entities, relations), entities, relations).select(*KEY)
+
+
+@query(f"WITH {X.STRUCTURE}, {_FIRST} SELECT key, row_number() OVER (ORDER BY idx) - 1 AS idx FROM en WHERE key NOT LIKE 'o:%'")
+def redensified_ids(spark: SparkSession, d: str) -> DataFrame:
+    entities = settled(ids.entity_ids(_placed(spark, d)))
+    return ids.redensified(entities, entities.filter("key like 'o:%'"))
+
+
+@query(f"""WITH {X.VECTORS}, s AS (SELECT DISTINCT head, tail, relation, {_L1} AS energy FROM et x {_JOINS} WHERE head::bigint % 2 = 0), e AS (SELECT min(energy) AS a, max(energy) AS b FROM s)
+SELECT et.head, et.tail, et.relation, CASE WHEN s.head IS NULL THEN 0.5 ELSE 1 - (energy - a) / (b - a) END::double AS confidence
+FROM et LEFT JOIN s ON et.head = s.head AND et.tail = s.tail AND et.relation = s.relation, e""")
+def confidences_replaced(spark: SparkSession, d: str) -> DataFrame:
+    triples = X.embedded_triples(spark, d).withColumn("confidence", F.lit(0.5))
+    return scoring.replaced_confidence(triples, score_transe_l1(spark, d).filter("cast(head as long) % 2 = 0")).select(*KEY, "confidence")
+
+
+#: For compiled datasets: triples whose hash is 0 are gold, the others have 0.5 to 0.9 as confidence.
+_CHANCE = f"('0x' || substr({_md5('c', *KEY)}, 1, 8))::bigint % 10"
+
+
+def _confident(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = X.activity(spark, d).withColumn("chance", C.hash_int("c", *map(F.col, KEY)) % 10)
+    return rows.filter("chance > 0").withColumn("confidence", F.col("chance") / 10), rows.filter("chance = 0")
+
+
+def _compiled_sql(train: str, often: int, often_relation: int) -> str:
+    at_least = f"SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= {often}"
+    return f"""WITH {X.ACTIVITY}, a AS (SELECT *, {_CHANCE} AS chance FROM act), t AS ({train}),
+g AS (SELECT head, tail, relation FROM a WHERE chance = 0 AND head IN ({at_least}) AND tail IN ({at_least})
+      AND relation IN (SELECT relation FROM t GROUP BY relation HAVING count(*) >= {often_relation}))
+SELECT head, tail, relation, 'train' AS split FROM t UNION ALL
+SELECT head, tail, relation, CASE WHEN row_number() OVER (ORDER BY {_ORDER}, head, tail, relation) <= count(*) OVER () // 2 THEN 'test' ELSE 'valid' END FROM g"""
+
+
+@query(_compiled_sql("SELECT head, tail, relation FROM a WHERE chance / 10.0 >= 0.5 UNION SELECT DISTINCT head, 'any', '0' FROM a WHERE chance > 0", 10, 5))
+def dataset_compiled(spark: SparkSession, d: str) -> DataFrame:
+    source, gold = _confident(spark, d)
+    train = settled(compiled.training(source, 0.5, source.select("head", F.lit("any").alias("tail"))))
+    return compiled.with_gold(train, gold)
+
+
+@query(_compiled_sql("SELECT head, tail, relation FROM a WHERE chance > 0", 1, 1))
+def dataset_compiled_strict(spark: SparkSession, d: str) -> DataFrame:
+    source, gold = _confident(spark, d)
+    return compiled.with_gold(settled(compiled.training(source)), gold, 1, 1)
+
+
+@query(f"""WITH {X.ACTIVITY}, a AS (SELECT *, {_CHANCE} AS chance FROM act), t AS (SELECT head, tail, relation FROM a WHERE chance > 0), k AS (SELECT unnest([head, tail]) AS e FROM t)
+SELECT *, 'train' AS split FROM t UNION ALL SELECT head, tail, relation, 'test' FROM a
+WHERE chance = 0 AND length(tail) % 2 = 0 AND head IN (SELECT e FROM k) AND tail IN (SELECT e FROM k) AND relation IN (SELECT relation FROM t)""")
+def dataset_annotated(spark: SparkSession, d: str) -> DataFrame:
+    source, gold = _confident(spark, d)
+    return compiled.extracted(source, gold.select(*KEY, (F.length("tail") % 2 == 0).alias("is_valid")))
+
+
+@query(f"""WITH {X.ACTIVITY}, {_SPLIT.format('act')}, r AS (SELECT *, unnest(['Total', split]) AS label FROM sp)
+SELECT {', '.join(f"count(*) FILTER (label = '{x}') AS {x}_triples, count(DISTINCT relation) FILTER (label = '{x}') AS {x}_relations" for x in ('Total', 'test', 'train', 'valid'))} FROM r""")
+def dataset_stats_row(spark: SparkSession, d: str) -> DataFrame:
+    row = stats.stats_row(dataset_stats(spark, d))
+    return row.select(*[f"{x}_{m}" for x in ("Total", "test", "train", "valid") for m in ("triples", "relations")])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivane import schema
@@ -18,9 +18,17 @@ def tsv(spark: SparkSession, path: str | list[str], fields: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 0-based number in the file; text is read whole by file, as its order is its meaning."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("line", "value"))
-    return lines
+    """Lines with their 0-based number in the file.
+
+    Files are read in splits. Lines are numbered inside a split and moved on by the lines of the splits before it,
+    of which there is one row each.
+    """
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")]
+    rows = spark.read.text(path).select("value", *at)
+    splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("_file", "_split", "_first", before.alias("_before"))
+    return rows.join(splits, ["_file", "_split"]).select((F.col("_at") - F.col("_first") + F.col("_before")).alias("line"), "value")
 
 
 def triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
