@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, pii, simhash
+from trivane.llm import bpe_corpus, decontamination, language, pii, shingles
 from trivane.llm.workspace import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, once. Documents without an id are in no group and stay."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    groups = shingles.near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     groups = materialise(groups.withColumnRenamed("doc_id", "_id"), "kept")
     # one join at every size: texts are dealt once and not sorted, each task holds its part of the ids
     kept = docs.join(groups.hint("shuffle_hash"), docs["doc_id"].cast("long") == groups["_id"])
