@@ -139,6 +139,31 @@ def test_language(spark, edge_documents):
     assert language.learn(docs.limit(0)) == {}
 
 
+def made_of(words, lang, count, start, rng):
+    return [(start + i, " ".join(rng.choice(words, 200)), lang) for i in range(count)]
+
+
+def test_language_with_a_rare_label_and_with_copies(spark):
+    """A short label leaves the others' dictionaries whole; copies and near copies are learned from like one document."""
+    rng = np.random.default_rng(4)
+    letters = {"aa": "abcdefg", "bb": "abcdehi", "cc": "abcdejk"}
+    words = {lang: ["".join(rng.choice(list(x), 4)) for _ in range(400)] for lang, x in letters.items()}
+    plenty = made_of(words["aa"], "aa", 60, 0, rng) + made_of(words["bb"], "bb", 60, 100, rng)
+    read = lambda rows: language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    whole, rare = read(plenty), read([*plenty, (900, "xyz zyx yxz xzy", "zz")])
+    assert min(map(len, whole.values())) > 16 << 10
+    assert {lang: x for lang, x in rare.items() if lang != "zz"} == whole and len(rare["zz"]) == 15
+    one = " ".join(rng.choice(words["cc"], 590))
+    sentences = [" ".join(rng.choice(words["cc"], 20)) for _ in range(25)]
+    near = [(2000 + i, ". ".join([*sentences, f"{words['cc'][i]} {words['cc'][i + 1]}"]), "cc") for i in range(60)]
+    for copies in ([(1000 + i, one, "cc") for i in range(300)], near):
+        held = read([*plenty, *copies])
+        assert {lang: x for lang, x in held.items() if lang != "cc"} == whole and len(held["cc"]) > 2000
+        fresh = spark.createDataFrame([r for lang in words for r in made_of(words[lang], lang, 10, 0, rng)], "doc_id long, text string, lang string")
+        got = language.predict(fresh, held, ["lang"]).collect()
+        assert np.mean([r["lang"] == r["lang_pred"] for r in got if r["lang"] != "cc"]) == 1
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.org/es/x?y", "https://example.org/en/12#z", "http://b.org", "http://x.com/fr/1", "http://x.com/de/1", "ftp://bad.net/p", "http://good.net", None, "no scheme", "http://"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("own"))

@@ -24,6 +24,8 @@ from trivane.llm.workspace import ship
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 64, 3000
 #: Bytes of a dictionary, and of a chunk that is compressed against it.
 DICTIONARY, CHUNK = 64 << 10, 8 << 10
+#: A language with less text of its own does not shorten the dictionaries of others.
+USEFUL = 16 << 10
 #: Greedy matching of four bytes or more with small tables: about as exact here as slower settings.
 PARAMETERS = dict(window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY)
 #: A text is accepted if the best size is smaller than the second by this share at least.
@@ -41,27 +43,32 @@ def plain(text: str) -> str:
 def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> dict[str, bytes]:
     """A dictionary for each language from (doc_id, text, lang).
 
-    Sentences that stand in more than one sampled document, such as licence lines, are left out. A language of
-    which too little text is left is not learned.
+    Copies of a text count once for a language. A sentence is taken once for a language, and not at all if sampled
+    documents of another language have it too, as licence lines do. All dictionaries are as long as the shortest, but
+    a language with less than USEFUL bytes (and less than half of the longest) does not count for that length: its
+    dictionary is all it has. A language of less than eight bytes is not learned.
 
-    The rows of a language are thinned by a hash of doc_id and text to about twice ``documents``, so what
-    comes to the driver is bounded by languages x documents x characters, however many rows there are.
+    The texts of a language are thinned by their hash to about twice ``documents``, so what comes to the driver is
+    bounded by languages x documents x characters, however many rows there are.
     """
-    rows = labelled.select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text").filter("lang is not null and text is not null and text != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.select(F.xxhash64("text").alias("h"), "lang", "text").filter("lang is not null and text is not null and text != ''")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     keep = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, 2.0 * documents / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    picked = rows.filter(keep).select("h", "lang", F.substring("text", 1, characters).alias("text")).collect()
-    sentences: dict[str, list[dict[str, None]]] = {lang: [] for lang in sorted(counts)}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
+    starts = rows.filter(keep).select("h", "lang", F.substring("text", 1, characters).alias("text"))
+    picked = starts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    sentences: dict[str, list[str]] = {lang: [] for lang in counts}
+    for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
         if len(sentences[r["lang"]]) < documents:
-            sentences[r["lang"]].append(dict.fromkeys(plain(x) for x in SENTENCE.split(r["text"])))
-    seen = Counter(x for held in sentences.values() for d in held for x in d)
-    own = {lang: " ".join(x for d in held for x in d if x and seen[x] == 1).encode() for lang, held in sentences.items()}
+            sentences[r["lang"]].append(r["text"])
+    once = {lang: dict.fromkeys(plain(x) for t in sentences[lang] for x in SENTENCE.split(t)) for lang in sorted(sentences)}
+    seen = Counter(x for held in once.values() for x in held)
+    own = {lang: " ".join(x for x in held if x and seen[x] == 1).encode() for lang, held in once.items()}
     own = {lang: x for lang, x in own.items() if len(x) >= 8}
-    size = min([DICTIONARY, *map(len, own.values())])
+    useful = min(USEFUL, max(map(len, own.values()), default=0) // 2)
+    size = min([DICTIONARY, *(len(x) for x in own.values() if len(x) >= useful)])
     return {lang: x[:size] for lang, x in own.items()}
 
 
