@@ -224,6 +224,18 @@ def test_pii_held_out(tagger):
     assert hit / (hit + missed) > 0.85 and hit / (hit + false) > 0.9
 
 
+def test_pii_spelled_without_digits(tagger, monkeypatch):
+    """Addresses without a digit or at sign near; windows over whole texts find nothing more."""
+    filler = "pelo nasti morut gandel " * 8
+    texts = [f"{filler}: {x} {filler}" for x in ("morine(at)delta.org", "lato.nide[at]bort[dot]com", "hano_tirel(at)sumol.net")]
+    texts += [a + b for (a, _), (b, _) in zip(pii.labelled_sentences(60, seed=8), pii.labelled_sentences(60, seed=9))] + [filler]
+    found = pii.find_all(texts, tagger)
+    for text, (base, spans) in zip(texts[:3], found):
+        assert base == [] and [(text[s:e], k) for s, e, k in spans] == [(text.split(": ")[1].split(" ")[0], "email")]
+    monkeypatch.setattr(pii, "_CUE", re.compile("(?s)."))
+    assert pii.find_all(texts, tagger) == found
+
+
 def test_pii_table(spark, edge_documents, tagger):
     got = pii.find(edge_documents, tagger, ["doc_id", "text", "ids"]).collect()
     assert len(got) == edge_documents.count()

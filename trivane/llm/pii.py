@@ -2,7 +2,7 @@
 
 The patterns give the base spans. The tagger (``tagger.Tagger``) is trained on labelled spans: sentences of
 invented words with personal data in usual and unusual writings, and with numbers that are none. It reads
-overlapping windows around every digit and at sign of a text. The spans of all windows are reconciled over the
+overlapping windows around every digit, at sign, "(at)" and "[at]" of a text. The spans of all windows are reconciled over the
 whole document: of a span that two windows see, the one further from a window's border counts, base spans stay,
 and a found span must not touch another, and must hold what its kind needs (a card's check digit, a phone
 number's digits, and so on).
@@ -29,7 +29,8 @@ WIDTH, STRIDE = 96, 48
 #: Windows that the tagger reads together.
 TOGETHER = 512
 
-_CUE = re.compile(r"[0-9@]")
+#: Every span that holds has one of these, so no other window can add a span.
+_CUE = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -162,7 +163,7 @@ def train(sentences: list[tuple[str, list[Span]]], epochs: int = 10) -> Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Where windows begin: all multiples of STRIDE from which a window holds a digit or an at sign."""
+    """Where windows begin: all multiples of STRIDE from which a window holds the start of a cue."""
     at = sorted({m.start() // STRIDE for m in _CUE.finditer(text)})
     return sorted({STRIDE * x for k in at for x in (k - 1, k) if x >= 0})
 
