@@ -8,13 +8,16 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyarrow import orc
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, pii, substring_dedup, token_files, topk, url_reputation
+from trivane.llm import bpe, bpe_corpus, decontamination, language, lm_scoring, pii, substring_dedup, token_files, topk, url_reputation
 from trivane.llm.queries import URL_RULES
+from trivane.llm.words import NOT_SPACE, find_words, same_spans, span_names
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -98,30 +101,99 @@ def test_substring_dedup(edge_documents, edge_rows):
     assert substring_dedup.remove_repeats(edge_documents.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    """2**n letters; with its complement equal under any polynomial hash modulo 2**64."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_names_of_regular_words():
+    texts = [thue_morse(10), thue_morse(11)]
+    texts += [t.translate(str.maketrans("ab", "ba")) for t in texts]
+    words = find_words(pa.array([" ".join(texts)]), NOT_SPACE, lower=False)
+    assert len(set(span_names(words.data, words.starts, words.ends).tolist())) == 4
+    other = find_words(pa.array(["x " + " ".join(reversed(texts))]), NOT_SPACE, lower=False)
+    same = same_spans(words.data, words.starts, words.ends, other.data, other.starts[:0:-1].copy(), other.ends[:0:-1].copy())
+    assert same.all()
+    assert not same_spans(words.data, words.starts[:2], words.ends[:2], words.data, words.starts[2:], words.ends[2:]).any()
+
+
+def random_texts(count, seed):
+    """Texts of code points from all of Unicode, white space, marks, numbers and contractions among them."""
+    rng = np.random.default_rng(seed)
+    pools = [list(range(32, 127)), list(range(128, 0x250)), list(range(0x300, 0x370)), list(range(0x600, 0x700)), [*range(0x2000, 0x2070), 0x3000, 0x85, 0xA0], list(range(0x2150, 0x2190)), list(range(0x4E00, 0x4F00)), list(range(0x1F300, 0x1F700)), list(range(0x1D400, 0x1D800)), [9, 10, 11, 12, 13, 28, 31, 32, 39]]
+    out = []
+    for _ in range(count):
+        some = [pools[i] for i in rng.integers(0, len(pools), 3)]
+        text = "".join(chr(rng.choice(some[rng.integers(0, 3)])) for _ in range(rng.integers(0, 60)))
+        out.append(text + rng.choice(["", "'s", "'ll x", "<|endoftext|>", "  ", "\n\n a"]))
+    return out
+
+
+@pytest.mark.parametrize("name", [span_names, lambda data, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(4)])
+def test_bpe_against_the_library(name):
+    """Whole texts, also where words of different bytes have one name; the words of token files are encoded alike."""
+    library = Tokenizer.from_file(PATH)
+    texts = [*random_texts(1500, 12), thue_morse(10), thue_morse(10).translate(str.maketrans("ab", "ba")), None, ""]
+    for encoder in (bpe.Encoder(PATH, room=3000, name=name), bpe.Encoder(PATH, vocabulary=token_files.LibraryWords(PATH), name=name)):
+        for lo in range(0, len(texts), 200):
+            ids, counts = encoder.encode(pa.array(texts[lo : lo + 200], pa.string()))
+            ends = np.cumsum(counts)
+            for t, a, b in zip(texts[lo : lo + 200], ends - counts, ends):
+                want = library.encode(t or "", add_special_tokens=False).ids
+                assert ids[a:b].tolist() == want
+                assert encoder is None or bpe.encoder(PATH).decode(want) == library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_and_token_files(spark, edge_documents, edge_rows, tmp_path):
+    """Repeated rows, null ids, ties of ids, clashing columns; digests of both queries; stripes that a filter skips."""
     library = Tokenizer.from_file(PATH)
-    texts = [*[r[1] for r in edge_rows], "a<|endoftext|>b<|endof", "can't  I'm\n\n x", "é" * 300, "\x00١²"]
-    docs = spark.createDataFrame([(i, t, [i]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
-    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
-    got = bpe_corpus.encode(docs, PATH, ["doc_id"], decoded=True).collect()
-    assert {r["doc_id"]: r["ids"] for r in got} == want
-    assert all(r["decoded"] == library.decode(want[r["doc_id"]], skip_special_tokens=False) for r in got)
-    assert all(r["round_trip"] for r in bpe_corpus.encode(docs.filter("doc_id % 2 = 0"), PATH, ["doc_id"], verify=True).collect())
+    rows = [*[r[:2] for r in edge_rows], (1000, "a<|endoftext|>b<|endof"), (1000, "can't  I'm\n\n x"), (1000, "can't  I'm\n\n x"), (1001, "é" * 300), (None, "\x00١²"), (1002, thue_morse(10)), (1003, thue_morse(10).translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame([(i, t, [1], "x", 5) for i, t in rows], "doc_id long, text string, ids array<int>, n_tokens string, part int").repartition(3)
+    encoded = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in rows}
+    key = lambda x: sorted(x, key=str)
+    got = bpe_corpus.encode(docs, PATH, ["doc_id", "text"], decoded=True).collect()
+    assert key((r["doc_id"], r["text"]) for r in got) == key(rows)
+    assert all(r["ids"] == encoded[r["text"]] and r["n_tokens"] == len(r["ids"]) for r in got)
+    assert all(r["decoded"] == library.decode(encoded[r["text"]], skip_special_tokens=False) for r in got)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = [(i, len(encoded[t]), sha(",".join(map(str, encoded[t]))), sha(library.decode(encoded[t], skip_special_tokens=False))) for i, t in rows]
+    assert key(tuple(r) for r in bpe_corpus.digest(docs, PATH).collect()) == key(digests)
+    assert all(r["round_trip"] for r in bpe_corpus.encode(docs, PATH, ["doc_id"], verify=True).collect())
     again = bpe_corpus.decode(bpe_corpus.encode(docs, PATH, ["doc_id"]), PATH).collect()
-    assert {r["doc_id"]: r["decoded"] for r in again} == {r["doc_id"]: r["decoded"] for r in got}
+    assert key((r["doc_id"], r["decoded"]) for r in again) == key((r["doc_id"], r["decoded"]) for r in got)
+    assert bpe_corpus.digest(docs.limit(0), PATH).count() == 0
+
     token_files.write_tokens(docs, PATH, str(tmp_path / "tokens"))
     read = token_files.read_tokens(spark, str(tmp_path / "tokens"))
-    at, sums = 0, {r["doc_id"]: r for r in token_files.checksums(read).collect()}
-    for i in sorted(want):
-        ids = [*want[i], 0]
-        assert (sums[i]["start"], sums[i]["n_tokens"]) == (at, len(ids))
-        assert sums[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    at, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = [*encoded[t], 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert read.filter("doc_id = 7").collect()[0]["ids"] == [*want[7], 0]
+    assert key(tuple(r) for r in token_files.checksums(read).collect()) == key(want)
+    assert read.filter("doc_id = 7").collect()[0]["ids"] == [*encoded[dict(rows)[7]], 0]
     token_files.write_tokens(docs.limit(0), PATH, str(tmp_path / "none"))
     assert token_files.checksums(token_files.read_tokens(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_token_files_skip_rows(spark, tmp_path, monkeypatch):
+    """A filter on doc_id reads some groups of the row index, and none for an id that only the Bloom filter tells apart."""
+    monkeypatch.setattr(token_files, "INDEX_ROWS", 1000)
+    docs = spark.createDataFrame([(2 * i, f"text {i}") for i in range(20000)], "doc_id long, text string").repartition(2)
+    token_files.write_tokens(docs, PATH, str(tmp_path / "t"))
+    assert all(orc.ORCFile(f).row_index_stride == 1000 for f in (tmp_path / "t").glob("*.orc"))
+    read = {}
+    for doc_id in (4320, 4321):
+        held = spark.read.schema(token_files._ROWS).orc(str(tmp_path / "t")).filter(F.col("doc_id") == doc_id)
+        plan = held._jdf.queryExecution().executedPlan()
+        found = len(plan.executeCollect())
+        read[doc_id] = (found, plan.collectLeaves().head().metrics().apply("numOutputRows").value())
+    assert read[4320][0] == 1 and read[4320][1] <= 1000 and read[4321] == (0, 0)
+
+
 def test_language(spark, edge_documents):
     words = {"aa": "the and of with from that this have will", "bb": "der und mit von dass nicht haben wird eine", "cc": "les des pour dans avec vous nous cette mais"}
     rng = np.random.default_rng(1)
@@ -247,20 +319,43 @@ def test_pii_table(spark, edge_documents, tagger):
     assert tuple(pii.digest(pii.find(one, tagger, ["doc_id"])).first())[1:5] == (1, 1, 1, 1)
 
 
-def test_topk(spark):
+def brute_top(rows, k=10):
+    """(query_id, rank, vec_id, score) of all query rows, each against every row but itself."""
+    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+    out = []
+    for a, (q, v) in enumerate(fine):
+        if q is not None and q % 100 == 0:
+            best = sorted((-int(v @ w), i is None, i or 0) for b, (i, w) in enumerate(fine) if a != b)[:k]
+            out += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(best)]
+    return Counter(out)
+
+
+def test_topk(spark, monkeypatch):
+    """Nulls, not finite and repeated vectors, repeated ids of queries, clashing columns; blocks of queries and of vectors."""
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(700)]
-    rows += [(800, rows[3][1]), (900, [0.0] * 8), (901, [float("nan")] * 8), (902, None), (903, [None] * 8), (904, [float("inf")] + [0.0] * 7), (1000, rows[5][1]), (None, rows[5][1]), rows[7], rows[100]]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    expected = set()
-    for q, v in {i: v for i, v in fine if i % 100 == 0}.items():
-        best = sorted((-int(v @ w), i) for i, w in fine if i != q)[:10]
-        expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(table.filter("vec_id % 100 = 0"), table).collect()} == expected
+    rows += [(800, rows[3][1]), (900, [0.0] * 8), (901, [float("nan")] * 8), (902, None), (903, [None] * 8), (904, [float("inf")] + [0.0] * 7), (1000, rows[5][1]), (None, rows[5][1]), (None, rows[5][1]), rows[7], rows[100], rows[100], (200, rows[8][1]), (905, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"query_id": F.lit(1), "rank": F.lit(2), "v": F.lit("x")}).repartition(2).cache()
+    for queries, block in ((2048, 8192), (6, 64)):
+        monkeypatch.setattr(topk, "QUERIES", queries)
+        monkeypatch.setattr(topk, "BLOCK", block)
+        assert Counter(tuple(r) for r in topk.top_k(table.filter("vec_id % 100 = 0"), table).collect()) == brute_top(rows)
     assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dimensions", "most"), [(2, 0.1), (4, 0.4), (8, 0.9)])
+def test_topk_ends_by_its_bound(dimensions, most):
+    """The share of the vectors that a search scores before its bound ends it."""
+    rng = np.random.default_rng(6)
+    vectors = np.floor(rng.normal(0, 300, (8192, dimensions))).astype(np.int64)
+    lists = topk.Lists(np.arange(8192), vectors)
+    for q in range(20):
+        best = topk.Best(10)
+        lists.search(-1, vectors[q], best)
+        assert best.scores.tolist() == sorted((vectors @ vectors[q]).tolist())[::-1][:10]
+    assert lists.scored < most * 20 * 8192
+
+
 def test_pipeline(spark, edge_documents, tmp_path):
     docs = edge_documents.select(*corpus_pipeline.COLUMNS)
     spark.createDataFrame([(1, "nothing of this is in any text at all, not even a part")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from trivane.llm.words import span_names, text_buffer
+from trivane.llm.words import same_spans, span_names, text_buffer
 
 #: The characters with Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -235,50 +235,80 @@ def split(column: pa.Array, classes: np.ndarray, added: dict[bytes, int]) -> Pie
 
 
 class Encoder:
-    """Texts to token ids and back. Encodings of words met before are kept, up to ``room`` words."""
+    """Texts to token ids and back. Encodings of words met before are kept, up to ``room`` words.
 
-    def __init__(self, path: str, room: int = 1_000_000, vocabulary=None):
-        self.vocabulary, self.classes, self.room = vocabulary or Vocabulary(path), character_classes(), room
+    Words are found among those kept by 64-bit names, and then their bytes are compared.
+    """
+
+    def __init__(self, path: str, room: int = 1_000_000, vocabulary=None, name=span_names):
+        self.vocabulary, self.classes, self.room, self.name = vocabulary or Vocabulary(path), character_classes(), room, name
         self.forget()
 
     def forget(self) -> None:
-        self.names = np.zeros(0, np.uint64)  # ascending, with the place of each word's ids in ``flat``
+        self.names = np.zeros(0, np.uint64)  # ascending, with the place of each word's ids in ``flat`` and bytes in ``raw``
         self.at, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.starts, self.ends, self.raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def _encodings(self, pieces: Pieces, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces ``at`` in another order, how many ids each has, their ids)."""
+        raw = pieces.data.tobytes()
+        ordinary, special = at[pieces.added[at] < 0], at[pieces.added[at] >= 0]
+        words = [raw[s:e] for s, e in zip(pieces.starts[ordinary].tolist(), pieces.ends[ordinary].tolist())]
+        order = sorted(range(len(words)), key=words.__getitem__)
+        encoded = self.vocabulary.encode_words([words[i] for i in order])
+        encoded += [[int(pieces.added[i])] for i in special]
+        return np.concatenate([ordinary[order], special]), np.array([len(x) for x in encoded], np.int64), np.array([t for x in encoded for t in x], np.int32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has). Null is empty."""
         pieces = split(column, self.classes, self.vocabulary.added)
-        names = span_names(pieces.data, pieces.starts, pieces.ends)
+        if not len(pieces.starts):
+            return np.zeros(0, np.int32), np.zeros(len(pieces.counts), np.int64)
+        names = self.name(pieces.data, pieces.starts, pieces.ends)
         distinct, first, place = np.unique(names, return_index=True, return_inverse=True)
+        alike = same_spans(pieces.data, pieces.starts, pieces.ends, pieces.data, pieces.starts[first][place], pieces.ends[first][place])
         known = np.minimum(np.searchsorted(self.names, distinct), max(0, len(self.names) - 1))
-        new = first[self.names[known] != distinct] if len(self.names) else first
+        held = self.names[known] == distinct if len(self.names) else np.zeros(len(distinct), bool)
+        old = first[held]
+        if not alike.all() or not same_spans(pieces.data, pieces.starts[old], pieces.ends[old], self.raw, self.starts[known[held]], self.ends[known[held]]).all():
+            return self._encode_each(pieces)  # two words of one name
+        new = first[~held]
         if len(new):
-            raw = pieces.data.tobytes()
-            ordinary = new[pieces.added[new] < 0]
-            words = [raw[s:e] for s, e in zip(pieces.starts[ordinary].tolist(), pieces.ends[ordinary].tolist())]
-            order = sorted(range(len(words)), key=words.__getitem__)
-            encoded = self.vocabulary.encode_words([words[i] for i in order])
-            special = new[pieces.added[new] >= 0]
-            encoded += [[int(pieces.added[i])] for i in special]
-            rows = np.concatenate([ordinary[order], special])
-            size = np.array([len(x) for x in encoded], np.int64)
-            flat = np.array([t for x in encoded for t in x], np.int32)
-            if len(self.names) + len(rows) > self.room and len(self.names):
+            if len(self.names) and len(self.names) + len(new) > self.room:
                 self.forget()
                 return self.encode(column)
-            by_name = np.argsort(names[rows], kind="stable")
-            added = names[rows][by_name]
-            where = np.searchsorted(self.names, added)
-            self.at = np.insert(self.at, where, (len(self.flat) + np.cumsum(size) - size)[by_name])
-            self.size = np.insert(self.size, where, size[by_name])
-            self.names, self.flat = np.insert(self.names, where, added), np.concatenate([self.flat, flat])
+            rows, size, flat = self._encodings(pieces, new)
+            self._keep(pieces, names, rows, size, flat)
             known = np.searchsorted(self.names, distinct)
         own = known[place]
-        size = self.size[own]
-        if not len(size):
-            return np.zeros(0, np.int32), np.zeros(len(pieces.counts), np.int64)
+        return self._laid_out(pieces, self.at[own], self.size[own], self.flat)
+
+    def _keep(self, pieces: Pieces, names: np.ndarray, rows: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        order = np.argsort(names[rows], kind="stable")
+        where = np.searchsorted(self.names, names[rows][order])
+        length = pieces.ends[rows] - pieces.starts[rows]
+        until = len(self.raw) + np.cumsum(length)
+        put = lambda kept, values: np.insert(kept, where, values[order])
+        self.at, self.size = put(self.at, len(self.flat) + np.cumsum(size) - size), put(self.size, size)
+        self.starts, self.ends = put(self.starts, until - length), put(self.ends, until)
+        self.names, self.flat = put(self.names, names[rows]), np.concatenate([self.flat, flat])
+        inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        self.raw = np.concatenate([self.raw, pieces.data[np.repeat(pieces.starts[rows], length) + inner]])
+
+    def _encode_each(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with words known by their bytes alone."""
+        raw, seen = pieces.data.tobytes(), {}
+        place = np.array([seen.setdefault(raw[s:e], i) for i, (s, e) in enumerate(zip(pieces.starts.tolist(), pieces.ends.tolist()))], np.int64)
+        rows, size, flat = self._encodings(pieces, np.unique(place))
+        at, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        at[rows], sizes[rows] = np.cumsum(size) - size, size
+        return self._laid_out(pieces, at[place], sizes[place], flat)
+
+    @staticmethod
+    def _laid_out(pieces: Pieces, at: np.ndarray, size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and how many each text has."""
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[own] - (ends - size), size) + np.arange(ends[-1])]
+        ids = flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces.counts)])]
         return ids, np.diff(bounds)
 

@@ -28,7 +28,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def _powers_of(base: int):
@@ -46,8 +45,8 @@ def _powers_of(base: int):
     return powers
 
 
-byte_powers = _powers_of(0xD6E8FEB86659FD93)
-word_powers = _powers_of(0xA0761D6478BD642F)
+#: Two bases, so that a phrase can have two names that nothing ties together.
+word_powers = (_powers_of(0xA0761D6478BD642F), _powers_of(0xE7037ED1A0B428DB))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,17 +118,67 @@ def find_words(column: pa.Array, kind: np.ndarray, lower: bool) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offsets))
 
 
-def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each byte span; equal bytes have equal names in every task."""
-    up, down = byte_powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-
-
-def phrase_names(names: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """A 64-bit name for each run ``names[lo[i]:hi[i]]``; equal runs have equal names in every task."""
-    up, down = word_powers(len(names) + 1)
+def blocks_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number, zeros beyond its end; a view of a padded copy."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _first_bytes(blocks: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The blocks without what lies beyond their ``left`` first bytes (one at least)."""
+    return blocks & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64)))
+
+
+def _inner_blocks(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans of over eight bytes: (their indices, where each one's blocks begin, number of each block, its place)."""
+    long = np.flatnonzero(lengths > 8)
+    each = (lengths[long] - 1) // 8
+    begin = np.cumsum(each) - each
+    number = np.arange(each.sum()) - np.repeat(begin, each) + 1
+    return long, begin, number, np.repeat(starts[long], each) + 8 * number
+
+
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit name for each byte span, none of them empty; equal bytes have equal names in every task.
+
+    Blocks of eight bytes are mixed with their number before they are added up, so that no regular text gives
+    equal sums. Names by two salts are as good as one of 128 bits.
+    """
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    blocks, key = blocks_at(data), np.uint64((2 * salt + 1) * 0xD6E8FEB86659FD93 % 2**64)
+    sums = mix(_first_bytes(blocks[starts], lengths) ^ key)
+    long, begin, number, at = _inner_blocks(starts, lengths)
+    if len(long):
+        left = np.repeat(lengths[long], np.diff(np.append(begin, len(number)))) - 8 * number
+        sums[long] += np.add.reduceat(mix(_first_bytes(blocks[at], left) ^ mix(key + number.astype(np.uint64))), begin)
+    return mix(sums + lengths.astype(np.uint64) * _STEP)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Whether span i of ``data`` and span i of ``other`` are the same bytes; none is empty."""
+    lengths = ends - starts
+    same = lengths == until - at
+    kept = np.flatnonzero(same)
+    starts, at, lengths = starts[kept], at[kept], lengths[kept]
+    a, b = blocks_at(data), blocks_at(other)
+    good = _first_bytes(a[starts] ^ b[at], lengths) == 0
+    long, begin, number, place = _inner_blocks(starts, lengths)
+    if len(long):
+        sizes = np.diff(np.append(begin, len(number)))
+        differ = _first_bytes(a[place] ^ b[np.repeat(at[long], sizes) + 8 * number], np.repeat(lengths[long], sizes) - 8 * number) != 0
+        good[long] &= ~np.logical_or.reduceat(differ, begin)
+    same[kept] = good
+    return same
+
+
+def phrase_names(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit name for each run ``names[lo[i]:hi[i]]`` of a few names; equal runs have equal names in every task.
+
+    With names and phrase names of two salts a run is named by 128 bits.
+    """
+    up, down = word_powers[salt](len(names) + 1)
     sums = np.zeros(len(names) + 1, np.uint64)
     np.cumsum(mix(names) * up[: len(names)], out=sums[1:])
     return mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64) * _STEP)
