@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.conftest import thue_morse
 from trivane.llm import bpe, bpe_corpus, decontamination, language, lm_scoring, pii, substring_dedup, token_files, topk, url_reputation
 from trivane.llm.queries import URL_RULES
 from trivane.llm.words import NOT_SPACE, find_words, same_spans, span_names
@@ -83,7 +84,9 @@ def test_decontamination_empty(spark, edge_documents):
     assert decontamination.search(edge_documents.limit(0), none).count() == 0
 
 
-def test_substring_dedup(edge_documents, edge_rows):
+@pytest.mark.parametrize("parts", [1, 20])
+def test_substring_dedup(edge_documents, edge_rows, parts):
+    """In one block, and in blocks of a few documents."""
     rows = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in edge_rows]
     least = {}
     for i, ws in rows:
@@ -95,23 +98,14 @@ def test_substring_dedup(edge_documents, edge_rows):
         gone = {j for k in range(len(ws) - 12) if i is not None and least[tuple(ws[k : k + 13])] < i for j in range(k, k + 13)}
         kept = " ".join(w for j, w in enumerate(ws) if j not in gone)
         expected.append((i, len(ws), len(gone), kept))
-    got = [tuple(r) for r in substring_dedup.remove_repeats(edge_documents).collect()]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(edge_documents.repartition(parts)).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
     assert any(r[2] for r in got)
     assert substring_dedup.remove_repeats(edge_documents.limit(0)).count() == 0
 
 
-def thue_morse(n):
-    """2**n letters; with its complement equal under any polynomial hash modulo 2**64."""
-    text = "a"
-    for _ in range(n):
-        text += text.translate(str.maketrans("ab", "ba"))
-    return text
-
-
 def test_names_of_regular_words():
-    texts = [thue_morse(10), thue_morse(11)]
-    texts += [t.translate(str.maketrans("ab", "ba")) for t in texts]
+    texts = [thue_morse(n, c) for c in "ab" for n in (10, 11)]
     words = find_words(pa.array([" ".join(texts)]), NOT_SPACE, lower=False)
     assert len(set(span_names(words.data, words.starts, words.ends).tolist())) == 4
     other = find_words(pa.array(["x " + " ".join(reversed(texts))]), NOT_SPACE, lower=False)
@@ -136,7 +130,7 @@ def random_texts(count, seed):
 def test_bpe_against_the_library(name):
     """Whole texts, also where words of different bytes have one name; the words of token files are encoded alike."""
     library = Tokenizer.from_file(PATH)
-    texts = [*random_texts(1500, 12), thue_morse(10), thue_morse(10).translate(str.maketrans("ab", "ba")), None, ""]
+    texts = [*random_texts(1500, 12), thue_morse(10), thue_morse(10, "b"), None, ""]
     for encoder in (bpe.Encoder(PATH, room=3000, name=name), bpe.Encoder(PATH, vocabulary=token_files.LibraryWords(PATH), name=name)):
         for lo in range(0, len(texts), 200):
             ids, counts = encoder.encode(pa.array(texts[lo : lo + 200], pa.string()))
@@ -150,7 +144,7 @@ def test_bpe_against_the_library(name):
 def test_bpe_and_token_files(spark, edge_documents, edge_rows, tmp_path):
     """Repeated rows, null ids, ties of ids, clashing columns; digests of both queries; stripes that a filter skips."""
     library = Tokenizer.from_file(PATH)
-    rows = [*[r[:2] for r in edge_rows], (1000, "a<|endoftext|>b<|endof"), (1000, "can't  I'm\n\n x"), (1000, "can't  I'm\n\n x"), (1001, "é" * 300), (None, "\x00١²"), (1002, thue_morse(10)), (1003, thue_morse(10).translate(str.maketrans("ab", "ba")))]
+    rows = [*[r[:2] for r in edge_rows], (1000, "a<|endoftext|>b<|endof"), (1000, "can't  I'm\n\n x"), (1000, "can't  I'm\n\n x"), (1001, "é" * 300), (None, "\x00١²"), (1002, thue_morse(10)), (1003, thue_morse(10, "b"))]
     docs = spark.createDataFrame([(i, t, [1], "x", 5) for i, t in rows], "doc_id long, text string, ids array<int>, n_tokens string, part int").repartition(3)
     encoded = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in rows}
     key = lambda x: sorted(x, key=str)

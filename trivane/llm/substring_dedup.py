@@ -1,289 +1,252 @@
 """Removal of word sequences that another document has before, found by recompression.
 
-Every text becomes a sequence of symbols, at first its words. Rounds name runs of one symbol and then pairs of
-a left-hand and a right-hand symbol, where the side of a symbol is a bit of its name. A name is a hash of
-what it stands for, so all tasks give equal sequences equal names without asking one another, and a long repeat
-has the same symbols inside wherever it stands: only symbols at its borders depend on what is around. For each
-symbol the words are known that decided it. A window of words that contains all of these for some symbol
-therefore has that symbol in every document.
-
-1. Reveal. Of the symbols inside each window the one with the smallest name stands for the window (the whole
-   window where there is none), so a few names for each dozen words are exchanged. Names of several documents
-   are kept.
-2. Verify. Only windows whose symbol is kept are exchanged, by a name of all their words, and each is held against
-   the smallest document that has it.
-
-Both exchanges are of packed arrays by hash bucket, so a passage that very many documents share is spread
-over as many buckets as it has windows.
+Every text becomes a sequence of symbols. Spark rounds name them for all documents at once (``blocks``): the first
+round names runs of one word, each further one names pairs of a left-hand and a right-hand symbol, where the side of
+a symbol is a bit of its name. A name is a number that the round's bucket gives to a key that several documents
+have; what only one document has gets none. As names are the same everywhere, a long repeat has the same symbols
+inside wherever it stands: only symbols at its borders depend on what is around. For each symbol the words are known
+that decided it.
+
+1. Reveal. A window of words that contains all that decided a symbol without a name cannot stand in another
+   document. So after each round fewer windows are left, and only pairs inside these are asked for.
+2. Verify. The windows that are left are exchanged by names of 128 bits of their words, and each is held against the
+   smallest document that has it.
+
+A round handles a key once for each block of documents, so a passage that very many documents share costs no more
+than one that each block has once.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.exchange import by_bucket, joined, squeeze, unsqueeze
-from trivane.llm.words import NOT_SPACE, Words, find_words, mix, phrase_names, span_names, text_slices
-from trivane.llm.workspace import NO_ID, bucket_count, keyed, ship
+from trivane.llm import blocks as B
+from trivane.llm.words import NOT_SPACE, Words, find_words, mix, phrase_names, span_names
+from trivane.llm.workspace import NO_ID, bucket_count, materialise, ship
 
-WINDOW, ROUNDS = 13, 3
+WINDOW, ROUNDS = 13, 2
 _FAR = 1 << 40
+_STEP = np.uint64(0x9FB21C651E98DF25)
 
 
 class Symbols:
-    """Symbols of all documents of a slice: names, words ``lo`` to ``hi``, and words ``left`` to ``right`` that decide them."""
+    """Symbols of a block: names (0: none), words ``lo`` to ``hi``, and words ``left`` to ``right`` that decide them."""
 
-    def __init__(self, names: np.ndarray, words: Words):
-        n = len(names)
-        self.names, self.lo, self.hi = names, np.arange(n), np.arange(1, n + 1)
+    def __init__(self, words: Words):
+        self.words = words
+        n = len(words.starts)
+        self.names, self.lo, self.hi = np.zeros(n, np.uint64), np.arange(n), np.arange(1, n + 1)
         self.left, self.right = self.lo.copy(), self.hi.copy()
         self.first = np.zeros(n, bool)  # of its document
         self.first[words.first[:-1][words.counts > 0]] = True
+        self.alive = words.room < 0
 
     def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """How far left and right one must see to know the neighbours; beyond a document nothing is known."""
-        before = np.concatenate([[-_FAR], self.left[:-1]]) if len(self.names) else self.left
-        after = np.concatenate([self.right[1:], [_FAR]]) if len(self.names) else self.right
-        before = np.where(self.first, -_FAR, before)
-        after = np.where(np.concatenate([self.first[1:], [True]]) if len(self.names) else self.first, _FAR, after)
-        return before, after
+        before = np.concatenate([[-_FAR], self.left[:-1]])
+        after = np.concatenate([self.right[1:], [_FAR]])
+        return np.where(self.first, -_FAR, before), np.where(np.concatenate([self.first[1:], [True]]), _FAR, after)
 
-    def _merge(self, start: np.ndarray, names: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    def _merge(self, start: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(start)
         self.hi = np.append(self.lo[at[1:]], self.hi[-1:])
-        self.lo, self.names = self.lo[at], names
+        self.lo, self.names = self.lo[at], self.names[at]
         self.left, self.right = np.minimum.reduceat(left, at), np.maximum.reduceat(right, at)
         self.first = self.first[at]
+        return at
 
-    def name_runs(self, level: int) -> None:
-        """Runs of one symbol become one; to be sure of its length one must see both neighbours."""
-        if not len(self.names):
-            return
-        start = np.concatenate([[True], self.names[1:] != self.names[:-1]]) | self.first
-        at = np.flatnonzero(start)
-        length = np.diff(np.append(at, len(start))).astype(np.uint64)
-        names = np.where(length > 1, mix(self.names[at] + length * np.uint64(0x9FB21C651E98DF25) + np.uint64(level)), self.names[at])
+    def run_keys(self, names: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of one word become one symbol; their keys. To be sure of a run's length one must see both neighbours."""
+        start = np.ones(len(names), bool)
+        start[1:] = (names[1:] != names[:-1]) | (second[1:] != second[:-1]) | self.first[1:]
         before, after = self._neighbours()
-        self._merge(start, names, np.minimum(self.left, before), np.maximum(self.right, after))
+        at = self._merge(start, np.minimum(self.left, before), np.maximum(self.right, after))
+        more = np.diff(np.append(at, len(start))).astype(np.uint64) - np.uint64(1)
+        return names[at] + more * _STEP, second[at] ^ mix(more) * (more > 0)
+
+    def pair_keys(self, level: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each left-hand symbol and the right-hand symbol after it become one; others must see the one they face.
 
-    def name_pairs(self, level: int) -> None:
-        """Each left-hand symbol and the right-hand symbol after it become one; others must see the one they face."""
+        Returns the pairs inside windows that are left (their indices among the symbols) and their keys; the names
+        of all pairs become 0 until they are given.
+        """
         if not len(self.names):
-            return
+            return np.zeros(0, np.int64), self.names, self.names
         side = mix(self.names ^ np.uint64(0x51_7C_C1_B7 * (level + 1))) & np.uint64(1)  # 0: left-hand
         joins = np.zeros(len(side), bool)
-        joins[1:] = (side[:-1] == 0) & (side[1:] == 1) & ~self.first[1:]
-        start = ~joins
-        at = np.flatnonzero(start)
-        pair = np.append(at[1:], len(side)) - at == 2
-        names = self.names[at]
-        names[pair] = mix(mix(names[pair] + np.uint64(level)) * np.uint64(3) + self.names[at[pair] + 1])
+        joins[1:] = (side[:-1] == 0) & (side[1:] == 1) & ~self.first[1:] & (self.names[:-1] > 0) & (self.names[1:] > 0)
         before, after = self._neighbours()
         alone = ~joins & ~np.concatenate([joins[1:], [False]])
         left = np.where(alone & (side == 1), np.minimum(self.left, before), self.left)
         right = np.where(alone & (side == 0), np.maximum(self.right, after), self.right)
-        self._merge(start, names, left, right)
-
-
-def recompress(names: np.ndarray, words: Words, rounds: int = ROUNDS) -> Symbols:
-    symbols = Symbols(names, words)
-    symbols.name_runs(0)
-    for level in range(1, rounds + 1):
-        symbols.name_pairs(level)
-    return symbols
-
-
-def signs(names: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows' first words, and for each the place and name of what stands for it.
-
-    A place is a symbol's, or that of a window itself behind all symbols.
+        a, b = self.names, np.concatenate([self.names[1:], [np.uint64(0)]])
+        at = self._merge(~joins, left, right)
+        pair = np.diff(np.append(at, len(joins))) == 2
+        self.names[pair] = 0
+        count = np.concatenate([[0], np.cumsum(self.alive)])
+        lo, hi = np.maximum(self.right - window, 0), self.left + 1
+        inside = pair & (self.left >= 0) & (self.right <= len(self.alive)) & (hi > lo)
+        asked = np.flatnonzero(inside)
+        asked = asked[count[hi[asked]] > count[lo[asked]]]
+        return asked, a[at[asked]], b[at[asked]]
+
+    def prune(self, window: int) -> None:
+        """Windows that contain what decided a symbol without a name are no longer left."""
+        dead = (self.names == 0) & (self.left >= 0) & (self.right <= len(self.alive)) & (self.right - self.left <= window)
+        cover = np.zeros(len(self.alive) + 1, np.int64)
+        np.add.at(cover, np.maximum(self.right[dead] - window, 0), 1)
+        np.add.at(cover, self.left[dead] + 1, -1)
+        self.alive &= np.cumsum(cover[:-1]) == 0
+
+
+def _names_of(held: bytes) -> np.ndarray:
+    """An answer of a naming round: names in key order, 0 for keys that only one document has."""
+    n = int.from_bytes(held[:4], "little")
+    plain = zstandard.ZstdDecompressor().decompress(held[4:])
+    size = (n + 7) // 8
+    shared = np.unpackbits(np.frombuffer(plain[:size], np.uint8), count=n).astype(bool)
+    out = np.zeros(n, np.uint64)
+    out[shared] = np.cumsum(np.frombuffer(plain[size:], np.uint64))
+    return out
+
+
+def _packed_names(names: np.ndarray) -> bytes:
+    shared = names > 0
+    steps = np.diff(names[shared], prepend=np.uint64(0))
+    return len(names).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.packbits(shared).tobytes() + steps.tobytes())
+
+
+def _played(row: dict, answers: list[dict], levels: int, window: int, further: bool = True):
+    """The block's texts, and its symbols after the answered ``levels``; with ``further`` the keys of the next round.
+
+    Returns (texts, words, word names of two salts, symbols, keys or None).
     """
-    starts = np.flatnonzero(words.room >= window)
-    symbols = recompress(names, words)
-    inside = np.flatnonzero((symbols.left >= 0) & (symbols.right <= len(names)))
-    left, right = symbols.left[inside], symbols.right[inside]
-    order = np.argsort(left, kind="stable")
-    inside, left, right = inside[order], left[order], right[order]
-    decided = mix(phrase_names(names, left, right) + symbols.names[inside])  # the symbol and the words that decide it
-    lo = np.searchsorted(left, starts, side="left")
-    best, place = np.full(len(starts), np.iinfo(np.uint64).max, np.uint64), np.full(len(starts), -1, np.int64)
-    open_ = np.arange(len(starts))
-    for step in range(window):  # symbols in the window begin to be decided at one of its words
-        at = lo[open_] + step
-        more = at < len(left)
-        open_, at = open_[more], at[more]
-        more = left[at] < starts[open_] + window
-        open_, at = open_[more], at[more]
-        if not len(open_):
-            break
-        name = decided[at]
-        better = (right[at] <= starts[open_] + window) & ((name < best[open_]) | (place[open_] < 0))
-        best[open_[better]], place[open_[better]] = name[better], at[better]
-    none = np.flatnonzero(place < 0)
-    best[none] = phrase_names(names, starts[none], starts[none] + window)
-    place[none] = len(left) + none
-    return starts, place, best
-
-
-_PACKED = "bucket int, names binary, ids binary, tags binary, places binary"
-_PACKED_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("names", "ids", "tags", "places")])
-_REPLY = "bucket int, ids binary, tags binary, places binary"
-_REPLY_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("ids", "tags", "places")])
-_PLACES = pa.schema([("_id", pa.int64()), ("_tag", pa.int64()), ("places", pa.binary())])
-
-
-class Packer:
-    """Gathers names with their document and place, and gives packed rows of all buckets when there are enough."""
-
-    def __init__(self, buckets: int, room: int = 1 << 20):
-        self.buckets, self.room, self.held, self.size = buckets, room, [], 0
-
-    def add(self, names, ids, tags, places) -> Iterator[pa.RecordBatch]:
-        self.held.append((names, ids, tags, places))
-        self.size += len(names)
-        if self.size > self.room:
-            yield from self.rows()
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            names, ids, tags, places = (np.concatenate(x) for x in zip(*self.held))
-            order, parts = by_bucket(names, self.buckets)
-            names, ids, tags, places = names[order], ids[order], tags[order], places[order]
-            columns = [[b for b, _, _ in parts], [names[lo:hi].tobytes() for _, lo, hi in parts]]
-            columns += [[squeeze(x[lo:hi]) for _, lo, hi in parts] for x in (ids, tags, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED_SCHEMA)], schema=_PACKED_SCHEMA)
-        self.held, self.size = [], 0
-
-
-def _slices(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for piece in text_slices(batch):
-            words = find_words(piece.column("text"), NOT_SPACE, lower=False)
-            names = span_names(words.data, words.starts, words.ends)
-            ids, tags = (piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "tag"))
-            yield piece, words, names, ids, tags
-
-
-def _reveal(buckets: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to the distinct names that stand for their windows; places count these within a document."""
-    packer = Packer(buckets)
-    for _, words, names, ids, tags in _slices(batches):
-        starts, place, name = signs(names, words, window)
-        if not len(starts):
-            continue
-        _, first = np.unique(place, return_index=True)
-        first.sort()
-        document = np.searchsorted(words.first, starts[first], side="right") - 1
-        begin = np.searchsorted(document, np.arange(len(ids)))
-        yield from packer.add(name[first], ids[document], tags[document], np.arange(len(first)) - begin[document])
-    yield from packer.rows()
-
-
-def _verify(buckets: int, window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and the places revealed in them to the names of all words of their candidate windows."""
-    packer = Packer(buckets)
-    for piece, words, names, ids, tags in _slices(batch.filter(batch.column("revealed").is_valid()) for batch in batches):
-        revealed = piece.column("revealed")
-        starts, place, _ = signs(names, words, window)
-        _, first, sign = np.unique(place, return_index=True, return_inverse=True)
-        order = np.argsort(first, kind="stable")
-        turn = np.empty_like(order)
-        turn[order] = np.arange(len(order))
-        document = np.searchsorted(words.first, starts[first[order]], side="right") - 1
-        begin = np.searchsorted(document, np.arange(len(ids)))
-        kept = np.zeros(len(order), bool)
-        for d, held in enumerate(revealed.to_pylist()):
-            if held is not None:
-                kept[begin[d] + unsqueeze(held)] = True
-        chosen = starts[kept[turn[sign]]]
-        document = np.searchsorted(words.first, chosen, side="right") - 1
-        yield from packer.add(phrase_names(names, chosen, chosen + window), ids[document], tags[document], chosen - words.first[document])
-    yield from packer.rows()
-
-
-def _match(rule: str, buckets: int, table: pa.Table) -> pa.Table:
-    """The names of a bucket to the places whose name another (or a smaller) document has, packed by bucket of documents."""
-    names = joined(table.column("names").to_pylist(), np.uint64)
-    ids, tags, places = (np.concatenate([unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("ids", "tags", "places"))
-    order = np.argsort(names)
-    names, own = names[order], ids[order]
-    cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    sizes = np.diff(np.append(cuts, len(names)))
-    least = np.repeat(np.minimum.reduceat(own, cuts), sizes)
-    hit = own > least if rule == "smaller" else np.repeat(np.maximum.reduceat(own, cuts), sizes) != least
-    hit = np.sort(order[hit])
-    ids, tags, places = ids[hit], tags[hit], places[hit]
-    order, parts = by_bucket(mix(ids.astype(np.uint64)), buckets)
-    columns = [[b for b, _, _ in parts]] + [[squeeze(x[order[lo:hi]]) for _, lo, hi in parts] for x in (ids, tags, places)]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REPLY_SCHEMA)], schema=_REPLY_SCHEMA)
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    """The replies of a bucket of documents to one row of ascending places for each document."""
-    ids, tags, places = (np.concatenate([unsqueeze(x) for x in table.column(c).to_pylist()]) for c in ("ids", "tags", "places"))
-    order = np.lexsort((places, tags, ids))
-    ids, tags, places = ids[order], tags[order], places[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-    packed = [squeeze(places[lo:hi]) for lo, hi in zip(cuts, np.append(cuts[1:], len(ids)))]
-    return pa.Table.from_arrays([pa.array(ids[cuts]), pa.array(tags[cuts]), pa.array(packed, pa.binary())], schema=_PLACES)
-
-
-def _removed(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece, words, _, ids, _ in _slices(batches):
-        cover = np.zeros(len(words.starts) + 1, np.int64)
-        for d, held in enumerate(piece.column("repeated").to_pylist()):
-            if held is not None:
-                at = words.first[d] + unsqueeze(held)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        raw = words.data.tobytes()
-        kept = []
-        starts, ends = words.starts.tolist(), words.ends.tolist()
-        for lo, hi in zip(words.first, words.first[1:]):
-            kept.append(b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(~gone[lo:hi]) + lo).tolist()]).decode())
-        total = np.concatenate([[0], np.cumsum(gone)])
-        yield pa.RecordBatch.from_arrays(
-            [piece.column("id"), pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), pa.array(kept, pa.string())],
-            ["id", "n_words", "n_removed", "kept"],
-        )
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    texts = B.Texts(row)
+    words = find_words(texts.column, NOT_SPACE, lower=False)
+    names = [span_names(words.data, words.starts, words.ends, salt) for salt in (0, 1)]
+    symbols = Symbols(words)
+    symbols.alive = words.room >= window
+    if not len(words.starts):
+        return texts, words, names, symbols, None
+    known = texts.ids[words.document] != NO_ID  # a document without an id is compared with none
+    symbols.alive &= known
+    keys = None
+    for level in range(levels + further):
+        if level == 0:
+            asked = slice(None)
+            keys = B.Keys(*symbols.run_keys(*names))
+        else:
+            asked, a, b = symbols.pair_keys(level, window)
+            keys = B.Keys(a, b)
+        symbols.owner = np.searchsorted(words.first, symbols.lo[asked], side="right")
+        if level < levels:
+            given = [_names_of(x) for x in B.answers_of(answers, level)]
+            symbols.names[asked] = (np.concatenate(given) if given else np.zeros(0, np.uint64))[keys.place]
+            symbols.prune(window)
+    return texts, words, names, symbols, keys
+
+
+def _ask(level: int, buckets: int, window: int, row: dict, answers: list[dict]) -> pa.Table:
+    """The keys of a round, and of each whether several documents of the block have it."""
+    _, _, _, symbols, keys = _played(row, answers, level, window)
+    if keys is None:
+        return B.Keys(np.zeros(0, np.uint64), np.zeros(0, np.uint64)).questions(0, buckets, B.pack_whole, None)
+    several = keys.reduced(np.minimum, symbols.owner) != keys.reduced(np.maximum, symbols.owner)
+    return keys.questions(row["block"], buckets, B.pack_small if level else B.pack_whole, lambda lo, hi: np.packbits(several[lo:hi]).tobytes())
+
+
+def _name(level: int, levels: int, buckets: int, table: pa.Table) -> pa.Table:
+    """Names for the keys of a bucket that several documents have: numbers that no other bucket or level gives."""
+    rows = table.to_pylist()
+    held = [(B.unpack_small if level else B.unpack_whole)(r["keys"]) for r in rows]
+    sizes = [len(a) for a, _ in held]
+    several = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=n) for r, n in zip(rows, sizes)])
+    keys = B.Keys(*(np.concatenate(x) for x in zip(*held)))
+    shared = keys.reduced(np.add, 1 + several.astype(np.int64)) > 1
+    names = np.zeros(len(shared), np.uint64)
+    bucket = rows[0]["bucket"]
+    names[shared] = 1 + level + levels * (bucket + buckets * np.arange(shared.sum(), dtype=np.uint64))
+    ends = np.cumsum(sizes)
+    out = [(r["block"], bucket, level, _packed_names(names[keys.place[hi - n : hi]])) for r, n, hi in zip(rows, sizes, ends)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), B.ANSWERS)], schema=B.ANSWERS)
+
+
+def _windows(row: dict, answers: list[dict], levels: int, window: int):
+    """(texts, words, first words of the windows that are left, their documents, their keys)."""
+    texts, words, names, symbols, _ = _played(row, [r for r in answers if r["level"] < levels], levels, window, False)
+    at = np.flatnonzero(symbols.alive)
+    document = np.searchsorted(words.first, at, side="right") - 1
+    return texts, words, at, document, B.Keys(*(phrase_names(names[salt], at, at + window, salt) for salt in (0, 1)))
+
+
+def _ask_windows(levels: int, buckets: int, window: int, row: dict, answers: list[dict]) -> pa.Table:
+    """The windows that are left, and the smallest document of the block that has each."""
+    texts, _, _, document, keys = _windows(row, answers, levels, window)
+    least = keys.reduced(np.minimum, texts.ids[document])
+    return keys.questions(row["block"], buckets, B.pack_whole, lambda lo, hi: B.squeeze_planes(least[lo:hi]))
+
+
+def _least(levels: int, table: pa.Table) -> pa.Table:
+    """The smallest document of all that has each window."""
+    rows = table.to_pylist()
+    held = [B.unpack_whole(r["keys"]) for r in rows]
+    keys = B.Keys(*(np.concatenate(x) for x in zip(*held)))
+    least = keys.reduced(np.minimum, np.concatenate([B.unsqueeze_planes(r["more"], np.int64) for r in rows]))[keys.place]
+    ends = np.cumsum([len(a) for a, _ in held])
+    out = [(r["block"], r["bucket"], levels, B.squeeze_planes(least[hi - len(a) : hi])) for r, (a, _), hi in zip(rows, held, ends)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), B.ANSWERS)], schema=B.ANSWERS)
+
+
+_KEPT = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def _removed(levels: int, window: int, row: dict, answers: list[dict]) -> pa.Table:
+    texts, words, at, document, keys = _windows(row, answers, levels, window)
+    given = [B.unsqueeze_planes(x, np.int64) for x in B.answers_of(answers, levels)]
+    least = (np.concatenate(given) if given else np.zeros(0, np.int64))[keys.place]
+    at = at[texts.ids[document] > least]
+    cover = np.zeros(len(words.starts) + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + window, -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    raw, kept = words.data.tobytes(), []
+    starts, ends = words.starts.tolist(), words.ends.tolist()
+    for lo, hi in zip(words.first, words.first[1:]):
+        kept.append(b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(~gone[lo:hi]) + lo).tolist()]).decode())
+    total = np.concatenate([[0], np.cumsum(gone)])
+    ids = pa.array(texts.ids, mask=texts.ids == NO_ID)
+    return pa.table([ids, pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces, for every row of ``docs``.
 
     A word goes if it is in a window of ``window`` words of its document that a document with a smaller doc_id
     has too. Windows are judged on the input. Null and empty texts have no words. Rows of one doc_id are
     not smaller than one another. A row with a null doc_id is compared with none and stays whole. Only doc_id
-    and text are read. Equal windows are known by 64-bit names within a bucket of the name space.
+    and text are read. Words and windows are known by names of 128 bits, symbols by numbers that Spark gives out.
 
-    The texts are shuffled once, by document, and that shuffle serves both joins.
+    Each round and the blocks are written to the shared folder; the rounds are jobs of their own, and what is
+    returned is read once more from these files, which are left there.
     """
     ship(docs.sparkSession)
     buckets = bucket_count(docs)
-    replies_in = max(1, buckets // 4)  # replies are a few bits for each name, so fewer buckets hold them
-    rows = keyed(docs)
-    known = rows.filter(F.col("id") != NO_ID)
-
-    def matched(packed: DataFrame, rule: str, name: str) -> DataFrame:
-        replies = packed.groupBy("bucket").applyInArrow(lambda table: _match(rule, replies_in, table), _REPLY)
-        found = replies.groupBy("bucket").applyInArrow(lambda table: _by_document(table), "_id long, _tag long, places binary")
-        return found.withColumnRenamed("places", name)
-
-    def beside(replies: DataFrame) -> DataFrame:
-        return rows.join(replies, (F.col("id") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left").drop("_id", "_tag")
-
-    revealed = matched(known.mapInArrow(partial(_reveal, buckets, window), _PACKED), "another", "revealed")
-    candidates = beside(revealed).mapInArrow(partial(_verify, buckets, window), _PACKED)
-    repeated = matched(candidates, "smaller", "repeated")
-    out = beside(repeated).mapInArrow(partial(_removed, window), "id long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
+    blocks = B.packed(docs)
+    levels = rounds + 1
+    answers = None
+    for level in range(levels):
+        asked = B.with_answers(blocks, answers, partial(_ask, level, buckets, window), B.ASKED)
+        named = materialise(B.answered(asked, partial(_name, level, levels, buckets)), "names")
+        answers = named if answers is None else answers.unionByName(named)
+    asked = B.with_answers(blocks, answers, partial(_ask_windows, levels, buckets, window), B.ASKED)
+    least = materialise(B.answered(asked, partial(_least, levels)), "least")
+    return B.with_answers(blocks, answers.unionByName(least), partial(_removed, levels, window), _KEPT)
 
 
 def digest(kept: DataFrame) -> DataFrame:
