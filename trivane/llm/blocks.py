@@ -28,7 +28,7 @@ PACKED = "block long, ids binary, flags binary, sizes binary, texts binary"
 _PACKED = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "flags", "sizes", "texts")])
 #: A question: the keys of a block in a bucket. An answer goes back as (block, bucket, level, answers).
 ASKED = "bucket int, block long, keys binary, more binary"
-_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
+ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary())])
 ANSWER = "block long, bucket int, level int, answers binary"
 ANSWERS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("answers", pa.binary())])
 
@@ -106,7 +106,7 @@ class Keys:
     def questions(self, block: int, buckets: int, pack, more) -> pa.Table:
         """Rows of ASKED: ``pack`` makes bytes of the keys of a bucket, ``more`` of a range of the distinct keys."""
         rows = [(b, block, pack(self.a[lo:hi], self.b[lo:hi]), more(lo, hi)) for b, lo, hi in by_bucket(self.spread, buckets)[1]]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, _ASKED)], schema=_ASKED)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, ASKED_SCHEMA)], schema=ASKED_SCHEMA)
 
 
 def pack_small(a: np.ndarray, b: np.ndarray) -> bytes:

@@ -8,35 +8,37 @@ its own entries and built in its own task.
 P(w | h) = weight * c(hw) / c(h) + (1 - weight) * (c(w) + 1) / (N + V + 1), counts read from the filter;
 without c(h) only the second part. The score of a text is the sum of log10 P over its words and its end.
 
-Beside it stands the exact add-one unigram score (``base_score``). Its counts are exact: a bounded table of
-frequent words is broadcast, and all other words meet their counts in a hash exchange.
+Blocks of documents (``blocks``) send each n-gram once with its count in training. The buckets build the shards
+and answer with the exact counts of words, of which the add-one unigram score (``base_score``) is made. Once its
+size is known, a filter up to a bound is broadcast. A larger one is not: then the buckets answer the same
+questions by the same probes where the shards are, so that nothing of it passes through the driver or meets in
+one task, and the scores are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.exchange import bucket_of, by_bucket, joined, squeeze, unsqueeze
-from trivane.llm.words import NOT_SPACE, find_words, mix, span_names, text_slices
-from trivane.llm.workspace import NO_ID, bucket_count, keyed, materialise, ship
+from trivane.llm import blocks as B
+from trivane.llm.exchange import bucket_of, by_bucket
+from trivane.llm.words import NOT_SPACE, find_words, mix, span_names
+from trivane.llm.workspace import NO_ID, bucket_count, materialise, ship
 
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-#: Frequent words whose exact counts are broadcast (16 bytes each); all others are exchanged.
-HEAD_WORDS = 1 << 18
-#: A filter beyond this is not broadcast whole: groups of shards below it are, one after the other.
+#: A filter of this size at most is broadcast.
 MAX_FILTER_BYTES = 192 << 20
 #: Bits and hash functions for each entry of the filter: about 1.2 % false answers for one question.
 BITS, HASHES = 10, 4
-#: Word pairs seen less often are left out of the filter, as is usual for n-gram models.
-MIN_PAIR_COUNT = 2
 PAIR_WEIGHT = 0.4
+#: Answers of words' exact counts, and of all levels.
+COUNTS, LEVELS = 1, 2
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,16 +55,6 @@ def pairs_of(tokens: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + mix(tokens))
 
 
-def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names in ascending order with the sums of their counts."""
-    if not len(names):
-        return names, counts
-    order = np.argsort(names, kind="stable")
-    names, counts = names[order], counts[order]
-    cuts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-    return names[cuts], np.add.reduceat(counts, cuts)
-
-
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return (1 + np.floor(np.log2(counts))).astype(np.int64)
 
@@ -76,10 +68,10 @@ def _bit_places(names: np.ndarray, level: int, sizes: np.ndarray, i: int) -> np.
     return ((key >> np.uint64(32)) + np.uint64(i) * ((key & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % sizes
 
 
-def build_shard(names: np.ndarray, counts: np.ndarray) -> bytes:
+def build_shard(names: np.ndarray, counts: np.ndarray, bits: int = BITS) -> bytes:
     """The bits of a shard that holds every name at all levels up to that of its count."""
     levels = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
-    size = np.uint64(max(64, (int(levels.sum()) * BITS + 63) // 64 * 64))
+    size = np.uint64(max(64, (int(levels.sum()) * bits + 63) // 64 * 64))
     flags = np.zeros(int(size), bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         held = names[levels >= level]
@@ -89,21 +81,18 @@ def build_shard(names: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class LogBloom:
-    """Shards ``lo`` to ``hi`` of a filter of ``buckets`` shards; names of other shards have level 0."""
+    """A filter of shards, of which those of buckets ``lo`` and on are held."""
 
-    def __init__(self, buckets: int, lo: int, shards: list[bytes]):
-        self.buckets, self.lo, self.hi = buckets, lo, lo + len(shards)
+    def __init__(self, buckets: int, shards: list[bytes], lo: int = 0):
+        self.buckets, self.lo = buckets, lo
         self.bits = np.frombuffer(b"".join(shards), np.uint8)
         self.sizes = np.array([8 * len(x) for x in shards], np.uint64)
         self.first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.sizes)])
 
     def levels(self, names: np.ndarray) -> np.ndarray:
         """The level of each name by repeated membership probes."""
-        shard = bucket_of(names, self.buckets)
-        found = np.zeros(len(names), np.uint8)
-        active = np.flatnonzero((shard >= self.lo) & (shard < self.hi))
-        shard = shard - self.lo
-        level = 0
+        shard = bucket_of(names, self.buckets) - self.lo
+        found, active, level = np.zeros(len(names), np.uint8), np.arange(len(names)), 0
         while len(active):
             level += 1
             for i in range(HASHES):
@@ -115,75 +104,6 @@ class LogBloom:
         return found
 
 
-def _count_blocks(buckets: int, room: int = 1 << 21):
-    """Texts to packed (bucket, order, names, counts), equal names of a block summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: []}
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            out = []
-            for order, parts in held.items():
-                names, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                for b, lo, hi in by_bucket(names, buckets)[1]:  # sorted names are in the order of their buckets
-                    out.append((b, order, names[lo:hi].tobytes(), squeeze(counts[lo:hi])))
-                parts.clear()
-            columns = list(zip(*out))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())],
-                ["bucket", "order", "names", "counts"],
-            )
-
-        for batch in batches:
-            for piece in text_slices(batch):
-                tokens, _ = tokens_of(piece.column("text"))
-                for order, names in ((1, tokens), (2, pairs_of(tokens))):
-                    held[order].append(np.unique(names, return_counts=True))
-                    size += len(held[order][-1][0])
-                if size > room:
-                    yield rows()
-                    size = 0
-        if size:
-            yield rows()
-
-    return run
-
-
-def _build(table: pa.Table) -> pa.Table:
-    by_order = {}
-    for order in (1, 2):
-        part = table.filter(pa.compute.equal(table.column("order"), order))
-        parts = [unsqueeze(x) for x in part.column("counts").to_pylist()]
-        by_order[order] = summed(joined(part.column("names").to_pylist(), np.uint64), np.concatenate(parts) if parts else np.zeros(0, np.int64))
-    (names, counts), (pairs, pair_counts) = by_order[1], by_order[2]
-    often = pair_counts >= MIN_PAIR_COUNT
-    bits = build_shard(np.concatenate([names, pairs[often]]), np.concatenate([counts, pair_counts[often]]))
-    row = {"bucket": [table.column("bucket")[0].as_py()], "bits": [bits], "names": [names.tobytes()], "counts": [counts.astype(np.int64).tobytes()], "total": [int(counts.sum())], "distinct": [len(names)]}
-    return pa.table(row, schema=pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
-
-
-def train(docs: DataFrame, buckets: int) -> DataFrame:
-    """The model of all texts: for each bucket of names a filter shard, exact word counts and their totals."""
-    blocks = docs.select("text").mapInArrow(_count_blocks(buckets), "bucket int, order int, names binary, counts binary")
-    built = blocks.groupBy("bucket").applyInArrow(_build, "bucket int, bits binary, names binary, counts binary, total long, distinct long")
-    return materialise(built, "lm")
-
-
-_HEAD_SCHEMA = pa.schema([("names", pa.binary()), ("counts", pa.binary())])
-
-
-def _frequent(share: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, counts in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist()):
-                names, counts = np.frombuffer(names, np.uint64), np.frombuffer(counts, np.int64)
-                top = np.sort(np.argsort(-counts, kind="stable")[:share])
-                yield pa.RecordBatch.from_arrays([pa.array([names[top].tobytes()], pa.binary()), pa.array([counts[top].tobytes()], pa.binary())], schema=_HEAD_SCHEMA)
-
-    return run
-
-
 def pair_log_probability(tokens: np.ndarray, words: np.ndarray, pairs: np.ndarray, total: int, distinct: int) -> np.ndarray:
     """log10 P of each token from the levels of words and pairs; END's level stands before the first token."""
     count, pair = LEVEL_COUNT[words], LEVEL_COUNT[pairs]
@@ -194,208 +114,119 @@ def pair_log_probability(tokens: np.ndarray, words: np.ndarray, pairs: np.ndarra
     return np.log10(np.where(before > 0, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * alone, alone))
 
 
-def _levels(bloom: LogBloom, names: np.ndarray) -> np.ndarray:
-    distinct, place = np.unique(names, return_inverse=True)
-    return bloom.levels(distinct)[place]
-
-
-def _lookup(names: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Counts of names from ascending ``known``; 0 for others."""
-    if not len(known):
-        return np.zeros(len(names), np.int64)
-    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-    return np.where(known[at] == names, counts[at], 0)
-
-
-#: Packed rows: kind 0 word counts of a bucket, kind 1 words to look up, kind 2 sums of documents.
-_ROWS = "bucket int, kind int, names binary, ids binary, tags binary, uses binary, known binary, sums binary, scores binary, copies binary"
-_ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32())] + [(x, pa.binary()) for x in ("names", "ids", "tags", "uses", "known", "sums", "scores", "copies")])
-
-
-def _document_rows(buckets: int, ids, tags, uses, known, sums, scores, copies) -> list[dict]:
-    order, parts = by_bucket(mix(ids.astype(np.uint64)), buckets)
-    ids, tags, uses, known, sums, scores, copies = (x[order] for x in (ids, tags, uses, known, sums, scores, copies))
-    return [
-        {"bucket": b, "kind": 2, "names": None, "ids": squeeze(ids[lo:hi]), "tags": squeeze(tags[lo:hi]), "uses": squeeze(uses[lo:hi]), "known": squeeze(known[lo:hi]), "sums": sums[lo:hi].tobytes(), "scores": scores[lo:hi].tobytes(), "copies": squeeze(copies[lo:hi])}
-        for b, lo, hi in parts
-    ]
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema=_ROW_SCHEMA)
-
-
-def _score_blocks(buckets: int, head, bloom, total: int, distinct: int, room: int = 1 << 20):
-    """Texts to packed rows: sums over frequent words, the filter's score, and all other words to look up.
-
-    ``head`` and ``bloom`` are broadcast; without a filter the scores are 0 and come from elsewhere.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_names, head_counts = head.value
-        filled = bloom.value if bloom is not None else None
-        asked: list[tuple] = []
-        size = 0
-
-        def questions() -> pa.RecordBatch:
-            names, ids, tags, uses = (np.concatenate(x) for x in zip(*asked))
-            order, parts = by_bucket(names, buckets)
-            names, ids, tags, uses = names[order], ids[order], tags[order], uses[order]
-            asked.clear()
-            return _batch([{"bucket": b, "kind": 1, "names": names[lo:hi].tobytes(), "ids": squeeze(ids[lo:hi]), "tags": squeeze(tags[lo:hi]), "uses": squeeze(uses[lo:hi])} for b, lo, hi in parts])
-
-        for batch in batches:
-            answers = []
-            for piece in text_slices(batch):
-                ids, tags = (piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "tag"))
-                tokens, first = tokens_of(piece.column("text"))
-                document = np.repeat(np.arange(len(ids)), np.diff(first))
-                words, place = np.unique(tokens, return_inverse=True)
-                count = _lookup(words, head_names, head_counts)[place]
-                add = lambda values: np.add.reduceat(values, first[:-1]) if len(ids) else np.zeros(0)
-                if filled is not None:
-                    pairs = _levels(filled, pairs_of(tokens))
-                    scores = add(pair_log_probability(tokens, filled.levels(words)[place], pairs, total, distinct))
-                else:
-                    scores = np.zeros(len(ids))
-                answers.append((ids, tags, np.diff(first), add((count > 0).astype(np.int64)), add(np.log10(count + 1.0)), scores, np.ones(len(ids), np.int64)))
-                rest = np.flatnonzero(count == 0)
-                if len(rest):
-                    order = rest[np.lexsort((place[rest], document[rest]))]
-                    new = np.concatenate([[True], (place[order][1:] != place[order][:-1]) | (document[order][1:] != document[order][:-1])])
-                    cuts = np.flatnonzero(new)
-                    held = document[order[cuts]]
-                    asked.append((tokens[order[cuts]], ids[held], tags[held], np.diff(np.append(cuts, len(order)))))
-                    size += len(cuts)
-                if size > room:
-                    yield questions()
-                    size = 0
-            if answers:
-                yield _batch(_document_rows(buckets, *(np.concatenate(x) for x in zip(*answers))))
-        if asked:
-            yield questions()
-
-    return run
-
-
-def _answer(buckets: int):
-    """The words of a bucket meet their exact counts; sums of documents pass through."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [r for r in rows if r["kind"] == 2]
-        known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for r in rows:
-            if r["kind"] == 0:
-                known, counts = np.frombuffer(r["names"], np.uint64), np.frombuffer(r["uses"], np.int64)
-        parts = []
-        for r in rows:
-            if r["kind"] == 1:
-                uses = unsqueeze(r["uses"])
-                count = _lookup(np.frombuffer(r["names"], np.uint64), known, counts)
-                parts.append((unsqueeze(r["ids"]), unsqueeze(r["tags"]), uses * (count > 0), uses * np.log10(count + 1.0)))
-        if parts:
-            ids, tags, found, sums = (np.concatenate(x) for x in zip(*parts))
-            ids, tags, (found, sums) = _by_document(ids, tags, found, sums)
-            zero = np.zeros(len(ids), np.int64)
-            out += _document_rows(buckets, ids, tags, zero, found, sums, np.zeros(len(ids)), zero)
-        return pa.Table.from_pylist(out, schema=_ROW_SCHEMA)
-
-    return run
-
-
-def _by_document(ids, tags, *columns):
-    """Distinct (id, tag) with the sums of the columns."""
-    order = np.lexsort((tags, ids))
-    ids, tags = ids[order], tags[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    return ids[cuts], tags[cuts], [np.add.reduceat(c[order], cuts) if len(cuts) else c for c in columns]
-
-
-_SUMS = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64()), ("copies", pa.int64())])
-
-
-def _sum_documents(table: pa.Table) -> pa.Table:
-    def whole(name: str) -> np.ndarray:
-        return np.concatenate([unsqueeze(x) for x in table.column(name).to_pylist()])
-
-    def real(name: str) -> np.ndarray:
-        return joined(table.column(name).to_pylist(), np.float64)
-
-    ids, _, (uses, known, sums, scores, copies) = _by_document(whole("ids"), whole("tags"), whole("uses"), whole("known"), real("sums"), real("scores"), whole("copies"))
-    return pa.table([pa.array(x) for x in (ids, uses // copies, known // copies, sums / copies, scores / copies, copies)], schema=_SUMS)
-
-
-def _partial_levels(bloom):
-    """Levels of all words and pairs in a group of shards: (id, tag, levels)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in text_slices(batch):
-                tokens, first = tokens_of(piece.column("text"))
-                both = np.stack([_levels(bloom.value, tokens), _levels(bloom.value, pairs_of(tokens))], axis=1)
-                levels = [both[lo:hi].tobytes() for lo, hi in zip(first, first[1:])]
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("tag"), pa.array(levels, pa.binary())], ["id", "tag", "levels"])
-
-    return run
-
-
-def _scores_of_levels(buckets: int, groups: int, total: int, distinct: int):
-    def run(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint8) for x in table.column("levels").to_pylist()]
-        copies = len(parts) // groups
-        both = (np.sum(np.stack(parts), axis=0) // copies).reshape(-1, 2)
-        tokens = np.zeros(len(both), np.uint64)
-        tokens[-1] = END
-        score = pair_log_probability(tokens, both[:, 0], both[:, 1], total, distinct).sum() * copies
-        one = lambda v, kind=np.int64: np.array([v], kind)
-        ids, tags = one(table.column("id")[0].as_py()), one(table.column("tag")[0].as_py())
-        return pa.Table.from_pylist(_document_rows(buckets, ids, tags, one(0), one(0), one(0, np.float64), one(score, np.float64), one(0)), schema=_ROW_SCHEMA)
-
-    return run
-
-
-def score(docs: DataFrame, held_out: Column, max_filter_bytes: int = MAX_FILTER_BYTES, head_words: int = HEAD_WORDS) -> DataFrame:
+class Block:
+    """The n-grams of a block: distinct words and pairs in the order of their names, and where each stands."""
+
+    def __init__(self, row: dict):
+        texts = B.Texts(row)
+        self.ids, self.held_out = texts.ids, texts.flags
+        self.tokens, self.first = tokens_of(texts.column)
+        self.orders = [np.unique(names, return_inverse=True) for names in (self.tokens, pairs_of(self.tokens))]
+
+    def questions(self, block: int, buckets: int) -> pa.Table:
+        """In each bucket the names of words and then of pairs, and how often each stands in training texts."""
+        training = np.repeat(~self.held_out, np.diff(self.first))
+        keys: dict[int, list] = {}
+        for order, (names, place) in enumerate(self.orders):
+            counts = np.bincount(place[training], minlength=len(names)).astype(np.int64)
+            for b, lo, hi in by_bucket(names, buckets)[1]:  # sorted names are in the order of their buckets
+                keys.setdefault(b, [(names[:0], counts[:0])] * 2)[order] = (names[lo:hi], counts[lo:hi])
+        rows = [(b, block, (w[0].tobytes() + p[0].tobytes()), len(w[0]).to_bytes(4, "little") + B.squeeze_planes(np.concatenate([w[1], p[1]]))) for b, (w, p) in keys.items()]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, B.ASKED_SCHEMA)], schema=B.ASKED_SCHEMA)
+
+
+class Asked:
+    """The questions of a bucket: for each its block, its names, how many of them are words, and counts of all."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.names = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+        self.words = [int.from_bytes(r["more"][:4], "little") for r in rows]
+        self.counts = [B.unsqueeze_planes(r["more"][4:], np.int64) for r in rows]
+
+    def summed(self, which) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct names in ascending order with the sums of their counts; ``which`` cuts words or pairs."""
+        names = np.concatenate([which(x, n) for x, n in zip(self.names, self.words)])
+        counts = np.concatenate([which(x, n) for x, n in zip(self.counts, self.words)])
+        names, place = np.unique(names, return_inverse=True)
+        return names, np.bincount(place, counts, len(names)).astype(np.int64)
+
+
+_BUILT = "bucket int, bits binary, total long, distinct long, block long, level int, answers binary"
+_BUILT_SCHEMA = pa.schema([("bucket", pa.int32()), ("bits", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64()), ("block", pa.int64()), ("level", pa.int32()), ("answers", pa.binary())])
+
+
+def _build(bits: int, table: pa.Table) -> pa.Table:
+    """A bucket's questions to its shard, the totals of its words, and exact word counts for each block."""
+    asked = Asked(table.to_pylist())
+    words, counts = asked.summed(lambda x, n: x[:n])
+    pairs, pair_counts = asked.summed(lambda x, n: x[n:])
+    names, held = np.concatenate([words, pairs]), np.concatenate([counts, pair_counts])
+    bucket = asked.rows[0]["bucket"]
+    out = [(bucket, build_shard(names[held > 0], held[held > 0], bits), int(counts.sum()), int((counts > 0).sum()), None, None, None)]
+    for row, own, n in zip(asked.rows, asked.names, asked.words):
+        out.append((bucket, None, None, None, row["block"], COUNTS, B.squeeze_planes(counts[np.searchsorted(words, own[:n])])))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _BUILT_SCHEMA)], schema=_BUILT_SCHEMA)
+
+
+def _probe(buckets: int, table: pa.Table) -> pa.Table:
+    """A bucket's shard and questions to the levels of all names."""
+    rows = table.to_pylist()
+    bucket = rows[0]["bucket"]
+    shard = LogBloom(buckets, [r["bits"] for r in rows if r["bits"] is not None], bucket)
+    asked = Asked([r for r in rows if r["bits"] is None])
+    out = [(r["block"], bucket, LEVELS, n.to_bytes(4, "little") + shard.levels(names).tobytes()) for r, names, n in zip(asked.rows, asked.names, asked.words)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), B.ANSWERS)], schema=B.ANSWERS)
+
+
+_SCORED = "id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double"
+_SCORED_SCHEMA = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
+
+
+def _score(bloom, total: int, distinct: int, row: dict, answers: list[dict]) -> pa.Table:
+    block = Block(row)
+    (words, place), (pairs, pair_place) = block.orders
+    counts = np.concatenate([B.unsqueeze_planes(x, np.int64) for x in B.answers_of(answers, COUNTS)])[place]
+    if bloom is not None:
+        levels = [bloom.value.levels(words), bloom.value.levels(pairs)]
+    else:
+        held = [(int.from_bytes(x[:4], "little"), np.frombuffer(x, np.uint8, offset=4)) for x in B.answers_of(answers, LEVELS)]
+        levels = [np.concatenate([x[:n] for n, x in held]), np.concatenate([x[n:] for n, x in held])]
+    logs = pair_log_probability(block.tokens, levels[0][place], levels[1][pair_place], total, distinct)
+    add = lambda values: np.add.reduceat(values, block.first[:-1])
+    columns = [block.ids, block.held_out, np.diff(block.first), add((counts > 0).astype(np.int64)), add(np.log10(counts + 1.0)), add(logs)]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED_SCHEMA)], schema=_SCORED_SCHEMA)
+
+
+def score(docs: DataFrame, held_out: Column, max_filter_bytes: int = MAX_FILTER_BYTES, bits: int = BITS) -> DataFrame:
     """Score every whole text, learning from the rows for which ``held_out`` (of doc_id) is not true.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of ``docs``.
     A null or empty text has one token, its end. Repeated rows are counted and returned as often as they stand
     there. A null doc_id is a document like any other. Only doc_id and text are read, so further columns do not matter.
-    With no training text every count is 0, and both scores are those of a uniform guess.
+    With no training text every count is 0, and both scores are those of a uniform guess. The blocks and the
+    buckets' answers are written to the shared folder by jobs of their own, and are left there.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    sc = spark.sparkContext
+    ship(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
     buckets = bucket_count(docs)
-    rows = keyed(docs)
-    model = train(docs.filter(~F.coalesce(held_out, F.lit(False))), buckets)
-    size, total, distinct = model.agg(F.sum(F.octet_length("bits")), F.sum("total"), F.sum("distinct")).first()
-    size, total, distinct = size or 0, total or 0, distinct or 0
-
-    share = max(1, head_words // buckets)
-    top = model.select("names", "counts").mapInArrow(_frequent(share), "names binary, counts binary").collect()
-    names, counts = joined([bytes(r["names"]) for r in top], np.uint64), joined([bytes(r["counts"]) for r in top], np.int64)
-    order = np.argsort(names)
-    head = sc.broadcast((names[order], counts[order]))
-
-    def filter_of(lo: int, hi: int):
-        shards = {r["bucket"]: bytes(r["bits"]) for r in model.filter(F.col("bucket").between(lo, hi - 1)).select("bucket", "bits").collect()}
-        return sc.broadcast(LogBloom(buckets, lo, [shards.get(b, bytes(8)) for b in range(lo, hi)]))
-
-    groups = max(1, -(-size // max_filter_bytes))
-    whole = filter_of(0, buckets) if groups == 1 else None
-    scattered = rows.mapInArrow(_score_blocks(buckets, head, whole, total, distinct), _ROWS)
-    none = F.lit(None).cast("binary")
-    known = model.select("bucket", F.lit(0).alias("kind"), "names", none.alias("ids"), none.alias("tags"), F.col("counts").alias("uses"), none.alias("known"), none.alias("sums"), none.alias("scores"), none.alias("copies"))
-    answered = scattered.unionByName(known).groupBy("bucket").applyInArrow(_answer(buckets), _ROWS)
-    if groups > 1:
-        edges = [round(i * buckets / groups) for i in range(groups + 1)]
-        parts = [rows.mapInArrow(_partial_levels(filter_of(lo, hi)), "id long, tag long, levels binary") for lo, hi in zip(edges, edges[1:])]
-        levels = parts[0]
-        for part in parts[1:]:
-            levels = levels.unionByName(part)
-        answered = answered.unionByName(levels.groupBy("id", "tag").applyInArrow(_scores_of_levels(buckets, groups, total, distinct), _ROWS))
-    sums = answered.groupBy("bucket").applyInArrow(_sum_documents, "id long, n_tokens long, n_known long, log_sum double, score double, copies long")
+    blocks = B.packed(docs, F.coalesce(held_out, F.lit(False)))
+
+    asked = B.with_answers(blocks, None, lambda row, _: Block(row).questions(row["block"], buckets), B.ASKED)
+
+    def build(table: pa.Table) -> pa.Table:
+        return _build(bits, table)
+
+    built = materialise(asked.groupBy("bucket").applyInArrow(build, _BUILT), "lm")
+    shards, answers = built.filter("block is null"), built.filter("block is not null").select("block", "bucket", "level", "answers")
+    size, total, distinct = shards.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    bloom = None
+    if size <= max_filter_bytes:
+        held = {r["bucket"]: bytes(r["bits"]) for r in shards.select("bucket", "bits").collect()}
+        bloom = sc.broadcast(LogBloom(buckets, [held.get(b, bytes(8)) for b in range(buckets)]))
+    else:
+        both = asked.unionByName(shards.select("bucket", "bits"), allowMissingColumns=True)
+        answers = answers.unionByName(materialise(B.answered(both, partial(_probe, buckets)), "levels"))
+    scored = B.with_answers(blocks, answers, partial(_score, bloom, total, distinct), _SCORED)
     base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
-    each = sums.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
-    return each.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return scored.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
