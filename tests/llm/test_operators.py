@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log2, log10
@@ -11,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyarrow import orc
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -206,11 +208,36 @@ def test_language(spark, edge_documents):
     assert len(odd) == edge_documents.count()
     for r in odd:
         assert 0 <= r["score"] <= 1
-        assert (r["lang_pred"] == "und") == (not re.search(r"[^\W\d_]", r["text"] or ""))
+        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    numbers = spark.createDataFrame([(0, "²"), (1, "½ Ⅷ ٣"), (2, "_1²"), (3, "²a")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language.predict(numbers, held, ["doc_id"]).collect()} == {0: True, 1: True, 2: True, 3: False}
     assert {r["lang_pred"] for r in language.predict(edge_documents, {}, ["doc_id"]).collect()} == {"und"}
     assert language.learn(docs.limit(0)) == {}
 
 
+def test_language_against_plain_compression(spark, edge_rows):
+    """Sizes text by text and dictionary by dictionary."""
+    held = {"aa": b"the and of with from that this have will " * 40, "bb": "der und mit blé straße dass nicht haben ".encode() * 40, "cc": b"les des pour dans avec"}
+    rows = [r for r in edge_rows if r[0] is not None]
+    docs = spark.createDataFrame([(r[0], r[1], 1.0) for r in rows], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r for r in language.predict(docs, held, ["doc_id"]).collect()}
+    for i, text, *_ in rows:
+        data = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+        sizes = {}
+        for lang, d in held.items():
+            options = zstandard.ZstdCompressionParameters(**language.PARAMETERS, write_content_size=0, write_checksum=0, write_dict_id=0)
+            kept = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept.precompute_compress(compression_params=options)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=kept, compression_params=options).compress(data[k : k + language.CHUNK])) for k in range(0, len(data), language.CHUNK))
+        order = sorted(sizes, key=lambda lang: (sizes[lang], lang))
+        assert got[i]["lang_pred"] == (order[0] if data else "und")
+        if data:
+            assert np.isclose(got[i]["margin"], 1 - sizes[order[0]] / sizes[order[1]])
+            assert np.isclose(got[i]["score"], 1 - 0.5 / 2 ** (min(sizes[order[1]] - sizes[order[0]], 60) / 4))
+        else:
+            assert got[i]["score"] == 0
+
+
 def made_of(words, lang, count, start, rng):
     return [(start + i, " ".join(rng.choice(words, 200)), lang) for i in range(count)]
 
@@ -252,7 +279,7 @@ def test_url_rules(spark):
 
 @pytest.fixture(scope="session")
 def tagger():
-    return pii.train(pii.labelled_sentences())  # the model of the query
+    return pii.default_tagger()  # the model of the query
 
 
 def test_pii_patterns():
@@ -308,6 +335,35 @@ def test_pii_spelled_without_digits(tagger, monkeypatch):
     assert pii.find_all(texts, tagger) == found
 
 
+def test_pii_many_spans():
+    """100,000 spans in one text, of the patterns and of windows that overlap them or not, in some seconds."""
+    text = "1.2.3.4 m(at)n.org " * 50_000
+    base = pii.base_spans(text)
+    assert len(base) == 50_000
+    seen = [(19 * i + a, 19 * i + b, k, d) for i in range(50_000) for a, b, k, d in ((8, 18, 0, 5), (8, 18, 0, 9), (9, 18, 0, 3), (0, 7, 1, 4))]
+    began = time.time()
+    found = pii.reconcile(text, base, seen)
+    assert len(found) == 100_000 and time.time() - began < 20
+    assert found[:3] == [(0, 7, "ip"), (8, 18, "email"), (19, 26, "ip")]
+
+
+def test_pii_digest(spark, tagger):
+    """Counts, digest and spans of the patterns by plain search, and spans of the tagger in their place."""
+    texts = [None, "", "no data", "ip 10.0.0.1 and a.b@c.org, +1 (521) 555-2373; 4111 1111 1111 1111 and 256.1.1.1", "é 10.0.0.1 📧 x@y.z", "write to morine(at)delta.org or x@y.zz now"]
+    docs = spark.createDataFrame([*((i, t, "s", 1) for i, t in enumerate(texts)), (3, texts[3], "s", 1), (None, texts[4], "s", 1)], "doc_id long, text string, spans string, n_ip int")
+    got = pii.digest(pii.find(docs, tagger, ["doc_id"])).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        base = [(m.start(), k, m.end()) for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"\b10\.0\.0\.1\b", "4111 1111 1111 1111", r"\+1 \(521\) 555-2373")) for m in re.finditer(p, t or "")]
+        line = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base))
+        want[i] = (*(sum(k == kind for _, k, _ in base) for kind in range(4)), hashlib.sha256(line.encode()).hexdigest()), line
+    want[5] = want[5][0], "email:9:29," + want[5][1]
+    for r in got:
+        held = want[4 if r["doc_id"] is None else r["doc_id"]]
+        assert (tuple(r)[1:6], r["spans"]) == held
+    assert len(got) == len(texts) + 2 and pii.digest(pii.find(docs.limit(0), tagger, ["doc_id"])).count() == 0
+
+
 def test_pii_table(spark, edge_documents, tagger):
     got = pii.find(edge_documents, tagger, ["doc_id", "text", "ids"]).collect()
     assert len(got) == edge_documents.count()

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -16,7 +17,7 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute(ids, fps):
+def brute(ids, fps, bits=4):
     root = {i: i for i in ids}
 
     def find(i):
@@ -26,25 +27,25 @@ def brute(ids, fps):
 
     for i, a in zip(ids, fps):
         for j, b in zip(ids, fps):
-            if i < j and (a ^ b).bit_count() <= 4:
+            if i < j and (a ^ b).bit_count() <= bits:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_trie_finds_all_links(seed):
+def clusters(seed):
+    """Fingerprints around and beyond the budgets, some of them equal."""
     rng = np.random.default_rng(seed)
-    centres = rng.integers(0, 2**64, 40, dtype=np.uint64)
     fps = []
-    for c in centres:
+    for c in rng.integers(0, 2**64, 40, dtype=np.uint64):
         for _ in range(rng.integers(1, 30)):
             for b in rng.integers(0, 64, rng.integers(0, 6)):
                 c = c ^ np.uint64(1 << int(b))
             fps.append(int(c))
-    fps = sorted(set(fps))
-    ids = list(range(len(fps)))
-    expected = brute(ids, fps)
+    return np.array(fps, np.uint64)
+
+
+def components(ids, links):
     root = {i: i for i in ids}
 
     def find(i):
@@ -52,13 +53,42 @@ def test_trie_finds_all_links(seed):
             i = root[i]
         return i
 
-    for order, levels in simhash.tries():
-        turned = simhash.rotated(np.array(fps, np.uint64), order)
-        place = np.argsort(turned)
-        for k, p in enumerate(simhash.link(turned[place], levels)):
-            x, y = find(int(place[k])), find(int(place[p]))
-            root[max(x, y)] = min(x, y)
-    assert {i: find(i) for i in ids} == expected
+    for u, v in links:
+        x, y = find(u), find(v)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def joined(fps, bits, free, every=False, component=None):
+    """All rounds of the join in this process."""
+    nodes = np.arange(len(fps))
+    rows, found = simhash._entries(fps, nodes, nodes if component is None else component, simhash.tries(bits, free), 0, 8), []
+    for last in (False, True):
+        again = []
+        for bucket in {r[0] for r in rows}:
+            table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[r for r in rows if r[0] == bucket]), simhash._DEALT_SCHEMA)], schema=simhash._DEALT_SCHEMA)
+            for r in simhash._join(bits, 8, every, last, table).to_pylist():
+                if r["u"] is not None:
+                    found.append((r["u"], r["v"]))
+                else:
+                    again.append(tuple(r[c] for c in simhash._DEALT_SCHEMA.names))
+        rows = again
+    assert not rows
+    return found
+
+
+@pytest.mark.parametrize(("seed", "bits", "free", "hot"), [(0, 4, 2, 1 << 16), (1, 4, 2, 3), (2, 10, 3, 1 << 16), (3, 6, 2, 5)])
+def test_trie_finds_all_links(seed, bits, free, hot, monkeypatch):
+    """Few links connect what is near; with ``every`` all pairs of different components; hot subtrees are dealt out again."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    fps = clusters(seed)
+    ids, values = list(range(len(fps))), fps.tolist()
+    some = joined(fps, bits, free)
+    assert all((values[u] ^ values[v]).bit_count() <= bits for u, v in some)
+    assert components(ids, some) == brute(ids, values, bits)
+    component = np.arange(len(fps)) // 7
+    near = {(u, v) for u in ids for v in ids if u < v and u // 7 != v // 7 and (values[u] ^ values[v]).bit_count() <= bits}
+    assert set(joined(fps, bits, free, True, component)) == near
 
 
 def test_near_duplicates(spark, edge_documents):

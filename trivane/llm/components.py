@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.workspace import materialise
+from trivane.llm.workspace import discard, materialise
 
-_KEPT = "u long, v long"
 
-
-def _starred(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """One contraction of (u, v) with u > v.
+def _starred(edges: DataFrame, both_ways: bool, name: str) -> DataFrame:
+    """One contraction of (u, v) with u > v, written; ``edges`` are deleted.
 
     The minima are written before they are joined, so that both sides of the join are plain shuffles, of which
     Spark can split those of a node with very many neighbours.
@@ -23,20 +21,23 @@ def _starred(edges: DataFrame, both_ways: bool) -> DataFrame:
         out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = materialise(out.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    discard(least)
+    discard(edges)
+    return out
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); the component is its smallest node.
 
-    Each round is written to the shared folder, which cuts lineage. The rounds end when the edges are stars
+    Each round is written to the shared folder, which cuts lineage, and deleted after the next. The rounds end when the edges are stars
     around smallest nodes, which takes about the logarithm of the longest path.
     """
     ends = edges.filter("u != v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
     held = materialise(ends.distinct(), "edges")
     before = None
     for _ in range(rounds):
-        held = materialise(_starred(materialise(_starred(held, True), "large"), False), "small")
+        held = _starred(_starred(held, True, "large"), False, "small")
         now = tuple(held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -1,13 +1,15 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 A language's dictionary is raw text of labelled documents, all dictionaries of one size. Texts are lower-cased
-and anything but letters becomes a space. A text is compressed in chunks against each dictionary; the language whose dictionary gives the smallest size is chosen. The margin to the second
-smallest, in proportion to it, is the confidence, and a text whose margin is narrow is rejected.
+and anything but letters becomes a space. A text is compressed in chunks against each dictionary; the language whose
+dictionary gives the smallest size is chosen. The margin to the second smallest, in proportion to it, is the
+confidence, and a text whose margin is narrow is rejected.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trivane.llm.workspace import ship
 
-#: The bounded sample that dictionaries are made of: documents for each language, characters of each.
+#: The bounded sample that dictionaries are made of: documents for each language, and characters in a row of each.
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 64, 3000
 #: Bytes of a dictionary, and of a chunk that is compressed against it.
 DICTIONARY, CHUNK = 64 << 10, 8 << 10
@@ -31,7 +33,13 @@ PARAMETERS = dict(window_log=17, hash_log=15, chain_log=15, search_log=4, min_ma
 #: A text is accepted if the best size is smaller than the second by this share at least.
 MIN_MARGIN = 0.002
 
-NO_LETTERS = re.compile(r"[\W\d_]+")
+def _no_letters() -> re.Pattern:
+    """Runs of characters that are no letters: beside what is no word character also numbers of any kind."""
+    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W_{''.join(numbers)}]+")
+
+
+NO_LETTERS = _no_letters()
 SENTENCE = re.compile(r"[\n.]+")
 
 
@@ -48,21 +56,22 @@ def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: in
     a language with less than USEFUL bytes (and less than half of the longest) does not count for that length: its
     dictionary is all it has. A language of less than eight bytes is not learned.
 
-    The texts of a language are thinned by their hash to about twice ``documents``, so what comes to the driver is
-    bounded by languages x documents x characters, however many rows there are.
+    The texts of a language are thinned by their hash to about twice ``documents``, and of each ``characters`` in a row
+    are taken, from a place that its hash gives. So what comes to the driver is bounded by languages x documents x
+    characters, however many rows there are.
     """
     rows = labelled.select(F.xxhash64("text").alias("h"), "lang", "text").filter("lang is not null and text is not null and text != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 2.0 * documents / n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    starts = rows.filter(keep).select("h", "lang", F.substring("text", 1, characters).alias("text"))
-    picked = starts.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    sentences: dict[str, list[str]] = {lang: [] for lang in counts}
+    counts = rows.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n"))
+    thinned = rows.join(counts, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)) < (share * (1 << 30)).cast("long"))
+    start = 1 + F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - characters + 1, F.lit(1)))  # anywhere in the text
+    some = thinned.select("h", "lang", F.substring("text", start.cast("int"), F.lit(characters)).alias("text"))
+    picked = some.groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    sentences: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
-        if len(sentences[r["lang"]]) < documents:
-            sentences[r["lang"]].append(r["text"])
+        held = sentences.setdefault(r["lang"], [])
+        if len(held) < documents:
+            held.append(r["text"])
     once = {lang: dict.fromkeys(plain(x) for t in sentences[lang] for x in SENTENCE.split(t)) for lang in sorted(sentences)}
     seen = Counter(x for held in once.values() for x in held)
     own = {lang: " ".join(x for x in held if x and seen[x] == 1).encode() for lang, held in once.items()}

@@ -14,7 +14,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -162,6 +162,12 @@ def train(sentences: list[tuple[str, list[Span]]], epochs: int = 10) -> Tagger:
     return tagger
 
 
+@cache
+def default_tagger() -> Tagger:
+    """The tagger of the default sentences, trained once in a process."""
+    return train(labelled_sentences())
+
+
 def window_starts(text: str) -> list[int]:
     """Where windows begin: all multiples of STRIDE from which a window holds the start of a cue."""
     at = sorted({m.start() // STRIDE for m in _CUE.finditer(text)})
@@ -183,7 +189,9 @@ def spans_of_tags(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 def reconcile(text: str, base: list[Span], seen: list[tuple[int, int, int, int]]) -> list[Span]:
     """Base spans, and of the spans (start, end, kind, distance to its window's border) those that hold beside them."""
-    taken = [(s, e) for s, e, _ in base]
+    taken = bytearray(len(text))  # a mark for each character of a span
+    for start, end, _ in base:
+        taken[start:end] = b"\1" * (end - start)
     out = list(base)
     for start, end, k, _ in sorted(set(seen), key=lambda x: (-x[3], x[0], x[1], x[2])):
         end = min(end, len(text))
@@ -191,10 +199,10 @@ def reconcile(text: str, base: list[Span], seen: list[tuple[int, int, int, int]]
             end -= 1
         while end > start and text[start] in " .,;:\n":
             start += 1
-        if end > start and holds(KINDS[k], text[start:end]) and all(end <= s or start >= e for s, e in taken):
+        if end > start and taken.find(1, start, end) < 0 and holds(KINDS[k], text[start:end]):
             beside = text[start - 1 : start] + text[end : end + 1]
             if not any(c.isalnum() or c == "@" for c in beside):
-                taken.append((start, end))
+                taken[start:end] = b"\1" * (end - start)
                 out.append((start, end, KINDS[k]))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 

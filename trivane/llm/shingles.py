@@ -1,12 +1,7 @@
-"""Near copies by exact Jaccard similarity of word shingles, as a prefix-filter join.
+"""Sets of word shingles, and the check that two of them are similar.
 
-A text is the set of its distinct shingles, known by 64-bit names; texts of equal sets are one node. All shingles
-have one order, those frequent in a sample last. Of two sets with the similarity looked for, the first common shingle
-stands near the front of both, so only the front of each set is dealt out by name, and no pair is missed whatever the
-order. Candidates are confirmed by the whole sets. They come in two rounds: neighbours only, whose links make
-components of large groups of copies, and then all pairs of different components, so that a group of copies
-does not cost the square of its size. Before whole sets travel, candidates that differ in more parities than similar
-sets can are left out.
+A text is the set of its distinct shingles, known by 64-bit names. Candidates are confirmed by the whole sets. Before
+whole sets travel, candidates that differ in more parities than similar sets can are left out.
 """
 
 from __future__ import annotations
@@ -19,23 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.llm.components import connected_components
-from trivane.llm.exchange import by_bucket, joined
 from trivane.llm.words import NOT_SPACE, find_words, mix, phrase_names, span_names, text_slices
-from trivane.llm.workspace import bucket_count, materialise, ship
+from trivane.llm.workspace import materialise
 
 SHINGLE = 5
 #: The similarity from which texts are near copies, as numerator and denominator.
 SIMILARITY = (4, 5)
-#: Documents of the sample that orders the shingles, in how many of them one is frequent, and how many of these count.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 17
 #: Bits of a set's parities, which bound from below in how many shingles two sets differ.
 PARITIES = 1024
 #: The filter of candidates' sets has 2 ** SLOTS bits.
 SLOTS = 25
 
-_ENTRY = "name long, node long, size int, place int"
-
 
 def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle names of all texts, ascending in each, and where each text's begin (one more entry at the end).
@@ -76,132 +65,6 @@ def required(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
     return -(-p * (sizes + others) // (p + q))
 
 
-def fronts(names: np.ndarray, first: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index in ``names``, set, place in its order) of the shingles in which a similar set's first common one must be."""
-    sizes = np.diff(first)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    known, counts = frequent
-    weight = np.zeros(len(names), np.int64)
-    if len(known) and len(names):
-        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-        weight = np.where(known[at] == names, counts[at], 0)
-    order = np.lexsort((names, weight, owner))
-    place = np.arange(len(names)) - first[:-1][owner]
-    p, q = SIMILARITY
-    front = place <= (sizes - -(-p * sizes // q))[owner]
-    return order[front], owner[front], place[front]
-
-
-def _nodes(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in text_slices(batch):
-            names, first = shingle_sets(piece.column("text"), shingle)
-            held = [pa.array(set_names(names, first).view(np.int64)), pa.array(np.diff(first), pa.int32()), pa.array([x.tobytes() for x in parities(names, first)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *held], ["doc_id", "node", "size", "parities"])
-
-
-def _names(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in text_slices(batch):
-            names, counts = np.unique(shingle_sets(piece.column("text"), shingle)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["name", "n"])
-
-
-def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names, ascending, of shingles that are frequent in a sample, and their counts. Only the order of shingles hangs on them."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    counts = some.mapInArrow(partial(_names, shingle), "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    held = counts.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "name").limit(MOST_FREQUENT).toArrow()
-    names, n = held.column("name").to_numpy().view(np.uint64), held.column("n").to_numpy()
-    order = np.argsort(names)
-    return names[order], n[order]
-
-
-def _deal(shingle: int, buckets: int, frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to packed (bucket, names, nodes, sizes, places) of the fronts of their sets, equal sets of a batch once."""
-    for batch in batches:
-        kept = []
-        for piece in text_slices(batch):
-            names, first = shingle_sets(piece.column("text"), shingle)
-            nodes, sizes = set_names(names, first), np.diff(first)
-            index, owner, place = fronts(names, first, frequent.value)
-            _, once = np.unique(nodes, return_index=True)
-            some = np.isin(owner, once)
-            index, owner, place = index[some], owner[some], place[some]
-            kept.append((names[index], nodes[owner], sizes[owner].astype(np.int32), place.astype(np.int32)))
-        if not kept:
-            continue
-        columns = [np.concatenate(x) for x in zip(*kept)]
-        order, parts = by_bucket(columns[0], buckets)
-        columns = [x[order] for x in columns]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _, _ in parts], pa.int32()), *(pa.array([x[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()) for x in columns)],
-            ["bucket", "names", "nodes", "sizes", "places"],
-        )
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """The entries of a bucket whose shingle is in the front of two different sets at least."""
-    kinds = {"names": np.uint64, "nodes": np.uint64, "sizes": np.int32, "places": np.int32}
-    names, nodes, sizes, places = (joined(table.column(c).to_pylist(), k) for c, k in kinds.items())
-    order = np.lexsort((nodes, names))
-    names, nodes, sizes, places = (x[order] for x in (names, nodes, sizes, places))
-    new = np.ones(len(names), bool)
-    new[1:] = (names[1:] != names[:-1]) | (nodes[1:] != nodes[:-1])
-    names, nodes, sizes, places = (x[new] for x in (names, nodes, sizes, places))
-    same = np.concatenate([[False], names[1:] == names[:-1], [False]])
-    met = same[1:] | same[:-1]
-    return pa.table({"name": names[met].view(np.int64), "node": nodes[met].view(np.int64), "size": sizes[met], "place": places[met]})
-
-
-def _minor(name: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether each entry is outside the component that has most entries of its name."""
-    _, at = np.unique(np.stack([name, group], axis=1), axis=0, return_inverse=True)
-    at = at.reshape(-1)
-    count = np.bincount(at)[at]
-    order = np.lexsort((at, -count, name))
-    first = np.ones(len(name), bool)
-    first[1:] = name[order][1:] != name[order][:-1]
-    major = at[order][first][np.cumsum(first) - 1]
-    out = np.empty(len(name), bool)
-    out[order] = at[order] != major
-    return out
-
-
-def _pairs(every: bool, table: pa.Table) -> pa.Table:
-    """Candidates (u, v): neighbours in the order of nodes, or ``every`` pair of different components.
-
-    Of every two components one is not the largest of its name, so pairs are sought from the entries of the others.
-    """
-    name, node, group, size, place = (table.column(c).to_numpy() for c in ("name", "node", "component", "size", "place"))
-    order = np.lexsort((node, size, name)) if every else np.lexsort((node, name))
-    name, node, group, size, place = (x[order] for x in (name, node, group, size.astype(np.int64), place))
-    found = np.zeros((0, 2), np.int64)
-    held: list[np.ndarray] = []
-    p, q = SIMILARITY
-    for way in (1, -1) if every else (1,):
-        x, step = np.flatnonzero(_minor(name, group)) if every else np.arange(len(name)), 1
-        while len(x):
-            y = x + way * step
-            x, y = x[(y >= 0) & (y < len(name))], y[(y >= 0) & (y < len(name))]
-            near = name[x] == name[y]
-            if every:  # sizes are in order: beyond one that is too far from similar so are all
-                near &= q * np.minimum(size[x], size[y]) >= p * np.maximum(size[x], size[y])
-            x, y = x[near], y[near]
-            least = required(size[x], size[y])
-            good = (place[x] <= size[x] - least) & (place[y] <= size[y] - least) & (group[x] != group[y])
-            held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)[good])
-            if sum(map(len, held)) > 1 << 20:
-                found = np.unique(np.concatenate([found, *held]), axis=0)
-                held.clear()
-            if not every:
-                break
-            step += 1
-    found = np.unique(np.concatenate([found, *held]), axis=0)
-    return pa.table({"u": found[:, 0], "v": found[:, 1]})
-
-
 def _sets(shingle: int, wanted, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, names) of the texts whose node may be wanted, equal sets of a slice once."""
     slots = wanted.value
@@ -233,14 +96,14 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(differ <= sizes + others - 2 * required(sizes, others)))
 
 
-def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, each: bool) -> DataFrame:
-    """The pairs of nodes whose sets are similar; with ``each`` only one pair of each v is looked at."""
+def similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar. ``heads`` has node, size and parities of each set of ``docs``."""
     spark = docs.sparkSession
     first = heads.selectExpr("node as u", "size", "parities")
     second = heads.selectExpr("node as v", "size as other_size", "parities as other")
     pairs = pairs.join(first.hint("shuffle_hash"), "u").join(second.hint("shuffle_hash"), "v")
     pairs = pairs.select("u", "v", "size", "other_size", "parities", "other").mapInArrow(_possible, "u long, v long")
-    pairs = materialise(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v") if each else pairs, "possible")
+    pairs = materialise(pairs, "possible")
     slot = f"shiftrightunsigned(node, {64 - SLOTS})"
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).selectExpr(f"cast({slot} div 8 as int) as byte", f"shiftleft(1, cast({slot} % 8 as int)) as bit")
     filled = ends.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (SLOTS - 3) rows at most
@@ -251,39 +114,3 @@ def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int
     first, second = sets.withColumnRenamed("node", "u"), sets.select(F.col("node").alias("v"), F.col("names").alias("other"))
     both = pairs.join(first.hint("shuffle_hash"), "u").join(second.hint("shuffle_hash"), "v")
     return materialise(both.select("u", "v", "names", "other").mapInArrow(_similar, "u long, v long"), "similar")
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and component_id of every row with a doc_id.
-
-    Texts are linked if the Jaccard similarity of their shingle sets is SIMILARITY at least; component_id is the
-    smallest doc_id that can be reached. All texts without a word are copies of each other. Repeated rows are all
-    returned. Only doc_id and text are read.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, shingle))
-    buckets = bucket_count(docs)
-    dealt = docs.select("text").mapInArrow(partial(_deal, shingle, buckets, frequent), "bucket int, names binary, nodes binary, sizes binary, places binary")
-    shared = materialise(dealt.groupBy("bucket").applyInArrow(_shared, _ENTRY), "shared")
-    bucket = F.pmod("name", F.lit(buckets)).alias("bucket")
-
-    def candidates(entries: DataFrame, every: bool) -> DataFrame:
-        held = entries.select(bucket, "name", "node", "component", "size", "place")
-        return materialise(held.groupBy("bucket").applyInArrow(lambda table: _pairs(every, table), "u long, v long").distinct(), "pairs")
-
-    rows = materialise(docs.mapInArrow(partial(_nodes, shingle), "doc_id long, node long, size int, parities binary"), "rows")
-    heads = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("parities").alias("parities"))
-    heads = materialise(heads, "heads")
-    links = _confirmed(docs, heads, candidates(shared.withColumn("component", F.col("node")), False), shingle, True)
-    found = materialise(connected_components(links), "found")
-    placed = shared.join(found.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = _confirmed(docs, heads, candidates(placed, True), shingle, False)
-    if not more.isEmpty():
-        found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
-    heads = heads.select("node", "least").join(found.hint("shuffle_hash"), "node", "left")
-    heads = materialise(heads.select("node", "least", F.coalesce("component", "node").alias("component")), "named")
-    least = heads.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = heads.join(least.hint("shuffle_hash"), "component").select("node", "component_id")
-    return rows.join(placed.hint("shuffle_hash"), "node").select("doc_id", "component_id")

@@ -1,16 +1,21 @@
 """SimHash near duplicates by binary trie self-join.
 
-Equal fingerprints are one node. Two fingerprints with at most four differing bits agree in at least two of six
-blocks of bits, so for each pair of blocks there is a trie whose first levels are these two blocks: in it, only
-pairs of nodes without a difference so far go on from those levels, and the others are found in another
-trie. A trie's subtrees below these levels are spread over the cluster. In a subtree, pairs of nodes are
-traversed together, differing bits add up, and a pair is pruned when they exceed the budget or when all that
-stands below both is known to be connected already. A task returns one link for each fingerprint at most, not pairs.
+Two fingerprints with at most k differing bits agree in at least f of k + f blocks of bits, so for each f blocks there
+is a trie whose first levels are these blocks: in it, only pairs of nodes without a difference so far go on from those
+levels, and the others are found in another trie. A trie's subtrees below these levels are spread over the
+cluster; one with very many fingerprints is dealt out again by tries over the other bits. In a subtree, pairs of
+nodes are traversed together, differing bits add up, and a pair is pruned when they exceed the budget or when all
+that stands below both is known to be connected already. So a group of copies gives links that connect it, not all
+its pairs.
+
+``near_duplicates`` links by fingerprints alone. ``near_copies`` takes links of a wider budget as candidates and keeps
+those whose sets of word shingles are similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -19,21 +24,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trivane.llm import shingles
 from trivane.llm.components import connected_components
-from trivane.llm.exchange import by_bucket, joined, squeeze, unsqueeze
+from trivane.llm.exchange import by_bucket, joined
 from trivane.llm.words import NOT_SPACE, find_words, mix, text_slices
 from trivane.llm.workspace import materialise, ship
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-BLOCKS = MAX_BITS + 2
-#: Fingerprints whose subtrees a task traverses together, and node pairs that it holds at a time.
-TOGETHER, FRONTIER = 200_000, 1 << 18
+#: Blocks without a difference at the head of a trie.
+FREE = 2
+#: Node pairs that are held at a time, entries of a bucket, and fingerprints of a subtree that is dealt out again.
+FRONTIER, BUCKET, HOT = 1 << 18, 1 << 20, 1 << 16
+#: Budget and blocks of ``near_copies``.
+COPY_BITS, COPY_FREE = 10, 3
+
+
+def majority(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """For each run of ``each[i]`` hashes the bits that are set in over half of them; zero for an empty run."""
+    out = np.zeros(len(each), np.uint64)
+    full = np.flatnonzero(each)
+    if len(full):
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, (np.cumsum(each) - each)[full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * ones > each[full][:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+    return out
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text."""
     words = find_words(column, NOT_SPACE, lower=True)
-    n = len(words.counts)
     keep = np.zeros(len(words.data) + 1, bool)
     inner = np.ones(len(words.starts), bool)
     inner[words.first[1:][words.counts > 0] - 1] = False
@@ -51,13 +70,7 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     last = np.minimum(at + shingle, np.repeat(words.first[1:], each)) - 1
     h64 = xxhash.xxh64_intdigest
     hashes = np.array([h64(flat[s:e], SEED) for s, e in zip(starts[at].tolist(), ends[last].tolist())], np.uint64)
-    out = np.zeros(n, np.uint64)
-    full = np.flatnonzero(each)
-    if len(full):
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, (np.cumsum(each) - each)[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * ones > each[full][:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
-    return out
+    return majority(hashes, each)
 
 
 def _fingerprint(shingle: int):
@@ -70,46 +83,71 @@ def _fingerprint(shingle: int):
     return run
 
 
-def tries() -> list[tuple[np.ndarray, int]]:
-    """For each trie the order of the fingerprint's bits, most significant first, and the levels without a difference."""
-    blocks = np.array_split(np.arange(64), BLOCKS)
+def tries(max_bits: int = MAX_BITS, free: int = FREE, skip: int = 0) -> list[tuple[np.ndarray, int]]:
+    """For each trie the order of the fingerprint's bits, most significant first, and the levels without a difference.
+
+    The first ``skip`` bits are without a difference already and stay first.
+    """
+    blocks = np.array_split(np.arange(skip, 64), max_bits + free)
     out = []
-    for pair in combinations(range(BLOCKS), BLOCKS - MAX_BITS):
-        head = np.concatenate([blocks[b] for b in pair])
-        rest = np.concatenate([blocks[b] for b in range(BLOCKS) if b not in pair])
+    for chosen in combinations(range(max_bits + free), free):
+        head = np.concatenate([np.arange(skip), *(blocks[b] for b in chosen)])
+        rest = np.concatenate([blocks[b] for b in range(max_bits + free) if b not in chosen])
         out.append((np.concatenate([head, rest]), len(head)))
     return out
 
 
-def rotated(fingerprints: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The fingerprints with their bits in another order."""
-    bits = np.unpackbits(fingerprints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def unpacked(fingerprints: np.ndarray) -> np.ndarray:
+    return np.unpackbits(fingerprints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def rotated(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Fingerprints of unpacked ``bits`` in another order."""
     return np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
-def _deal(buckets: int):
-    """(fp, node) rows to packed (bucket, trie, fingerprints, nodes)."""
+#: Entries of subtrees, packed by bucket: fingerprints in a trie's order, the trie, its levels, nodes and their components.
+_DEALT = "bucket int, fps binary, tries binary, levels binary, nodes binary, components binary"
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("fps", "tries", "levels", "nodes", "components")])
+_KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64}
+_JOINED = "u long, v long, " + _DEALT
+_JOINED_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), *_DEALT_SCHEMA])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            nodes = batch.column("node").to_numpy()
-            for number, (order, levels) in enumerate(tries()):
-                turned = rotated(fps, order)
-                keys = mix((turned >> np.uint64(64 - levels)) + np.uint64(number << 32))
-                place, parts = by_bucket(keys, buckets)
-                turned, own = turned[place], nodes[place]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, _, _ in parts], pa.int32()),
-                        pa.array([number] * len(parts), pa.int32()),
-                        pa.array([turned[lo:hi].tobytes() for _, lo, hi in parts], pa.binary()),
-                        pa.array([squeeze(own[lo:hi]) for _, lo, hi in parts], pa.binary()),
-                    ],
-                    ["bucket", "trie", "fps", "nodes"],
-                )
 
-    return run
+def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, held: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list[tuple]:
+    """Rows of _DEALT with the entries of all tries; tries are numbered from ``first``."""
+    bits, parts = unpacked(fps), []
+    for number, (order, levels) in enumerate(held, first):
+        turned = rotated(bits, order)
+        parts.append((turned, np.full(len(fps), number, np.uint32), np.full(len(fps), levels, np.uint8), mix((turned >> np.uint64(64 - levels)) ^ mix(np.full(1, number, np.uint64)))))
+    turned, number, levels, keys = (np.concatenate(x) for x in zip(*parts))
+    nodes, components = np.tile(nodes, len(held)), np.tile(components, len(held))
+    order, cuts = by_bucket(keys, buckets)
+    columns = [x[order] for x in (turned, number, levels, nodes, components)]
+    return [(b, *(x[lo:hi].tobytes() for x in columns)) for b, lo, hi in cuts]
+
+
+def _deal(buckets: int, max_bits: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, node, component) rows to the entries of all tries."""
+    held = tries(max_bits, free)
+    room = max(1, (1 << 21) // len(held))
+    waiting, size = [], 0
+
+    def dealt() -> pa.RecordBatch:
+        fps, nodes, components = (np.concatenate(x) for x in zip(*waiting))
+        rows = _entries(fps.view(np.uint64), nodes, components, held, 0, buckets)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT_SCHEMA)], schema=_DEALT_SCHEMA)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, room):
+            piece = batch.slice(at, room)
+            waiting.append(tuple(piece.column(c).to_numpy() for c in ("fp", "node", "component")))
+            size += piece.num_rows
+            if size >= room:
+                yield dealt()
+                waiting, size = [], 0
+    if size:
+        yield dealt()
 
 
 def _flatten(parent: np.ndarray) -> np.ndarray:
@@ -132,46 +170,57 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _flatten(parent)
 
 
-def link(fps: np.ndarray, levels: int, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Components of ascending fingerprints that agree in the first ``levels`` bits and differ in at most ``max_bits``.
+def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: int, max_bits: int, parent: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places x, y) of at most ``max_bits`` differing bits in subtrees of ascending fingerprints.
 
-    Returns for each place the smallest place of its component.
+    The subtrees are the places from ``starts`` to ``ends``, which agree in ``levels`` bits. ``parent`` has for each place
+    the smallest place of its component. With ``every`` all pairs of different components are given, else only as
+    many as connect what can be connected.
     """
-    n = len(fps)
-    parent = np.arange(n)
-    key = fps >> np.uint64(64 - levels)
-    lo = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
-    hi = np.append(lo[1:], n)
-    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
     ones: dict[int, np.ndarray] = {}
-    stack = [(levels, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)]))]
-    united = False
+    some = ends - starts > 1
+    lo, hi = starts[some], ends[some]
+    stack = [(levels, np.stack([lo, hi, lo, hi, np.zeros(len(lo), np.int64)])[:, i : i + FRONTIER]) for i in range(0, len(lo), FRONTIER)]
+    change = None
+
+    def chosen(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nonlocal parent, change
+        near = (parent[x] != parent[y]) & (np.bitwise_count(fps[x] ^ fps[y]) <= max_bits)
+        x, y = x[near], y[near]
+        if len(x) and not every:  # one pair for each two components
+            ends_ = np.sort(np.stack([parent[x], parent[y]]), axis=0)
+            _, at = np.unique(ends_[0] * len(fps) + ends_[1], return_index=True)
+            x, y = x[at], y[at]
+            parent, change = _unite(parent, x, y), None
+        if len(x):
+            yield x, y
+
     while stack:
         depth, pairs = stack.pop()
-        if united and pairs.shape[1]:  # what is one component already needs no further look
+        if change is None:
             change = np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])])
-            a, ah, b, bh, _ = pairs
-            same = (parent[a] == parent[b]) & (change[ah - 1] == change[a]) & (change[bh - 1] == change[b])
-            pairs = pairs[:, ~same]
+        a, ah, b, bh, _ = pairs  # what is one component already needs no further look
+        pairs = pairs[:, ~((parent[a] == parent[b]) & (change[ah - 1] == change[a]) & (change[bh - 1] == change[b]))]
         a, ah, b, bh, diff = pairs
         single = (ah - a == 1) & (bh - b == 1)
         if single.any():
-            x, y = a[single], b[single]
-            near = np.bitwise_count(fps[x] ^ fps[y]) <= max_bits
-            if near.any():
-                parent, united = _unite(parent, x[near], y[near]), True
+            yield from chosen(a[single], b[single])
             a, ah, b, bh, diff = pairs[:, ~single]
-        if not len(a) or depth == 64:
+        if not len(a):
+            continue
+        if depth == 64:  # equal fingerprints on each side
+            own = a == b
+            yield from chosen(*_within(a[own], ah[own], every))
+            for x, y in _between(a[~own], ah[~own], b[~own], bh[~own], every):
+                yield from chosen(x, y)
             continue
         if depth not in ones:
             ones[depth] = np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
         count = ones[depth]
         am, bm = ah - (count[ah] - count[a]), bh - (count[bh] - count[b])
-        own = a == b
-        cross = ~own
-        near = [np.stack([a, am, b, bm, diff]), np.stack([am, ah, bm, bh, diff])]
-        far = [np.stack([a, am, bm, bh, diff + 1]), np.stack([am, ah, b, bm, diff + 1])[:, cross]]
-        near, far = (np.concatenate(x, axis=1) for x in (near, far))
+        cross = a != b
+        near = np.concatenate([np.stack([a, am, b, bm, diff]), np.stack([am, ah, bm, bh, diff])], axis=1)
+        far = np.concatenate([np.stack([a, am, bm, bh, diff + 1]), np.stack([am, ah, b, bm, diff + 1])[:, cross]], axis=1)
         alive = lambda p: p[:, (p[1] > p[0]) & (p[3] > p[2]) & (p[4] <= max_bits) & ~((p[0] == p[2]) & (p[1] - p[0] == 1))]
         near, far = alive(near), alive(far)
         if near.shape[1] + far.shape[1] <= FRONTIER:
@@ -179,30 +228,81 @@ def link(fps: np.ndarray, levels: int, max_bits: int = MAX_BITS) -> np.ndarray:
         else:  # pairs with fewer differences come first, as what they connect prunes the others
             for part in (far, near):
                 stack += [(depth + 1, part[:, i : i + FRONTIER // 2]) for i in range(0, part.shape[1], FRONTIER // 2)]
-    return parent
-
-
-def _join(table: pa.Table) -> pa.Table:
-    """The subtrees of a bucket to links (u, v) between nodes."""
-    from_nodes, to_nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    trie = table.column("trie").to_numpy()
-    for number in np.unique(trie):
-        part = table.filter(pa.array(trie == number))
-        fps = joined(part.column("fps").to_pylist(), np.uint64)
-        nodes = np.concatenate([unsqueeze(x) for x in part.column("nodes").to_pylist()])
-        order = np.argsort(fps, kind="stable")
-        fps, nodes = fps[order], nodes[order]
-        levels = tries()[number][1]
-        key = fps >> np.uint64(64 - levels)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        group = first // TOGETHER  # whole subtrees only
-        cuts = [*first[np.flatnonzero(np.diff(group, prepend=-1))].tolist(), len(fps)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            root = link(fps[lo:hi], levels) + lo
-            moved = np.flatnonzero(root != np.arange(lo, hi)) + lo
-            from_nodes.append(nodes[moved])
-            to_nodes.append(nodes[root[moved - lo]])
-    return pa.table({"u": np.concatenate(from_nodes), "v": np.concatenate(to_nodes)})
+
+
+def _within(a: np.ndarray, ah: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of each range: all, or the first with each other."""
+    if every:
+        pairs = [np.stack(np.triu_indices(h - lo, 1)) + lo for lo, h in zip(a.tolist(), ah.tolist())]
+        x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        return x, y
+    size = ah - a - 1
+    x = np.repeat(a, size)
+    return x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _between(a: np.ndarray, ah: np.ndarray, b: np.ndarray, bh: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a place of each first and each second range: all, or those of the first places."""
+    if not every:
+        yield a, b
+        return
+    for lo, h, x, y in zip(a.tolist(), ah.tolist(), b.tolist(), bh.tolist()):
+        for one in range(lo, h):
+            yield np.full(y - x, one), np.arange(x, y)
+
+
+def _join(max_bits: int, buckets: int, every: bool, last: bool, table: pa.Table) -> pa.Table:
+    """The subtrees of a bucket to links (u, v) between nodes; subtrees that are too large are dealt out again."""
+    fps, trie, level, nodes, component = (joined(table.column(c).to_pylist(), k) for c, k in _KINDS.items())
+    order = np.lexsort((fps, trie, level))
+    fps, trie, level, nodes, component = (x[order] for x in (fps, trie, level, nodes, component))
+    links, again = [np.zeros((2, 0), np.int64)], []
+    for levels in np.unique(level).tolist():
+        lo, hi = np.searchsorted(level, [levels, levels + 1])
+        own, names, groups = fps[lo:hi], nodes[lo:hi], component[lo:hi]
+        key = own >> np.uint64(64 - levels)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (trie[lo + 1 : hi] != trie[lo : hi - 1])]))
+        ends = np.append(starts[1:], hi - lo)
+        hot = (ends - starts > HOT) & (not last)
+        for s, e in zip(starts[hot].tolist(), ends[hot].tolist()):
+            number = int(mix(np.array([(int(trie[lo + s]) << 32) + int(key[s] >> np.uint64(max(0, levels - 32)))], np.uint64))[0] >> np.uint64(33))
+            again += _entries(own[s:e], names[s:e], groups[s:e], tries(max_bits, FREE, levels), number, buckets)
+        _, first, place = np.unique(groups, return_index=True, return_inverse=True)
+        for x, y in near_pairs(own, starts[~hot], ends[~hot], levels, max_bits, first[place], every):
+            links.append(np.stack([names[x], names[y]]))
+    u, v = np.unique(np.sort(np.concatenate(links, axis=1), axis=0), axis=1)
+    rows = pa.table([u, v], ["u", "v"])
+    if not again:
+        return pa.table([*rows.columns, *(pa.nulls(len(u), f.type) for f in _DEALT_SCHEMA)], schema=_JOINED_SCHEMA)
+    dealt = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*again), _DEALT_SCHEMA)], schema=_DEALT_SCHEMA)
+    return pa.concat_tables([rows, dealt], promote_options="default").select(_JOINED_SCHEMA.names).cast(_JOINED_SCHEMA)
+
+
+def _of_table(f):
+    def run(table: pa.Table) -> pa.Table:
+        return f(table)
+
+    return run
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, free: int = FREE, every: bool = False) -> DataFrame:
+    """(u, v): nodes of (fp, node, component) whose fingerprints differ in at most ``max_bits`` bits, of different components.
+
+    Without ``every`` only as many as connect each subtree.
+    """
+    spark = nodes.sparkSession
+    entries = nodes.count() * len(tries(max_bits, free))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET + 1)
+    dealt = nodes.select("fp", "node", "component").mapInArrow(partial(_deal, buckets, max_bits, free), _DEALT)
+    found = None
+    for last in (False, True):
+        joiner = partial(_join, max_bits, buckets, every, last)
+        both = materialise(dealt.groupBy("bucket").applyInArrow(_of_table(joiner), _JOINED), "links")
+        own = both.filter("u is not null").select("u", "v")
+        found = own if found is None else found.union(own)
+        dealt = both.filter("bucket is not null").drop("u", "v")
+        if last or dealt.isEmpty():
+            return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -218,11 +318,45 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint(shingle), "doc_id long, fp long")
     rows = materialise(rows, "fingerprints")
     nodes = materialise(rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(buckets, nodes.count() * len(tries()) // TOGETHER)
-    dealt = nodes.mapInArrow(_deal(buckets), "bucket int, trie int, fps binary, nodes binary")
-    links = dealt.groupBy("bucket").applyInArrow(_join, "u long, v long")
-    found = connected_components(links)
+    found = connected_components(links(nodes.withColumn("component", F.col("node"))))
     placed = nodes.join(found, "node", "left").select(F.col("fp").alias("node_fp"), F.coalesce("component", "node").alias("component_id"))
     placed = materialise(placed, "components")
     return rows.join(placed, F.col("fp") == F.col("node_fp"), "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _nodes(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in text_slices(batch):
+            names, first = shingles.shingle_sets(piece.column("text"), shingle)
+            sizes = np.diff(first)
+            held = [shingles.set_names(names, first).view(np.int64), majority(names, sizes).view(np.int64), sizes.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *map(pa.array, held), pa.array([x.tobytes() for x in shingles.parities(names, first)], pa.binary())], ["doc_id", "node", "fp", "size", "parities"])
+
+
+def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int = COPY_BITS, free: int = COPY_FREE) -> DataFrame:
+    """doc_id and component_id of every row with a doc_id.
+
+    Texts are linked if the fingerprints of their sets of shingles differ in at most ``max_bits`` bits and the Jaccard
+    similarity of the sets is ``shingles.SIMILARITY`` at least; component_id is the smallest doc_id that can be reached.
+    Texts of equal sets are one node, so are all without a word. Repeated rows are all returned. Only doc_id and
+    text are read. An empty table gives an empty table.
+
+    Links that connect are looked at first; then all pairs of fingerprints whose nodes are still in different components.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    rows = materialise(docs.mapInArrow(partial(_nodes, shingle), "doc_id long, node long, fp long, size int, parities binary"), "rows")
+    heads = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parities").alias("parities"))
+    heads = materialise(heads, "heads")
+    kept = heads.filter("size > 0").select("fp", "node")
+    first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), max_bits, free), shingle)
+    found = materialise(connected_components(first), "found")
+    placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "placed")
+    more = shingles.similar(docs, heads, links(placed, max_bits, free, every=True), shingle)
+    if not more.isEmpty():
+        found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
+    named = heads.select("node", "least").join(found.hint("shuffle_hash"), "node", "left")
+    named = materialise(named.select("node", "least", F.coalesce("component", "node").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = named.join(least.hint("shuffle_hash"), "component").select("node", "component_id")
+    return rows.join(placed.hint("shuffle_hash"), "node").select("doc_id", "component_id")

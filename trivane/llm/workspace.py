@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where there is none."""
+    """The folder named by ``spark.checkpoint.dir``. Where there is none, a temporary one is set, but only for a session
+    whose tasks run in the driver; on a cluster that is an error, as executors do not share their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="trivane-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,7 +36,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``df``, which nothing may read any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 _shipped: set[str] = set()
@@ -45,7 +57,11 @@ BATCH_BYTES = str(16 << 20)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, and keep batches of texts small."""
+    """Send this package to the executors, once for each application, and keep batches of texts small.
+
+    Spark reads the sizes of batches when a plan runs, which is after the operator has returned it. So they stay set
+    in the session; a session that sets another ``maxRecordsPerBatch`` than Spark's default keeps its own.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
