@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, pii, shingles
+from trivane.llm import bpe_corpus, decontamination, language, pii, simhash
 from trivane.llm.workspace import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,14 +21,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group, once. Documents without an id are in no group and stay."""
-    groups = shingles.near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    """The document of the smallest id of each group, once: of several texts of one id the first in order.
+
+    Texts of one group have fingerprints of few differing bits and a Jaccard similarity of five-word shingles of 0.8
+    or more, or are linked by such texts. Documents without an id are in no group and stay.
+    """
+    groups = simhash.near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     groups = materialise(groups.withColumnRenamed("doc_id", "_id"), "kept")
     # one join at every size: texts are dealt once and not sorted, each task holds its part of the ids
     kept = docs.join(groups.hint("shuffle_hash"), docs["doc_id"].cast("long") == groups["_id"])
     if not groups.filter("_copies > 1").isEmpty():
-        once = kept.filter("_copies > 1").dropDuplicates(["doc_id"])
-        kept = kept.filter("_copies = 1").unionByName(once)
+        least = F.min(F.struct("text", *[c for c in COLUMNS if c not in ("doc_id", "text")])).alias("row")
+        once = kept.filter("_copies > 1").groupBy("doc_id").agg(least).select("doc_id", "row.*")
+        kept = kept.filter("_copies = 1").select(*COLUMNS).unionByName(once)
     return kept.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
