@@ -1,5 +1,9 @@
 """Hand-checked values of the graph operators, and the registered queries against SQL on a small table."""
 
+import hashlib
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +11,9 @@ from pyspark.sql import functions as F
 from trivane.functions import columns as C
 from trivane.operators import evaluation, ids, ontology, perturb, scoring, stats
 from trivane.operators.ranking import ntile, ranked, ranked_within
+from trivane.plans import datasets
 from trivane.plans import queries as Q
-from trivane.sources import readers
+from trivane.sources import catalogs, readers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -42,13 +47,19 @@ def test_energies(spark):
 
 def test_scalars(spark):
     assert one(spark, C.cantor(F.lit(3), F.lit(4))) == 32
+    assert one(spark, C.cantor(F.lit(300000001), F.lit(300000002))) == 180000002400000008
+    assert one(spark, C.without(F.lit("abcabc"), "b", "x", "ca")) == "abc"
+    assert one(spark, C.stripped(F.lit("\t a b \r\n"))) == "a b"
     assert one(spark, C.lenient_int(F.lit("12abc"))) == 12 and one(spark, C.lenient_int(F.lit("x"))) == 0
     assert one(spark, C.url_decoded(F.lit("a+b%20c"))) == "a+b c"
     assert one(spark, C.f1(F.lit(0.0), F.lit(0.0))) == 0.0
     rows = spark.createDataFrame([("a", 2.0), ("b", 4.0), ("c", 6.0)], "id string, value double")
     assert {r["id"]: r["value"] for r in scoring.normalised(rows).collect()} == {"a": 1.0, "b": 0.5, "c": 0.0}
     assert perturb.dataset_name("corrupt", "FB", 0.29) == "FB_CORRUPT[028]"
+    assert perturb.dataset_name("selected", "N", 0.95, 1.0, 95, 100, 10, 40, 600000) == "N_095_100_[095,100;010,040;600000]"
+    assert perturb.dataset_name("groomed", "N", 0.29, 1.0, 3.3478, 600000) == "N_028_100_[3.3478;600000]"
     assert len(perturb.nell_grid()) == 30
+    assert len(catalogs.REPLACED_TRIPLES) == 8 and catalogs.STRICT_CATEGORIES[-1].startswith("NELL.08m.165.esv")
 
 
 def test_ranks(spark):
@@ -83,35 +94,79 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
     assert sorted((r["line"], r["value"]) for r in got) == sorted(2 * list(enumerate(lines)))
 
 
-def groomed(edges, target, most, growth):
-    near = {}
-    for a, b in edges:
-        if a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    first = min(near, key=lambda e: (-len(near[e]), e))
-    chosen, total, out = {first}, 0, [(0, first, 0)]
-    while total < most:
-        gain = {e: len(near[e] & chosen) for e in near if e not in chosen and near[e] & chosen}
-        size = len(chosen)
-        best = sorted(gain, key=lambda e: (abs((total + gain[e]) / (size + 1) - target), e))[: max(1, int(growth * size))]
-        if not best:
-            break
+def groomed(rows, target, most, share):
+    """The rule as it is told, entity by entity: the counts of what a chosen entity touches fall."""
+    entries, near = {}, {}
+    for k, (a, b, _) in enumerate(rows):
+        for x, y in ((a, b), (b, a)):
+            entries.setdefault(x, []).append(k)
+            near.setdefault(x, set()).add(y)
+    count, around = {e: len(ks) for e, ks in entries.items()}, {e: len(n) for e, n in near.items()}
+    left, taken, active, number = set(entries), {}, set(), 0
+    while left and len(taken) < most:
+        number += 1
+        far = lambda e, n=len(taken), m=len(active): (abs(target - (n + count[e]) / (m + around[e] + 1)), e)
+        best = sorted(left, key=far)[: max(1, int(share * len(left)))]
         for e in best:
-            if total < most:
-                total += len(near[e] & chosen)
-                chosen.add(e)
-                out.append((len(out), e, total))
-    return out
-
-
-@pytest.mark.parametrize(("most", "growth"), [(6, 0.0), (40, 1.0), (1000, 2.0)])
-def test_grooming(spark, most, growth):
-    edges = [(f"e{i * i % 23}", f"e{i * 5 % 29}") for i in range(60)]
-    rows = triples(spark, [(a, b, "r") for a, b in edges])
-    got = perturb.groomed_entities(perturb.neighbours(rows), 2.0, most, growth).collect()
-    assert sorted(tuple(r) for r in got) == groomed(edges, 2.0, most, growth)
-    assert perturb.groomed_entities(perturb.neighbours(rows.limit(0))).count() == 0
+            left.discard(e)
+            for k in entries[e]:
+                for x in rows[k][:2]:
+                    count[x] -= 1
+            for x in near[e]:
+                around[x] -= 1
+            for k in entries[e]:
+                taken.setdefault(k, number)
+            active |= near[e] | {e}
+    return sorted((*rows[k], n) for k, n in taken.items())
+
+
+@pytest.mark.parametrize(("most", "share"), [(12, 0.0), (40, 0.2), (1000, 0.5)])
+def test_grooming(spark, most, share):
+    rows = [(f"e{i * i % 23}", f"e{i * 5 % 29 + 30}", "r") for i in range(60)] + [("x", "y", "q"), ("y", "z", "q")]
+    rows = list(dict.fromkeys(rows))
+    got = perturb.groomed(triples(spark, rows), 2.0, most, share).collect()
+    assert sorted(tuple(r) for r in got) == groomed(rows, 2.0, most, share)
+    assert perturb.groomed(triples(spark, rows).limit(0)).count() == 0
+
+
+def test_sparser_draw(spark):
+    """Quotas as drawn one by one, and of each relation the first triples in hash order."""
+    rows = [(f"h{i}", f"t{i}", f"r{(i * i) % 5}") for i in range(80)]
+    counts, quota = Counter(r for _, _, r in rows), Counter()
+    rng, open_ = random.Random(4), sorted(r for r in counts if counts[r] > 1)
+    for _ in range(50):
+        r = open_[rng.randrange(len(open_))]
+        quota[r] += 1
+        if quota[r] == counts[r] - 1:
+            open_.remove(r)
+    key = lambda x: hashlib.md5(":".join(["4", *x]).encode()).hexdigest()
+    gone = {x for r in counts for x in sorted((x for x in rows if x[2] == r), key=key)[: quota[r]]}
+    assert {tuple(r)[:3] for r in perturb.sparser(triples(spark, rows), 50).filter("removed").collect()} == gone
+
+
+def test_value_stats(spark):
+    """Borders of quarters belong to the lower one."""
+    rows = spark.createDataFrame([(float(i),) for i in range(5)], "energy double")
+    got = stats.value_stats(rows).first()
+    assert [got[f"quarter_{q}"] for q in (1, 2, 3, 4)] == [2, 1, 1, 1] and got["median"] == 1.0 and got["variance"] == 2.0
+    same = stats.value_stats(spark.createDataFrame([(1.0,), (1.0,)], "energy double")).first()
+    assert same["quarter_1"] == 2 and same["distinct_values"] == 1
+
+
+def test_resolved_and_sets(spark):
+    ids_ = spark.createDataFrame([(1, "a", "b", "r")], "id long, head string, tail string, relation string")
+    with pytest.raises(Exception, match="no triple of id 2"):
+        evaluation.resolved(spark.createDataFrame([(1, 0.5), (2, 0.1)], "id long, rank double"), ids_).collect()
+
+
+def test_dataset_of_collapsed_relations(spark):
+    rows = triples(spark, [(f"h{i}", f"t{i}", f"r{i % 4}") for i in range(40)])
+    whole = datasets.dataset(perturb.split(rows))
+    less, mapping = datasets.collapsed(whole, 1)
+    assert mapping.count() == 1 and less.relations.count() == 3 and less.entities is whole.entities
+    assert less.split("train").count() == whole.split("train").count() == 36
+    fewer, removed = datasets.with_fewer_relations(whole, 1)
+    assert removed.select("relation").distinct().count() == 1 and sorted(r["idx"] for r in fewer.relations.collect()) == [0, 1, 2]
 
 
 @pytest.mark.parametrize(("n", "sizes"), [(20, (18, 1, 1)), (15, (13, 1, 1)), (10, (9, 0, 0))])
@@ -185,7 +240,13 @@ def test_readers(spark, tmp_path):
     assert held == {"size": "100", "datadir": "b"}
 
 
-@pytest.mark.parametrize("name", ["score_transe_l1", "corruptions_skyline", "link_ranks", "auc_pr", "dataset_stats", "dense_triples", "centile_dataset", "sparsity_noise_grid", "sparser_rounds", "external_triples", "dataset_compiled", "dataset_annotated", "confidences_replaced"])
+#: One of each kind; the driver runs them all.
+CHECKED = """score_transe_l1 score_stranse_l1 corruptions_made corruptions_skyline link_ranks auc_pr energy_stats threshold_sweep dataset_stats_row dense_triples centile_dataset corrupted sparser_rounds external_triples
+dataset_compiled dataset_annotated confidences_replaced source_triples_with_id source_matrices source_all_confident source_freebase source_wordnet log_results dump_tables dump_built numbers triples_without targets_kept energies_cached
+folder_corruptions_scored dataset_grid dataset_fewer_relations""".split()
+
+
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

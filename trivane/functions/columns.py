@@ -14,9 +14,10 @@ def sigmoid(x: Column) -> Column:
 
 
 def cantor(a: Column, b: Column) -> Column:
-    """Exact Cantor pairing of two longs."""
+    """Exact Cantor pairing of two longs from 0, as long as it fits in one."""
     total = a.cast("long") + b.cast("long")
-    return F.floor(total * (total + 1) / 2).cast("long") + b.cast("long")
+    even = F.when(total % 2 == 0, F.shiftright(total, 1) * (total + 1)).otherwise(total * F.shiftright(total + 1, 1))
+    return even + b.cast("long")
 
 
 def cantor_real(a: Column, b: Column) -> Column:
@@ -44,6 +45,11 @@ def hash_int(seed: int | str, *keys: Column) -> Column:
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("long")
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space at its ends."""
+    return F.trim(text, F.lit(" \t\r\n\f\x0b"))
+
+
 def lenient_int(text: Column) -> Column:
     """The number that a text begins with, else 0."""
     return F.coalesce(F.regexp_extract(F.trim(text), r"^([+-]?\d+)", 1).try_cast("long"), F.lit(0))
@@ -66,11 +72,18 @@ def not_a_number_to_null(text: Column) -> Column:
 def without(text: Column, *parts: str) -> Column:
     """The text without the first occurrence of each part, wherever it stands."""
     for part in parts:
-        at = F.instr(text, part)
-        text = F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), text.substr(at + len(part), F.length(text)))).otherwise(text)
+        text = F.transform(F.array(text), _cutter(part))[0]  # so the text is computed once for each part
     return text
 
 
+def _cutter(part: str) -> Callable[[Column], Column]:
+    def cut(text: Column) -> Column:
+        at = F.instr(text, part)
+        return F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), text.substr(at + len(part), F.length(text)))).otherwise(text)
+
+    return cut
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]+)/*$", 1)
 

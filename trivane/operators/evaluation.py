@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ranked, ranked_within, settled
+from trivane.operators.ranking import ranked
 
 KEY = ["head", "tail", "relation"]
 
@@ -44,7 +44,7 @@ def auc_pr(rows: DataFrame) -> DataFrame:
 def threshold_sweep(rows: DataFrame, step: float = 0.5, positive_is: str = "high") -> DataFrame:
     """Precision, recall and F1 at thresholds from the truncated least energy to that of the greatest plus one.
 
-    Triples are first counted by the threshold they reach, so the sweep handles counts, not all rows at all thresholds.
+    Triples are first counted by the threshold they reach; the sweep is running sums of these counts.
     """
     ends = rows.agg(F.min("energy").cast("long").alias("a"), (F.max("energy") + 1).cast("long").alias("b")).first()
     schema = "threshold double, precision double, recall double, f1 double"
@@ -52,11 +52,13 @@ def threshold_sweep(rows: DataFrame, step: float = 0.5, positive_is: str = "high
         return rows.sparkSession.createDataFrame([], schema)
     a, n = float(ends["a"]), int((ends["b"] - ends["a"]) / step)
     slot = F.floor((F.col("energy") - a) / step)
-    counts = rows.groupBy(slot.alias("slot")).agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("q"))
-    marks = rows.sparkSession.range(n + 1).select(F.col("id").alias("at"))
-    reached = F.col("slot") >= F.col("at")
-    positive = reached if positive_is == "high" else ~reached
-    each = marks.crossJoin(counts).groupBy("at").agg(F.sum(F.when(positive, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(positive, F.col("q")).otherwise(0)).alias("fp"), F.sum("p").alias("all"))
+    counts = rows.groupBy(slot.alias("at")).agg(F.count_if("is_positive").alias("p"), F.count_if(~F.col("is_positive")).alias("q"))
+    marks = rows.sparkSession.range(n + 1).select(F.col("id").alias("at")).join(counts, "at", "left").fillna(0, ["p", "q"])
+    order = -F.col("at") if positive_is == "high" else F.col("at")  # running sums from the end where rows are positive
+    run = ranked(marks, [order], {"tp": F.col("p"), "fp": F.col("q")}).crossJoin(counts.agg(F.sum("p").alias("all")))
+    if positive_is != "high":  # a row on a threshold is not below it
+        run = run.withColumns({"tp": F.col("tp") - F.col("p"), "fp": F.col("fp") - F.col("q")})
+    each = run
     precision, recall = C.ratio(F.col("tp"), F.col("tp") + F.col("fp")), C.ratio(F.col("tp"), F.col("all"))
     out = each.select((a + F.col("at") * step).alias("threshold"), precision.alias("precision"), recall.alias("recall"))
     return out.withColumn("f1", C.f1(F.col("precision"), F.col("recall")))
@@ -67,18 +69,22 @@ def link_ranks(test: DataFrame, scored: DataFrame, valid: DataFrame) -> DataFram
 
     Lower energies rank first, ties by triple. Corruptions that are valid triples do not count in the filtered rank. A
     test triple that was not scored has raw rank 1, and all other corruptions before it in the filtered one.
-    Running counts of all scored rows start anew in each (kept part, relation), however many rows it has, and are joined
-    to the test triples.
+    The test triples, which are few, meet the scored rows of their (kept part, relation), and what comes before each is
+    counted, in part where the rows are.
     """
-    flags = valid.select(*KEY).distinct().withColumn("_valid", F.lit(1))
-    rows = settled(scored.join(flags, KEY, "left").select(*KEY, "energy", F.when(F.col("_valid").isNull(), 1).otherwise(0).alias("_other")))
+    flags = valid.select(*KEY).distinct().withColumn("_valid", F.lit(True))
+    rows = scored.join(flags, KEY, "left").select(*KEY, "energy", F.col("_valid").isNull().alias("_other"))
+    own = test.select(*KEY).distinct().join(scored.select(*KEY, F.col("energy").alias("_own")), KEY, "left")
     out = None
     for side, kept in (("head", "tail"), ("tail", "head")):
-        place = ranked_within(rows, [kept, "relation"], [F.col("energy"), F.col(side)], {"_seen": F.col("_other")}, rank="raw")
-        place = place.select(*KEY, "raw", (1 + F.col("_seen") - F.col("_other")).alias("filtered"))
-        absent = rows.groupBy(kept, "relation").agg((1 + F.sum("_other")).alias("_all"))
-        one = test.select(*KEY).join(place, KEY, "left").join(absent, [kept, "relation"], "left")
-        one = one.select(*KEY, F.lit(side).alias("side"), F.coalesce("raw", F.lit(1)).cast("long").alias("raw"), F.coalesce("filtered", "_all", F.lit(1)).cast("long").alias("filtered"), F.col("raw").isNull().alias("missing"))
+        held = rows.select(kept, "relation", F.col(side).alias("_side"), "energy", "_other")
+        before = (F.col("energy") < F.col("_own")) | ((F.col("energy") == F.col("_own")) & (F.col("_side") < F.col(side)))
+        met = own.join(held, [kept, "relation"], "left")
+        one = met.groupBy(*KEY, F.col("_own").isNull().alias("missing")).agg(
+            F.count_if(before).alias("_raw"), F.count_if(before & F.col("_other")).alias("_filtered"), F.count_if("_other").alias("_all")
+        )
+        filtered = F.when(F.col("missing"), F.col("_all")).otherwise(F.col("_filtered"))
+        one = one.select(*KEY, F.lit(side).alias("side"), (1 + F.col("_raw")).alias("raw"), (1 + filtered).alias("filtered"), "missing")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -96,3 +102,13 @@ def readable_top(scored: DataFrame, valid: DataFrame, n: int = 10) -> DataFrame:
     mark = F.when(F.col("_valid"), "O").otherwise("X")
     text = F.concat(mark, F.lit(" -- "), F.concat_ws(" :: ", "head", "relation", "tail"))
     return top.join(flags, KEY, "left").select(*KEY, "energy", text.alias("line"))
+
+
+def resolved(ranks: DataFrame, triples: DataFrame) -> DataFrame:
+    """(id, head, tail, relation, rank) of ranks (id, rank) by triples (id, ...); an id without a triple is an error.
+
+    Only the triples of the wanted ids travel: the few ids are joined to the table of all.
+    """
+    found = ranks.join(triples.select("id", F.struct(*KEY).alias("_triple")), "id", "left")
+    lost = F.raise_error(F.concat(F.lit("there is no triple of id "), F.col("id").cast("string"))).cast(found.schema["_triple"].dataType)
+    return found.withColumn("_triple", F.coalesce("_triple", lost)).select("id", "_triple.*", "rank")

@@ -28,9 +28,9 @@ def to_dense(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> D
     """External to dense ids; what has no id becomes null."""
     out = triples
     for column, ids in (("head", entities), ("tail", entities), ("relation", relations)):
-        out = out.join(ids.select(F.col("key").alias(column), F.col("idx").alias(f"{column}_idx")), column, "left")
+        out = out.join(ids.select(F.col("key").alias(column), F.col("idx").alias(f"_{column}_idx")), column, "left")
     kept = [c for c in triples.columns if c not in ("head", "tail", "relation")]
-    return out.select(*[F.col(f"{c}_idx").alias(c) for c in ("head", "tail", "relation")], *kept)
+    return out.select(*[F.col(f"_{c}_idx").alias(c) for c in ("head", "tail", "relation")], *kept)
 
 
 def to_external(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

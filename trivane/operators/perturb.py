@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ranked, ranked_within, settled
+from trivane.operators.ranking import first_rows, ranked, ranked_within, settled
 
 KEY = ["head", "tail", "relation"]
 
@@ -33,13 +33,13 @@ def split(triples: DataFrame, seed: int = 4, train: float = 0.9, keep_remainder:
 
 
 def sample_triples(triples: DataFrame, size: int, seed: int = 4) -> DataFrame:
-    return triples.orderBy(C.hash_order(seed, *map(F.col, KEY)), *KEY).limit(size)
+    return first_rows(triples, [C.hash_order(seed, *map(F.col, KEY)), *map(F.col, KEY)], size)
 
 
 def sample_entities(triples: DataFrame, size: int, seed: int = 4) -> DataFrame:
     """Triples whose both ends are among ``size`` sampled entities."""
     entities = triples.select(F.explode(F.array("head", "tail")).alias("entity")).distinct()
-    kept = entities.orderBy(C.hash_order(seed, F.col("entity")), "entity").limit(size)
+    kept = first_rows(entities, [C.hash_order(seed, F.col("entity")), F.col("entity")], size)
     out = triples
     for side in ("head", "tail"):
         out = out.join(kept.select(F.col("entity").alias(side)), side, "left_semi")
@@ -100,31 +100,36 @@ def collapse_map(triples: DataFrame, n: int, seed: int = 4) -> DataFrame:
     return source.join(rows.withColumnRenamed("relation", "target"), "rank").select("source", "target")
 
 
-def corrupted(triples: DataFrame, share: float, seed: int = 4, attempts: int = 16) -> DataFrame:
-    """Add ``corrupted``, with the chosen train rows changed: the first share in hash order, rounded down.
+def replaced(chosen: DataFrame, triples: DataFrame, seed: int = 4, attempts: int = 16) -> DataFrame:
+    """(head, tail, relation, new_head, new_tail, new_relation) of distinct chosen triples.
 
-    One part of a chosen triple is replaced by an entity or relation by chance; the first of the attempts that is
-    no triple of any split counts. It is an error if all attempts are.
+    One part is replaced by an entity or relation by chance; the first of the attempts that is none of ``triples`` counts.
+    It is an error if all attempts are.
     """
-    train = triples.filter("split = 'train'")
-    n = int(train.count() * share)
     entities = ranked(triples.select(F.explode(F.array("head", "tail")).alias("value")).distinct(), [F.col("value")])
     relations = ranked(triples.select(F.col("relation").alias("value")).distinct(), [F.col("value")])
     n_entities, n_relations = entities.count(), relations.count()
-    placed = shuffled(train, seed, KEY, "_place").withColumn("corrupted", F.col("_place") <= n)
-    tries = placed.filter("corrupted").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    tries = chosen.select(*KEY).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     part = F.pmod(C.hash_int(f"{seed}:part", *map(F.col, KEY), F.col("attempt")), F.lit(3))
     value = C.hash_int(f"{seed}:value", *map(F.col, KEY), F.col("attempt"))
     tries = tries.withColumn("part", part).withColumn("at", F.when(F.col("part") == 2, value % n_relations).otherwise(value % n_entities) + 1)
     pool = entities.withColumn("kind", F.lit(0)).union(relations.withColumn("kind", F.lit(1))).select(F.col("value").alias("new"), F.col("rank").alias("at"), "kind")
     drawn = tries.withColumn("kind", (F.col("part") == 2).cast("int")).join(pool, ["at", "kind"])
     new = [F.when(F.col("part") == i, F.col("new")).otherwise(F.col(c)).alias(f"new_{c}") for i, c in enumerate(KEY)]
-    drawn = drawn.select(*KEY, "_place", "attempt", *new)
     known = triples.select(*[F.col(c).alias(f"new_{c}") for c in KEY]).distinct()
-    fresh = drawn.join(known, [f"new_{c}" for c in KEY], "left_anti")
-    first = fresh.groupBy("_place").agg(F.min_by(F.struct(*[f"new_{c}" for c in KEY]), "attempt").alias("_new"))
-    checked = F.when(F.col("corrupted") & F.col("_new").isNull(), F.raise_error(F.lit("all attempts at a triple failed")).cast("string"))
-    changed = placed.join(first, "_place", "left").select(*[F.coalesce(checked, F.col(f"_new.new_{c}"), F.col(c)).alias(c) for c in KEY], "split", "corrupted")
+    fresh = drawn.select(*KEY, "attempt", *new).join(known, [f"new_{c}" for c in KEY], "left_anti")
+    first = fresh.groupBy(*KEY).agg(F.min_by(F.struct(*[f"new_{c}" for c in KEY]), "attempt").alias("_new"))
+    lost = F.raise_error(F.lit("all attempts at a triple failed")).cast(first.schema["_new"].dataType)
+    return chosen.select(*KEY).join(first, KEY, "left").select(*KEY, F.coalesce("_new", lost).alias("_new")).select(*KEY, "_new.*")
+
+
+def corrupted(triples: DataFrame, share: float, seed: int = 4, attempts: int = 16) -> DataFrame:
+    """Add ``corrupted``, with the chosen train rows changed: the first share in hash order, rounded down (see ``replaced``)."""
+    train = triples.filter("split = 'train'")
+    n = int(train.count() * share)
+    placed = shuffled(train, seed, KEY, "_place").withColumn("corrupted", F.col("_place") <= n)
+    new = replaced(placed.filter("corrupted"), triples, seed, attempts)
+    changed = placed.join(new, KEY, "left").select(*[F.when(F.col("corrupted"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in KEY], "split", "corrupted")
     return changed.unionByName(triples.filter("split != 'train'").select(*KEY, "split").withColumn("corrupted", F.lit(False)))
 
 
@@ -153,43 +158,62 @@ def adjacency(triples: DataFrame) -> DataFrame:
     return neighbours(triples).groupBy("entity").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
 
 
-def groomed_entities(edges: DataFrame, target: float = 3.3478, most: int = 600_000, growth: float = 0.5) -> DataFrame:
-    """Entities in the order in which a search for a density adds them: (step, entity, triples).
+def groomed(triples: DataFrame, target: float = 3.3478, most: int = 600_000, share: float = 0.0) -> DataFrame:
+    """Triples in the rounds in which a search for a density takes them: (head, tail, relation, round).
 
-    ``edges`` is (entity, other) in both directions. The search starts at the entity of most neighbours. A round takes
-    the neighbours of what is chosen, orders them by how close each alone would bring triples / entities to ``target``
-    (ties by name), and adds the first of them, as many as ``growth`` times those chosen, one at least. ``triples``
-    counts the edges among what is chosen at each step. The search ends with the step that reaches ``most`` or
-    without candidates. With ``growth`` 0 a round adds one entity, which is the plain greedy search; beyond that the
-    number of rounds grows with the logarithm of the result. Every round is joins over all edges.
+    All entities are candidates from the start. A round takes the entity for which (triples + its count) / (entities + its
+    neighbours + 1) is closest to ``target``, ties by name; all its triples and neighbours come with it, and the
+    counts of the entities they touch fall. It ends with the round that reaches ``most`` triples, or without candidates.
+    A loop counts twice. ``share`` is the part of the candidates that a round takes at once, one at least: with 0 the
+    search is greedy, one entity a round; beyond, counts are those of the round's beginning, and it ends in
+    about log(entities) / share rounds. Every round is joins over all triples.
     """
-    edges = settled(edges.filter("entity != other"))
-    first = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(1)
-    chosen = new = settled(first.select(F.lit(0).cast("long").alias("step"), "entity", F.lit(0).cast("long").alias("triples")))
-    gains = edges.select("entity", F.lit(0).cast("long").alias("gain")).limit(0)
-    size, total = chosen.count(), 0
-    while size and total < most:
-        met = edges.join(new.select(F.col("entity").alias("other")), "other").select("entity", F.lit(1).cast("long").alias("gain"))
-        gains = gains.union(met).groupBy("entity").agg(F.sum("gain").alias("gain"))
-        gains = settled(gains.join(chosen, "entity", "left_anti"))
-        far = F.abs((total + F.col("gain")) / F.lit(size + 1) - target)
-        best = settled(ranked(gains.withColumn("far", far), [F.col("far"), F.col("entity")]).filter(F.col("rank") <= max(1, int(growth * size))))
-        here, there = best.select("entity", "rank"), best.select(F.col("entity").alias("other"), F.col("rank").alias("before"))
-        within = edges.join(here, "entity").join(there, "other").filter("before < rank").groupBy("entity").agg(F.count(F.lit(1)).alias("more"))
-        added = best.join(within, "entity", "left").select("entity", "rank", (F.col("gain") + F.coalesce("more", F.lit(0))).alias("own"))
-        run = ranked(added, [F.col("rank")], {"triples": F.col("own")}, rank="at").filter(F.col("triples") - F.col("own") + total < most)
-        new = settled(run.select((F.col("at") + (size - 1)).alias("step"), "entity", (F.col("triples") + total).alias("triples")))
-        n, top = new.agg(F.count(F.lit(1)), F.max("triples")).first()
-        if not n:
-            break
-        size, total = size + n, top
-        chosen = settled(chosen.union(new))
-    return chosen
+    triples = settled(triples.select(*KEY))
+    ends = settled(triples.select(F.col("head").alias("entity"), F.col("tail").alias("other")).union(triples.select("tail", "head")))
+    left = settled(ends.select("entity").distinct())
+    chosen = left.limit(0).select("entity", F.lit(0).alias("round"))
+    held, entities, number, candidates = 0, 0, 0, left.count()
+    while candidates and held < most:
+        number += 1
+        free = ends.join(chosen.select(F.col("entity").alias("other")), "other", "left_anti")
+        counts = free.groupBy("entity").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("other").alias("neighbours"))
+        state = left.join(counts, "entity", "left").fillna(0)
+        far = F.abs(target - (held + F.col("count")) / (entities + F.col("neighbours") + 1))
+        take = max(1, int(share * candidates))
+        best = first_rows(state.withColumn("far", far), [F.col("far"), F.col("entity")], take)
+        chosen = settled(chosen.union(best.select("entity", F.lit(number).alias("round"))))
+        left = settled(left.join(chosen, "entity", "left_anti"))
+        candidates -= take
+        held = _touched(triples, chosen).count()
+        met = ends.join(chosen, "entity").select(F.col("other").alias("entity")).union(chosen.select("entity"))
+        entities = met.distinct().count()
+    return _touched(triples, chosen)
+
+
+def _touched(triples: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The triples with an end among (entity, round), and the first round of both."""
+    out = triples
+    for side in ("head", "tail"):
+        out = out.join(chosen.select(F.col("entity").alias(side), F.col("round").alias(f"_{side}")), side, "left")
+    return out.withColumn("round", F.least("_head", "_tail")).filter("round is not null").select(*KEY, "round")
 
 
 def dataset_name(kind: str, base: str, *values: float) -> str:
-    """Names of derived datasets; shares are written as truncated percents."""
-    forms = {"corrupt": "_CORRUPT[%03d]", "triples_removed": "_TR[%06d]", "relations_removed": "_RR[%06d]", "collapsed": "_CR[%03d]", "sample": "_SAMPLE[%06d]", "entity_sample": "_ENTITY_SAMPLE[%06d]"}
+    """Names of derived datasets; shares are written as truncated percents.
+
+    ``selected`` takes the least and greatest probability, entity centile and relation centile and the most triples,
+    ``groomed`` the probabilities, the density and the most triples.
+    """
+    percent = lambda x: "%03d" % int(x * 100)
+    if kind == "selected":
+        a, b, *tiles, most = values
+        return base + f"_{percent(a)}_{percent(b)}_[%03d,%03d;%03d,%03d;{most}]" % tuple(tiles)
+    if kind == "groomed":
+        a, b, target, most = values
+        return base + f"_{percent(a)}_{percent(b)}_[{target};{most}]"
+    forms = {  # fixed values
+        "corrupt": "_CORRUPT[%03d]", "triples_removed": "_TR[%06d]", "relations_removed": "_RR[%06d]", "collapsed": "_CR[%03d]", "sample": "_SAMPLE[%06d]", "entity_sample": "_ENTITY_SAMPLE[%06d]"
+    }
     if kind == "tradeoff":
         return base + "_TRADEOFF[%06d,%03d]" % (values[0], int(values[1] * 100))
     value = int(values[0] * 100) if kind == "corrupt" else values[0]

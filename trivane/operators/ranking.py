@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trivane.shared import shared_folder
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, which cuts lineage; a folder is set only where there is none."""
+    """The rows written to the shared checkpoint folder, which cuts lineage. This runs a job at once."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trivane-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
     """Add the 1-based ``rank`` of each row in ``order``, and a running sum for each of ``sums``.
 
-    Rows are range-partitioned, numbered inside their partition, and moved on by what the partitions before
-    hold; of these only one row for each partition comes to the driver. ``order`` must have no ties.
+    Rows are range-partitioned, sorted and numbered inside their partition, and moved on by what the partitions before
+    hold; of these only one row for each partition comes to the driver. ``order`` must have no ties. The numbering
+    runs jobs at once, before the caller's plan.
     """
     sums = sums or {}
     held = df.withColumns(sums) if sums else df
-    parts = settled(held.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    placed = held.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # the partition from bit 33 on, below it the row
+    parts = settled(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
     totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums]).collect()
     before, rows = [0] * (1 + len(sums)), []
     for r in sorted(totals):
@@ -32,15 +35,19 @@ def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
         before = [b + x for b, x in zip(before, r[1:])]
     kinds = ["_part int", "_rank_before long"] + [f"_before_{c} {parts.select(F.sum(c)).dtypes[0][1]}" for c in sums]
     moved = df.sparkSession.createDataFrame(rows, ", ".join(kinds))
-    within = Window.partitionBy("_part").orderBy(*order)
-    out = parts.join(moved, "_part").withColumn(rank, F.row_number().over(within) + F.col("_rank_before"))
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(moved, "_part").withColumn(rank, F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + 1 + F.col("_rank_before"))
+    running = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sums:
         out = out.withColumn(f"_run_{c}", F.sum(c).over(running) + F.col(f"_before_{c}"))
-    out = out.drop("_part", "_rank_before", *[f"_before_{c}" for c in sums], *sums)
+    out = out.drop("_part", "_at", "_rank_before", *[f"_before_{c}" for c in sums], *sums)
     return out.withColumnsRenamed({f"_run_{c}": c for c in sums})
 
 
+def first_rows(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows in ``order``, which must have no ties; no task holds more than its share of them."""
+    return ranked(df, order, rank="_rank").filter(F.col("_rank") <= most).drop("_rank")
+
+
 def ranked_within(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
     """As ``ranked``, but ranks and sums begin anew for each value of ``keys``.
 

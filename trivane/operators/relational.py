@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ntile, ranked
+from trivane.operators.ranking import first_rows, ntile, ranked, settled
 from trivane.operators.stats import entity_counts, relation_counts
 
 
@@ -60,7 +60,7 @@ def selected(
     out = triples.filter(F.col("probability").between(*probability)).join(relations, "relation", "left_semi")
     for side in ("head", "tail"):
         out = out.join(entities.select(F.col("entity").alias(side)), side, "left_semi")
-    return out.orderBy("head", "relation", "tail").limit(most)
+    return first_rows(out, [F.col(c) for c in ("head", "relation", "tail")], most)
 
 
 def prepared(text, kind: str):
@@ -69,3 +69,36 @@ def prepared(text, kind: str):
     if kind in ("int", "double"):
         return clean.try_cast(kind)
     return F.lower(clean).isin("true", "t", "1") if kind == "boolean" else C.url_decoded(clean)
+
+
+def built(rows: DataFrame, entity_min: int = 10, relation_min: int = 5) -> dict[str, DataFrame]:
+    """The whole build from a dump's rows: its tables, counts of entities and relations, and the candidate triples."""
+    tables = {name: settled(df) for name, df in tables_of(rows).items()}
+    triples = tables["Triples"].dropna(subset=["head", "tail", "relation"])
+    concepts = tables["Entities"].filter("isConcept").select(F.col("id").alias("entity"))
+    counts = {"EntityCounts": with_centiles(entity_counts(triples, once=True), "entity"), "RelationCounts": with_centiles(relation_counts(triples), "relation")}
+    return tables | counts | {"CandidateTriples": candidates(triples, concepts, entity_min, relation_min)}
+
+
+def inserted(held: DataFrame, page: DataFrame, key: list[str]) -> DataFrame:
+    """``held`` and those rows of ``page`` whose key is new; of several of one key the first in the order of the others stays."""
+    others = [c for c in held.columns if c not in key]
+    new = page.select(*held.columns).join(held.select(*key), key, "left_anti")
+    new = new.groupBy(*key).agg(F.min(F.struct(*others)).alias("_row")).select(*key, "_row.*") if others else new.distinct()
+    return held.unionByName(new)
+
+
+def united(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of both."""
+    return left.unionByName(right).distinct()
+
+
+def common(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows that both have."""
+    return left.intersect(right.select(*left.columns))
+
+
+def without(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of ``left``, repeats and all, that ``right`` does not have; nulls are equal."""
+    gone = right.select(*[F.col(c).alias(f"_{c}") for c in left.columns]).distinct()
+    return left.join(gone, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in left.columns], "left_anti")

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
+from trivane.operators.ranking import ranked
 
 KEY = ["head", "tail", "relation"]
 
 
+def _vectors(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Vectors by head, by tail, and by relation with the weights, whose names are returned too."""
+    h, t = (entities.select(F.col("key").alias(side), F.col("vec").alias(f"_{side[0]}")) for side in ("head", "tail"))
+    weights = [c for c in relations.columns if c not in ("key", "vec")]
+    return h, t, relations.select(F.col("key").alias("relation"), F.col("vec").alias("_r"), *[F.col(c).alias(f"_w_{c}") for c in weights]), weights
+
+
+def _energy(method: str, distance: str, weights: list[str]):
+    return C.energy(method, distance, h=F.col("_h"), r=F.col("_r"), t=F.col("_t"), **{c: F.col(f"_w_{c}") for c in weights}).alias("energy")
+
+
 def score(triples: DataFrame, entities: DataFrame, relations: DataFrame, method: str = "transe", distance: str = "L1", below: float | None = None) -> DataFrame:
     """Energy of each distinct triple.
 
@@ -17,12 +29,9 @@ def score(triples: DataFrame, entities: DataFrame, relations: DataFrame, method:
     that has no vector are dropped; with ``below`` also those of a higher energy. The joins are left to Spark,
     which broadcasts vectors only as far as their size allows.
     """
-    h, t = (entities.select(F.col("key").alias(side), F.col("vec").alias(f"_{side[0]}")) for side in ("head", "tail"))
-    weights = [c for c in relations.columns if c not in ("key", "vec")]
-    r = relations.select(F.col("key").alias("relation"), F.col("vec").alias("_r"), *[F.col(c).alias(f"_w_{c}") for c in weights])
+    h, t, r, weights = _vectors(entities, relations)
     rows = triples.select(*KEY).distinct().join(h, "head").join(t, "tail").join(r, "relation")
-    found = C.energy(method, distance, h=F.col("_h"), r=F.col("_r"), t=F.col("_t"), **{c: F.col(f"_w_{c}") for c in weights})
-    out = rows.select(*KEY, found.alias("energy"))
+    out = rows.select(*KEY, _energy(method, distance, weights))
     return out if below is None else out.filter(F.col("energy") <= below)
 
 
@@ -35,15 +44,46 @@ def entity_universe(*triples: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _halves(triples: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tail, relation) where heads are replaced; (head, relation) where tails are; and the entities as tails.
+
+    The two latter say what the first half has already: ``_known`` heads with the tail's ``_others``.
+    """
+    by_tail, by_head = triples.select("tail", "relation").distinct(), triples.select("head", "relation").distinct()
+    others = by_tail.groupBy("tail").agg(F.collect_set("relation").alias("_others"))
+    ends = entities.select(F.col("entity").alias("tail")).join(others, "tail", "left")
+    known = entities.select(F.col("entity").alias("head"), F.lit(True).alias("_known"))
+    return by_tail, by_head.join(known, "head", "left"), ends
+
+
+def _twice() -> Column:
+    return F.coalesce(F.col("_known") & F.array_contains("_others", F.col("relation")), F.lit(False))
+
+
 def corruptions(triples: DataFrame, entities: DataFrame) -> DataFrame:
     """Every triple with its head, and with its tail, replaced by every entity; distinct, the triple itself included.
 
-    Equal (tail, relation) and (head, relation) are made one before they meet the entities: the product with
-    the entities is the result itself, so nothing smaller can be joined.
+    Equal (tail, relation) and (head, relation) are made one before they meet the distinct entities: the product with
+    the entities is the result itself, so nothing smaller can be joined. What both halves would have is left
+    out of the second as it is made, so the product is not shuffled.
+    """
+    by_tail, by_head, ends = _halves(triples, entities)
+    heads = by_tail.crossJoin(entities.select(F.col("entity").alias("head")))
+    return heads.select(*KEY).union(by_head.crossJoin(ends).filter(~_twice()).select(*KEY))
+
+
+def scored_corruptions(triples: DataFrame, entities: DataFrame, vectors: DataFrame, relations: DataFrame, method: str = "transe", distance: str = "L1", below: float | None = None) -> DataFrame:
+    """The energies of ``corruptions(triples, entities)``.
+
+    The vectors meet the kept parts and the entities before the product, which only computes the energy.
     """
-    heads = triples.select("tail", "relation").distinct().crossJoin(entities.select(F.col("entity").alias("head")))
-    tails = triples.select("head", "relation").distinct().crossJoin(entities.select(F.col("entity").alias("tail")))
-    return heads.select(*KEY).union(tails.select(*KEY)).distinct()
+    h, t, r, weights = _vectors(vectors, relations)
+    by_tail, by_head, ends = _halves(triples, entities)
+    energy = _energy(method, distance, weights)
+    heads = by_tail.join(t, "tail").join(r, "relation").crossJoin(entities.select(F.col("entity").alias("head")).join(h, "head"))
+    tails = by_head.join(h, "head").join(r, "relation").crossJoin(ends.join(t, "tail")).filter(~_twice())
+    out = heads.select(*KEY, energy).union(tails.select(*KEY, energy))
+    return out if below is None else out.filter(F.col("energy") <= below)
 
 
 def cutoffs(scored: DataFrame, side: str) -> DataFrame:
@@ -86,3 +126,20 @@ def replaced_confidence(triples: DataFrame, scored: DataFrame) -> DataFrame:
     """Confidences replaced by normalised energies where there is one."""
     new = normalised(scored, "energy").select(*KEY, F.col("energy").alias("_new"))
     return triples.join(new, KEY, "left").withColumn("confidence", F.coalesce("_new", "confidence")).drop("_new")
+
+
+def targets(scored: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """(targets, log) of scored triples: those of at most the energy ``most`` with a running id from 0, and counts of all rounded energies.
+
+    ``targets`` has id, the triple and its energy; files of ids with triples and of ids with energies are two selections of it.
+    """
+    kept = ranked(scored.filter(F.col("energy") <= most).select(*KEY, "energy"), [F.col(c) for c in KEY], rank="_rank")
+    log = scored.groupBy(F.round("energy", 2).alias("energy")).agg(F.count(F.lit(1)).alias("n"))
+    return kept.select((F.col("_rank") - 1).alias("id"), *KEY, "energy"), log
+
+
+def with_cache(triples: DataFrame, cache: DataFrame, missing) -> DataFrame:
+    """Energies of distinct triples from ``cache`` (triple, energy), and of the others from ``missing(triples)``."""
+    wanted = triples.select(*KEY).distinct()
+    held = cache.select(*KEY, "energy").dropDuplicates(KEY)
+    return wanted.join(held, KEY).unionByName(missing(wanted.join(held, KEY, "left_anti")))

@@ -66,15 +66,18 @@ def histogram(values: DataFrame, column: Column, buckets: int = 10, lo: float |
 
 
 def value_stats(values: DataFrame, column: str = "energy") -> DataFrame:
-    """Count, distinct rounded values, mean, variance and deviation (of all values), ends, quarters of the range, median."""
-    rounded = values.select(F.round(column, 2).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    run = ranked(rounded, [F.col("v")], {"seen": F.col("n")})
+    """Count, distinct rounded values, mean, variance and deviation (of all values), ends, quarters of the range, median.
+
+    A border of two quarters belongs to the lower one. Equal values are all in the first.
+    """
+    rounded = values.select(F.round(column, 2).alias("v"))
+    counts = rounded.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    run = ranked(counts, [F.col("v")], {"seen": F.col("n")})
     whole = rounded.agg(
-        F.sum("n").alias("triples"), F.count(F.lit(1)).alias("distinct_values"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        (F.sum(F.col("v") * F.col("v") * F.col("n")) / F.sum("n")).alias("_square"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.count(F.lit(1)).alias("triples"), F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.stddev_pop("v").alias("deviation"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
     middle = run.crossJoin(whole.select("triples")).filter(F.col("seen") >= F.floor(F.col("triples") / 2)).agg(F.min("v").alias("median"))
-    quarter = F.least(F.coalesce(F.floor(F.try_divide(4 * (F.col("v") - F.col("min")), F.col("max") - F.col("min"))), F.lit(0)), F.lit(3))
-    quarters = rounded.crossJoin(whole.select("min", "max")).agg(*[F.coalesce(F.sum(F.when(quarter == q, F.col("n"))), F.lit(0)).alias(f"quarter_{q + 1}") for q in range(4)])
-    out = whole.crossJoin(middle).crossJoin(quarters).withColumn("variance", F.greatest(F.col("_square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    return out.withColumn("deviation", F.sqrt("variance")).drop("_square")
+    share = F.coalesce(F.try_divide(F.col("v") - F.col("min") - 1e-7, F.col("max") - F.col("min")), F.lit(0.0))
+    quarter = F.floor((share * 100).cast("int") / 25)
+    quarters = counts.crossJoin(whole.select("min", "max")).agg(F.count(F.lit(1)).alias("distinct_values"), *[F.coalesce(F.sum(F.when(quarter == q, F.col("n"))), F.lit(0)).alias(f"quarter_{q + 1}") for q in range(4)])
+    return whole.crossJoin(middle).crossJoin(quarters)

@@ -68,17 +68,27 @@ def score_transh(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, X.embedded_triples(spark, d), "transh").withColumn("energy", F.round("energy", 6))
 
 
-@query(f"""WITH {X.VECTORS} SELECT DISTINCT head, tail, relation, round(sqrt(list_sum(list_transform(range(1, 5),
-  lambda i: pow(r.w[i] * list_sum(list_transform(range(1, 5), lambda j: r.vec[j] * h.vec[j])) + r.vec[i]
-  - r.vec[i] * list_sum(list_transform(range(1, 5), lambda j: r.w[j] * t.vec[j])), 2)))), 6) AS energy FROM et x {_JOINS}""")
-def score_stranse_l2(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors cut to four components; W1 and W2 are outer products of the relation's two vectors."""
-    cut = lambda c: F.slice(c, 1, 4)
+_STRANSE = """WITH {0}, q AS (SELECT head, tail, relation, r.vec AS rv, r.w AS w, list_sum(list_transform(range(1, len(h.vec) + 1), lambda j: r.vec[j] * h.vec[j])) AS rh,
+  list_sum(list_transform(range(1, len(h.vec) + 1), lambda j: r.w[j] * t.vec[j])) AS wt FROM et x {1})
+SELECT DISTINCT head, tail, relation, round({2}(list_sum(list_transform(range(1, len(rv) + 1), lambda i: {3}(w[i] * rh + rv[i] - rv[i] * wt{4})))), 6) AS energy FROM q"""
+
+
+def _stranse(spark: SparkSession, d: str, distance: str) -> DataFrame:
+    """W1 and W2 are outer products of the relation's two vectors."""
     outer = lambda a, b: F.transform(a, lambda x: F.transform(b, lambda y: x * y))
-    r = X.relation_vectors(spark, d).select("key", cut("vec").alias("vec"), cut("w").alias("v"))
-    r = r.select("key", "vec", outer(F.col("v"), F.col("vec")).alias("w1"), outer(F.col("vec"), F.col("v")).alias("w2"))
-    e = X.entity_vectors(spark, d).select("key", cut("vec").alias("vec"))
-    return scoring.score(X.embedded_triples(spark, d), e, r, "stranse", "L2").withColumn("energy", F.round("energy", 6))
+    r = X.relation_vectors(spark, d)
+    r = r.select("key", "vec", outer(F.col("w"), F.col("vec")).alias("w1"), outer(F.col("vec"), F.col("w")).alias("w2"))
+    return scoring.score(X.embedded_triples(spark, d), X.entity_vectors(spark, d), r, "stranse", distance).withColumn("energy", F.round("energy", 6))
+
+
+@query(_STRANSE.format(X.VECTORS, _JOINS, "", "abs", ""))
+def score_stranse_l1(spark: SparkSession, d: str) -> DataFrame:
+    return _stranse(spark, d, "L1")
+
+
+@query(_STRANSE.format(X.VECTORS, _JOINS, "sqrt", "pow", ", 2"))
+def score_stranse_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _stranse(spark, d, "L2")
 
 
 _SPLIT = f"""o AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, head, tail, relation) AS rank, count(*) OVER () AS n FROM {{0}}),
@@ -105,8 +115,15 @@ def _link_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Dat
     """(all triples with split, test triples, scored corruptions of the test triples)."""
     triples = perturb.split(X.embedded_triples(spark, d))
     test = triples.filter("split = 'test'").select(*KEY)
-    made = scoring.corruptions(test, scoring.entity_universe(X.embedded_triples(spark, d)))
-    return triples, test, _scored(spark, d, made)
+    universe = scoring.entity_universe(X.embedded_triples(spark, d))
+    made = scoring.scored_corruptions(test, universe, X.entity_vectors(spark, d), X.relation_vectors(spark, d).drop("w"))
+    return triples, test, made
+
+
+@query(f"WITH {_LINKS} SELECT * FROM co")
+def corruptions_made(spark: SparkSession, d: str) -> DataFrame:
+    test = perturb.split(X.embedded_triples(spark, d)).filter("split = 'test'").select(*KEY)
+    return scoring.corruptions(test, scoring.entity_universe(X.embedded_triples(spark, d)))
 
 
 @query(f"WITH {_LINKS} SELECT * FROM cs")
@@ -196,9 +213,13 @@ def energy_histogram(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(score_transe_l1(spark, d), F.col("energy"))
 
 
-@query()
+@query(f"""WITH {_SCORES}, v AS (SELECT round(energy, 2) AS v FROM s), h AS (SELECT v, count(*) AS n FROM v GROUP BY v), e AS (SELECT count(*) AS triples, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance,
+round(stddev_pop(v), 6) AS deviation, min(v) AS min, max(v) AS max FROM v), u AS (SELECT v, n, sum(n) OVER (ORDER BY v) AS seen FROM h),
+q AS (SELECT n, trunc((v - min - 1e-7) / (max - min) * 100)::bigint // 25 AS q FROM h, e)
+SELECT triples, mean, variance, deviation, min, max, (SELECT min(v) FROM u WHERE seen >= triples // 2) AS median, (SELECT count(*) FROM h) AS distinct_values,
+{', '.join(f"(SELECT coalesce(sum(n), 0)::bigint FROM q WHERE q = {i}) AS quarter_{i + 1}" for i in range(4))} FROM e""")
 def energy_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.value_stats(score_transe_l1(spark, d))
+    return stats.value_stats(score_transe_l1(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean", "variance", "deviation")})
 
 
 @query(f"WITH {X.STRUCTURE} SELECT e AS entity, count(*) AS n FROM (SELECT unnest([head, tail]) AS e FROM tri) GROUP BY e")
@@ -222,7 +243,7 @@ def entity_centiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {X.STRUCTURE}, {_COUNTS.format('tri')}, k AS (SELECT entity FROM ec WHERE n >= 10 AND entity NOT LIKE 'r:%')
 SELECT head, tail, relation FROM tri WHERE head IN (SELECT entity FROM k) AND tail IN (SELECT entity FROM k) AND relation IN (SELECT relation FROM rc WHERE n >= 5)""")
 def candidate_triples(spark: SparkSession, d: str) -> DataFrame:
-    triples = X.structure(spark, d)
+    triples = settled(X.structure(spark, d))
     concepts = scoring.entity_universe(triples).filter("entity not like 'r:%'")
     return relational.candidates(triples, concepts).select(*KEY)
 
@@ -273,8 +294,8 @@ def sample_triples(spark: SparkSession, d: str) -> DataFrame:
     return perturb.sample_triples(X.structure(spark, d), 1000)
 
 
-@query(f"""WITH {X.STRUCTURE}, k AS (SELECT e FROM (SELECT DISTINCT unnest([head, tail]) AS e FROM tri) ORDER BY {_md5('4', 'e')}, e LIMIT 500)
-SELECT * FROM tri WHERE head IN (SELECT e FROM k) AND tail IN (SELECT e FROM k)""")
+@query(f"""WITH {X.STRUCTURE}, u AS MATERIALIZED (SELECT DISTINCT unnest([head, tail]) AS e FROM tri), k AS MATERIALIZED (SELECT e FROM u ORDER BY {_md5('4', 'e')}, e LIMIT 500)
+SELECT tri.* FROM tri JOIN k a ON a.e = head JOIN k b ON b.e = tail""")
 def sample_entities(spark: SparkSession, d: str) -> DataFrame:
     return perturb.sample_entities(X.structure(spark, d), 500)
 
@@ -308,7 +329,21 @@ def relations_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return ids.rewritten(triples, perturb.collapse_map(triples, 2)).select(*KEY)
 
 
-@query()
+def corrupt_sql(chosen: str, triples: str) -> str:
+    """CTEs that end in ``ch`` (head, tail, relation, w), w the replaced triple."""
+    number = lambda what: f"('0x' || substr(md5(concat_ws(':', '4:{what}', head, tail, relation, attempt)), 1, 8))::bigint"
+    return f"""ea AS MATERIALIZED (SELECT e AS new, row_number() OVER (ORDER BY e) AS at FROM (SELECT DISTINCT unnest([head, tail]) AS e FROM {triples})),
+ra AS MATERIALIZED (SELECT relation AS new, row_number() OVER (ORDER BY relation) AS at FROM (SELECT DISTINCT relation FROM {triples})),
+ct AS (SELECT head, tail, relation, unnest(range(0, 16)) AS attempt FROM {chosen}), cd AS (SELECT *, {number('part')} % 3 AS part, {number('value')} AS value FROM ct),
+cn AS (SELECT cd.*, coalesce(ea.new, ra.new) AS new FROM cd LEFT JOIN ea ON part <> 2 AND ea.at = value % (SELECT count(*) FROM ea) + 1 LEFT JOIN ra ON part = 2 AND ra.at = value % (SELECT count(*) FROM ra) + 1),
+cx AS (SELECT head, tail, relation, attempt, CASE part WHEN 0 THEN new ELSE head END AS h, CASE part WHEN 1 THEN new ELSE tail END AS t, CASE part WHEN 2 THEN new ELSE relation END AS r FROM cn),
+ch AS (SELECT head, tail, relation, arg_min({{'h': h, 't': t, 'r': r}}, attempt) AS w FROM cx WHERE NOT EXISTS (SELECT 1 FROM {triples} k WHERE k.head = h AND k.tail = t AND k.relation = r) GROUP BY ALL)"""
+
+
+@query(f"""WITH {X.ACTIVITY}, {_SPLIT.format('act')}, tn AS (SELECT head, tail, relation, row_number() OVER (ORDER BY {_ORDER}, head, tail, relation) <= trunc(count(*) OVER () * 0.05) AS chosen FROM sp WHERE split = 'train'),
+cc AS (SELECT * FROM tn WHERE chosen), {corrupt_sql('cc', 'sp')}
+SELECT coalesce(w.h, tn.head) AS head, coalesce(w.t, tn.tail) AS tail, coalesce(w.r, tn.relation) AS relation, 'train' AS split, chosen AS corrupted FROM tn LEFT JOIN ch ON ch.head = tn.head AND ch.tail = tn.tail AND ch.relation = tn.relation
+UNION ALL SELECT head, tail, relation, split, false FROM sp WHERE split <> 'train'""")
 def corrupted(spark: SparkSession, d: str) -> DataFrame:
     return perturb.corrupted(perturb.split(X.activity(spark, d)), 0.05)
 
@@ -337,7 +372,7 @@ def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def density_groomed(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.groomed_entities(perturb.neighbours(X.activity(spark, d)), most=2000, growth=1.0)
+    return perturb.groomed(X.activity(spark, d), share=0.25)
 
 
 _OFTEN = "SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= 10"
@@ -373,11 +408,13 @@ def dense_relation_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids.relation_ids(_placed(spark, d))
 
 
-@query(f"WITH {X.STRUCTURE} SELECT head, tail, relation FROM tri")
+@query(f"""WITH {X.STRUCTURE}, {_FIRST} SELECT head, tail, relation, h.idx AS head_idx, t.idx AS tail_idx, r.idx AS relation_idx FROM ps JOIN en h ON h.key = head JOIN en t ON t.key = tail JOIN re r ON r.key = relation""")
 def external_triples(spark: SparkSession, d: str) -> DataFrame:
     placed = _placed(spark, d)
     entities, relations = settled(ids.entity_ids(placed)), settled(ids.relation_ids(placed))
-    return ids.to_external(ids.to_dense(placed, entities, relations), entities, relations).select(*KEY)
+    dense = ids.to_dense(placed, entities, relations)
+    dense = dense.withColumns({f"{c}_idx": F.col(c) for c in KEY}).drop("pos")
+    return ids.to_external(dense, entities, relations)
 
 
 @query(f"WITH {X.STRUCTURE}, {_FIRST} SELECT key, row_number() OVER (ORDER BY idx) - 1 AS idx FROM en WHERE key NOT LIKE 'o:%'")
@@ -433,16 +470,21 @@ def dataset_annotated(spark: SparkSession, d: str) -> DataFrame:
     return compiled.extracted(source, gold.select(*KEY, (F.length("tail") % 2 == 0).alias("is_valid")))
 
 
-@query(f"""WITH {X.ACTIVITY}, {_SPLIT.format('act')}, r AS (SELECT *, unnest(['Total', split]) AS label FROM sp)
-SELECT {', '.join(f"count(*) FILTER (label = '{x}') AS {x}_triples, count(DISTINCT relation) FILTER (label = '{x}') AS {x}_relations" for x in ('Total', 'test', 'train', 'valid'))} FROM r""")
+_MEASURES = ["triples", "entities", "relations", *(f"{a}_per_{b}_{m}" for a, b in (("relations", "entity"), ("triples", "entity"), ("entities", "relation"), ("triples", "relation")) for m in ("mean", "median")), "triples_per_entity", "triples_per_relation"]
+
+
+@query(f"""WITH st AS ({_sql['dataset_stats']}) SELECT {', '.join(f"max({m}) FILTER (label = '{x}') AS {x}_{m}" for x in ('Total', 'test', 'train', 'valid') for m in _MEASURES)} FROM st""")
 def dataset_stats_row(spark: SparkSession, d: str) -> DataFrame:
-    row = stats.stats_row(dataset_stats(spark, d))
-    return row.select(*[f"{x}_{m}" for x in ("Total", "test", "train", "valid") for m in ("triples", "relations")])
+    """All measures of all labels: 52 columns."""
+    return stats.stats_row(dataset_stats(spark, d))
 
 
 def queries() -> dict[str, Query]:
+    from trivane.plans import dataset_queries, source_queries  # noqa: F401  they register theirs
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivane import schema
 from trivane.functions import columns as C
+from trivane.shared import names_in
+from trivane.sources import catalogs
+
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of text files. Names are taken as they are: those of embeddings have brackets and colons."""
+    return spark.read.option("__globPaths__", "false").text(path)
 
 
 def tsv(spark: SparkSession, path: str | list[str], fields: str) -> DataFrame:
     """Tab-separated text with stripped fields; numbers that are none become null."""
     wanted = spark.createDataFrame([], fields).schema
     parts = F.split("value", "\t")
-    cells = [F.trim(F.get(parts, F.lit(i))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(wanted.fields)]
-    return spark.read.text(path).filter("trim(value) != ''").select(*cells)
+    cells = [C.stripped(F.get(parts, F.lit(i))).try_cast(f.dataType).alias(f.name) for i, f in enumerate(wanted.fields)]
+    return lines(spark, path).filter(C.stripped("value") != "").select(*cells)
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +34,7 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     of which there is one row each.
     """
     at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")]
-    rows = spark.read.text(path).select("value", *at)
+    rows = lines(spark, path).select("value", *at)
     splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     splits = splits.select("_file", "_split", "_first", before.alias("_before"))
@@ -38,7 +48,7 @@ def triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def triples_with_id(spark: SparkSession, path: str) -> DataFrame:
     """Triples with a key; of a repeated key the last line counts."""
     rows = numbered(spark, path).withColumn("f", F.split("value", "\t"))
-    rows = rows.select("line", F.trim(F.col("f")[0]).try_cast("long").alias("id"), F.struct(*[F.trim(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(("head", "tail", "relation"), 1)]).alias("t"))
+    rows = rows.select("line", C.stripped(F.col("f")[0]).try_cast("long").alias("id"), F.struct(*[C.stripped(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(("head", "tail", "relation"), 1)]).alias("t"))
     return rows.groupBy("id").agg(F.max_by("t", "line").alias("t")).select("id", "t.*")
 
 
@@ -51,18 +61,27 @@ def value_map(spark: SparkSession, path: str, normalise: bool = False) -> DataFr
     from trivane.operators.scoring import normalised
 
     f = F.split("value", "\t")
-    rows = numbered(spark, path).select("line", F.trim(f[0]).alias("id"), F.trim(F.get(f, F.lit(1))).try_cast("double").alias("value"))
+    rows = numbered(spark, path).select("line", C.stripped(f[0]).alias("id"), C.stripped(F.get(f, F.lit(1))).try_cast("double").alias("value"))
     last = rows.groupBy("id").agg(F.max_by("value", "line").alias("value"))
     return normalised(last) if normalise else last
 
 
+def energies(spark: SparkSession, path: str) -> DataFrame:
+    return value_map(spark, path)
+
+
+def ranks(spark: SparkSession, path: str) -> DataFrame:
+    """Energies turned into ranks from 0 (the highest energy) to 1."""
+    return value_map(spark, path, normalise=True)
+
+
 def id_map(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, schema.ID_MAP)
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """A vector for each line; its number is the vector's id."""
-    cells = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
+    cells = F.transform(F.split(C.stripped("value"), r"\s+"), lambda x: x.cast("double"))
     return numbered(spark, path).select(F.col("line").cast("long").alias("idx"), cells.alias("vec"))
 
 
@@ -74,10 +93,54 @@ def matrices(spark: SparkSession, path: str, size: int) -> DataFrame:
     return whole.select("idx", matrix.alias("w"))
 
 
+def embedding_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Paths by kind (entities, relations, weights, w1, w2) of the vectors in a folder.
+
+    Names end in ``.unif``; where there is no such file of entities, in ``.bern``; where there is neither, the names
+    of the kinds are the endings.
+    """
+    held = names_in(spark, folder)
+    for ending in ("unif", "bern"):
+        if f"entity2vec.{ending}" in held:
+            found = {"entities": f"entity2vec.{ending}", "relations": f"relation2vec.{ending}", "weights": f"weights.{ending}"}
+            return {kind: f"{folder}/{name}" for kind, name in found.items() if kind != "weights" or name in held}
+    endings = {".entity2vec": "entities", ".relation2vec": "relations", ".W1": "w1", ".W2": "w2"}
+    found = {kind: f"{folder}/{name}" for name in held for end, kind in endings.items() if name.endswith(end)}
+    if not found.keys() >= {"entities", "relations"}:
+        raise FileNotFoundError(f"there are no vectors of entities and relations in {folder}")
+    return found
+
+
+def embedding_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of an embedding's folder: (idx, vec), relations also with their weights w, or w1 and w2."""
+    paths = embedding_files(spark, folder)
+    entities, relations = vectors(spark, paths["entities"]), vectors(spark, paths["relations"])
+    if "weights" in paths:
+        relations = relations.join(vectors(spark, paths["weights"]).withColumnRenamed("vec", "w"), "idx")
+    if "w1" in paths:
+        size = re.search(r"size:(\d+)", folder.rstrip("/").rsplit("/", 1)[-1])
+        if size is None or "w2" not in paths:
+            raise ValueError(f"the size or one of two files of weights is missing: {folder}")
+        for kind in ("w1", "w2"):
+            relations = relations.join(matrices(spark, paths[kind], int(size[1])).withColumnRenamed("w", kind), "idx")
+    return entities, relations
+
+
 def confident(spark: SparkSession, path: str | list[str], least: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) of distinct triples with confidence."""
+    """(accepted, rejected): the triples with confidence, as they stand in the files, from ``least`` on and below it."""
     rows = tsv(spark, path, schema.CONFIDENCE)
-    return rows.filter(F.col("confidence") >= least).dropDuplicates(["head", "tail", "relation"]), rows.filter(F.col("confidence") < least)
+    return rows.filter(F.col("confidence") >= least), rows.filter(F.col("confidence") < least)
+
+
+def all_confident(spark: SparkSession, folder: str, names: Sequence[str], least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(distinct accepted triples of all files with their highest confidence, one row with the number of rejected lines)."""
+    accepted, rejected = confident(spark, [f"{folder}/{name}" for name in names], least)
+    return accepted.groupBy("head", "tail", "relation").agg(F.max("confidence").alias("confidence")), rejected.agg(F.count(F.lit(1)).alias("rejected"))
+
+
+def gold(spark: SparkSession, folder: str, names: Sequence[str] = catalogs.TEST_TRIPLES) -> DataFrame:
+    """The distinct true triples of the gold files: negatives have a confidence below 0.1."""
+    return all_confident(spark, folder, names, 0.1)[0].drop("confidence")
 
 
 def categories(spark: SparkSession, path: str | list[str], least: float = 0.0) -> DataFrame:
@@ -97,7 +160,7 @@ def ontology(spark: SparkSession, folder: str, prefix: str = "165.onto-wbpg.db."
     out = None
     for kind in ONTOLOGY_TYPES:
         f = F.split("value", "\t")
-        one = numbered(spark, f"{folder}/{prefix}{kind}.txt").select(F.lit(kind).alias("type"), F.trim(f[0]).alias("src"), F.trim(F.get(f, F.lit(1))).alias("dst"), F.col("line").alias("pos"))
+        one = numbered(spark, f"{folder}/{prefix}{kind}.txt").select(F.lit(kind).alias("type"), C.stripped(f[0]).alias("src"), C.stripped(F.get(f, F.lit(1))).alias("dst"), F.col("line").alias("pos"))
         out = one if out is None else out.unionByName(one)
     return single_valued(out.filter("src != ''"))
 
@@ -109,15 +172,15 @@ def reverb(spark: SparkSession, path: str) -> DataFrame:
 def reverb_annotations(lines: DataFrame) -> DataFrame:
     """(head, tail, relation, is_valid, confidence) of annotated lines with three parts."""
     f = F.split("value", "\t")
-    inner = F.regexp_replace(F.lower(F.trim(F.get(f, F.lit(2)))), r"^\(|\)$", "")
-    parts = F.transform(F.split(inner, ";"), lambda x: F.regexp_replace(F.trim(x), " ", "_"))
-    rows = lines.select(parts.alias("p"), (F.trim(f[0]) == "1").alias("is_valid"), F.trim(F.get(f, F.lit(1))).try_cast("double").alias("confidence"))
+    inner = F.regexp_replace(F.lower(C.stripped(F.get(f, F.lit(2)))), r"^\(|\)$", "")
+    parts = F.transform(F.split(inner, ";"), lambda x: F.regexp_replace(C.stripped(x), " ", "_"))
+    rows = lines.select(parts.alias("p"), (C.stripped(f[0]) == "1").alias("is_valid"), C.stripped(F.get(f, F.lit(1))).try_cast("double").alias("confidence"))
     return rows.filter(F.size("p") == 3).select(F.col("p")[0].alias("head"), F.col("p")[2].alias("tail"), F.col("p")[1].alias("relation"), "is_valid", "confidence")
 
 
 def reverb_full(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
-    cell = lambda i: F.lower(F.trim(F.get(f, F.lit(i))))
+    cell = lambda i: F.lower(C.stripped(F.get(f, F.lit(i))))
     return lines.select(cell(4).alias("head"), cell(6).alias("tail"), cell(5).alias("relation"))
 
 
@@ -142,8 +205,8 @@ KEY_PREFIXES = (
 
 def freebase(lines: DataFrame) -> DataFrame:
     """Triples of an RDF dump (spark.read.text reads it, compressed or not): ``<head> <relation> <tail> .``"""
-    parts = F.split(F.trim(F.regexp_replace(F.trim("value"), r"\.$", "")), r"\s+", 3)
-    key = lambda x: C.without(F.regexp_replace(F.trim(x), r"^<|>$", ""), *KEY_PREFIXES)
+    parts = F.split(C.stripped(F.regexp_replace(C.stripped("value"), r"\.$", "")), r"\s+", 3)
+    key = lambda x: C.without(F.regexp_replace(C.stripped(x), r"^<|>$", ""), *KEY_PREFIXES)
     rows = lines.select(parts.alias("p")).filter(F.size("p") == 3)
     return rows.select(key(F.col("p")[0]).alias("head"), key(F.col("p")[2]).alias("tail"), key(F.col("p")[1]).alias("relation"))
 
@@ -165,7 +228,7 @@ POINTERS = {
 def wordnet(lines: DataFrame) -> DataFrame:
     """Triples of pointer lines; licence lines begin with two spaces; an unknown part of speech or symbol is an error."""
     f = F.col("f")
-    rows = lines.filter(~F.col("value").startswith("  ") & (F.trim("value") != "")).select(F.split(F.trim(F.substring_index("value", "|", 1)), r"\s+").alias("f"))
+    rows = lines.filter(~F.col("value").startswith("  ") & (C.stripped("value") != "")).select(F.split(C.stripped(F.substring_index("value", "|", 1)), r"\s+").alias("f"))
     words = F.conv(f[3], 16, 10).cast("int")
     rows = rows.select(f[0].alias("head"), F.regexp_replace(f[2], "^s$", "a").alias("pos"), F.slice("f", 5 + 2 * words, F.size("f")).alias("rest"))
     count = F.col("rest")[0].cast("int")
@@ -185,7 +248,7 @@ DUMP = ("entity", "relation", "value", "iteration", "probability", "source", "en
 def belief_dump(lines: DataFrame) -> DataFrame:
     """Typed rows of the 13-column dump without its header; brackets around iteration and probability go."""
     f = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("Entity\t")).select(*[F.trim(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(DUMP)])
+    rows = lines.filter(~F.col("value").startswith("Entity\t")).select(*[C.stripped(F.get(f, F.lit(i))).alias(c) for i, c in enumerate(DUMP)])
     bare = lambda c: C.not_a_number_to_null(F.regexp_replace(c, r"[\[\]]", ""))
     return rows.withColumn("iteration", bare(F.col("iteration")).try_cast("int")).withColumn("probability", bare(F.col("probability")).try_cast("double"))
 
@@ -198,11 +261,64 @@ def options_of(header: Column) -> Column:
 
 
 def last_match(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    """The group of the last line (line, value) that matches."""
+    """The group of the last line (line, value) that matches, null if none does."""
     hit = F.regexp_extract("value", pattern, group)
     return lines.filter(F.col("value").rlike(pattern)).agg(F.max_by(hit, "line").alias("found"))
 
 
+NUMBER = r"(\d+(?:\.\d+)?)"
+
+
+def _last(lines: DataFrame, pattern: str, kinds: Sequence[str]) -> DataFrame:
+    """The groups of the last line (line, value) that matches the pattern, as doubles; no row if none does."""
+    groups = F.struct(*[F.regexp_extract("value", pattern, i + 1).cast("double").alias(kind) for i, kind in enumerate(kinds)])
+    return lines.filter(F.col("value").rlike(pattern)).agg(F.max_by(groups, "line").alias("f")).filter("f is not null").select("f.*")
+
+
+def evaluation_log(lines: DataFrame) -> DataFrame:
+    """(raw_rank, raw_hits, filtered_rank, filtered_hits) of an evaluation's lines (line, value): its first line with ranks
+    is raw, the next filtered."""
+    pattern = rf"Rank:\s+{NUMBER},\s+Hits@10:\s+{NUMBER}"
+    rows = lines.filter(F.col("value").rlike(pattern)).select("line", *[F.regexp_extract("value", pattern, i).cast("double").alias(c) for i, c in ((1, "rank"), (2, "hits"))])
+    rows = rows.agg(F.array_sort(F.collect_list(F.struct("line", "rank", "hits"))).alias("f")).filter(F.size("f") >= 2)
+    return rows.select(*[F.col("f")[i][c].alias(f"{name}_{c}") for i, name in enumerate(("raw", "filtered")) for c in ("rank", "hits")])
+
+
+def training_log(lines: DataFrame) -> DataFrame:
+    """As ``evaluation_log``, of the last validation line of a training's log; its hits are percents, here shares of four digits."""
+    n = NUMBER[1:-1]
+    pattern = rf"^INFO:EX-KG:\[\d+\] VALID: MRR = {n}/{n}, Mean Rank = ({n})/({n}), Hits@10 = ({n})/({n})$"
+    found = _last(lines, pattern, ("raw_rank", "filtered_rank", "raw_hits", "filtered_hits"))
+    hits = [F.round(F.col(c) / 100, 4).alias(c) for c in ("raw_hits", "filtered_hits")]
+    return found.select("raw_rank", hits[0], "filtered_rank", hits[1])
+
+
+def scores_log(lines: DataFrame) -> DataFrame:
+    """As ``evaluation_log``, of the lines of raw and of filtered scores on the test set."""
+    sides = [_last(lines, rf"^\s+{name} scores .* on test set: {NUMBER}\s+.*\s+{NUMBER}$", (f"{name.lower()}_rank", f"{name.lower()}_hits")) for name in ("Raw", "Filtered")]
+    return sides[0].crossJoin(sides[1])  # one row each
+
+
+def results(lines: DataFrame) -> DataFrame:
+    """(options, raw_rank, raw_hits, filtered_rank, filtered_hits) of a result file with a header of options."""
+    options = lines.filter(C.stripped("value").startswith("Options: ")).agg(F.max_by(options_of(F.regexp_replace(C.stripped("value"), "'", "")), "line").alias("options"))
+    trimmed = lines.withColumn("value", C.stripped("value"))
+    sides = [_last(trimmed, rf"^{name}.*Rank: {NUMBER}, Hits@10: (\d\.\d+)", (f"{name.lower()}_rank", f"{name.lower()}_hits")) for name in ("Raw", "Filtered")]
+    return options.crossJoin(sides[0]).crossJoin(sides[1])  # one row each
+
+
+def write_energy_cache(scored: DataFrame, path: str) -> None:
+    """Energies for later runs, by triple; what is there already stays and is added to."""
+    scored.select("head", "tail", "relation", "energy").write.mode("append").parquet(path)
+
+
+def energy_cache(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_energy_cache`` wrote, one energy for each triple; an empty table before the first write."""
+    if not names_in(spark, path):
+        return spark.createDataFrame([], schema.SCORED)
+    return spark.read.schema(schema.SCORED).parquet(path).dropDuplicates(["head", "tail", "relation"])
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab-separated text; with mode ``ignore`` what is there stays."""
     df.write.mode(mode).option("sep", "\t").csv(path)
