@@ -22,7 +22,7 @@ from trivane.llm.words import mix, text_buffer, text_slices
 from trivane.llm.workspace import NO_ID, materialise
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 
 PACKED = "block long, ids binary, flags binary, sizes binary, texts binary"
 _PACKED = pa.schema([("block", pa.int64())] + [(c, pa.binary()) for c in ("ids", "flags", "sizes", "texts")])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.llm.words import ALNUM, Words, find_words, mix, phrase_names, span_names, text_slices
-from trivane.llm.workspace import NO_ID, keyed, ship
+from trivane.llm.workspace import NO_ID, keyed, materialise, ship
 
 WINDOW = 10
 #: Patterns that are searched and broadcast at a time; a larger benchmark is searched in several passes.
@@ -184,7 +184,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, patterns
     Only doc_id, item_id and text are read. An empty benchmark hits nothing.
 
     The distinct windows are counted first. Up to ``patterns`` of them are broadcast at once; more are split by
-    hash into blocks of about that many, each a pass over the documents, and the passes are merged by document.
+    hash into blocks of about that many, each a pass over the documents that is written before the next block is
+    broadcast, and the passes are merged by document.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -200,7 +201,11 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, patterns
         for r in windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).collect():
             held[bytes(r["window"])].add(places.setdefault(r["item"], len(places)))
         sc = spark.sparkContext
-        one = rows.mapInArrow(_scan(sc.broadcast(build_tables(held)), sc.broadcast(list(places))), _FOUND)
+        tables = sc.broadcast(build_tables(held))
+        one = rows.mapInArrow(_scan(tables, sc.broadcast(list(places))), _FOUND)
+        if blocks > 1:  # one block of patterns on the driver at a time
+            one = materialise(one, "hits")
+            tables.destroy()
         passes = one if passes is None else passes.unionByName(one)
     windows.unpersist()
     if blocks > 1:

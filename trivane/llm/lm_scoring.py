@@ -83,12 +83,17 @@ def build_shard(names: np.ndarray, counts: np.ndarray, bits: int = BITS) -> byte
 class LogBloom:
     """A filter of shards, of which those of buckets ``lo`` and on are held."""
 
-    def __init__(self, buckets: int, shards: list[bytes], lo: int = 0):
+    def __init__(self, buckets: int, sizes: np.ndarray, lo: int = 0):
+        """``sizes`` are the bytes of the shards, which are filled in one by one."""
         self.buckets, self.lo = buckets, lo
-        self.bits = np.frombuffer(b"".join(shards), np.uint8)
-        self.sizes = np.array([8 * len(x) for x in shards], np.uint64)
+        self.bits = np.zeros(int(sizes.sum()), np.uint8)
+        self.sizes = sizes.astype(np.uint64) * np.uint64(8)
         self.first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.sizes)])
 
+    def fill(self, bucket: int, bits: bytes) -> None:
+        at = int(self.first[bucket - self.lo]) // 8
+        self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+
     def levels(self, names: np.ndarray) -> np.ndarray:
         """The level of each name by repeated membership probes."""
         shard = bucket_of(names, self.buckets) - self.lo
@@ -173,7 +178,9 @@ def _probe(buckets: int, table: pa.Table) -> pa.Table:
     """A bucket's shard and questions to the levels of all names."""
     rows = table.to_pylist()
     bucket = rows[0]["bucket"]
-    shard = LogBloom(buckets, [r["bits"] for r in rows if r["bits"] is not None], bucket)
+    bits = next(r["bits"] for r in rows if r["bits"] is not None)
+    shard = LogBloom(buckets, np.array([len(bits)]), bucket)
+    shard.fill(bucket, bits)
     asked = Asked([r for r in rows if r["bits"] is None])
     out = [(r["block"], bucket, LEVELS, n.to_bytes(4, "little") + shard.levels(names).tobytes()) for r, names, n in zip(asked.rows, asked.names, asked.words)]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), B.ANSWERS)], schema=B.ANSWERS)
@@ -222,8 +229,13 @@ def score(docs: DataFrame, held_out: Column, max_filter_bytes: int = MAX_FILTER_
     size, total, distinct = shards.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     bloom = None
     if size <= max_filter_bytes:
-        held = {r["bucket"]: bytes(r["bits"]) for r in shards.select("bucket", "bits").collect()}
-        bloom = sc.broadcast(LogBloom(buckets, [held.get(b, bytes(8)) for b in range(buckets)]))
+        sizes = np.full(buckets, 8, np.int64)
+        for r in shards.select("bucket", F.octet_length("bits").alias("size")).collect():
+            sizes[r["bucket"]] = r["size"]
+        whole = LogBloom(buckets, sizes)
+        for r in shards.select("bucket", "bits").toLocalIterator():  # a file's shards at a time
+            whole.fill(r["bucket"], r["bits"])
+        bloom = sc.broadcast(whole)
     else:
         both = asked.unionByName(shards.select("bucket", "bits"), allowMissingColumns=True)
         answers = answers.unionByName(materialise(B.answered(both, partial(_probe, buckets)), "levels"))
