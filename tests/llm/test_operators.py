@@ -277,6 +277,19 @@ def test_url_rules(spark):
     assert url_reputation.filter_urls(pages.limit(0), outcomes.limit(0), URL_RULES).count() == 0
 
 
+def test_url_repeats_ports_and_long_urls(spark):
+    """Repeated pages are all judged; a port is no part of the suffix; a url of a million characters is read whole."""
+    long = "http://bad.net/" + "x/" * 500_000
+    urls = ["http://bad.net:8080/p", "http://bad.net:8080/p", "http://a.co.uk/", "http://b.co.uk:81", long, long]
+    pages = spark.createDataFrame([(1, u, "own", 5) for u in urls], "page_id long, url string, verdict string, n int")
+    outcomes = spark.createDataFrame([("bad.net", 1)] * 60 + [("ok.org", 0)] * 300 + [("ok.co.uk", 0)] * 60, "host string, bad int")
+    got = url_reputation.filter_urls(pages, outcomes, URL_RULES).collect()
+    assert Counter((r["host"], len(r["path"]), r["verdict"]) for r in got) == {("bad.net:8080", 2, "block"): 2, ("a.co.uk", 1, "allow"): 1, ("b.co.uk:81", 0, "allow"): 1, ("bad.net", 1_000_001, "block"): 2}
+    suffix = lambda h, *a: url_reputation.suffix_of(url_reputation.without_port(F.lit(h)), *a)
+    row = spark.range(1).select(suffix("a.b.co.uk:81").alias("a"), suffix("a.com:1").alias("b"), suffix("a.gen.tr", ["gen"]).alias("c")).first()
+    assert tuple(row) == ("co.uk", "com", "gen.tr")
+
+
 @pytest.fixture(scope="session")
 def tagger():
     return pii.default_tagger()  # the model of the query

@@ -101,12 +101,13 @@ o AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad
       FROM p JOIN labels ON page_id = doc_id),
 h0 AS (SELECT host, sum(n)::double AS n, sum(k)::double AS k FROM (
          SELECT host, 0 AS n, 0 AS k FROM p UNION ALL SELECT host, 1, bad FROM o) GROUP BY host),
-h1 AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)(ac|co|com|edu|gov|net|org)\\.[a-z]{2}$')
-                      THEN regexp_extract(host, '([^.]*\\.[^.]*)$', 1)
-                      ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM h0),
-h AS (SELECT *, CASE WHEN contains(suffix, '.') THEN regexp_extract(host, '((?:[^.]*\\.)?[^.]*\\.[^.]*)$', 1)
-                     WHEN contains(host, '.') THEN regexp_extract(host, '([^.]*\\.[^.]*)$', 1)
-                     ELSE host END AS domain FROM h1),
+h2 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM h0),
+h1 AS (SELECT *, CASE WHEN regexp_matches(bare, '(^|\\.)(ac|co|com|edu|gov|net|org)\\.[a-z]{2}$')
+                      THEN regexp_extract(bare, '([^.]*\\.[^.]*)$', 1)
+                      ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix FROM h2),
+h AS (SELECT *, CASE WHEN contains(suffix, '.') THEN regexp_extract(bare, '((?:[^.]*\\.)?[^.]*\\.[^.]*)$', 1)
+                     WHEN contains(bare, '.') THEN regexp_extract(bare, '([^.]*\\.[^.]*)$', 1)
+                     ELSE bare END AS domain FROM h1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
 m AS (SELECT (sum(k) + 1.0) / (sum(n) + 2.0) AS mean FROM h),

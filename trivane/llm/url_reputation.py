@@ -8,6 +8,8 @@ moments over all hosts. A host is blocked when the lower bound of its posterior
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +32,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label, or the last two below a country suffix with public second level."""
-    pattern = r"((?:^|\.)(?:" + "|".join(PUBLIC_SECOND_LEVEL) + r")\.[a-z]{2})$"
+def without_port(host: Column) -> Column:
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def suffix_of(host: Column, second_level: Sequence[str] = PUBLIC_SECOND_LEVEL) -> Column:
+    """The public suffix of a host without port: the last label, or the last two below a country suffix with public second level."""
+    pattern = r"((?:^|\.)(?:" + "|".join(second_level) + r")\.[a-z]{2})$"
     two = F.ltrim(F.regexp_extract(host, pattern, 1), F.lit("."))
     return F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: one label more than the suffix."""
-    suffix = suffix_of(host)
+def domain_of(host: Column, suffix: Column) -> Column:
+    """The registered domain of a host without port: one label more than its suffix."""
     labels = F.size(F.split(suffix, r"\.")) + 1
     return F.when(labels == 2, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -3))
 
@@ -67,20 +72,22 @@ def _strength(groups: DataFrame, level: str, mean: float) -> DataFrame:
     return sums.select(F.lit(level).alias("level"), (1 / rho - 1).alias("strength"))
 
 
-def host_posteriors(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def host_posteriors(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, second_level: Sequence[str] = PUBLIC_SECOND_LEVEL) -> DataFrame:
     """Posterior of the bad rate of every host.
 
     ``outcomes``: (host, bad 0/1), one row per labelled page; null ``bad`` counts as no outcome.
     ``hosts``: (host), repeated or not; hosts without outcomes get their domain's posterior.
     Returns host, n, k, mean, lower, upper (bounds ``z`` posterior deviations from the mean).
-    Only sums are grouped, with partial sums before the shuffle, so one hot host is no hot task.
+    A port is part of a host, but not of its domain and suffix. ``second_level`` are the labels below which registrations
+    are made under a country's suffix. Only sums are grouped, with partial sums before the shuffle, so one hot host is no hot task.
     With no outcomes at all every mean is one half of a prior of strength 2.
     """
     every = hosts.select("host", F.lit(0).alias("n"), F.lit(0).alias("k")).unionByName(
         outcomes.filter("bad is not null").select("host", F.lit(1).alias("n"), F.col("bad").cast("int").alias("k"))
     )
     by_host = materialise(every.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "hosts")
-    by_host = by_host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    by_host = by_host.withColumn("suffix", suffix_of(without_port(F.col("host")), second_level))
+    by_host = by_host.withColumn("domain", domain_of(without_port(F.col("host")), F.col("suffix")))
     by_domain = by_host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     by_suffix = by_host.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
@@ -117,6 +124,7 @@ def filter_urls(
     max_bad: float = 0.5,
     z: float = 1.645,
     url_column: str = "url",
+    second_level: Sequence[str] = PUBLIC_SECOND_LEVEL,
 ) -> DataFrame:
     """Judge every row of ``pages``.
 
@@ -135,7 +143,7 @@ def filter_urls(
     rule = F.coalesce(*[F.when(ok, text) for text, _, ok in fits]) if fits else F.lit(None).cast("string")
     by_rule = F.coalesce(*[F.when(ok, action) for _, action, ok in fits]) if fits else F.lit(None).cast("string")
 
-    blocked = host_posteriors(outcomes, parsed.select("host"), z).filter(F.col("lower") > max_bad)
+    blocked = host_posteriors(outcomes, parsed.select("host"), z, second_level).filter(F.col("lower") > max_bad)
     blocked = blocked.select(F.col("host").alias("blocked_host"))
     judged = parsed.join(blocked, F.col("host") == F.col("blocked_host"), "left")
     own = F.when(F.col("blocked_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
