@@ -9,7 +9,6 @@ confidence, and a text whose margin is narrow is rejected.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -33,19 +32,16 @@ PARAMETERS = dict(window_log=17, hash_log=15, chain_log=15, search_log=4, min_ma
 #: A text is accepted if the best size is smaller than the second by this share at least.
 MIN_MARGIN = 0.002
 
-def _no_letters() -> re.Pattern:
-    """Runs of characters that are no letters: beside what is no word character also numbers of any kind."""
-    numbers = (c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W_{''.join(numbers)}]+")
-
-
-NO_LETTERS = _no_letters()
+NO_LETTERS = re.compile(r"[\W\d_]+")
 SENTENCE = re.compile(r"[\n.]+")
 
 
 def plain(text: str) -> str:
     """Lower-case letters, and one space for all that stands between."""
-    return NO_LETTERS.sub(" ", text.lower()).strip()
+    found = NO_LETTERS.sub(" ", text.lower()).strip()
+    if found and not found.replace(" ", "").isalpha():  # it has numbers beyond the decimal digits
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found
 
 
 def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> dict[str, bytes]:
