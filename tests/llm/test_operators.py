@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.conftest import thue_morse
-from trivane.llm import bpe, bpe_corpus, decontamination, language, lm_scoring, pii, substring_dedup, token_files, topk, url_reputation
+from tests.llm.test_shingles import brute as near_components
+from trivane.llm import bpe, bpe_corpus, decontamination, language, lm_scoring, pii, simhash, substring_dedup, token_files, topk, url_reputation
 from trivane.llm.queries import URL_RULES
 from trivane.llm.words import NOT_SPACE, find_words, same_spans, span_names
 
@@ -427,15 +428,48 @@ def test_topk_ends_by_its_bound(dimensions, most):
     assert lists.scored < most * 20 * 8192
 
 
-def test_pipeline(spark, edge_documents, tmp_path):
-    docs = edge_documents.select(*corpus_pipeline.COLUMNS)
-    spark.createDataFrame([(1, "nothing of this is in any text at all, not even a part")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, str(tmp_path))
-        assert name == "encoding" or docs.columns == corpus_pipeline.COLUMNS
-        assert docs.count() <= before.count()
-        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0
-    rows = docs.collect()
-    assert all(r["round_trip"] for r in rows)
-    ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) > 5
+def item_windows(items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    return words, {tuple(own[k : k + 10]) for t in items if (own := words(t)) for k in range(max(1, len(own) - 9))}
+
+
+def test_pipeline_against_brute_force(spark, edge_documents, edge_rows, tmp_path):
+    """Every stage on all that the one before kept, row by row in plain Python; columns that clash are left out."""
+    item = " ".join(edge_rows[13][1].split()[60:75])
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = edge_documents.withColumn("text", F.when(F.col("doc_id") == 58, F.concat("text", F.lit(" mail a.b@c.org now"))).otherwise(F.col("text")))
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    run = dict(corpus_pipeline.STAGES)
+    key = lambda rows: sorted(map(str, rows))
+    rows = [tuple(r) for r in docs.select(*names).collect()]
+
+    def stage(name, docs, expected):
+        out = run[name](spark, docs, str(tmp_path))
+        got = [tuple(r) for r in out.collect()]
+        assert key(got) == key(expected), name
+        assert run[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+        return out, got
+
+    learned = language.learn(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    compressors = language._compressors(learned)
+    judged = [(r, language.classify(r[1], compressors)) for r in rows]
+    docs, rows = stage("language", docs.withColumns({"lang_pred": F.lit(1), "margin": F.lit("x")}), [(i, t, lang or pred, s, n) for (i, t, lang, s, n), (pred, _, margin) in judged if pred != "und" and margin >= language.MIN_MARGIN])
+    assert len(rows) > 10
+
+    least = dict(near_components([r[:2] for r in rows], simhash.COPY_BITS))
+    kept = [r for r in rows if r[0] is None] + [min((r for r in rows if r[0] == i), key=lambda r: r[1].encode()) for i in sorted({r[0] for r in rows if r[0] is not None}) if least[i] == i]
+    docs, rows = stage("near_duplicates", docs.withColumns({"component_id": F.lit(1), "row": F.lit("x"), "_id": F.lit(3)}), kept)
+
+    words, windows = item_windows([item])
+    leaks = {r[0] for r in rows for own in [words(r[1])] for k in range(len(own)) if any(tuple(own[k : k + n]) in windows for n in {len(w) for w in windows})}
+    assert leaks
+    docs, rows = stage("decontamination", docs, [r for r in rows if r[0] not in leaks])
+
+    found = pii.find_all([r[1] for r in rows], pii.default_tagger())
+    clean = [(i, pii.redacted(t, spans), lang, s, len(pii.redacted(t, spans))) for (i, t, lang, s, _), (_, spans) in zip(rows, found)]
+    assert any("<EMAIL>" in r[1] for r in clean)
+    docs, rows = stage("personal_data", docs.withColumn("spans", F.lit(1)), clean)
+
+    library = Tokenizer.from_file(PATH)
+    ids = [library.encode(r[1], add_special_tokens=False).ids for r in rows]
+    stage("encoding", docs.withColumn("ids", F.lit(1)), [(r[0], r[2], r[3], r[4], len(x), x, True) for r, x in zip(rows, ids)])

@@ -91,7 +91,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids; filters on doc_id reach the stripes.
 
-    What is gathered for the starts is one number for each written file.
+    What is gathered for the starts is one number for each written file, by a job that runs at once.
     """
     held = spark.read.schema(_ROWS).orc(folder)
     parts = sorted(held.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
