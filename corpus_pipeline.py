@@ -1,4 +1,7 @@
-"""From documents to token ids: language, near duplicates, benchmark leaks, personal data, BPE."""
+"""From documents to token ids: language, near duplicates, benchmark leaks, personal data, BPE.
+
+Every stage takes and returns COLUMNS; further columns of its input, also of names that a stage uses itself, are left out.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.json"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters or with a narrow margin go. A null lang is filled."""
     learned = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(False)))
-    judged = language.accepted(language.predict(docs, language.learn(learned), COLUMNS))
+    judged = language.accepted(language.predict(docs.select(*COLUMNS), language.learn(learned), COLUMNS))
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
@@ -26,6 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts of one group have fingerprints of few differing bits and a Jaccard similarity of five-word shingles of 0.8
     or more, or are linked by such texts. Documents without an id are in no group and stay.
     """
+    docs = docs.select(*COLUMNS)
     groups = simhash.near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     groups = materialise(groups.withColumnRenamed("doc_id", "_id"), "kept")
     # one join at every size: texts are dealt once and not sorted, each task holds its part of the ids
