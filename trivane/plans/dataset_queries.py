@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators import evaluation, perturb, relational, scoring
+from trivane.operators import evaluation, perturb, relational, scoring, stats
 from trivane.operators.ranking import ranked, settled
-from trivane.plans import datasets
+from trivane.plans import compiled, datasets
 from trivane.plans import fixture as X
 from trivane.plans import queries as Q
 from trivane.plans import source_queries as S
@@ -199,3 +199,68 @@ UNION ALL SELECT level, share, CASE WHEN corrupt THEN w.h ELSE gr.head END, CASE
 FROM gr LEFT JOIN ch ON ch.head = gr.head AND ch.tail = gr.tail AND ch.relation = gr.relation""")
 def dataset_grid(spark: SparkSession, d: str) -> DataFrame:
     return datasets.grid(X.activity(spark, d), 300, 50, 6, [0.1, 0.5, 0.9])
+
+
+@query(f"""WITH {Q._SCORES}, k AS (SELECT trunc((energy - 2.0) / (20.0 - 2.0) * 6 - 1e-7)::int AS bucket FROM s)
+SELECT bucket, 2.0 + bucket * 3.0::double AS lo, 2.0 + (bucket + 1) * 3.0::double AS hi, count(*) AS n FROM k GROUP BY bucket""")
+def energy_histogram_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Between given ends."""
+    return stats.histogram(Q.score_transe_l1(spark, d), F.col("energy"), 6, 2.0, 20.0)
+
+
+@query(f"WITH {X.STRUCTURE} SELECT DISTINCT relation FROM tri")
+def relations_sorted(spark: SparkSession, d: str) -> DataFrame:
+    return X.structure(spark, d).select("relation").distinct().orderBy("relation")
+
+
+@query(f"""WITH {X.VECTORS} SELECT DISTINCT head, tail, relation, round(-{Q._energy('h.vec[i] * r.vec[i] * t.vec[i]')}, 6) AS energy FROM et x {Q._JOINS}""")
+def score_added_method(spark: SparkSession, d: str) -> DataFrame:
+    """A scoring function of one's own: the trilinear product."""
+    product = lambda distance, h, r, t, **_: -C.dot(F.zip_with(h, r, lambda x, y: x * y), t)
+    C.METHODS["trilinear"] = product
+    return Q._scored(spark, d, X.embedded_triples(spark, d), "trilinear").withColumn("energy", F.round("energy", 6))
+
+
+_RULES = [("RSub", "click", "any"), ("RSub", "any", "all"), ("Inv", "view", "viewed_by")]
+
+
+@query(f"""WITH RECURSIVE {X.ACTIVITY}, a AS (SELECT *, {Q._CHANCE} AS chance FROM act), ru(relation, target, swap) AS (VALUES ('click', 'any', false), ('any', 'all', false), ('view', 'viewed_by', true), ('viewed_by', 'view', true)),
+t AS (SELECT head, tail, relation FROM a WHERE chance / 10.0 >= 0.5 UNION SELECT CASE WHEN swap THEN tail ELSE head END, CASE WHEN swap THEN head ELSE tail END, target FROM t JOIN ru USING (relation)) SELECT * FROM t""")
+def dataset_with_ontology(spark: SparkSession, d: str) -> DataFrame:
+    """Training triples with all that the ontology adds."""
+    return compiled.training(Q._confident(spark, d)[0], 0.5, rules=spark.createDataFrame(_RULES, "type string, src string, dst string"))
+
+
+@query(f"WITH x AS (SELECT DISTINCT lower(c_name) AS head, (c_nationkey % 3)::varchar AS tail, lower(c_mktsegment) AS relation FROM customer), {Q._SPLIT.format('x')} SELECT * FROM sp")
+def dataset_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """From a full dump of extractions to a dataset split by chance."""
+    return compiled.extracted(S.source_reverb_full(spark, d))
+
+
+@query("SELECT 'm.' || o_orderkey AS head, 'm.' || o_custkey AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 'type.object' ELSE 'label' END AS relation FROM orders WHERE o_orderkey % 2 = 0")
+def written_once(spark: SparkSession, d: str) -> DataFrame:
+    """A file that is there stays: the second writing is left out."""
+    rows = X.table(spark, d, "orders").select(F.concat(F.lit("m."), F.col("o_orderkey").cast("string")).alias("head"), F.concat(F.lit("m."), F.col("o_custkey").cast("string")).alias("tail"), F.when(F.col("o_orderkey") % 2 == 0, "type.object").otherwise("label").alias("relation"))
+    path = new_path(spark, "once")
+    readers.write_tsv(rows.filter("relation = 'type.object'"), path, "ignore")
+    readers.write_tsv(rows, path, "ignore")
+    return readers.triples(spark, path)
+
+
+@query(f"""WITH {Q._SCORES}, {Q._LABELS}, st AS (SELECT relation, count(*) AS n, avg(energy) AS mean FROM la GROUP BY relation)
+SELECT 'relation' || chr(9) || 'n' || chr(9) || 'mean' AS value UNION ALL SELECT relation || chr(9) || printf('%03d', n) || chr(9) || printf('%10.3f', mean) FROM st""")
+def report_written(spark: SparkSession, d: str) -> DataFrame:
+    """A report of fixed columns and number formats under its header."""
+    rows = Q._labelled(spark, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.avg("energy").alias("mean"))
+    path = new_path(spark, "report")
+    readers.write_report(rows, {"relation": "%s", "n": "%03d", "mean": "%10.3f"}, ["relation"], path)
+    return readers.lines(spark, path)
+
+
+@query("""SELECT i / 10.0::double AS min_probability, (i + 1) / 10.0::double AS max_probability, 0 AS min_centile, 100 AS max_centile FROM range(0, 10) t(i)
+UNION ALL SELECT i / 5.0::double, (i + 1) / 5.0::double, (25 * c)::int, (25 * (c + 1))::int FROM range(0, 5) t(i), range(0, 4) u(c)""")
+def parameter_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 sets of parameters of the selected datasets."""
+    whole = {"min_centile": 0, "max_centile": 100}
+    names = ("min_probability", "max_probability", "min_centile", "max_centile")
+    return spark.createDataFrame([tuple((whole | x)[n] for n in names) for x in perturb.nell_grid()], "min_probability double, max_probability double, min_centile int, max_centile int")

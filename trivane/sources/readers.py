@@ -322,3 +322,15 @@ def energy_cache(spark: SparkSession, path: str) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab-separated text; with mode ``ignore`` what is there stays."""
     df.write.mode(mode).option("sep", "\t").csv(path)
+
+
+def report(df: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """A line of tab-separated cells for each row, as ``value``: columns in the order of ``formats``, by printf formats."""
+    return df.select(F.format_string("\t".join(formats.values()), *formats).alias("value"))
+
+
+def write_report(df: DataFrame, formats: dict[str, str], order: list[str], path: str) -> None:
+    """A report with its header in one file; a report is small."""
+    lines_ = report(df.orderBy(*order), formats).coalesce(1)
+    header = df.sparkSession.createDataFrame([("\t".join(formats),)], "value string").coalesce(1)
+    header.union(lines_).coalesce(1).write.text(path)
