@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -255,3 +258,9 @@ def test_query_matches_sql(spark, name):
     columns = sorted(got.columns)
     rows = lambda d: sorted(tuple(repr(float(x)) if isinstance(x, float) else str(x) for x in r) for r in d[columns].itertuples(index=False))
     assert columns == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_entry_needs_no_session():
+    """The queries can be listed before there is a session."""
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 80)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[1]).stdout.split()[-1:] == ["True"]

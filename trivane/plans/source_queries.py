@@ -12,7 +12,7 @@ from trivane.shared import new_path
 from trivane.sources import readers
 
 T = X.table
-TAB = F.lit("\t")
+TAB = "\t"
 
 
 def _lines(df: DataFrame, line: Column, order: list[str], path: str, compressed: bool = False) -> str:
@@ -211,7 +211,7 @@ def source_freebase(spark: SparkSession, d: str) -> DataFrame:
     key = lambda p, c: F.concat(F.lit(f"<{p}"), c, F.lit(">"))
     ns = "http://rdf.freebase.com/ns/"
     relation = F.when(F.col("o_orderkey") % 2 == 0, key(ns, F.lit("type.object"))).otherwise(key("http://www.w3.org/2000/01/rdf-schema#", F.lit("label")))
-    line = F.concat(key(ns, F.concat(F.lit("m."), _s("o_orderkey"))), TAB, relation, F.lit("  "), key(ns, F.concat(F.lit("m."), _s("o_custkey"))), F.lit("\t."))
+    line = F.concat(key(ns, F.concat(F.lit("m."), _s("o_orderkey"))), F.lit(TAB), relation, F.lit("  "), key(ns, F.concat(F.lit("m."), _s("o_custkey"))), F.lit("\t."))
     return readers.freebase(spark.read.text(_lines(T(spark, d, "orders"), line, ["o_orderkey"], new_path(spark, "rdf"), compressed=True)))
 
 
