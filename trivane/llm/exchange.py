@@ -9,7 +9,6 @@ unless one name makes up much of the input, and callers combine equal names of a
 from __future__ import annotations
 
 import numpy as np
-import zstandard
 
 
 def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -26,16 +25,6 @@ def by_bucket(names: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[i
     return order, [(int(held[lo]), int(lo), int(hi)) for lo, hi in zip(cuts, cuts[1:])]
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Integers that mostly grow slowly or repeat, in a few bits each."""
-    steps = np.diff(values.astype(np.int64), prepend=0)
-    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes())
-
-
-def unsqueeze(held: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.int64))
-
-
 def joined(parts: list[bytes], kind: type) -> np.ndarray:
     """Packed arrays of several rows as one array."""
     return np.frombuffer(b"".join(parts), kind)
