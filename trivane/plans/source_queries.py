@@ -17,7 +17,7 @@ TAB = "\t"
 
 def _lines(df: DataFrame, line: Column, order: list[str], path: str, compressed: bool = False) -> str:
     """A file of lines in order; with ``compressed`` gzip."""
-    writer = df.orderBy(*order).coalesce(1).select(line.alias("value")).sortWithinPartitions(F.lit(0)) if not order else df.repartitionByRange(1, *order).sortWithinPartitions(*order).select(line.alias("value"))
+    writer = df.repartitionByRange(1, *order).sortWithinPartitions(*order).select(line.alias("value"))
     writer.write.mode("append").option("compression", "gzip" if compressed else "none").text(path)
     return path
 

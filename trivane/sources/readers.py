@@ -260,12 +260,6 @@ def options_of(header: Column) -> Column:
     return F.transform_values(held, lambda k, v: F.when(k == "datadir", C.basename(v)).otherwise(v))
 
 
-def last_match(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    """The group of the last line (line, value) that matches, null if none does."""
-    hit = F.regexp_extract("value", pattern, group)
-    return lines.filter(F.col("value").rlike(pattern)).agg(F.max_by(hit, "line").alias("found"))
-
-
 NUMBER = r"(\d+(?:\.\d+)?)"
 
 
