@@ -25,6 +25,8 @@ from trivane.llm.workspace import ship
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 64, 3000
 #: Bytes of a dictionary, and of a chunk that is compressed against it.
 DICTIONARY, CHUNK = 64 << 10, 8 << 10
+#: Distinct labels up to which their counts are broadcast.
+LABELS = 10_000
 #: A language with less text of its own does not shorten the dictionaries of others.
 USEFUL = 16 << 10
 #: Greedy matching of four bytes or more with small tables: about as exact here as slower settings.
@@ -58,6 +60,9 @@ def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: in
     """
     rows = labelled.select(F.xxhash64("text").alias("h"), "lang", "text").filter("lang is not null and text is not null and text != ''")
     counts = rows.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    few = counts.limit(LABELS + 1).collect()
+    if len(few) <= LABELS:  # so the texts are not shuffled
+        counts = F.broadcast(labelled.sparkSession.createDataFrame(few, counts.schema))
     share = F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n"))
     thinned = rows.join(counts, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)) < (share * (1 << 30)).cast("long"))
     start = 1 + F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - characters + 1, F.lit(1)))  # anywhere in the text
