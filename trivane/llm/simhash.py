@@ -33,10 +33,11 @@ from trivane.llm.workspace import materialise, ship
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Blocks without a difference at the head of a trie.
 FREE = 2
-#: Node pairs that are held at a time, entries of a bucket, and fingerprints of a subtree that is dealt out again.
-FRONTIER, BUCKET, HOT = 1 << 18, 1 << 20, 1 << 16
-#: Budget and blocks of ``near_copies``.
-COPY_BITS, COPY_FREE = 10, 3
+#: Node pairs that are held at a time, entries that are dealt at a time and of a bucket, and fingerprints of a subtree that is
+#: dealt out again.
+FRONTIER, DEALT, BUCKET, HOT = 1 << 17, 1 << 19, 1 << 18, 1 << 16
+#: Budget of ``near_copies``, and fingerprints that a subtree of its tries holds on average at most.
+COPY_BITS, SUBTREE = 10, 1024
 
 
 def majority(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
@@ -106,7 +107,8 @@ def rotated(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
-#: Entries of subtrees, packed by bucket: fingerprints in a trie's order, the trie, its levels, nodes and their components.
+#: Entries of subtrees, packed by bucket: fingerprints in a trie's order, the trie, its levels, nodes, and their components as
+#: the bits in which they differ from the node, which are mostly none and take no room in the shuffle.
 _DEALT = "bucket int, fps binary, tries binary, levels binary, nodes binary, components binary"
 _DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("fps", "tries", "levels", "nodes", "components")])
 _KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64}
@@ -121,7 +123,7 @@ def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, held: l
         turned = rotated(bits, order)
         parts.append((turned, np.full(len(fps), number, np.uint32), np.full(len(fps), levels, np.uint8), mix((turned >> np.uint64(64 - levels)) ^ mix(np.full(1, number, np.uint64)))))
     turned, number, levels, keys = (np.concatenate(x) for x in zip(*parts))
-    nodes, components = np.tile(nodes, len(held)), np.tile(components, len(held))
+    nodes, components = np.tile(nodes, len(held)), np.tile(nodes ^ components, len(held))
     order, cuts = by_bucket(keys, buckets)
     columns = [x[order] for x in (turned, number, levels, nodes, components)]
     return [(b, *(x[lo:hi].tobytes() for x in columns)) for b, lo, hi in cuts]
@@ -130,7 +132,7 @@ def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, held: l
 def _deal(buckets: int, max_bits: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, node, component) rows to the entries of all tries."""
     held = tries(max_bits, free)
-    room = max(1, (1 << 21) // len(held))
+    room = max(1, DEALT // len(held))
     waiting, size = [], 0
 
     def dealt() -> pa.RecordBatch:
@@ -215,7 +217,7 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: in
                 yield from chosen(x, y)
             continue
         if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)])
+            ones[depth] = np.concatenate([np.zeros(1, np.int32), np.cumsum((fps >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int32)])
         count = ones[depth]
         am, bm = ah - (count[ah] - count[a]), bh - (count[bh] - count[b])
         cross = a != b
@@ -256,6 +258,7 @@ def _join(max_bits: int, buckets: int, every: bool, last: bool, table: pa.Table)
     fps, trie, level, nodes, component = (joined(table.column(c).to_pylist(), k) for c, k in _KINDS.items())
     order = np.lexsort((fps, trie, level))
     fps, trie, level, nodes, component = (x[order] for x in (fps, trie, level, nodes, component))
+    component = component ^ nodes
     links, again = [np.zeros((2, 0), np.int64)], []
     for levels in np.unique(level).tolist():
         lo, hi = np.searchsorted(level, [levels, levels + 1])
@@ -278,6 +281,12 @@ def _join(max_bits: int, buckets: int, every: bool, last: bool, table: pa.Table)
     return pa.concat_tables([rows, dealt], promote_options="default").select(_JOINED_SCHEMA.names).cast(_JOINED_SCHEMA)
 
 
+def free_blocks(nodes: int, max_bits: int) -> int:
+    """How many blocks the head of a trie needs, so that so many nodes make subtrees of SUBTREE on average at most."""
+    enough = (free for free in range(FREE, 64 - max_bits) if nodes >> (64 * free // (max_bits + free)) <= SUBTREE)
+    return next(enough, FREE)
+
+
 def _of_table(f):
     def run(table: pa.Table) -> pa.Table:
         return f(table)
@@ -333,7 +342,7 @@ def _nodes(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *map(pa.array, held), pa.array([x.tobytes() for x in shingles.parities(names, first)], pa.binary())], ["doc_id", "node", "fp", "size", "parities"])
 
 
-def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int = COPY_BITS, free: int = COPY_FREE) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int = COPY_BITS) -> DataFrame:
     """doc_id and component_id of every row with a doc_id.
 
     Texts are linked if the fingerprints of their sets of shingles differ in at most ``max_bits`` bits and the Jaccard
@@ -349,6 +358,7 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int
     heads = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parities").alias("parities"))
     heads = materialise(heads, "heads")
     kept = heads.filter("size > 0").select("fp", "node")
+    free = free_blocks(kept.count(), max_bits)
     first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), max_bits, free), shingle)
     found = materialise(connected_components(first), "found")
     placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "placed")
