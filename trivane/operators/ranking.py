@@ -35,7 +35,8 @@ def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None =
         before = [b + x for b, x in zip(before, r[1:])]
     kinds = ["_part int", "_rank_before long"] + [f"_before_{c} {parts.select(F.sum(c)).dtypes[0][1]}" for c in sums]
     moved = df.sparkSession.createDataFrame(rows, ", ".join(kinds))
-    out = parts.join(moved, "_part").withColumn(rank, F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + 1 + F.col("_rank_before"))
+    out = parts.join(F.broadcast(moved), "_part")  # a row for each partition
+    out = out.withColumn(rank, F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33) + 1 + F.col("_rank_before"))
     running = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in sums:
         out = out.withColumn(f"_run_{c}", F.sum(c).over(running) + F.col(f"_before_{c}"))
