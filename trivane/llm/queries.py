@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, pii, simhash, substring_dedup, token_files, topk, url_reputation
+from trivane.llm import bpe_corpus, decontamination, language, lm_scoring, manifest_queries, pii, simhash, substring_dedup, token_files, topk, url_reputation
 from trivane.shared import new_path
 
 
@@ -191,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_pii": op9_pii,
         "op10_topk": op10_topk,
+        **manifest_queries.QUERIES,
     }
 
 
@@ -200,4 +201,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": OP3_SQL,
         "op7_url_reputation": OP7_SQL,
         "op10_topk": OP10_SQL,
+        **manifest_queries.ORACLES,
     }
