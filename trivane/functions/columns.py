@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def _distance(differences: Column, distance: str) -> Column:
+def length(differences: Column, distance: str) -> Column:
+    """The sum of absolute values (L1) or of squares (L2)."""
     if distance == "L1":
         return _sum(F.transform(differences, F.abs))
     if distance == "L2":
@@ -107,7 +109,7 @@ def _distance(differences: Column, distance: str) -> Column:
 def transe_energy(h: Column, r: Column, t: Column, distance: str = "L1") -> Column:
     """Sum of |t - (h + r)|, or of its squares without a root."""
     moved = F.zip_with(h, r, lambda x, y: x + y)
-    return _distance(F.zip_with(t, moved, lambda x, y: x - y), distance)
+    return length(F.zip_with(t, moved, lambda x, y: x - y), distance)
 
 
 def transh_energy(h: Column, r: Column, t: Column, w: Column) -> Column:
@@ -125,7 +127,7 @@ def times(matrix: Column, vector: Column) -> Column:
 def stranse_energy(h: Column, r: Column, t: Column, w1: Column, w2: Column, distance: str = "L1") -> Column:
     """Length of W1 h + r - W2 t: a sum, or a root of the sum of squares."""
     moved = F.zip_with(times(w1, h), r, lambda x, y: x + y)
-    found = _distance(F.zip_with(moved, times(w2, t), lambda x, y: x - y), distance)
+    found = length(F.zip_with(moved, times(w2, t), lambda x, y: x - y), distance)
     return F.sqrt(found) if distance == "L2" else found
 
 
@@ -148,6 +150,18 @@ METHODS: dict[str, Callable[..., Column]] = {
 }
 
 
+@contextmanager
+def added_method(name: str, energy: Callable[..., Column]) -> Iterator[None]:
+    """A method that is known only inside the block, in which plans are made that use it."""
+    if name in METHODS:
+        raise ValueError(f"there is a method {name} already")
+    METHODS[name] = energy
+    try:
+        yield
+    finally:
+        del METHODS[name]
+
+
 def energy(method: str, distance: str, **columns: Column) -> Column:
     if method.lower() not in METHODS:
         raise ValueError(f"unknown method: {method}")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators.ranking import ranked
+from trivane.operators.best import best
+from trivane.operators.ranking import ranked, settled
 
 KEY = ["head", "tail", "relation"]
 
@@ -100,13 +101,28 @@ def skyline(test_scored: DataFrame, corrupt_scored: DataFrame) -> DataFrame:
     return out.filter(kept).select(*KEY, "energy")
 
 
-def top_pairs(test: DataFrame, corrupt_scored: DataFrame, n: int = 500) -> DataFrame:
-    """Distinct (head, tail) of the n corruptions of lowest energy of each test triple."""
-    ids = test.select(*KEY).distinct()
-    own = lambda kept, moved: corrupt_scored.join(ids.withColumnRenamed(moved, "_own"), [kept, "relation"]).select(*KEY, "energy", F.struct(*[F.col("_own").alias(moved) if c == moved else F.col(c) for c in KEY]).alias("test"))
-    each = own("tail", "head").union(own("head", "tail")).distinct()
-    place = F.row_number().over(Window.partitionBy("test").orderBy("energy", "head", "tail"))
-    return each.withColumn("place", place).filter(F.col("place") <= n).select("head", "tail").distinct()
+def top_pairs(test: DataFrame, universe: DataFrame, vectors: DataFrame, relations: DataFrame, n: int = 500, method: str = "transe", distance: str = "L1") -> DataFrame:
+    """Distinct (head, tail) of the n corruptions of lowest energy of each test triple, ties by head and tail.
+
+    Each (head, relation) and (tail, relation) of the test triples is one search over the entities of ``universe``
+    (entity), of which every task keeps the n best before anything is shuffled. A triple's are among those of its two
+    searches. Entities are numbered in the order of their names, so ties are those of the names.
+    """
+    h, t, r, weights = _vectors(vectors, relations)
+    named = settled(ranked(universe.select("entity"), [F.col("entity")], rank="item"))
+    ids = settled(test.select(*KEY).distinct())
+    energy = _energy(method, distance, weights)
+    found = None
+    for side, other, own, others in (("head", "tail", h, t), ("tail", "head", t, h)):
+        searches = settled(ranked(ids.select(side, "relation").distinct(), [F.col(side), F.col("relation")], rank="group"))
+        entities = named.withColumnRenamed("entity", other).join(others, other)
+        product = searches.join(own, side).join(r, "relation").crossJoin(entities).select("group", "item", energy.alias("value"))
+        places = best(product, n).join(searches, "group").join(named.withColumnRenamed("entity", "_found"), "item")
+        mine = ids.join(places.select(side, "relation", "_found", "value"), [side, "relation"])
+        mine = mine.select(F.struct(*KEY).alias("test"), *[F.col("_found").alias(c) if c == other else F.col(c) for c in ("head", "tail")], "value")
+        found = mine if found is None else found.union(mine).distinct()
+    place = F.row_number().over(Window.partitionBy("test").orderBy("value", "head", "tail"))
+    return found.withColumn("place", place).filter(F.col("place") <= n).select("head", "tail").distinct()
 
 
 def normalised(values: DataFrame, column: str = "value") -> DataFrame:
@@ -138,8 +154,16 @@ def targets(scored: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
     return kept.select((F.col("_rank") - 1).alias("id"), *KEY, "energy"), log
 
 
-def with_cache(triples: DataFrame, cache: DataFrame, missing) -> DataFrame:
-    """Energies of distinct triples from ``cache`` (triple, energy), and of the others from ``missing(triples)``."""
-    wanted = triples.select(*KEY).distinct()
-    held = cache.select(*KEY, "energy").dropDuplicates(KEY)
-    return wanted.join(held, KEY).unionByName(missing(wanted.join(held, KEY, "left_anti")))
+def missing_from(triples: DataFrame, cache: DataFrame, buckets: int) -> DataFrame:
+    """The distinct triples whose energy is not in ``cache``, which has so many buckets by the triple and is not shuffled."""
+    return _wanted(triples, buckets).join(cache.select(*KEY).hint("merge"), KEY, "left_anti")
+
+
+def with_cache(triples: DataFrame, cache: DataFrame, buckets: int) -> DataFrame:
+    """The energies of the distinct triples that ``cache`` (triple, energy) has; it must have a triple once."""
+    return _wanted(triples, buckets).join(cache.select(*KEY, "energy").hint("merge"), KEY)
+
+
+def _wanted(triples: DataFrame, buckets: int) -> DataFrame:
+    """Distinct triples where the cache has them: one shuffle for both ends."""
+    return triples.select(*KEY).repartition(buckets, *KEY).distinct()
