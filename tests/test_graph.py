@@ -1,22 +1,27 @@
 """Hand-checked values of the graph operators, and the registered queries against SQL on a small table."""
 
 import hashlib
+import math
 import random
 import subprocess
 import sys
-from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators import evaluation, ids, ontology, perturb, scoring, stats
-from trivane.operators.ranking import ntile, ranked, ranked_within
-from trivane.plans import datasets
+from trivane.operators import evaluation, ids, ontology, perturb, pruned, scoring, stats
+from trivane.operators.best import SCHEMA, partial_best
+from trivane.operators.ranking import cut_off, first_rows, ntile, ranked, ranked_within
+from trivane.plans import compiled, datasets
 from trivane.plans import queries as Q
-from trivane.sources import catalogs, readers
+from trivane.plans.dataset_queries import scored_with_cache
+from trivane.sources import catalogs, folder, readers
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -61,7 +66,10 @@ def test_scalars(spark):
     assert perturb.dataset_name("corrupt", "FB", 0.29) == "FB_CORRUPT[028]"
     assert perturb.dataset_name("selected", "N", 0.95, 1.0, 95, 100, 10, 40, 600000) == "N_095_100_[095,100;010,040;600000]"
     assert perturb.dataset_name("groomed", "N", 0.29, 1.0, 3.3478, 600000) == "N_028_100_[3.3478;600000]"
+    assert perturb.dataset_name("groomed", "N", 0.95, 1.0, 3.3478, 600000, suffix="201601") == "N_095_100_[3.3478;600000]_201601"
     assert len(perturb.nell_grid()) == 30
+    with pytest.raises(ValueError), C.added_method("transe", C.transe_energy):
+        pass
     assert len(catalogs.REPLACED_TRIPLES) == 8 and catalogs.STRICT_CATEGORIES[-1].startswith("NELL.08m.165.esv")
 
 
@@ -85,8 +93,9 @@ def test_ranks_within(spark):
 
 
 def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """A folder of parts is one file."""
     lines = [f"{i * 7}" + "x" * (i % 50) for i in range(3000)]
-    for name in ("a", "b"):
+    for name in ("part-0", "part-1"):
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
@@ -94,7 +103,7 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
         got = readers.numbered(spark, str(tmp_path)).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
-    assert sorted((r["line"], r["value"]) for r in got) == sorted(2 * list(enumerate(lines)))
+    assert sorted((r["line"], r["value"]) for r in got) == sorted(enumerate(2 * lines))
 
 
 def groomed(rows, target, most, share):
@@ -123,30 +132,163 @@ def groomed(rows, target, most, share):
     return sorted((*rows[k], n) for k, n in taken.items())
 
 
-@pytest.mark.parametrize(("most", "share"), [(12, 0.0), (40, 0.2), (1000, 0.5)])
-def test_grooming(spark, most, share):
-    rows = [(f"e{i * i % 23}", f"e{i * 5 % 29 + 30}", "r") for i in range(60)] + [("x", "y", "q"), ("y", "z", "q")]
+@pytest.mark.parametrize(("most", "share", "names", "near", "degree"), [(12, 0.0, 1, 4, 2), (40, 0.0, 8, 512, 256), (1000, 0.0, 2, 8, 3), (40, 0.2, 8, 512, 256), (1000, 0.5, 8, 512, 256)])
+def test_grooming(spark, monkeypatch, most, share, names, near, degree):
+    """Batches of any size make the same rounds."""
+    for name, value in (("NAMES", names), ("NEAR", near), ("DEGREE", degree)):
+        monkeypatch.setattr(perturb, name, value)
+    rows = [(f"e{i * i % 23}", f"e{i * 5 % 29 + 30}", "r") for i in range(60)] + [("x", "y", "q"), ("y", "z", "q"), ("l", "l", "r"), ("l", "l", "q"), ("e1", "e1", "r"), ("e1", "e30", "s")]
     rows = list(dict.fromkeys(rows))
+    if most == 1000 and share == 0:
+        rows = rows[:24] + rows[-6:]
     got = perturb.groomed(triples(spark, rows), 2.0, most, share).collect()
     assert sorted(tuple(r) for r in got) == groomed(rows, 2.0, most, share)
-    assert perturb.groomed(triples(spark, rows).limit(0)).count() == 0
+
+
+def test_grooming_of_nothing(spark):
+    assert perturb.groomed(triples(spark, []), 2.0).count() == 0
 
 
 def test_sparser_draw(spark):
-    """Quotas as drawn one by one, and of each relation the first triples in hash order."""
+    """The arrivals of each relation's clock, and of each relation the first triples in hash order; the last never goes."""
     rows = [(f"h{i}", f"t{i}", f"r{(i * i) % 5}") for i in range(80)]
-    counts, quota = Counter(r for _, _, r in rows), Counter()
-    rng, open_ = random.Random(4), sorted(r for r in counts if counts[r] > 1)
-    for _ in range(50):
-        r = open_[rng.randrange(len(open_))]
-        quota[r] += 1
-        if quota[r] == counts[r] - 1:
-            open_.remove(r)
-    key = lambda x: hashlib.md5(":".join(["4", *x]).encode()).hexdigest()
-    gone = {x for r in counts for x in sorted((x for x in rows if x[2] == r), key=key)[: quota[r]]}
+    key = lambda x, seed="4": hashlib.md5(":".join([seed, *x]).encode()).hexdigest()
+    arrivals = []
+    for r in {x[2] for x in rows}:
+        own, time = sorted((x for x in rows if x[2] == r), key=key), 0
+        for place, x in enumerate(own[:-1], 1):
+            time += math.floor(-math.log((int(key(x, "4:clock")[:8], 16) + 1) / 2**32) * perturb.TICKS)
+            arrivals.append((time, key((r,)), place, x))
+    gone = {x for *_, x in sorted(arrivals)[:50]}
     assert {tuple(r)[:3] for r in perturb.sparser(triples(spark, rows), 50).filter("removed").collect()} == gone
 
 
+def test_sparser_draw_is_a_fair_draw(spark):
+    """A relation with many triples loses as many as one with few, until that one has one left."""
+    rows = triples(spark, [(f"h{i}", f"t{i}", f"r{min(i % 40, 3)}") for i in range(4000)])
+    gone = {r["relation"]: r["count"] for r in perturb.sparser(rows, 200).filter("removed").groupBy("relation").count().collect()}
+    assert sum(gone.values()) == 200 and all(30 <= gone[f"r{i}"] <= 70 for i in range(4))
+
+
+@pytest.mark.parametrize("most", [1, 40, 700, 5000])
+def test_cut_off(spark, most):
+    """What is sorted for the first rows is at most twice as many, whatever kind the key is, unless keys are equal."""
+    rows = spark.range(3000).select("id", F.md5(F.col("id").cast("string")).alias("m"), (F.col("id") * 37 % 3000 - 1500).alias("n"), F.pow(F.col("id") * 13 % 3000, 3.0).alias("x"), (F.col("id") % 2).alias("tie"))
+    rows = rows.union(spark.createDataFrame([(3000, None, None, float("nan"), None), (3001, "", -(1 << 63), float("-inf"), 0), (3002, "é", (1 << 63) - 1, float("inf"), 1)], "id long, m string, n long, x double, tie long"))
+    for order in (["m", "id"], ["n", "id"], ["x", "id"], ["tie", "n"]):
+        columns = [F.col(c) for c in order]
+        condition, kept = cut_off(rows, columns, most)
+        first = [r["id"] for r in rows.orderBy(*columns).limit(most).collect()]
+        held = [r["id"] for r in rows.filter(condition).collect()]
+        assert set(first) <= set(held) and len(held) == kept <= max(2 * most, min(3003, 2 * most))
+        assert {r["id"] for r in first_rows(rows, columns, most).collect()} == set(first)
+    assert first_rows(rows, [F.col("id")], 0).count() == 0
+
+
+def test_first_rows_sort_few(spark):
+    """The plan of a small sample sorts only what is before the cut."""
+    rows = triples(spark, [(f"h{i}", f"t{i % 70}", "r") for i in range(4000)])
+    condition, kept = cut_off(rows, [C.hash_order(4, *map(F.col, ("head", "tail", "relation")))], 50)
+    assert kept <= 100 and rows.filter(condition).count() == kept
+
+
+def _space(spark, distance):
+    """Clustered vectors, test triples, and the corruptions scored one by one."""
+    rng = random.Random(6)
+    middles = [[rng.uniform(-50, 50) for _ in range(6)] for _ in range(8)]
+    entities = {f"e{i}": [x + rng.gauss(0, 1) for x in middles[i % 8]] for i in range(160)}
+    relations = {f"r{j}": [x - y for x, y in zip(middles[j + 1], middles[j])] for j in range(3)}
+    test = [(f"e{8 * k + j}", f"e{8 * (k + 3) + j + 1}", f"r{j}") for k in range(6) for j in range(3)] + [("e0", "gone", "r0")]
+    frame = lambda held: spark.createDataFrame(list(held.items()), "key string, vec array<double>")
+    universe = spark.createDataFrame([(e,) for e in [*entities, "gone"]], "entity string")
+    return triples(spark, test), universe, frame(entities), frame(relations)
+
+
+@pytest.mark.parametrize("distance", ["L1", "L2"])
+def test_pruned_corruptions(spark, distance):
+    """The metric index gives what the product gives, and scores a small part of it."""
+    test, universe, vectors, relations = _space(spark, distance)
+    product = scoring.scored_corruptions(test, universe, vectors, relations, "transe", distance).cache()
+    want = scoring.skyline(scoring.score(test, vectors, relations, "transe", distance), product)
+    rows = lambda d: sorted((r["head"], r["tail"], r["relation"], r["energy"]) for r in d.select("head", "tail", "relation", "energy").collect())
+    small = {"pivots": 8, "rings": 4}
+    assert rows(pruned.skyline(test, universe, vectors, relations, distance, **small)) == rows(want) and want.count() > 20
+    most = 30.0
+    assert rows(pruned.below(test, universe, vectors, relations, most, distance, **small)) == rows(product.filter(F.col("energy") <= most))
+    limits = {side: test.select(side, "relation").distinct().withColumn("energy", F.lit(most)) for side in ("head", "tail")}
+    scored = sum(d.count() for d in pruned.candidates(limits, universe, vectors, relations, distance, **small).values())
+    assert scored < product.count() / 3
+
+
+def test_partial_best():
+    """No more rows of a group leave a task than are wanted, and groups that are many leave in turns."""
+    rng = np.random.default_rng(1)
+    group, item, value = rng.integers(0, 50, 30_000), rng.integers(0, 10**6, 30_000), rng.integers(0, 9, 30_000).astype(float)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 1000]) for c in (group, item, value)], schema=SCHEMA) for i in range(0, 30_000, 1000)]
+    want = {g: sorted(zip(value[group == g], item[group == g]))[:7] for g in range(50)}
+    for held in (10**6, 100):
+        out = pa.Table.from_batches(list(partial_best(iter(batches), 7, held))).to_pydict()
+        got = {g: sorted((v, i) for h, i, v in zip(*out.values()) if h == g) for g in range(50)}
+        assert all(got[g][:7] == want[g] for g in range(50)) and (held == 100 or all(len(got[g]) == 7 for g in range(50)))
+
+
+def test_top_pairs(spark):
+    test, universe, vectors, relations = _space(spark, "L1")
+    product = [tuple(r) for r in scoring.scored_corruptions(test, universe, vectors, relations).select("head", "tail", "relation", "energy").collect()]
+    want = set()
+    for h, t, r in {tuple(x) for x in test.collect()}:
+        own = [(e, a, b) for a, b, c, e in product if c == r and (a == h or b == t)]
+        want |= {(a, b) for _, a, b in sorted(own)[:5]}
+    got = scoring.top_pairs(test, universe, vectors, relations, 5)
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_energy_cache(spark, tmp_path):
+    """Only what is missing is added; the cache is not shuffled; another session opens it with its own buckets."""
+    path, asked = f"file://{tmp_path}/cache", []
+    held = triples(spark, [(f"h{i}", f"t{i % 5}", "r") for i in range(60)])
+    score = lambda missing: (asked.append(missing.count()), missing.withColumn("energy", F.length("head") + 0.5))[1]
+    cache = readers.energy_cache(spark, path)
+    for rows, n in ((held.limit(20), 20), (held, 40), (held, None)):
+        out = scored_with_cache(rows, cache, score)
+        assert out.count() == rows.count() and asked[-1] == (n or 40)
+    assert len(asked) == 2 and spark.table(cache).count() == 60
+    plan = scoring.with_cache(held, spark.table(cache), readers.cache_buckets(spark, cache))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1
+    spark.sql(f"DROP TABLE {cache}")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert spark.table(readers.energy_cache(spark, path)).count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_dataset_folder(spark, tmp_path):
+    """What is written is read back; a second writing does nothing; what did not change is copied."""
+    at = f"file://{tmp_path}"
+    whole = datasets.dataset(perturb.split(triples(spark, [(f"h{i}", f"t{i % 9}", f"r{i % 4}") for i in range(40)])))
+    assert folder.write_dataset(whole, f"{at}/FB") and not folder.write_dataset(whole, f"{at}/FB")
+    back = folder.read_dataset(spark, f"{at}/FB")
+    for a, b in ((whole.triples, back.triples), (whole.entities, back.entities), (whole.relations, back.relations), (whole.dense(), back.dense())):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    bare = replace(whole, triples=whole.triples.filter("split = 'train'"))
+    assert folder.write_dataset(bare, f"{at}/bare", f"{at}/FB", [folder.ENTITIES, folder.RELATIONS])
+    assert {r["split"] for r in folder.read_dataset(spark, f"{at}/bare").triples.collect()} == {"train"}
+    assert {p.name for p in (tmp_path / "bare").iterdir() if not p.name.startswith(".")} == {"_WHOLE", "entity2id.txt", "relation2id.txt", "train.txt", "test.txt", "valid.txt", "triples"}
+    (tmp_path / "rdf").write_text("<a>\t<r>\t<b> .\n" * 2)
+    assert compiled.rdf_to_folder(spark, f"{at}/rdf", f"{at}/X") and not compiled.rdf_to_folder(spark, f"{at}/rdf", f"{at}/X")
+    assert [tuple(r) for r in folder.read_dataset(spark, f"{at}/X").dense().collect()] == []
+
+
+def test_catalog(spark, tmp_path):
+    (tmp_path / "a").write_text(" h \tt\tr\t0.5\nh\tt\tr\tx\n\n")
+    (tmp_path / "b").write_text("h\tc\t0.9\n")
+    got = readers.catalog(spark, f"file://{tmp_path}", [("triples", ["a"], False, 0.5), ("categories", ["b"], True, 0.95)])
+    assert sorted(map(tuple, got.fillna(-1.0).collect())) == [("categories", "h", "c", "0", 0.9, False), ("triples", "h", "t", "r", -1.0, False), ("triples", "h", "t", "r", 0.5, True)]
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.catalog(spark, f"file://{tmp_path}", [("triples", ["a", "c"], False, 0.5)]).collect()
+
+
 def test_value_stats(spark):
     """Borders of quarters belong to the lower one."""
     rows = spark.createDataFrame([(float(i),) for i in range(5)], "energy double")
@@ -195,6 +337,16 @@ def test_ontology(spark):
     assert got == {("a", "b", "r1"), ("a", "b", "r2"), ("a", "b", "r3"), ("b", "a", "back")}
 
 
+def test_ontology_closure(spark):
+    """Paths in a ring of rules end, and no path is longer than the rounds."""
+    rules = spark.createDataFrame([("RSub", f"r{i}", f"r{(i + 1) % 4}") for i in range(4)] + [("Inv", "r0", "x")], "type string, src string, dst string")
+    found = {(r["src"], r["dst"], r["swapped"]): r["steps"] for r in ontology.closure(rules).collect()}
+    assert found["r0", "r0", False] == 2 and found["r1", "x", True] == 4 and found["x", "r1", True] == 2 and len(found) == 5 * 5 * 1
+    start = triples(spark, [("a", "b", "r0"), ("a", "b", "r0"), ("a", "b", "z")])
+    assert {tuple(r) for r in ontology.expanded(start, rules, 1).collect()} == {("a", "b", "r0"), ("a", "b", "z"), ("a", "b", "r1"), ("b", "a", "x")}
+    assert ontology.expanded(start, rules.limit(0)).count() == 2
+
+
 def test_skyline_and_ranks(spark):
     test = spark.createDataFrame([("a", "b", "r", 1.0), ("a", "c", "r", 3.0)], "head string, tail string, relation string, energy double")
     made = spark.createDataFrame([("a", "b", "r", 1.0), ("a", "c", "r", 3.0), ("a", "x", "r", 2.0), ("a", "y", "r", 4.0), ("y", "b", "r", 0.5)], "head string, tail string, relation string, energy double")
@@ -246,7 +398,8 @@ def test_readers(spark, tmp_path):
 #: One of each kind; the driver runs them all.
 CHECKED = """score_transe_l1 score_stranse_l1 corruptions_made corruptions_skyline link_ranks auc_pr energy_stats threshold_sweep dataset_stats_row dense_triples centile_dataset corrupted sparser_rounds external_triples
 dataset_compiled dataset_annotated confidences_replaced source_triples_with_id source_matrices source_all_confident source_freebase source_wordnet log_results dump_tables dump_built numbers triples_without targets_kept energies_cached
-folder_corruptions_scored dataset_grid dataset_fewer_relations""".split()
+folder_corruptions_scored dataset_grid dataset_fewer_relations corruptions_below_maximum corruptions_top_pairs sparser_draw sample_entities ontology_expanded parameter_grid dataset_from_folder dataset_from_folder_strict dataset_folder_rdf
+dataset_folder_lexical dataset_folder_derived score_added_method""".split()
 
 
 @pytest.mark.parametrize("name", CHECKED)

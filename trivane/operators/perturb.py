@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,34 +46,31 @@ def sample_entities(triples: DataFrame, size: int, seed: int = 4) -> DataFrame:
     return out.select(*triples.columns)
 
 
-def _by_relation(triples: DataFrame, seed: int) -> DataFrame:
-    return ranked_within(triples, ["relation"], [C.hash_order(seed, *map(F.col, KEY)), *map(F.col, KEY)], rank="_place")
+#: Ticks of a clock in its mean time between two arrivals.
+TICKS = 1 << 24
 
 
 def sparser(triples: DataFrame, n: int, seed: int = 4, mode: str = "draw") -> DataFrame:
-    """Add ``removed`` for n triples; the last triple of a relation is never removed.
+    """Add ``removed`` for n triples; the last triple of a relation, in hash order, is never removed.
 
-    ``draw`` draws a relation with equal chance again and again and then one of its triples: the driver draws from
-    one count for each relation. ``rounds`` takes one triple of each relation in turn, in hash order.
+    ``draw`` draws a relation with equal chance, of those that have a triple to spare, and takes its next triple, n times.
+    That is a race of clocks: the triples of each relation arrive one by one after exponential times, and the first n go,
+    as the next arrival is as likely any relation's as another's, whatever came before. Times are made by hash
+    and counted in whole ticks. ``rounds`` takes one triple of each relation in turn.
     """
-    counts = {r["relation"]: r["n"] for r in triples.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if n > sum(counts.values()) - len(counts):
+    order = [C.hash_order(seed, *map(F.col, KEY)), *map(F.col, KEY)]
+    chance = (C.hash_int(f"{seed}:clock", *map(F.col, KEY)) + 1) / F.lit(float(1 << 32))
+    wait = F.floor(-F.log(chance) * TICKS) if mode == "draw" else F.lit(1)
+    placed = settled(ranked_within(triples, ["relation"], order, {"_time": wait.cast("long")}, rank="_place"))
+    sizes = settled(placed.groupBy("relation").agg(F.count(F.lit(1)).alias("_n")))
+    total, relations = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    if n > total - relations:
         raise ValueError("more triples are to go than relations can spare")
-    placed = _by_relation(triples, seed)
-    if mode == "draw":
-        rng, quota = random.Random(seed), dict.fromkeys(counts, 0)
-        open_ = sorted(r for r in counts if counts[r] > 1)
-        for _ in range(n):
-            i = rng.randrange(len(open_))
-            quota[open_[i]] += 1
-            if quota[open_[i]] == counts[open_[i]] - 1:
-                open_.pop(i)
-        quotas = triples.sparkSession.createDataFrame(list(quota.items()), "relation string, _quota int")
-        return placed.join(quotas, "relation").withColumn("removed", F.col("_place") <= F.col("_quota")).select(*triples.columns, "removed")
-    sizes = triples.sparkSession.createDataFrame(list(counts.items()), "relation string, _n long")
-    spare = placed.join(sizes, "relation").filter(F.col("_place") < F.col("_n"))
-    gone = spare.orderBy("_place", C.hash_order(seed, F.col("relation")), "relation").limit(n).select("relation", "_place", F.lit(True).alias("_gone"))
-    return placed.join(gone, ["relation", "_place"], "left").withColumn("removed", F.coalesce("_gone", F.lit(False))).select(*triples.columns, "removed")
+    spare = placed.join(sizes, "relation").withColumn("_spare", F.col("_place") < F.col("_n"))
+    turn = [F.col("_time"), C.hash_order(seed, F.col("relation")), F.col("relation"), F.col("_place")]
+    last = first_rows(spare.filter("_spare"), turn, n).agg(F.max(F.struct(*[c.alias(f"t{i}") for i, c in enumerate(turn)])).alias("_last"))
+    gone = F.col("_spare") & (F.struct(*[c.alias(f"t{i}") for i, c in enumerate(turn)]) <= F.col("_last"))
+    return spare.crossJoin(F.broadcast(last)).withColumn("removed", F.coalesce(gone, F.lit(False))).select(*triples.columns, "removed")  # one row
 
 
 def removal_relations(train: DataFrame, n: int, seed: int = 4) -> DataFrame:
@@ -158,32 +155,135 @@ def adjacency(triples: DataFrame) -> DataFrame:
     return neighbours(triples).groupBy("entity").agg(F.array_sort(F.collect_list("other")).alias("neighbours"))
 
 
+#: Of entities of the same counts so many of the least names are looked at in a batch of rounds; the neighbours of so many
+#: entities, each of so many at most, come to the driver with them.
+NAMES, NEAR, DEGREE = 8, 512, 256
+
+
+@dataclass
+class Grooming:
+    """A batch of rounds of a greedy search on what the driver knows of a graph.
+
+    Entities of the same (count, neighbours) have one score, so only the least name of each such bucket can be next.
+    ``buckets`` has the least names of each in order and whether there are more; ``near`` the neighbours (other, triples) of
+    some entities, with None for what is chosen already; ``state`` is (count, neighbours, active) of all that are named.
+    """
+
+    target: float
+    held: int
+    entities: int
+    buckets: dict[tuple[int, int], tuple[list[str], bool]]
+    near: dict[str, list[tuple[str, int]]]
+    state: dict[str, tuple[int, int, bool]]
+
+    def __post_init__(self) -> None:
+        self.moved: set[str] = set()
+
+    def far(self, count: int, neighbours: int) -> float:
+        return abs(self.target - (self.held + count) / (self.entities + neighbours + 1))
+
+    def best(self) -> str | None:
+        """The next entity, by score and then name; None if the names that are known do not tell."""
+        found: list[tuple[float, str, bool]] = [(self.far(*key), names[0], True) if names else (self.far(*key), "", False) for key, (names, more) in self.buckets.items() if names or more]
+        found += [(self.far(*self.state[e][:2]), e, True) for e in self.moved]
+        far, name, known = min(found, default=(0.0, "", False))
+        return name if known else None
+
+    def rounds(self, most: int) -> list[str]:
+        """The entities of the next rounds, in order: up to one whose neighbours are not known, or the end of the search."""
+        out: list[str] = []
+        while self.held < most and (e := self.best()) is not None:
+            out.append(e)
+            self._leave(e)
+            if e not in self.near:
+                break
+            self._take(e)
+        return out
+
+    def _leave(self, e: str) -> None:
+        """``e`` is in no bucket any more."""
+        self.moved.discard(e)
+        names = self.buckets.get(self.state[e][:2], ([], False))[0]
+        if e in names:
+            names.remove(e)
+
+    def _take(self, e: str) -> None:
+        active = self.state[e][2]
+        for other, triples in self.near[e]:
+            if other == e:
+                self.held += triples // 2  # a loop counts at both ends
+            elif other in self.state:
+                self._leave(other)
+                count, neighbours, seen = self.state[other]
+                self.held += triples
+                self.entities += not seen
+                self.state[other] = count - triples, neighbours - 1, True
+                self.moved.add(other)
+        self.entities += not active
+        del self.state[e]
+
+
+def _graph(state: DataFrame, ends: DataFrame, target: float, held: int, entities: int) -> Grooming:
+    """What a batch of rounds needs: a row for each bucket and name, and the neighbours of the names that come next.
+
+    A name whose bucket is in question may be a neighbour of a chosen one, so what is said of it holds until it moves.
+    """
+    bucket = Window.partitionBy("count", "neighbours")
+    rows = state.withColumn("_place", F.row_number().over(bucket.orderBy("entity"))).filter(F.col("_place") <= NAMES)
+    sizes = state.groupBy("count", "neighbours").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(sizes, ["count", "neighbours"]).select("count", "neighbours", "n", "entity", "active").collect()
+    out = Grooming(target, held, entities, {}, {}, {})
+    for r in sorted(rows, key=lambda r: r["entity"]):
+        out.buckets.setdefault((r["count"], r["neighbours"]), ([], r["n"] > NAMES))[0].append(r["entity"])
+        out.state[r["entity"]] = r["count"], r["neighbours"], r["active"]
+    next_ = sorted((r for r in rows if r["count"] <= DEGREE), key=lambda r: (out.far(r["count"], r["neighbours"]), r["entity"]))[:NEAR]
+    names = state.sparkSession.createDataFrame([(r["entity"],) for r in next_], "entity string")
+    near = ends.join(F.broadcast(names), "entity").groupBy("entity", "other").agg(F.count(F.lit(1)).alias("triples"))
+    # those chosen already have no state and no part in what follows, so a hub's past does not come either
+    near = near.join(state.select(F.col("entity").alias("other"), "count", "neighbours", "active"), "other").collect()
+    out.near = {r["entity"]: [] for r in next_}
+    for r in near:
+        out.near[r["entity"]].append((r["other"], r["triples"]))
+        out.state[r["other"]] = r["count"], r["neighbours"], r["active"]
+    return out
+
+
 def groomed(triples: DataFrame, target: float = 3.3478, most: int = 600_000, share: float = 0.0) -> DataFrame:
     """Triples in the rounds in which a search for a density takes them: (head, tail, relation, round).
 
     All entities are candidates from the start. A round takes the entity for which (triples + its count) / (entities + its
     neighbours + 1) is closest to ``target``, ties by name; all its triples and neighbours come with it, and the
     counts of the entities they touch fall. It ends with the round that reaches ``most`` triples, or without candidates.
-    A loop counts twice. ``share`` is the part of the candidates that a round takes at once, one at least: with 0 the
-    search is greedy, one entity a round; beyond, counts are those of the round's beginning, and it ends in
-    about log(entities) / share rounds. Every round is joins over all triples.
+    A loop counts twice. The rounds are made in batches: Spark counts what is left of the graph and brings its buckets of
+    equal counts and the neighbours of the next candidates (``Grooming``), and the batch goes on as long as these tell
+    which entity is next.
+
+    ``share`` is the part of the candidates that a round takes at once, one at least: beyond 0, counts are those of the round's
+    beginning, and the search ends in about log(entities) / share rounds.
     """
     triples = settled(triples.select(*KEY))
+    spark, deals = triples.sparkSession, int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = settled(triples.select(F.col("head").alias("entity"), F.col("tail").alias("other")).union(triples.select("tail", "head")))
     left = settled(ends.select("entity").distinct())
     chosen = left.limit(0).select("entity", F.lit(0).alias("round"))
     held, entities, number, candidates = 0, 0, 0, left.count()
     while candidates and held < most:
-        number += 1
         free = ends.join(chosen.select(F.col("entity").alias("other")), "other", "left_anti")
         counts = free.groupBy("entity").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("other").alias("neighbours"))
         state = left.join(counts, "entity", "left").fillna(0)
-        far = F.abs(target - (held + F.col("count")) / (entities + F.col("neighbours") + 1))
-        take = max(1, int(share * candidates))
-        best = first_rows(state.withColumn("far", far), [F.col("far"), F.col("entity")], take)
-        chosen = settled(chosen.union(best.select("entity", F.lit(number).alias("round"))))
+        if share > 0:
+            far = F.abs(target - (held + F.col("count")) / (entities + F.col("neighbours") + 1))
+            take = max(1, int(share * candidates))
+            best = first_rows(state.withColumn("far", far), [F.col("far"), F.col("entity")], take).select("entity", F.lit(number + 1).alias("round"))
+            number, candidates = number + 1, candidates - take
+        else:
+            touched = ends.join(chosen, "entity").select(F.col("other").alias("entity"), F.lit(True).alias("active")).distinct()
+            state = settled(state.join(touched, "entity", "left").withColumn("active", F.coalesce("active", F.lit(False))))
+            names = _graph(state, ends, target, held, entities).rounds(most)
+            best = spark.createDataFrame([(e, number + i) for i, e in enumerate(names, 1)], "entity string, round int")
+            number, candidates = number + len(names), candidates - len(names)
+        chosen = settled(chosen.union(best).coalesce(deals))
         left = settled(left.join(chosen, "entity", "left_anti"))
-        candidates -= take
         held = _touched(triples, chosen).count()
         met = ends.join(chosen, "entity").select(F.col("other").alias("entity")).union(chosen.select("entity"))
         entities = met.distinct().count()
@@ -198,19 +298,21 @@ def _touched(triples: DataFrame, chosen: DataFrame) -> DataFrame:
     return out.withColumn("round", F.least("_head", "_tail")).filter("round is not null").select(*KEY, "round")
 
 
-def dataset_name(kind: str, base: str, *values: float) -> str:
+def dataset_name(kind: str, base: str, *values: float, suffix: str = "") -> str:
     """Names of derived datasets; shares are written as truncated percents.
 
     ``selected`` takes the least and greatest probability, entity centile and relation centile and the most triples,
-    ``groomed`` the probabilities, the density and the most triples.
+    ``groomed`` the probabilities, the density and the most triples; these two end in ``suffix``, if there is one, after a
+    line, as they may be made again and again.
     """
+    end = f"_{suffix}" if suffix else ""
     percent = lambda x: "%03d" % int(x * 100)
     if kind == "selected":
         a, b, *tiles, most = values
-        return base + f"_{percent(a)}_{percent(b)}_[%03d,%03d;%03d,%03d;{most}]" % tuple(tiles)
+        return base + f"_{percent(a)}_{percent(b)}_[%03d,%03d;%03d,%03d;{most}]" % tuple(tiles) + end
     if kind == "groomed":
         a, b, target, most = values
-        return base + f"_{percent(a)}_{percent(b)}_[{target};{most}]"
+        return base + f"_{percent(a)}_{percent(b)}_[{target};{most}]" + end
     forms = {  # fixed values
         "corrupt": "_CORRUPT[%03d]", "triples_removed": "_TR[%06d]", "relations_removed": "_RR[%06d]", "collapsed": "_CR[%03d]", "sample": "_SAMPLE[%06d]", "entity_sample": "_ENTITY_SAMPLE[%06d]"
     }

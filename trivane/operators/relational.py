@@ -63,6 +63,27 @@ def selected(
     return first_rows(out, [F.col(c) for c in ("head", "relation", "tail")], most)
 
 
+def grid_sizes(triples: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
+    """For each set of parameters (min_probability, max_probability, min_centile, max_centile) the number ``n`` of triples that it
+    selects: probability and the centiles of both entities in the ranges, ends included.
+
+    One pass serves all sets: each triple goes to those that it fits, of which only counts are shuffled. Without centiles a
+    set has all of them.
+    """
+    names = ("min_probability", "max_probability", "min_centile", "max_centile")
+    held = [(*(float(x[n]) for n in names[:2]), *(int(x.get(n, default)) for n, default in zip(names[2:], (0, 100)))) for x in grid]
+    sets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x)]) for x in held])
+    centiles = with_centiles(entity_counts(triples, once=True), "entity")
+    rows = triples.select("head", "tail", "probability")
+    for side in ("head", "tail"):
+        rows = rows.join(centiles.select(F.col("entity").alias(side), F.col("centile").alias(f"_{side}")), side)
+    low, high = F.least("_head", "_tail"), F.greatest("_head", "_tail")
+    fits = lambda x: F.col("probability").between(x["min_probability"], x["max_probability"]) & (low >= x["min_centile"]) & (high <= x["max_centile"])
+    sizes = rows.select(F.explode(F.filter(sets, fits)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).select("x.*", "n")
+    every = triples.sparkSession.createDataFrame(held, "min_probability double, max_probability double, min_centile int, max_centile int")
+    return every.join(sizes, list(names), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def prepared(text, kind: str):
     """A dump's text as a typed value: NaN and text that is no number become null."""
     clean = C.not_a_number_to_null(F.trim(text))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.operators import ontology, perturb, stats
-from trivane.sources import readers
+from trivane.operators.ranking import settled
+from trivane.plans import datasets
+from trivane.sources import catalogs, folder, readers
 
 KEY = ["head", "tail", "relation"]
 #: The relation between an entity and its category.
@@ -41,3 +43,45 @@ def extracted(triples: DataFrame, annotations: DataFrame | None = None, seed: in
         return perturb.split(rows, seed)
     known = readers.annotated_in(annotations.filter("is_valid"), rows).select(*KEY).distinct()
     return rows.withColumn("split", F.lit("train")).unionByName(known.withColumn("split", F.lit("test")))
+
+
+def from_folder(spark: SparkSession, source: str, least: float = 0.99, strict: bool = False, categories: bool = False, ontological: bool = False, seed: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(dataset, counts) from a folder of extraction files.
+
+    Train are the distinct triples, and with ``categories`` the categories as triples, of at least the confidence ``least``, with what the
+    folder's ontology adds if ``ontological``. Test and valid are halves of the gold triples whose parts train has
+    often enough. ``strict`` takes only what was extracted, and gold triples whose parts train has at all. ``counts`` has
+    the rows and the rejected ones of each kind. All files are one scan, whose accepted rows are written for the rest.
+    """
+    names = (catalogs.STRICT_TRIPLES, catalogs.STRICT_CATEGORIES) if strict else (catalogs.TRIPLES, catalogs.CATEGORIES)
+    kinds = [("triples", names[0], False, least), ("gold", catalogs.TEST_TRIPLES, False, 0.1)]
+    kinds += [("categories", names[1], True, least)] if categories else []
+    rows = settled(readers.catalog(spark, source, kinds))
+    counts = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("accepted")).alias("rejected"))
+    held = rows.filter("accepted")
+    rules = readers.ontology(spark, source) if ontological else None
+    train = settled(training(held.filter("kind != 'gold'"), rules=rules))
+    often = (1, 1) if strict else (10, 5)
+    return with_gold(train, held.filter("kind = 'gold'"), *often, seed), counts
+
+
+#: The files of the lexical database.
+LEXICAL = ("data.adj", "data.adv", "data.noun", "data.verb")
+
+
+def _to_folder(triples: DataFrame, target: str, seed: int) -> bool:
+    """Distinct triples, split by chance, as a dataset's folder; False if it is there already, and then nothing is read."""
+    spark = triples.sparkSession
+    if folder.is_written(spark, target):
+        return False
+    return folder.write_dataset(datasets.dataset(settled(perturb.split(settled(triples.distinct()), seed))), target)
+
+
+def rdf_to_folder(spark: SparkSession, dump: str | list[str], target: str, seed: int = 4) -> bool:
+    """A dataset's folder from an RDF dump, compressed or not."""
+    return _to_folder(readers.freebase(readers.lines(spark, dump)), target, seed)
+
+
+def lexical_to_folder(spark: SparkSession, source: str, target: str, seed: int = 4) -> bool:
+    """A dataset's folder from the four data files of a lexical database."""
+    return _to_folder(readers.wordnet(readers.lines(spark, [f"{source}/{name}" for name in LEXICAL])), target, seed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from trivane.plans import fixture as X
 from trivane.plans import queries as Q
 from trivane.plans import source_queries as S
 from trivane.plans.queries import KEY, query
-from trivane.shared import new_path
-from trivane.sources import readers
+from trivane.shared import names_in, new_path, renamed, touch
+from trivane.sources import catalogs, folder, readers
 
 _TABLES = f"""{S._DUMP}, en AS (SELECT name, row_number() OVER (ORDER BY name) AS id, bool_or(c) AS concept FROM (SELECT entity AS name, true AS c FROM pd UNION ALL SELECT value, starts_with(value, 'concept:') FROM pd) GROUP BY name),
 re AS (SELECT relation AS name, row_number() OVER (ORDER BY relation) AS id FROM (SELECT DISTINCT relation FROM pd)),
@@ -115,14 +117,23 @@ def targets_log(spark: SparkSession, d: str) -> DataFrame:
     return scoring.targets(Q._link_tables(spark, d)[2], 9.0)[1]
 
 
+def scored_with_cache(triples: DataFrame, cache: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Energies of the triples, all from the table ``cache``, to which those that it does not have are added first."""
+    spark = triples.sparkSession
+    buckets = readers.cache_buckets(spark, cache)
+    missing = settled(scoring.missing_from(triples, spark.table(cache), buckets))
+    if not missing.isEmpty():
+        readers.add_energies(score(missing), cache)
+    return scoring.with_cache(triples, spark.table(cache), buckets)
+
+
 @query(f"WITH {Q._SCORES} SELECT * FROM s")
 def energies_cached(spark: SparkSession, d: str) -> DataFrame:
     """Half of the energies from a cache that was written before, the others scored and written to it; all are then read."""
-    triples, at = X.embedded_triples(spark, d), new_path(spark, "cache")
-    readers.write_energy_cache(Q._scored(spark, d, triples.filter("cast(head as long) % 2 = 0")), at)
-    found = scoring.with_cache(triples, readers.energy_cache(spark, at), lambda missing: Q._scored(spark, d, missing))
-    readers.write_energy_cache(found, at)
-    return readers.energy_cache(spark, at)
+    triples = X.embedded_triples(spark, d)
+    cache = readers.energy_cache(spark, new_path(spark, "cache"))
+    readers.add_energies(Q._scored(spark, d, triples.filter("cast(head as long) % 2 = 0")), cache)
+    return scored_with_cache(triples, cache, lambda missing: Q._scored(spark, d, missing))
 
 
 def _folders(spark: SparkSession, d: str) -> tuple[str, str]:
@@ -198,7 +209,7 @@ SELECT -1 AS level, 0.0::double AS share, *, false AS corrupted FROM ba UNION AL
 UNION ALL SELECT level, share, CASE WHEN corrupt THEN w.h ELSE gr.head END, CASE WHEN corrupt THEN w.t ELSE gr.tail END, CASE WHEN corrupt THEN w.r ELSE gr.relation END, corrupt
 FROM gr LEFT JOIN ch ON ch.head = gr.head AND ch.tail = gr.tail AND ch.relation = gr.relation""")
 def dataset_grid(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.grid(X.activity(spark, d), 300, 50, 6, [0.1, 0.5, 0.9])
+    return datasets.grid(X.activity(spark, d), 300, 50, 6, Q.SHARES)
 
 
 @query(f"""WITH {Q._SCORES}, k AS (SELECT trunc((energy - 2.0) / (20.0 - 2.0) * 6 - 1e-7)::int AS bucket FROM s)
@@ -216,9 +227,8 @@ def relations_sorted(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {X.VECTORS} SELECT DISTINCT head, tail, relation, round(-{Q._energy('h.vec[i] * r.vec[i] * t.vec[i]')}, 6) AS energy FROM et x {Q._JOINS}""")
 def score_added_method(spark: SparkSession, d: str) -> DataFrame:
     """A scoring function of one's own: the trilinear product."""
-    product = lambda distance, h, r, t, **_: -C.dot(F.zip_with(h, r, lambda x, y: x * y), t)
-    C.METHODS["trilinear"] = product
-    return Q._scored(spark, d, X.embedded_triples(spark, d), "trilinear").withColumn("energy", F.round("energy", 6))
+    with C.added_method("trilinear", lambda distance, h, r, t, **_: -C.dot(F.zip_with(h, r, lambda x, y: x * y), t)):
+        return Q._scored(spark, d, X.embedded_triples(spark, d), "trilinear").withColumn("energy", F.round("energy", 6))
 
 
 _RULES = [("RSub", "click", "any"), ("RSub", "any", "all"), ("Inv", "view", "viewed_by")]
@@ -257,10 +267,94 @@ def report_written(spark: SparkSession, d: str) -> DataFrame:
     return readers.lines(spark, path)
 
 
-@query("""SELECT i / 10.0::double AS min_probability, (i + 1) / 10.0::double AS max_probability, 0 AS min_centile, 100 AS max_centile FROM range(0, 10) t(i)
-UNION ALL SELECT i / 5.0::double, (i + 1) / 5.0::double, (25 * c)::int, (25 * (c + 1))::int FROM range(0, 5) t(i), range(0, 4) u(c)""")
+_GRID = """gr AS (SELECT i / 10.0::double AS min_probability, (i + 1) / 10.0::double AS max_probability, 0 AS min_centile, 100 AS max_centile FROM range(0, 10) t(i)
+UNION ALL SELECT i / 5.0::double, (i + 1) / 5.0::double, (25 * c)::int, (25 * (c + 1))::int FROM range(0, 5) t(i), range(0, 4) u(c))"""
+
+
+@query(f"""WITH {X.STRUCTURE}, {Q._COUNTS.format('tri')}, {_GRID}, ek AS (SELECT entity, ntile(100) OVER (ORDER BY n, entity) AS c FROM ec),
+t AS (SELECT (length(head) + length(tail)) / 20.0::double AS probability, least(h.c, t.c) AS lo, greatest(h.c, t.c) AS hi FROM tri JOIN ek h ON h.entity = head JOIN ek t ON t.entity = tail)
+SELECT min_probability, max_probability, min_centile, max_centile, count(lo) AS n FROM gr LEFT JOIN t ON probability BETWEEN min_probability AND max_probability AND lo >= min_centile AND hi <= max_centile GROUP BY ALL""")
 def parameter_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The 30 sets of parameters of the selected datasets."""
-    whole = {"min_centile": 0, "max_centile": 100}
-    names = ("min_probability", "max_probability", "min_centile", "max_centile")
-    return spark.createDataFrame([tuple((whole | x)[n] for n in names) for x in perturb.nell_grid()], "min_probability double, max_probability double, min_centile int, max_centile int")
+    """The 30 sets of parameters of the selected datasets, and how many triples each selects."""
+    triples = settled(X.structure(spark, d).withColumn("probability", (F.length("head") + F.length("tail")) / F.lit(20.0)))
+    return relational.grid_sizes(triples, perturb.nell_grid())
+
+
+def _extraction_folder(spark: SparkSession, d: str) -> str:
+    """A folder with all files of the catalogs: two of three events are triples or categories, the third gold; with the ontology's files."""
+    folder, number = new_path(spark, "extraction"), F.floor(F.col("event_id") / 3)
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (number % len(names) + 1).cast("int"))
+    kind = F.col("event_id") % 3
+    file = F.when(kind == 0, pick(catalogs.TRIPLES)).when(kind == 1, pick(catalogs.CATEGORIES)).otherwise(F.lit(catalogs.TEST_TRIPLES[0]))
+    confidence = F.col("event_id") % 11 / F.lit(10.0)
+    triple = S._row(F.col("user_id") % 50, F.col("event_id") % 7, F.col("event_type"), confidence)
+    line = F.when(kind == 1, S._row(F.col("user_id") % 50, F.col("event_id") % 7, confidence)).otherwise(triple)
+    rows = X.table(spark, d, "events").filter("user_id is not null and event_type is not null").select(file.alias("file"), line.alias("value"))
+    rows.write.partitionBy("file").text(f"{folder}/written")
+    for name in names_in(spark, f"{folder}/written"):
+        if name.startswith("file="):
+            renamed(spark, f"{folder}/written/{name}", f"{folder}/{name.removeprefix('file=')}")
+    for name in catalogs.TRIPLES + catalogs.CATEGORIES + catalogs.TEST_TRIPLES:
+        if name not in names_in(spark, folder):
+            touch(spark, f"{folder}/{name}")
+    rules = spark.createDataFrame(_RULES, "type string, src string, dst string")
+    for name in readers.ONTOLOGY_TYPES:
+        S._lines(rules.filter(F.col("type") == name), S._row(F.col("src"), F.col("dst")), ["src"], f"{folder}/165.onto-wbpg.db.{name}.txt")
+    return folder
+
+
+def _from_folder_sql(strict: bool, often: int, often_relation: int, grown: str = "") -> str:
+    names = lambda held, kept: f"(event_id // 3) % {len(held)} BETWEEN {held.index(kept[0])} AND {held.index(kept[-1])}"
+    chosen = (catalogs.STRICT_TRIPLES, catalogs.STRICT_CATEGORIES) if strict else (catalogs.TRIPLES, catalogs.CATEGORIES)
+    at_least = f"SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= {often}"
+    return f"""WITH RECURSIVE ev AS (SELECT (user_id % 50)::varchar AS head, (event_id % 7)::varchar AS tail, event_type AS relation, event_id, (event_id % 11) / 10.0::double AS confidence FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+t0 AS (SELECT head, tail, relation FROM ev WHERE event_id % 3 = 0 AND confidence >= 0.5 AND {names(catalogs.TRIPLES, chosen[0])} UNION SELECT head, tail, '0' FROM ev WHERE event_id % 3 = 1 AND confidence >= 0.5 AND {names(catalogs.CATEGORIES, chosen[1])}),
+ru(relation, target, swap) AS (VALUES ('click', 'any', false), ('any', 'all', false), ('view', 'viewed_by', true), ('viewed_by', 'view', true)),
+t AS (SELECT * FROM t0 {grown}),
+g AS (SELECT DISTINCT head, tail, relation FROM ev WHERE event_id % 3 = 2 AND confidence >= 0.1 AND head IN ({at_least}) AND tail IN ({at_least}) AND relation IN (SELECT relation FROM t GROUP BY relation HAVING count(*) >= {often_relation}))
+SELECT head, tail, relation, 'train' AS split FROM t UNION ALL
+SELECT head, tail, relation, CASE WHEN row_number() OVER (ORDER BY {Q._ORDER}, head, tail, relation) <= count(*) OVER () // 2 THEN 'test' ELSE 'valid' END FROM g"""
+
+
+_GROWN = "UNION SELECT CASE WHEN swap THEN tail ELSE head END, CASE WHEN swap THEN head ELSE tail END, target FROM t JOIN ru USING (relation)"
+
+
+@query(_from_folder_sql(False, 10, 5, _GROWN))
+def dataset_from_folder(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a folder by the catalogs, with categories and what the ontology's files add."""
+    return compiled.from_folder(spark, _extraction_folder(spark, d), 0.5, categories=True, ontological=True)[0]
+
+
+@query(_from_folder_sql(True, 1, 1))
+def dataset_from_folder_strict(spark: SparkSession, d: str) -> DataFrame:
+    return compiled.from_folder(spark, _extraction_folder(spark, d), 0.5, strict=True, categories=True)[0]
+
+
+_RDF = "x AS (SELECT 'm.' || o_orderkey AS head, 'm.' || o_custkey AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 'type.object' ELSE 'label' END AS relation FROM orders)"
+
+
+@query(f"WITH {_RDF}, {Q._SPLIT.format('x')}, {_DENSE.format('sp')} {_DENSE_ROWS.format('sp', 're')}")
+def dataset_folder_rdf(spark: SparkSession, d: str) -> DataFrame:
+    """From an RDF dump to a dataset's folder, and what is read back from it by its dense ids."""
+    at = new_path(spark, "rdf")
+    compiled.rdf_to_folder(spark, S.rdf_dump(spark, d), at)
+    return folder.read_dataset(spark, at).dense()
+
+
+@query(f"WITH x AS ({Q._sql['source_wordnet']}), {Q._SPLIT.format('x')}, {_DENSE.format('sp')} {_DENSE_ROWS.format('sp', 're')}")
+def dataset_folder_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """From the files of a lexical database to a dataset's folder and back."""
+    at = new_path(spark, "lexical")
+    compiled.lexical_to_folder(spark, S.lexical_folder(spark, d), at)
+    return folder.read_dataset(spark, at).dense()
+
+
+@query(Q._sql["dataset_collapsed"])
+def dataset_folder_derived(spark: SparkSession, d: str) -> DataFrame:
+    """A derived dataset written beside its base, whose entities it shares, so that their file is copied."""
+    whole, at = _whole(spark, d), new_path(spark, "base")
+    folder.write_dataset(whole, f"{at}/base")
+    less = datasets.collapsed(folder.read_dataset(spark, f"{at}/base"), 2)[0]
+    name = perturb.dataset_name("collapsed", "base", 2)
+    folder.write_dataset(less, f"{at}/{name}", f"{at}/base", [folder.ENTITIES])
+    return folder.read_dataset(spark, f"{at}/{name}").dense()

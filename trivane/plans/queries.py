@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators import evaluation, ids, ontology, perturb, relational, scoring, stats
+from trivane.operators import evaluation, ids, ontology, perturb, pruned, relational, scoring, stats
 from trivane.operators.ranking import settled
 from trivane.plans import compiled
 from trivane.plans import fixture as X
@@ -111,6 +111,13 @@ ts AS (SELECT head, tail, relation, {_L1} AS energy FROM te x {_JOINS})"""
 _LINKS = f"{X.VECTORS}, {_SPLIT.format('et')}, {_CORRUPT}"
 
 
+def _link_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(test triples, all entities, vectors of entities, of relations)."""
+    triples = X.embedded_triples(spark, d)
+    test = settled(perturb.split(triples).filter("split = 'test'").select(*KEY))
+    return test, scoring.entity_universe(triples), X.entity_vectors(spark, d), X.relation_vectors(spark, d).drop("w")
+
+
 def _link_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all triples with split, test triples, scored corruptions of the test triples)."""
     triples = perturb.split(X.embedded_triples(spark, d))
@@ -135,20 +142,21 @@ def corruptions_scored(spark: SparkSession, d: str) -> DataFrame:
 SELECT cs.head, cs.tail, cs.relation, energy FROM cs LEFT JOIN h ON h.head = cs.head AND h.relation = cs.relation
 LEFT JOIN t ON t.tail = cs.tail AND t.relation = cs.relation WHERE energy <= h.c OR energy <= t.c""")
 def corruptions_skyline(spark: SparkSession, d: str) -> DataFrame:
-    _, test, scored = _link_tables(spark, d)
-    return scoring.skyline(_scored(spark, d, test), scored)
+    """Only what a metric index does not rule out is scored."""
+    test, universe, vectors, relations = _link_inputs(spark, d)
+    return pruned.skyline(test, universe, vectors, relations)
 
 
 @query(f"WITH {_LINKS} SELECT * FROM cs WHERE energy <= 10.0")
 def corruptions_below_maximum(spark: SparkSession, d: str) -> DataFrame:
-    return _link_tables(spark, d)[2].filter(F.col("energy") <= C.max_energy("transe", "L1"))
+    test, universe, vectors, relations = _link_inputs(spark, d)
+    return pruned.below(test, universe, vectors, relations, C.max_energy("transe", "L1"))
 
 
 @query(f"""WITH {_LINKS}, e AS (SELECT DISTINCT cs.*, te.head AS a, te.tail AS b FROM cs JOIN te ON te.relation = cs.relation AND (te.tail = cs.tail OR te.head = cs.head)),
-p AS (SELECT *, row_number() OVER (PARTITION BY a, b, relation ORDER BY energy, head, tail) AS place FROM e) SELECT DISTINCT head, tail FROM p WHERE place <= 20""")
+p AS (SELECT *, row_number() OVER (PARTITION BY a, b, relation ORDER BY energy, head, tail) AS place FROM e) SELECT DISTINCT head, tail FROM p WHERE place <= 500""")
 def corruptions_top_pairs(spark: SparkSession, d: str) -> DataFrame:
-    _, test, scored = _link_tables(spark, d)
-    return scoring.top_pairs(test, scored, 20)
+    return scoring.top_pairs(*_link_inputs(spark, d))
 
 
 _RANKS = """fl AS (SELECT cs.*, CASE WHEN v.head IS NULL THEN 1 ELSE 0 END AS other FROM cs LEFT JOIN (SELECT DISTINCT head, tail, relation FROM sp) v USING (head, tail, relation)),
@@ -253,7 +261,7 @@ SELECT head, relation, tail, probability FROM (SELECT *, (length(head) + length(
 WHERE probability BETWEEN 0.4 AND 1 AND head IN (SELECT entity FROM ek) AND tail IN (SELECT entity FROM ek)
 AND relation IN (SELECT relation FROM (SELECT relation, ntile(100) OVER (ORDER BY n, relation) AS c FROM rc) WHERE c BETWEEN 1 AND 100) ORDER BY head, relation, tail LIMIT 600000""")
 def centile_dataset(spark: SparkSession, d: str) -> DataFrame:
-    triples = X.structure(spark, d).withColumn("probability", (F.length("head") + F.length("tail")) / F.lit(20.0))
+    triples = settled(X.structure(spark, d).withColumn("probability", (F.length("head") + F.length("tail")) / F.lit(20.0)))
     return relational.selected(triples, (0.4, 1.0), (40, 100), (1, 100)).select("head", "relation", "tail", "probability")
 
 
@@ -291,13 +299,13 @@ def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.STRUCTURE} SELECT * FROM tri ORDER BY {_ORDER}, head, tail, relation LIMIT 1000")
 def sample_triples(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.sample_triples(X.structure(spark, d), 1000)
+    return perturb.sample_triples(settled(X.structure(spark, d)), 1000)
 
 
 @query(f"""WITH {X.STRUCTURE}, u AS MATERIALIZED (SELECT DISTINCT unnest([head, tail]) AS e FROM tri), k AS MATERIALIZED (SELECT e FROM u ORDER BY {_md5('4', 'e')}, e LIMIT 500)
 SELECT tri.* FROM tri JOIN k a ON a.e = head JOIN k b ON b.e = tail""")
 def sample_entities(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.sample_entities(X.structure(spark, d), 500)
+    return perturb.sample_entities(settled(X.structure(spark, d)), 500)
 
 
 @query(f"""WITH {X.ACTIVITY}, p AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY {_ORDER}, head, tail, relation) AS place, count(*) OVER (PARTITION BY relation) AS n FROM act),
@@ -307,7 +315,13 @@ def sparser_rounds(spark: SparkSession, d: str) -> DataFrame:
     return perturb.sparser(X.activity(spark, d), 300, mode="rounds")
 
 
-@query()
+_WAIT = f"floor(-ln((('0x' || substr({_md5('4:clock', *KEY)}, 1, 8))::bigint + 1) / 4294967296.0::double) * 16777216)::bigint"
+
+
+@query(f"""WITH {X.ACTIVITY}, p AS (SELECT *, row_number() OVER w AS place, sum({_WAIT}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS time, count(*) OVER (PARTITION BY relation) AS n
+  FROM act WINDOW w AS (PARTITION BY relation ORDER BY {_ORDER}, head, tail, relation)),
+g AS (SELECT relation, place FROM p WHERE place < n ORDER BY time, {_md5('4', 'relation')}, relation, place LIMIT 300)
+SELECT head, tail, p.relation, g.place IS NOT NULL AS removed FROM p LEFT JOIN g ON g.relation = p.relation AND g.place = p.place""")
 def sparser_draw(spark: SparkSession, d: str) -> DataFrame:
     return perturb.sparser(X.activity(spark, d), 300)
 
@@ -348,11 +362,15 @@ def corrupted(spark: SparkSession, d: str) -> DataFrame:
     return perturb.corrupted(perturb.split(X.activity(spark, d)), 0.05)
 
 
+#: Shares of noise of the grid.
+SHARES = [i / 10 for i in range(1, 10)]
+
+
 @query(f"""WITH {X.ACTIVITY}, o AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}, head, tail, relation) AS k FROM act), b AS (SELECT *, ((k - 1) // 50)::int AS block FROM o WHERE k <= 300 AND (k - 1) // 50 < 6),
 i AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {_md5('4:corrupt', *KEY)}, head, tail, relation) AS j FROM b)
-SELECT level::int AS level, share::double AS share, head, tail, relation, j <= trunc(share * 50) AS corrupt FROM i, (SELECT unnest(range(0, 6)) AS level), (SELECT unnest([0.1, 0.5, 0.9]) AS share) WHERE level >= block""")
+SELECT level::int AS level, share::double AS share, head, tail, relation, j <= trunc(share * 50::double) AS corrupt FROM i, (SELECT unnest(range(0, 6)) AS level), (SELECT i / 10.0 AS share FROM range(1, 10) s(i)) WHERE level >= block""")
 def sparsity_noise_grid(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.grid(X.activity(spark, d), 300, 50, 6, [0.1, 0.5, 0.9])
+    return perturb.grid(X.activity(spark, d), 300, 50, 6, SHARES)
 
 
 #: Rules over the structural relations.
@@ -372,7 +390,8 @@ def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def density_groomed(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.groomed(X.activity(spark, d), share=0.25)
+    """One entity a round, until 400 triples are taken."""
+    return perturb.groomed(X.activity(spark, d), most=400)
 
 
 _OFTEN = "SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= 10"

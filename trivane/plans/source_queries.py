@@ -16,9 +16,9 @@ TAB = "\t"
 
 
 def _lines(df: DataFrame, line: Column, order: list[str], path: str, compressed: bool = False) -> str:
-    """A file of lines in order; with ``compressed`` gzip."""
-    writer = df.repartitionByRange(1, *order).sortWithinPartitions(*order).select(line.alias("value"))
-    writer.write.mode("append").option("compression", "gzip" if compressed else "none").text(path)
+    """Ordered part files of lines, as many as the session's shuffles have partitions; with ``compressed`` gzip."""
+    writer = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    writer.select(line.alias("value")).write.mode("append").option("compression", "gzip" if compressed else "none").text(path)
     return path
 
 
@@ -207,24 +207,39 @@ def source_reverb_full(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT 'm.' || o_orderkey AS head, 'm.' || o_custkey AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 'type.object' ELSE 'label' END AS relation FROM orders""")
 def source_freebase(spark: SparkSession, d: str) -> DataFrame:
+    return readers.freebase(readers.lines(spark, rdf_dump(spark, d)))
+
+
+def rdf_dump(spark: SparkSession, d: str) -> str:
     """A compressed dump."""
     key = lambda p, c: F.concat(F.lit(f"<{p}"), c, F.lit(">"))
     ns = "http://rdf.freebase.com/ns/"
     relation = F.when(F.col("o_orderkey") % 2 == 0, key(ns, F.lit("type.object"))).otherwise(key("http://www.w3.org/2000/01/rdf-schema#", F.lit("label")))
     line = F.concat(key(ns, F.concat(F.lit("m."), _s("o_orderkey"))), F.lit(TAB), relation, F.lit("  "), key(ns, F.concat(F.lit("m."), _s("o_custkey"))), F.lit("\t."))
-    return readers.freebase(spark.read.text(_lines(T(spark, d, "orders"), line, ["o_orderkey"], new_path(spark, "rdf"), compressed=True)))
+    return _lines(T(spark, d, "orders"), line, ["o_orderkey"], new_path(spark, "rdf"), compressed=True)
 
 
 @query("""SELECT printf('%08d', n_nationkey) AS head, printf('%08d', n_regionkey + 100) AS tail, '_hypernym' AS relation FROM nation
 UNION ALL SELECT printf('%08d', n_nationkey), printf('%08d', n_regionkey + 200), '_hyponym' FROM nation WHERE n_nationkey % 2 = 1""")
 def source_wordnet(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of ten words (0a) and one or two pointers; licence lines are left out."""
+    folder = lexical_folder(spark, d)
+    return readers.wordnet(readers.lines(spark, [f"{folder}/data.{x}" for x in _SPEECH]))
+
+
+_SPEECH = ("noun", "verb", "adj", "adv")
+
+
+def lexical_folder(spark: SparkSession, d: str) -> str:
+    """Files by part of speech, here with nouns in all. Lines of ten words (0a) and one or two pointers; licence lines are left out."""
     pad = lambda c: F.format_string("%08d", c.cast("long"))
     two = F.col("n_nationkey") % 2 == 1
     second = F.when(two, F.concat(F.lit(" ~ "), pad(F.col("n_regionkey") + 200), F.lit(" n 0000"))).otherwise("")
     line = F.concat(pad(F.col("n_nationkey")), F.lit(" 03 n 0a"), F.lit(" w 0" * 10), F.when(two, " 002").otherwise(" 001"), F.lit(" @ "), pad(F.col("n_regionkey") + 100), F.lit(" n 0000"), second, F.lit(" | a gloss; @ 5"))
-    path = _lines(T(spark, d, "nation"), line, ["n_nationkey"], new_path(spark, "lexical"))
-    return readers.wordnet(spark.read.text(_lines(spark.range(1), F.lit("  1 licence"), ["id"], path)))
+    folder = new_path(spark, "lexical")
+    for i, name in enumerate(_SPEECH):
+        path = _lines(T(spark, d, "nation").filter(F.col("n_nationkey") % 4 == i), line, ["n_nationkey"], f"{folder}/data.{name}")
+        _lines(spark.range(1), F.lit("  1 licence"), ["id"], path)
+    return folder
 
 
 def dump(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -10,13 +11,23 @@ from pyspark.sql import functions as F
 
 from trivane import schema
 from trivane.functions import columns as C
-from trivane.shared import names_in
+from trivane.shared import names_in, touch
 from trivane.sources import catalogs
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """The lines of text files. Names are taken as they are: those of embeddings have brackets and colons."""
-    return spark.read.option("__globPaths__", "false").text(path)
+    """The lines of text files. Names are taken as they are: those of embeddings have brackets and colons, those of datasets brackets."""
+    if isinstance(path, str):
+        return spark.read.option("__globPaths__", "false").text(path)
+    # without patterns Spark reads several files with such names more than once, so here patterns are ruled out by escapes
+    return spark.read.text([re.sub(r"([\\\[\]{}*?])", r"\\\1", one) for one in path])
+
+
+def named_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(name, value): the lines of many files in one scan, with the name of each line's file; parts have that of their folder."""
+    place = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    name = F.when(F.element_at(place, -1).startswith("part-"), F.element_at(place, -2)).otherwise(F.element_at(place, -1))
+    return lines(spark, paths).select(name.alias("name"), "value")
 
 
 def tsv(spark: SparkSession, path: str | list[str], fields: str) -> DataFrame:
@@ -28,17 +39,20 @@ def tsv(spark: SparkSession, path: str | list[str], fields: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 0-based number in the file.
+    """Lines with their 0-based number. A folder of ordered parts, as Spark writes them, is one file, its parts in the order of
+    their names.
 
-    Files are read in splits. Lines are numbered inside a split and moved on by the lines of the splits before it,
-    of which there is one row each.
+    Files are read in splits. Lines are numbered inside a split and moved on by the lines of the splits before it and
+    of the parts before its own; of splits there is one row for each 128 MB.
     """
     at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at")]
     rows = lines(spark, path).select("value", *at)
     splits = rows.groupBy("_file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    splits = splits.select("_file", "_split", "_first", before.alias("_before"))
-    return rows.join(splits, ["_file", "_split"]).select((F.col("_at") - F.col("_first") + F.col("_before")).alias("line"), "value")
+    upto = lambda n, window: F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = splits.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", upto("_n", Window.orderBy("_file")).alias("_parts"))
+    splits = splits.withColumn("_before", upto("_n", Window.partitionBy("_file").orderBy("_split"))).join(parts, "_file")
+    moved = F.broadcast(splits.select("_file", "_split", "_first", (F.col("_before") + F.col("_parts")).alias("_before")))
+    return rows.join(moved, ["_file", "_split"]).select((F.col("_at") - F.col("_first") + F.col("_before")).alias("line"), "value")
 
 
 def triples(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -149,6 +163,24 @@ def categories(spark: SparkSession, path: str | list[str], least: float = 0.0) -
     return rows.select(F.col("entity").alias("head"), F.col("category").alias("tail"), F.lit("0").alias("relation")).distinct()
 
 
+def catalog(spark: SparkSession, folder: str, kinds: Sequence[tuple[str, Sequence[str], bool, float]]) -> DataFrame:
+    """(kind, head, tail, relation, confidence, accepted): the rows of all files of catalogs, in one scan.
+
+    ``kinds`` are (kind, names, whether they are categories, least confidence). Categories become triples of relation 0. A
+    row is accepted from the least confidence on; one whose last cell is no number is not. A file that is not
+    there is an error.
+    """
+    table = [(name, kind, pairs, float(least)) for kind, names, pairs, least in kinds for name in names]
+    rows = named_lines(spark, [f"{folder}/{name}" for name, *_ in table]).filter(C.stripped("value") != "")
+    held = spark.createDataFrame(table, "name string, kind string, pairs boolean, least double")
+    rows = rows.join(F.broadcast(held), "name").withColumn("_cells", F.split("value", "\t"))  # a row for each file
+    cell = lambda i: C.stripped(F.get("_cells", F.lit(i)))
+    relation = F.when(F.col("pairs"), F.lit("0")).otherwise(cell(2))
+    confidence = F.when(F.col("pairs"), cell(2)).otherwise(cell(3)).try_cast("double")
+    rows = rows.select("kind", cell(0).alias("head"), cell(1).alias("tail"), relation.alias("relation"), confidence.alias("confidence"), "least")
+    return rows.withColumn("accepted", F.coalesce(F.col("confidence") >= F.col("least"), F.lit(False))).drop("least")
+
+
 #: The ontology's files end in these names.
 ONTOLOGY_TYPES = ("Domain", "Inv", "Mut", "Range2", "RMut", "RSub", "Sub")
 
@@ -274,8 +306,8 @@ def evaluation_log(lines: DataFrame) -> DataFrame:
     is raw, the next filtered."""
     pattern = rf"Rank:\s+{NUMBER},\s+Hits@10:\s+{NUMBER}"
     rows = lines.filter(F.col("value").rlike(pattern)).select("line", *[F.regexp_extract("value", pattern, i).cast("double").alias(c) for i, c in ((1, "rank"), (2, "hits"))])
-    rows = rows.agg(F.array_sort(F.collect_list(F.struct("line", "rank", "hits"))).alias("f")).filter(F.size("f") >= 2)
-    return rows.select(*[F.col("f")[i][c].alias(f"{name}_{c}") for i, name in enumerate(("raw", "filtered")) for c in ("rank", "hits")])
+    two = rows.orderBy("line").limit(2).agg(F.array_sort(F.collect_list(F.struct("line", "rank", "hits"))).alias("f")).filter(F.size("f") == 2)
+    return two.select(*[F.col("f")[i][c].alias(f"{name}_{c}") for i, name in enumerate(("raw", "filtered")) for c in ("rank", "hits")])
 
 
 def training_log(lines: DataFrame) -> DataFrame:
@@ -301,16 +333,35 @@ def results(lines: DataFrame) -> DataFrame:
     return options.crossJoin(sides[0]).crossJoin(sides[1])  # one row each
 
 
-def write_energy_cache(scored: DataFrame, path: str) -> None:
-    """Energies for later runs, by triple; what is there already stays and is added to."""
-    scored.select("head", "tail", "relation", "energy").write.mode("append").parquet(path)
+#: Buckets of a new energy cache, where the session's shuffles have fewer partitions.
+CACHE_BUCKETS = 16
+
+
+def energy_cache(spark: SparkSession, path: str, buckets: int = 0) -> str:
+    """The name of the table of energies by triple that lies at ``path``; an empty one is made there if there is none.
+
+    The table is bucketed by the triple, so it meets triples without being shuffled. Its bucket number stands beside it, in
+    the name of an empty file, so that any later session opens it alike. Two jobs must not add to one cache at a time.
+    """
+    marks = [n for n in names_in(spark, f"{path}/_buckets")]
+    number = int(marks[0]) if marks else buckets or max(CACHE_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not marks:
+        touch(spark, f"{path}/_buckets/{number}")
+    name = "energies_" + hashlib.md5(path.encode()).hexdigest()
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema.SCORED}) USING parquet CLUSTERED BY (head, tail, relation) INTO {number} BUCKETS LOCATION '{place}'")
+    return name
+
+
+def cache_buckets(spark: SparkSession, cache: str) -> int:
+    return int(spark.sql(f"DESCRIBE EXTENDED {cache}").filter("col_name = 'Num Buckets'").first()["data_type"])
+
 
+def add_energies(scored: DataFrame, cache: str) -> None:
+    """Energies of triples that the cache does not have yet; to have each once is up to the caller (``scoring.with_cache``).
 
-def energy_cache(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_energy_cache`` wrote, one energy for each triple; an empty table before the first write."""
-    if not names_in(spark, path):
-        return spark.createDataFrame([], schema.SCORED)
-    return spark.read.schema(schema.SCORED).parquet(path).dropDuplicates(["head", "tail", "relation"])
+    Rows are dealt to the buckets first, so that an addition is a file for each bucket."""
+    scored.select("head", "tail", "relation", "energy").repartition(cache_buckets(scored.sparkSession, cache), "head", "tail", "relation").write.insertInto(cache)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
