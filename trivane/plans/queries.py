@@ -390,8 +390,8 @@ def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def density_groomed(spark: SparkSession, d: str) -> DataFrame:
-    """One entity a round, until 400 triples are taken."""
-    return perturb.groomed(X.activity(spark, d), most=400)
+    """One entity a round, until 3000 triples are taken."""
+    return perturb.groomed(X.activity(spark, d), most=3000)
 
 
 _OFTEN = "SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= 10"
