@@ -428,6 +428,15 @@ def test_topk_ends_by_its_bound(dimensions, most):
     assert lists.scored < most * 20 * 8192
 
 
+def test_languages_are_bounded(spark):
+    """Of more labels than are learned those of the most documents are."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[(i // 26**k) % 26] for k in range(4))
+    rows = [(i, " ".join(word(977 * i + 31 * j + 7 * len(x)) for j in range(40)), x) for i, x in enumerate(["en"] * 5 + ["de"] * 4 + ["fr"] * 3 + [f"x{i}" for i in range(20)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.learn(docs, languages=2)) == {"de", "en"} and len(language.learn(docs, languages=4)) == 4
+
+
 def item_windows(items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     return words, {tuple(own[k : k + 10]) for t in items if (own := words(t)) for k in range(max(1, len(own) - 9))}
@@ -456,7 +465,7 @@ def test_pipeline_against_brute_force(spark, edge_documents, edge_rows, tmp_path
     docs, rows = stage("language", docs.withColumns({"lang_pred": F.lit(1), "margin": F.lit("x")}), [(i, t, lang or pred, s, n) for (i, t, lang, s, n), (pred, _, margin) in judged if pred != "und" and margin >= language.MIN_MARGIN])
     assert len(rows) > 10
 
-    least = dict(near_components([r[:2] for r in rows], simhash.COPY_BITS))
+    least = dict(near_components([r[:2] for r in rows], simhash.levels_for(len(rows))))
     kept = [r for r in rows if r[0] is None] + [min((r for r in rows if r[0] == i), key=lambda r: r[1].encode()) for i in sorted({r[0] for r in rows if r[0] is not None}) if least[i] == i]
     docs, rows = stage("near_duplicates", docs.withColumns({"component_id": F.lit(1), "row": F.lit("x"), "_id": F.lit(3)}), kept)
 

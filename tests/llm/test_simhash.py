@@ -62,12 +62,13 @@ def components(ids, links):
 def joined(fps, bits, free, every=False, component=None):
     """All rounds of the join in this process."""
     nodes = np.arange(len(fps))
-    rows, found = simhash._entries(fps, nodes, nodes if component is None else component, simhash.tries(bits, free), 0, 8), []
+    scheme, none = simhash.Exact(bits, free), np.zeros(0, simhash._SKETCH)
+    rows, found = simhash._entries(fps, nodes, nodes if component is None else component, none, scheme.tries(), 0, 8), []
     for last in (False, True):
         again = []
         for bucket in {r[0] for r in rows}:
             table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[r for r in rows if r[0] == bucket]), simhash._DEALT_SCHEMA)], schema=simhash._DEALT_SCHEMA)
-            for r in simhash._join(bits, 8, every, last, table).to_pylist():
+            for r in simhash._join(scheme, 8, every, last, table).to_pylist():
                 if r["u"] is not None:
                     found.append((r["u"], r["v"]))
                 else:
@@ -91,6 +92,36 @@ def test_trie_finds_all_links(seed, bits, free, hot, monkeypatch):
     assert set(joined(fps, bits, free, True, component)) == near
 
 
+def test_drawn_tries_meet_most_pairs():
+    """The chance that is promised for FAR differing bits; hot subtrees are dealt by bits that were not used."""
+    rng = np.random.default_rng(3)
+    for nodes in (1000, 10**6, 10**9):
+        scheme = simhash.Drawn(simhash.levels_for(nodes))
+        held = scheme.tries()
+        masks = np.array([sum(1 << (63 - int(b)) for b in order[:levels]) for order, levels in held], np.uint64)
+        apart = np.array([sum(1 << int(b) for b in rng.choice(64, simhash.FAR, replace=False)) for _ in range(400)], np.uint64)
+        met = ((apart[:, None] & masks) == 0).any(axis=1).mean()
+        assert simhash.CHANCE - 0.08 <= met < 1
+    for order, levels in simhash.Drawn(14).tries(20):
+        assert levels == 28 and order[:20].tolist() == list(range(20)) and sorted(order.tolist()) == list(range(64))
+
+
+def test_dense_group_of_unlike_texts():
+    """20,000 fingerprints within the budget, whose sets are not similar: pieces of bounded size, and no pair leaves the task."""
+    rng = np.random.default_rng(5)
+    fps = np.sort(np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, 20_000, dtype=np.uint64)))
+    sketches = np.zeros(len(fps), simhash._SKETCH)
+    sketches["size"], sketches["bits"] = 200, rng.integers(0, 2**64, (len(fps), 2), dtype=np.uint64)
+    whole, seen = np.array([0]), []
+
+    def fits(x, y):
+        seen.append(len(x))
+        return simhash._fits(sketches, x, y)
+
+    found = sum(len(x) for x, _ in simhash.near_pairs(fps, whole, np.array([len(fps)]), 0, 16, np.arange(len(fps)), True, fits))
+    assert found == 0 and sum(seen) == 20_000 * 19_999 // 2 and max(seen) <= 2 * simhash.FRONTIER + len(fps)
+
+
 def test_near_duplicates(spark, edge_documents):
     got = simhash.near_duplicates(edge_documents).collect()
     rows = edge_documents.collect()

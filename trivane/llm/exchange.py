@@ -25,6 +25,7 @@ def by_bucket(names: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[i
     return order, [(int(held[lo]), int(lo), int(hi)) for lo, hi in zip(cuts, cuts[1:])]
 
 
-def joined(parts: list[bytes], kind: type) -> np.ndarray:
+def joined(parts: list[bytes], kind: type | np.dtype) -> np.ndarray:
     """Packed arrays of several rows as one array."""
-    return np.frombuffer(b"".join(parts), kind)
+    held = b"".join(parts)
+    return np.frombuffer(held, kind) if held else np.zeros(0, kind)

@@ -25,8 +25,8 @@ from trivane.llm.workspace import ship
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 64, 3000
 #: Bytes of a dictionary, and of a chunk that is compressed against it.
 DICTIONARY, CHUNK = 64 << 10, 8 << 10
-#: Distinct labels up to which their counts are broadcast.
-LABELS = 10_000
+#: Languages that are learned at most.
+LANGUAGES = 256
 #: A language with less text of its own does not shorten the dictionaries of others.
 USEFUL = 16 << 10
 #: Greedy matching of four bytes or more with small tables: about as exact here as slower settings.
@@ -46,7 +46,7 @@ def plain(text: str) -> str:
     return found
 
 
-def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS) -> dict[str, bytes]:
+def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: int = SAMPLE_CHARACTERS, languages: int = LANGUAGES) -> dict[str, bytes]:
     """A dictionary for each language from (doc_id, text, lang).
 
     Copies of a text count once for a language. A sentence is taken once for a language, and not at all if sampled
@@ -54,15 +54,15 @@ def learn(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, characters: in
     a language with less than USEFUL bytes (and less than half of the longest) does not count for that length: its
     dictionary is all it has. A language of less than eight bytes is not learned.
 
-    The texts of a language are thinned by their hash to about twice ``documents``, and of each ``characters`` in a row
+    Of more than ``languages`` languages those of the most documents are learned, ties by name: each text is compressed once
+    for each. The texts of a language are thinned by their hash to about twice ``documents``, and of each ``characters`` in a row
     are taken, from a place that its hash gives. So what comes to the driver is bounded by languages x documents x
     characters, however many rows there are.
     """
     rows = labelled.select(F.xxhash64("text").alias("h"), "lang", "text").filter("lang is not null and text is not null and text != ''")
     counts = rows.groupBy("lang").agg(F.count_distinct("h").alias("n"))
-    few = counts.limit(LABELS + 1).collect()
-    if len(few) <= LABELS:  # so the texts are not shuffled
-        counts = F.broadcast(labelled.sparkSession.createDataFrame(few, counts.schema))
+    few = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = F.broadcast(labelled.sparkSession.createDataFrame(few, counts.schema))  # so the texts are not shuffled
     share = F.least(F.lit(1.0), F.lit(2.0 * documents) / F.col("n"))
     thinned = rows.join(counts, "lang").filter(F.pmod(F.col("h"), F.lit(1 << 30)) < (share * (1 << 30)).cast("long"))
     start = 1 + F.pmod(F.shiftright("h", 30), F.greatest(F.length("text") - characters + 1, F.lit(1)))  # anywhere in the text

@@ -59,6 +59,25 @@ def parities(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=n * PARITIES) & 1).astype(bool).reshape(n, PARITIES), axis=1)
 
 
+#: Bits of a sketch, and how many of them differ at most for a pair that is looked at: of a pair of similarity 0.8 on average 12.8
+#: differ, with a deviation of 3.4, of one of 0.54 29.
+SKETCH, SKETCH_BITS = 128, 25
+
+
+def sketches(names: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of SKETCH / 64 numbers for each set: for each of SKETCH orders of all shingles a bit of the set's least one.
+
+    Two sets have the same least shingle as often as is their similarity, and differ in half of the other bits.
+    """
+    out = np.zeros((len(first) - 1, SKETCH), np.uint8)
+    full = np.flatnonzero(np.diff(first))
+    turns = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+    for i, turn in enumerate(turns if len(full) else []):
+        least = np.minimum.reduceat(names * turn, first[:-1][full])
+        out[full, i] = (mix(least) >> np.uint64(17)) & np.uint64(1)
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def required(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
     """How many shingles sets of these sizes share at least, if they are similar."""
     p, q = SIMILARITY

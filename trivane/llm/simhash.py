@@ -8,13 +8,16 @@ nodes are traversed together, differing bits add up, and a pair is pruned when t
 that stands below both is known to be connected already. So a group of copies gives links that connect it, not all
 its pairs.
 
-``near_duplicates`` links by fingerprints alone. ``near_copies`` takes links of a wider budget as candidates and keeps
-those whose sets of word shingles are similar enough.
+``near_duplicates`` links by fingerprints alone. ``near_copies`` takes links of a much wider budget as candidates and keeps
+those whose sets of word shingles are similar enough. So wide a budget would need very many tries to meet every pair
+for certain; there, the first levels are bits drawn by chance, of as many tries as meet most pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
@@ -36,8 +39,8 @@ FREE = 2
 #: Node pairs that are held at a time, entries that are dealt at a time and of a bucket, and fingerprints of a subtree that is
 #: dealt out again.
 FRONTIER, DEALT, BUCKET, HOT = 1 << 17, 1 << 19, 1 << 18, 1 << 16
-#: Budget of ``near_copies``, and fingerprints that a subtree of its tries holds on average at most.
-COPY_BITS, SUBTREE = 10, 1024
+#: Budget of ``near_copies``; its tries meet a pair of FAR differing bits with this chance at least.
+COPY_BITS, FAR, CHANCE = 16, 12, 0.9
 
 
 def majority(hashes: np.ndarray, each: np.ndarray) -> np.ndarray:
@@ -98,6 +101,38 @@ def tries(max_bits: int = MAX_BITS, free: int = FREE, skip: int = 0) -> list[tup
     return out
 
 
+@dataclass(frozen=True)
+class Exact:
+    """Tries that meet every pair of at most ``max_bits`` differing bits."""
+
+    max_bits: int = MAX_BITS
+    free: int = FREE
+
+    def tries(self, skip: int = 0) -> list[tuple[np.ndarray, int]]:
+        return tries(self.max_bits, FREE if skip else self.free, skip)
+
+
+def meeting(levels: int, bits: int, room: int = 64) -> float:
+    """The chance that ``levels`` bits drawn of ``room`` hold none of ``bits`` that differ."""
+    return math.prod(max(room - levels - i, 0) / (room - i) for i in range(bits))
+
+
+@dataclass(frozen=True)
+class Drawn:
+    """Tries whose first ``levels`` bits are drawn by chance, always the same, so many that a pair of FAR differing bits shares
+    the first levels of one with the chance CHANCE; nearer pairs with more."""
+
+    levels: int
+    max_bits: int = COPY_BITS
+
+    def tries(self, skip: int = 0) -> list[tuple[np.ndarray, int]]:
+        room = 64 - skip
+        levels = min(self.levels if not skip else 8, max(1, room - self.max_bits))
+        number = math.ceil(math.log(1 - CHANCE) / math.log(1 - meeting(levels, FAR, room)))
+        orders = (np.random.default_rng([skip, levels, i]).permutation(room) + skip for i in range(number))
+        return [(np.concatenate([np.arange(skip), order]), skip + levels) for order in orders]
+
+
 def unpacked(fingerprints: np.ndarray) -> np.ndarray:
     return np.unpackbits(fingerprints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
@@ -108,16 +143,18 @@ def rotated(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 #: Entries of subtrees, packed by bucket: fingerprints in a trie's order, the trie, its levels, nodes, and their components as
-#: the bits in which they differ from the node, which are mostly none and take no room in the shuffle.
-_DEALT = "bucket int, fps binary, tries binary, levels binary, nodes binary, components binary"
-_DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("fps", "tries", "levels", "nodes", "components")])
-_KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64}
+#: the bits in which they differ from the node, which are mostly none and take no room in the shuffle; and where sets
+#: are compared, their sizes and sketches.
+_DEALT = "bucket int, fps binary, tries binary, levels binary, nodes binary, components binary, sketches binary"
+_SKETCH = np.dtype([("size", np.uint32), ("bits", np.uint64, shingles.SKETCH // 64)])
+_KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64, "sketches": _SKETCH}
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _KINDS])
 _JOINED = "u long, v long, " + _DEALT
 _JOINED_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), *_DEALT_SCHEMA])
 
 
-def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, held: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list[tuple]:
-    """Rows of _DEALT with the entries of all tries; tries are numbered from ``first``."""
+def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, sketches: np.ndarray, held: list[tuple[np.ndarray, int]], first: int, buckets: int) -> list[tuple]:
+    """Rows of _DEALT with the entries of all tries; tries are numbered from ``first``. ``sketches`` may be empty."""
     bits, parts = unpacked(fps), []
     for number, (order, levels) in enumerate(held, first):
         turned = rotated(bits, order)
@@ -125,25 +162,25 @@ def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, held: l
     turned, number, levels, keys = (np.concatenate(x) for x in zip(*parts))
     nodes, components = np.tile(nodes, len(held)), np.tile(nodes ^ components, len(held))
     order, cuts = by_bucket(keys, buckets)
-    columns = [x[order] for x in (turned, number, levels, nodes, components)]
-    return [(b, *(x[lo:hi].tobytes() for x in columns)) for b, lo, hi in cuts]
+    columns = [x[order] for x in (turned, number, levels, nodes, components, *([np.tile(sketches, len(held))] if len(sketches) else []))]
+    return [(b, *(x[lo:hi].tobytes() for x in columns), *([] if len(sketches) else [b""])) for b, lo, hi in cuts]
 
 
-def _deal(buckets: int, max_bits: int, free: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, node, component) rows to the entries of all tries."""
-    held = tries(max_bits, free)
+def _deal(buckets: int, scheme: Exact | Drawn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, node, component, sketch) rows to the entries of all tries."""
+    held = scheme.tries()
     room = max(1, DEALT // len(held))
     waiting, size = [], 0
 
     def dealt() -> pa.RecordBatch:
-        fps, nodes, components = (np.concatenate(x) for x in zip(*waiting))
-        rows = _entries(fps.view(np.uint64), nodes, components, held, 0, buckets)
+        fps, nodes, components, sketches = (np.concatenate(x) for x in zip(*waiting))
+        rows = _entries(fps.view(np.uint64), nodes, components, sketches, held, 0, buckets)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT_SCHEMA)], schema=_DEALT_SCHEMA)
 
     for batch in batches:
         for at in range(0, batch.num_rows, room):
             piece = batch.slice(at, room)
-            waiting.append(tuple(piece.column(c).to_numpy() for c in ("fp", "node", "component")))
+            waiting.append((*(piece.column(c).to_numpy() for c in ("fp", "node", "component")), joined(piece.column("sketch").to_pylist(), _SKETCH)))
             size += piece.num_rows
             if size >= room:
                 yield dealt()
@@ -172,12 +209,12 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _flatten(parent)
 
 
-def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: int, max_bits: int, parent: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: int, max_bits: int, parent: np.ndarray, every: bool, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (places x, y) of at most ``max_bits`` differing bits in subtrees of ascending fingerprints.
 
     The subtrees are the places from ``starts`` to ``ends``, which agree in ``levels`` bits. ``parent`` has for each place
     the smallest place of its component. With ``every`` all pairs of different components are given, else only as
-    many as connect what can be connected.
+    many as connect what can be connected. Pairs that do not pass ``fits`` are none.
     """
     ones: dict[int, np.ndarray] = {}
     some = ends - starts > 1
@@ -189,6 +226,9 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: in
         nonlocal parent, change
         near = (parent[x] != parent[y]) & (np.bitwise_count(fps[x] ^ fps[y]) <= max_bits)
         x, y = x[near], y[near]
+        if len(x) and fits is not None:
+            good = fits(x, y)
+            x, y = x[good], y[good]
         if len(x) and not every:  # one pair for each two components
             ends_ = np.sort(np.stack([parent[x], parent[y]]), axis=0)
             _, at = np.unique(ends_[0] * len(fps) + ends_[1], return_index=True)
@@ -212,7 +252,8 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: in
             continue
         if depth == 64:  # equal fingerprints on each side
             own = a == b
-            yield from chosen(*_within(a[own], ah[own], every))
+            for x, y in _within(a[own], ah[own], every):
+                yield from chosen(x, y)
             for x, y in _between(a[~own], ah[~own], b[~own], bh[~own], every):
                 yield from chosen(x, y)
             continue
@@ -232,15 +273,23 @@ def near_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, levels: in
                 stack += [(depth + 1, part[:, i : i + FRONTIER // 2]) for i in range(0, part.shape[1], FRONTIER // 2)]
 
 
-def _within(a: np.ndarray, ah: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+def _pieces(rows: Iterator[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a place with each place of a range (place, from, to), some FRONTIER at a time."""
+    held, n = [], 0
+    for place, lo, hi in rows:
+        held.append((np.full(hi - lo, place), np.arange(lo, hi)))
+        n += hi - lo
+        if n >= FRONTIER:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _within(a: np.ndarray, ah: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places of each range: all, or the first with each other."""
-    if every:
-        pairs = [np.stack(np.triu_indices(h - lo, 1)) + lo for lo, h in zip(a.tolist(), ah.tolist())]
-        x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return x, y
-    size = ah - a - 1
-    x = np.repeat(a, size)
-    return x, x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    last = (lambda lo, h: h - 1) if every else (lambda lo, h: lo + 1)
+    yield from _pieces((one, one + 1, h) for lo, h in zip(a.tolist(), ah.tolist()) for one in range(lo, last(lo, h)))
 
 
 def _between(a: np.ndarray, ah: np.ndarray, b: np.ndarray, bh: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -248,30 +297,38 @@ def _between(a: np.ndarray, ah: np.ndarray, b: np.ndarray, bh: np.ndarray, every
     if not every:
         yield a, b
         return
-    for lo, h, x, y in zip(a.tolist(), ah.tolist(), b.tolist(), bh.tolist()):
-        for one in range(lo, h):
-            yield np.full(y - x, one), np.arange(x, y)
+    yield from _pieces((one, x, y) for lo, h, x, y in zip(a.tolist(), ah.tolist(), b.tolist(), bh.tolist()) for one in range(lo, h))
+
+
+def _fits(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sets may be similar, by their sizes for certain and by their sketches with great likelihood."""
+    sizes, others = (sketches["size"][z].astype(np.int64) for z in (x, y))
+    p, q = shingles.SIMILARITY
+    differ = np.bitwise_count(sketches["bits"][x] ^ sketches["bits"][y]).sum(axis=1, dtype=np.int64)
+    return (q * np.minimum(sizes, others) >= p * np.maximum(sizes, others)) & (differ <= shingles.SKETCH_BITS)
 
 
-def _join(max_bits: int, buckets: int, every: bool, last: bool, table: pa.Table) -> pa.Table:
+def _join(scheme: Exact | Drawn, buckets: int, every: bool, last: bool, table: pa.Table) -> pa.Table:
     """The subtrees of a bucket to links (u, v) between nodes; subtrees that are too large are dealt out again."""
-    fps, trie, level, nodes, component = (joined(table.column(c).to_pylist(), k) for c, k in _KINDS.items())
+    fps, trie, level, nodes, component, sketches = (joined(table.column(c).to_pylist(), k) for c, k in _KINDS.items())
     order = np.lexsort((fps, trie, level))
     fps, trie, level, nodes, component = (x[order] for x in (fps, trie, level, nodes, component))
+    sketches = sketches[order] if len(sketches) else sketches
     component = component ^ nodes
     links, again = [np.zeros((2, 0), np.int64)], []
     for levels in np.unique(level).tolist():
         lo, hi = np.searchsorted(level, [levels, levels + 1])
-        own, names, groups = fps[lo:hi], nodes[lo:hi], component[lo:hi]
+        own, names, groups, sketched = fps[lo:hi], nodes[lo:hi], component[lo:hi], sketches[lo:hi]
         key = own >> np.uint64(64 - levels)
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (trie[lo + 1 : hi] != trie[lo : hi - 1])]))
         ends = np.append(starts[1:], hi - lo)
         hot = (ends - starts > HOT) & (not last)
         for s, e in zip(starts[hot].tolist(), ends[hot].tolist()):
             number = int(mix(np.array([(int(trie[lo + s]) << 32) + int(key[s] >> np.uint64(max(0, levels - 32)))], np.uint64))[0] >> np.uint64(33))
-            again += _entries(own[s:e], names[s:e], groups[s:e], tries(max_bits, FREE, levels), number, buckets)
+            again += _entries(own[s:e], names[s:e], groups[s:e], sketched[s:e], scheme.tries(levels), number, buckets)
         _, first, place = np.unique(groups, return_index=True, return_inverse=True)
-        for x, y in near_pairs(own, starts[~hot], ends[~hot], levels, max_bits, first[place], every):
+        fits = partial(_fits, sketched) if len(sketches) else None
+        for x, y in near_pairs(own, starts[~hot], ends[~hot], levels, scheme.max_bits, first[place], every, fits):
             links.append(np.stack([names[x], names[y]]))
     u, v = np.unique(np.sort(np.concatenate(links, axis=1), axis=0), axis=1)
     rows = pa.table([u, v], ["u", "v"])
@@ -281,12 +338,6 @@ def _join(max_bits: int, buckets: int, every: bool, last: bool, table: pa.Table)
     return pa.concat_tables([rows, dealt], promote_options="default").select(_JOINED_SCHEMA.names).cast(_JOINED_SCHEMA)
 
 
-def free_blocks(nodes: int, max_bits: int) -> int:
-    """How many blocks the head of a trie needs, so that so many nodes make subtrees of SUBTREE on average at most."""
-    enough = (free for free in range(FREE, 64 - max_bits) if nodes >> (64 * free // (max_bits + free)) <= SUBTREE)
-    return next(enough, FREE)
-
-
 def _of_table(f):
     def run(table: pa.Table) -> pa.Table:
         return f(table)
@@ -294,18 +345,20 @@ def _of_table(f):
     return run
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, free: int = FREE, every: bool = False) -> DataFrame:
-    """(u, v): nodes of (fp, node, component) whose fingerprints differ in at most ``max_bits`` bits, of different components.
+def links(nodes: DataFrame, scheme: Exact | Drawn = Exact(), every: bool = False) -> DataFrame:
+    """(u, v): nodes of (fp, node, component) whose fingerprints differ in few bits, of different components.
 
-    Without ``every`` only as many as connect each subtree.
+    Without ``every`` only as many as connect each subtree. With a column ``sketch`` of sizes and sketches only those whose sets may
+    be similar.
     """
     spark = nodes.sparkSession
-    entries = nodes.count() * len(tries(max_bits, free))
+    nodes = nodes if "sketch" in nodes.columns else nodes.withColumn("sketch", F.lit(b""))
+    entries = nodes.count() * len(scheme.tries())
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET + 1)
-    dealt = nodes.select("fp", "node", "component").mapInArrow(partial(_deal, buckets, max_bits, free), _DEALT)
+    dealt = nodes.select("fp", "node", "component", "sketch").mapInArrow(partial(_deal, buckets, scheme), _DEALT)
     found = None
     for last in (False, True):
-        joiner = partial(_join, max_bits, buckets, every, last)
+        joiner = partial(_join, scheme, buckets, every, last)
         both = materialise(dealt.groupBy("bucket").applyInArrow(_of_table(joiner), _JOINED), "links")
         own = both.filter("u is not null").select("u", "v")
         found = own if found is None else found.union(own)
@@ -339,14 +392,24 @@ def _nodes(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             names, first = shingles.shingle_sets(piece.column("text"), shingle)
             sizes = np.diff(first)
             held = [shingles.set_names(names, first).view(np.int64), majority(names, sizes).view(np.int64), sizes.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *map(pa.array, held), pa.array([x.tobytes() for x in shingles.parities(names, first)], pa.binary())], ["doc_id", "node", "fp", "size", "parities"])
+            sketch = np.zeros(len(sizes), _SKETCH)
+            sketch["size"], sketch["bits"] = sizes, shingles.sketches(names, first)
+            packed = [pa.array([x.tobytes() for x in column], pa.binary()) for column in (shingles.parities(names, first), sketch)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *map(pa.array, held), *packed], ["doc_id", "node", "fp", "size", "parities", "sketch"])
+
+
+def levels_for(nodes: int) -> int:
+    """First levels of drawn tries: subtrees grow much more slowly than the nodes, and the tries with them."""
+    return max(8, math.ceil(0.7 * math.log2(max(nodes, 2))))
 
 
-def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int = COPY_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int | None = None) -> DataFrame:
     """doc_id and component_id of every row with a doc_id.
 
-    Texts are linked if the fingerprints of their sets of shingles differ in at most ``max_bits`` bits and the Jaccard
-    similarity of the sets is ``shingles.SIMILARITY`` at least; component_id is the smallest doc_id that can be reached.
+    Texts are linked if the Jaccard similarity of their sets of shingles is ``shingles.SIMILARITY`` at least, their
+    fingerprints differ in at most COPY_BITS bits and not in the first ``levels`` of one of the drawn tries, and their sketches in at most
+    ``shingles.SKETCH_BITS``; component_id is the smallest doc_id that can be reached. The levels grow with the documents, so that
+    subtrees stay small, and with them the tries, so that about as many pairs meet.
     Texts of equal sets are one node, so are all without a word. Repeated rows are all returned. Only doc_id and
     text are read. An empty table gives an empty table.
 
@@ -354,15 +417,15 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, max_bits: int
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    rows = materialise(docs.mapInArrow(partial(_nodes, shingle), "doc_id long, node long, fp long, size int, parities binary"), "rows")
-    heads = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parities").alias("parities"))
+    rows = materialise(docs.mapInArrow(partial(_nodes, shingle), "doc_id long, node long, fp long, size int, parities binary, sketch binary"), "rows")
+    heads = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("parities").alias("parities"), F.first("sketch").alias("sketch"))
     heads = materialise(heads, "heads")
-    kept = heads.filter("size > 0").select("fp", "node")
-    free = free_blocks(kept.count(), max_bits)
-    first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), max_bits, free), shingle)
+    kept = heads.filter("size > 0").select("fp", "node", "sketch")
+    scheme = Drawn(levels or levels_for(kept.count()))
+    first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), scheme), shingle)
     found = materialise(connected_components(first), "found")
-    placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "placed")
-    more = shingles.similar(docs, heads, links(placed, max_bits, free, every=True), shingle)
+    placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", "sketch", F.coalesce("component", "node").alias("component")), "placed")
+    more = shingles.similar(docs, heads, links(placed, scheme, every=True), shingle)
     if not more.isEmpty():
         found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
     named = heads.select("node", "least").join(found.hint("shuffle_hash"), "node", "left")
