@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, once: of several texts of one id the first in order.
 
-    Texts of one group have fingerprints of few differing bits and a Jaccard similarity of five-word shingles of 0.8
-    or more, or are linked by such texts. Documents without an id are in no group and stay.
+    Texts of one group have near fingerprints and a Jaccard similarity of five-word shingles of 0.8 or more, or are linked
+    by such texts. Documents without an id are in no group and stay.
     """
     docs = docs.select(*COLUMNS)
     groups = simhash.near_copies(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
-    found = pii.find(docs, pii.train(pii.labelled_sentences()), [c for c in COLUMNS if c != "text"])
+    found = pii.find(docs, pii.default_tagger(), [c for c in COLUMNS if c != "text"])
     clean = found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("redacted").cast("long"))
     return clean.select(*COLUMNS)
 
