@@ -274,7 +274,7 @@ def test_dataset_folder(spark, tmp_path):
     bare = replace(whole, triples=whole.triples.filter("split = 'train'"))
     assert folder.write_dataset(bare, f"{at}/bare", f"{at}/FB", [folder.ENTITIES, folder.RELATIONS])
     assert {r["split"] for r in folder.read_dataset(spark, f"{at}/bare").triples.collect()} == {"train"}
-    assert {p.name for p in (tmp_path / "bare").iterdir() if not p.name.startswith(".")} == {"_WHOLE", "entity2id.txt", "relation2id.txt", "train.txt", "test.txt", "valid.txt", "triples"}
+    assert {p.name for p in (tmp_path / "bare").iterdir() if p.name[0] not in "._"} == {"entity2id.txt", "relation2id.txt", "train.txt", "test.txt", "valid.txt"}
     (tmp_path / "rdf").write_text("<a>\t<r>\t<b> .\n" * 2)
     assert compiled.rdf_to_folder(spark, f"{at}/rdf", f"{at}/X") and not compiled.rdf_to_folder(spark, f"{at}/rdf", f"{at}/X")
     assert [tuple(r) for r in folder.read_dataset(spark, f"{at}/X").dense().collect()] == []
@@ -399,7 +399,7 @@ def test_readers(spark, tmp_path):
 CHECKED = """score_transe_l1 score_stranse_l1 corruptions_made corruptions_skyline link_ranks auc_pr energy_stats threshold_sweep dataset_stats_row dense_triples centile_dataset corrupted sparser_rounds external_triples
 dataset_compiled dataset_annotated confidences_replaced source_triples_with_id source_matrices source_all_confident source_freebase source_wordnet log_results dump_tables dump_built numbers triples_without targets_kept energies_cached
 folder_corruptions_scored dataset_grid dataset_fewer_relations corruptions_below_maximum corruptions_top_pairs sparser_draw sample_entities ontology_expanded parameter_grid dataset_from_folder dataset_from_folder_strict dataset_folder_rdf
-dataset_folder_lexical dataset_folder_derived score_added_method""".split()
+dataset_folder_lexical dataset_folder_derived dataset_from_replaced_folder score_added_method""".split()
 
 
 @pytest.mark.parametrize("name", CHECKED)

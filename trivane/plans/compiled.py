@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivane.operators import ontology, perturb, stats
+from trivane.functions import columns as C
+from trivane.operators import ontology, perturb, scoring, stats
 from trivane.operators.ranking import settled
 from trivane.plans import datasets
+from trivane.shared import names_in, renamed, touch
 from trivane.sources import catalogs, folder, readers
 
 KEY = ["head", "tail", "relation"]
@@ -65,6 +69,41 @@ def from_folder(spark: SparkSession, source: str, least: float = 0.99, strict: b
     return with_gold(train, held.filter("kind = 'gold'"), *often, seed), counts
 
 
+def replaced_folder(spark: SparkSession, source: str, target: str, scored: DataFrame) -> bool:
+    """A folder of extraction files with confidences by an embedding: those of the catalogs' replaced files are 1 - the share of the
+    range of all energies of ``scored`` (triple, energy), where a row has one. False if it is there already.
+
+    The files of the catalogs are one pass, in which rows meet their energies; of others, as an ontology's, the order of lines
+    counts, so they are copied in it. A category is a triple of relation 0. The folder is renamed when it is whole.
+    """
+    if folder.is_written(spark, target):
+        return False
+    at, held = f"{target.rstrip('/')}.writing-{uuid.uuid4().hex}", names_in(spark, source)
+    pairs = [n for n in held if n in catalogs.CATEGORIES + catalogs.TEST_CATEGORIES]
+    known = pairs + [n for n in held if n in catalogs.TRIPLES + catalogs.TEST_TRIPLES]
+    cell = lambda i: C.stripped(F.get(F.split("value", "\t"), F.lit(i)))
+    relation = F.when(F.col("name").isin(pairs), F.lit(CATEGORY)).otherwise(cell(2))
+    rows = readers.named_lines(spark, [f"{source}/{n}" for n in known]).select("name", "value", cell(0).alias("head"), cell(1).alias("tail"), relation.alias("relation"))
+    replaced = F.col("name").isin(*catalogs.REPLACED_TRIPLES, *catalogs.REPLACED_CATEGORIES)
+    new = scoring.normalised(scored.select(*KEY, "energy"), "energy").withColumnRenamed("energy", "_new")
+    parts = F.when(F.col("name").isin(pairs), F.concat_ws("\t", "head", "tail")).otherwise(F.concat_ws("\t", *KEY))
+    line = F.when(replaced & F.col("_new").isNotNull(), F.concat_ws("\t", parts, F.col("_new").cast("string"))).otherwise(F.col("value"))
+    rows.join(new, KEY, "left").select(F.col("name").alias("file"), line.alias("value")).write.partitionBy("file").text(f"{at}/_rows")
+    made = names_in(spark, f"{at}/_rows")
+    for name in known:
+        if f"file={name}" in made:
+            renamed(spark, f"{at}/_rows/file={name}", f"{at}/{name}")
+        else:
+            touch(spark, f"{at}/{name}")
+    for name in held:
+        if name not in known and not name.startswith(("_", ".")):
+            copied = readers.numbered(spark, f"{source}/{name}").repartitionByRange("line").sortWithinPartitions("line")
+            copied.select("value").write.text(f"{at}/{name}")
+    touch(spark, f"{at}/{folder.WHOLE}")
+    renamed(spark, at, target)
+    return True
+
+
 #: The files of the lexical database.
 LEXICAL = ("data.adj", "data.adv", "data.noun", "data.verb")
 

@@ -290,10 +290,10 @@ def _extraction_folder(spark: SparkSession, d: str) -> str:
     triple = S._row(F.col("user_id") % 50, F.col("event_id") % 7, F.col("event_type"), confidence)
     line = F.when(kind == 1, S._row(F.col("user_id") % 50, F.col("event_id") % 7, confidence)).otherwise(triple)
     rows = X.table(spark, d, "events").filter("user_id is not null and event_type is not null").select(file.alias("file"), line.alias("value"))
-    rows.write.partitionBy("file").text(f"{folder}/written")
-    for name in names_in(spark, f"{folder}/written"):
+    rows.write.partitionBy("file").text(f"{folder}/_rows")
+    for name in names_in(spark, f"{folder}/_rows"):
         if name.startswith("file="):
-            renamed(spark, f"{folder}/written/{name}", f"{folder}/{name.removeprefix('file=')}")
+            renamed(spark, f"{folder}/_rows/{name}", f"{folder}/{name.removeprefix('file=')}")
     for name in catalogs.TRIPLES + catalogs.CATEGORIES + catalogs.TEST_TRIPLES:
         if name not in names_in(spark, folder):
             touch(spark, f"{folder}/{name}")
@@ -303,11 +303,15 @@ def _extraction_folder(spark: SparkSession, d: str) -> str:
     return folder
 
 
-def _from_folder_sql(strict: bool, often: int, often_relation: int, grown: str = "") -> str:
+#: Events as rows of the extraction files: kind 0 are triples, 1 categories, 2 gold.
+_EVENTS = "SELECT (user_id % 50)::varchar AS head, (event_id % 7)::varchar AS tail, event_type AS relation, event_id, (event_id % 11) / 10.0::double AS confidence FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL"
+
+
+def _from_folder_sql(strict: bool, often: int, often_relation: int, grown: str = "", rows: str = f"ev AS ({_EVENTS})") -> str:
     names = lambda held, kept: f"(event_id // 3) % {len(held)} BETWEEN {held.index(kept[0])} AND {held.index(kept[-1])}"
     chosen = (catalogs.STRICT_TRIPLES, catalogs.STRICT_CATEGORIES) if strict else (catalogs.TRIPLES, catalogs.CATEGORIES)
     at_least = f"SELECT e FROM (SELECT unnest([head, tail]) AS e FROM t) GROUP BY e HAVING count(*) >= {often}"
-    return f"""WITH RECURSIVE ev AS (SELECT (user_id % 50)::varchar AS head, (event_id % 7)::varchar AS tail, event_type AS relation, event_id, (event_id % 11) / 10.0::double AS confidence FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+    return f"""WITH RECURSIVE {rows},
 t0 AS (SELECT head, tail, relation FROM ev WHERE event_id % 3 = 0 AND confidence >= 0.5 AND {names(catalogs.TRIPLES, chosen[0])} UNION SELECT head, tail, '0' FROM ev WHERE event_id % 3 = 1 AND confidence >= 0.5 AND {names(catalogs.CATEGORIES, chosen[1])}),
 ru(relation, target, swap) AS (VALUES ('click', 'any', false), ('any', 'all', false), ('view', 'viewed_by', true), ('viewed_by', 'view', true)),
 t AS (SELECT * FROM t0 {grown}),
@@ -330,6 +334,24 @@ def dataset_from_folder_strict(spark: SparkSession, d: str) -> DataFrame:
     return compiled.from_folder(spark, _extraction_folder(spark, d), 0.5, strict=True, categories=True)[0]
 
 
+_CHANGED = f"""e0 AS (SELECT *, event_id % 3 AS kind, event_id // 3 AS number, CASE WHEN event_id % 3 = 1 THEN '0' ELSE relation END AS rel FROM ({_EVENTS})),
+e1 AS (SELECT *, ('0x' || substr({Q._md5('n', 'head', 'tail', 'rel')}, 1, 8))::bigint AS h FROM e0),
+e2 AS (SELECT *, CASE WHEN h % 2 = 0 THEN h % 1000 / 10.0::double END AS energy FROM e1), lim AS (SELECT min(energy) AS a, max(energy) AS b FROM e2 WHERE kind < 2),
+ev AS (SELECT head, tail, relation, event_id, CASE WHEN energy IS NOT NULL AND (kind = 0 AND number % {len(catalogs.TRIPLES)} < {len(catalogs.REPLACED_TRIPLES)} OR kind = 1 AND number % {len(catalogs.CATEGORIES)} < {len(catalogs.REPLACED_CATEGORIES)})
+  THEN 1 - (energy - a) / (b - a) ELSE confidence END AS confidence FROM e2, lim)"""
+
+
+@query(_from_folder_sql(False, 10, 5, _GROWN, _CHANGED))
+def dataset_from_replaced_folder(spark: SparkSession, d: str) -> DataFrame:
+    """As ``dataset_from_folder``, of a folder whose confidences were replaced by energies of half of the triples."""
+    source, target = _extraction_folder(spark, d), new_path(spark, "replaced")
+    kinds = [("triples", catalogs.TRIPLES, False, 0.0), ("categories", catalogs.CATEGORIES, True, 0.0)]
+    triples = readers.catalog(spark, source, kinds).select(*KEY).distinct()
+    chance = C.hash_int("n", *map(F.col, KEY))
+    compiled.replaced_folder(spark, source, target, triples.filter(chance % 2 == 0).withColumn("energy", chance % 1000 / F.lit(10.0)))
+    return compiled.from_folder(spark, target, 0.5, categories=True, ontological=True)[0]
+
+
 _RDF = "x AS (SELECT 'm.' || o_orderkey AS head, 'm.' || o_custkey AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 'type.object' ELSE 'label' END AS relation FROM orders)"
 
 

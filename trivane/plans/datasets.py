@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivane.functions import columns as C
-from trivane.operators import ids, perturb, scoring
+from trivane.operators import ids, perturb, pruned, scoring
 from trivane.operators.ranking import ranked, settled
 from trivane.schema import Dataset
 from trivane.sources import readers
@@ -75,5 +75,7 @@ def scored_folder(triples: DataFrame, embedding: str, data: str, corrupt: bool =
     if not corrupt:
         return scoring.score(triples, entities, relations, method, distance, below)
     universe = entities.select(F.col("key").alias("entity"))
+    if below is not None and method == "transe":  # its energies are distances, so an index leaves out most pairs
+        return pruned.below(triples, universe, entities, relations, below, distance)
     return scoring.scored_corruptions(triples, universe, entities, relations, method, distance, below)
 

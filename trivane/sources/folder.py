@@ -42,11 +42,11 @@ def write_dataset(dataset: Dataset, folder: str, base: str | None = None, unchan
     changed = [name for name in SPLITS if SPLITS[name] not in unchanged]
     if changed:
         rows = dataset.triples.filter(F.col("split").isin(changed))
-        rows.select("split", F.concat_ws("\t", "head", "tail", "relation").alias("value")).write.partitionBy("split").text(f"{at}/triples")
-        made = names_in(spark, f"{at}/triples")
+        rows.select("split", F.concat_ws("\t", "head", "tail", "relation").alias("value")).write.partitionBy("split").text(f"{at}/_triples")
+        made = names_in(spark, f"{at}/_triples")
         for name in changed:
             if f"split={name}" in made:
-                renamed(spark, f"{at}/triples/split={name}", f"{at}/{SPLITS[name]}")
+                renamed(spark, f"{at}/_triples/split={name}", f"{at}/{SPLITS[name]}")
             else:
                 touch(spark, f"{at}/{SPLITS[name]}/part-00000")
     for name, ids in ((ENTITIES, dataset.entities), (RELATIONS, dataset.relations)):
