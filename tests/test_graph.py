@@ -399,7 +399,7 @@ def test_readers(spark, tmp_path):
 CHECKED = """score_transe_l1 score_stranse_l1 corruptions_made corruptions_skyline link_ranks auc_pr energy_stats threshold_sweep dataset_stats_row dense_triples centile_dataset corrupted sparser_rounds external_triples
 dataset_compiled dataset_annotated confidences_replaced source_triples_with_id source_matrices source_all_confident source_freebase source_wordnet log_results dump_tables dump_built numbers triples_without targets_kept energies_cached
 folder_corruptions_scored dataset_grid dataset_fewer_relations corruptions_below_maximum corruptions_top_pairs sparser_draw sample_entities ontology_expanded parameter_grid dataset_from_folder dataset_from_folder_strict dataset_folder_rdf
-dataset_folder_lexical dataset_folder_derived dataset_from_replaced_folder score_added_method""".split()
+dataset_folder_lexical dataset_folder_derived dataset_from_replaced_folder density_groomed score_added_method""".split()
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -388,7 +388,14 @@ def entity_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return perturb.adjacency(X.structure(spark, d)).select("entity", F.concat_ws(" ", "neighbours").alias("neighbours"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.ACTIVITY}, en AS MATERIALIZED (SELECT head AS entity, tail AS other FROM act UNION ALL SELECT tail, head FROM act),
+go(round, chosen, held, entities) AS (SELECT 0, []::varchar[], 0::bigint, 0::bigint UNION ALL
+  SELECT round + 1, now, (SELECT count(*) FROM act WHERE list_contains(now, head) OR list_contains(now, tail)), (SELECT count(DISTINCT e) FROM (SELECT unnest([entity, other]) AS e FROM en WHERE list_contains(now, entity)))
+  FROM (SELECT round, list_append(chosen, arg_min(entity, (abs(3.3478::double - (held + c)::double / (entities + n + 1)), entity))) AS now FROM (
+    SELECT round, chosen, held, entities, entity, count(*) FILTER (NOT list_contains(chosen, other)) AS c, count(DISTINCT other) FILTER (NOT list_contains(chosen, other)) AS n
+    FROM go, en WHERE held < 3000 AND NOT list_contains(chosen, entity) GROUP BY ALL) GROUP BY round, chosen)),
+la AS (SELECT arg_max(chosen, round) AS chosen FROM go), ro AS (SELECT head, tail, relation, nullif(list_position(chosen, head), 0) AS a, nullif(list_position(chosen, tail), 0) AS b FROM act, la)
+SELECT head, tail, relation, least(coalesce(a, b), coalesce(b, a))::int AS round FROM ro WHERE a IS NOT NULL OR b IS NOT NULL""")
 def density_groomed(spark: SparkSession, d: str) -> DataFrame:
     """One entity a round, until 3000 triples are taken."""
     return perturb.groomed(X.activity(spark, d), most=3000)
