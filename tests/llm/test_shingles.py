@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
@@ -64,6 +65,21 @@ def texts(seed):
     return out
 
 
+def test_parities_never_rule_out_similar_sets():
+    """Sets around the similarity: what is similar passes the bound, and most of what is not does not."""
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(400):
+        common, extra = [f"c{rng.random()}" for _ in range(rng.randint(20, 300))], rng.random() * 0.4
+        pairs.append(tuple(" ".join(common + [f"x{rng.random()}" for _ in range(int(len(common) * extra))]) for _ in range(2)))
+    names, first = shingles.shingle_sets(pa.array([t for pair in pairs for t in pair]))
+    held = np.zeros(len(first) - 1, simhash._WIDE)
+    held["size"], held["parities"] = np.diff(first), shingles.parities(names, first).view(np.uint64)
+    passed = simhash._fits(held, np.arange(0, 800, 2), np.arange(1, 800, 2))
+    true = np.array([similar(*map(shingle_set, pair)) for pair in pairs])
+    assert 50 < true.sum() < 350 and passed[true].all() and passed[~true].mean() < 0.35
+
+
 def test_recall():
     """Of pairs of a similarity of 0.8 or a little more nine of ten are met, of pairs of 0.6 few pass."""
     rng = random.Random(9)

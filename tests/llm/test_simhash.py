@@ -59,7 +59,7 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-def joined(fps, bits, free, every=False, component=None):
+def joined(fps, bits, free, every=False, component=None, ends_only=False):
     """All rounds of the join in this process."""
     nodes = np.arange(len(fps))
     scheme, none = simhash.Exact(bits, free), np.zeros(0, simhash._SKETCH)
@@ -68,7 +68,7 @@ def joined(fps, bits, free, every=False, component=None):
         again = []
         for bucket in {r[0] for r in rows}:
             table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[r for r in rows if r[0] == bucket]), simhash._DEALT_SCHEMA)], schema=simhash._DEALT_SCHEMA)
-            for r in simhash._join(scheme, 8, every, last, table).to_pylist():
+            for r in simhash._join(scheme, 8, every, last, table, ends_only).to_pylist():
                 if r["u"] is not None:
                     found.append((r["u"], r["v"]))
                 else:
@@ -90,6 +90,7 @@ def test_trie_finds_all_links(seed, bits, free, hot, monkeypatch):
     component = np.arange(len(fps)) // 7
     near = {(u, v) for u in ids for v in ids if u < v and u // 7 != v // 7 and (values[u] ^ values[v]).bit_count() <= bits}
     assert set(joined(fps, bits, free, True, component)) == near
+    assert {u for u, v in joined(fps, bits, free, True, component, True) if u == v} == {x for pair in near for x in pair}
 
 
 def test_drawn_tries_meet_most_pairs():

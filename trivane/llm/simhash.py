@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import combinations
 
@@ -101,12 +101,18 @@ def tries(max_bits: int = MAX_BITS, free: int = FREE, skip: int = 0) -> list[tup
     return out
 
 
+#: What an entry may tell of its set: size and sketch, and more exactly also its parities.
+_SKETCH = np.dtype([("size", np.uint32), ("bits", np.uint64, shingles.SKETCH // 64)])
+_WIDE = np.dtype([*_SKETCH.descr, ("parities", np.uint64, shingles.PARITIES // 64)])
+
+
 @dataclass(frozen=True)
 class Exact:
     """Tries that meet every pair of at most ``max_bits`` differing bits."""
 
     max_bits: int = MAX_BITS
     free: int = FREE
+    sketch: np.dtype = _SKETCH
 
     def tries(self, skip: int = 0) -> list[tuple[np.ndarray, int]]:
         return tries(self.max_bits, FREE if skip else self.free, skip)
@@ -124,6 +130,7 @@ class Drawn:
 
     levels: int
     max_bits: int = COPY_BITS
+    sketch: np.dtype = _SKETCH
 
     def tries(self, skip: int = 0) -> list[tuple[np.ndarray, int]]:
         room = 64 - skip
@@ -146,9 +153,8 @@ def rotated(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
 #: the bits in which they differ from the node, which are mostly none and take no room in the shuffle; and where sets
 #: are compared, their sizes and sketches.
 _DEALT = "bucket int, fps binary, tries binary, levels binary, nodes binary, components binary, sketches binary"
-_SKETCH = np.dtype([("size", np.uint32), ("bits", np.uint64, shingles.SKETCH // 64)])
-_KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64, "sketches": _SKETCH}
-_DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in _KINDS])
+_KINDS = {"fps": np.uint64, "tries": np.uint32, "levels": np.uint8, "nodes": np.int64, "components": np.int64}
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in (*_KINDS, "sketches")])
 _JOINED = "u long, v long, " + _DEALT
 _JOINED_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), *_DEALT_SCHEMA])
 
@@ -169,7 +175,7 @@ def _entries(fps: np.ndarray, nodes: np.ndarray, components: np.ndarray, sketche
 def _deal(buckets: int, scheme: Exact | Drawn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, node, component, sketch) rows to the entries of all tries."""
     held = scheme.tries()
-    room = max(1, DEALT // len(held))
+    room = max(1, DEALT * _SKETCH.itemsize // (scheme.sketch.itemsize * len(held)))
     waiting, size = [], 0
 
     def dealt() -> pa.RecordBatch:
@@ -180,7 +186,7 @@ def _deal(buckets: int, scheme: Exact | Drawn, batches: Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, room):
             piece = batch.slice(at, room)
-            waiting.append((*(piece.column(c).to_numpy() for c in ("fp", "node", "component")), joined(piece.column("sketch").to_pylist(), _SKETCH)))
+            waiting.append((*(piece.column(c).to_numpy() for c in ("fp", "node", "component")), joined(piece.column("sketch").to_pylist(), scheme.sketch)))
             size += piece.num_rows
             if size >= room:
                 yield dealt()
@@ -301,16 +307,22 @@ def _between(a: np.ndarray, ah: np.ndarray, b: np.ndarray, bh: np.ndarray, every
 
 
 def _fits(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the sets may be similar, by their sizes for certain and by their sketches with great likelihood."""
+    """Whether the sets may be similar, by their sizes and parities for certain and by their sketches with great likelihood."""
     sizes, others = (sketches["size"][z].astype(np.int64) for z in (x, y))
     p, q = shingles.SIMILARITY
     differ = np.bitwise_count(sketches["bits"][x] ^ sketches["bits"][y]).sum(axis=1, dtype=np.int64)
-    return (q * np.minimum(sizes, others) >= p * np.maximum(sizes, others)) & (differ <= shingles.SKETCH_BITS)
-
-
-def _join(scheme: Exact | Drawn, buckets: int, every: bool, last: bool, table: pa.Table) -> pa.Table:
-    """The subtrees of a bucket to links (u, v) between nodes; subtrees that are too large are dealt out again."""
-    fps, trie, level, nodes, component, sketches = (joined(table.column(c).to_pylist(), k) for c, k in _KINDS.items())
+    may = (q * np.minimum(sizes, others) >= p * np.maximum(sizes, others)) & (differ <= shingles.SKETCH_BITS)
+    if "parities" in sketches.dtype.names:
+        at = np.flatnonzero(may)
+        odd = np.bitwise_count(sketches["parities"][x[at]] ^ sketches["parities"][y[at]]).sum(axis=1, dtype=np.int64)
+        may[at] = odd <= sizes[at] + others[at] - 2 * shingles.required(sizes[at], others[at])
+    return may
+
+
+def _join(scheme: Exact | Drawn, buckets: int, every: bool, last: bool, table: pa.Table, ends_only: bool = False) -> pa.Table:
+    """The subtrees of a bucket to links (u, v) between nodes; subtrees that are too large are dealt out again. With ``ends_only``
+    each node that has a link is there once, as u and v."""
+    fps, trie, level, nodes, component, sketches = (joined(table.column(c).to_pylist(), k) for c, k in (*_KINDS.items(), ("sketches", scheme.sketch)))
     order = np.lexsort((fps, trie, level))
     fps, trie, level, nodes, component = (x[order] for x in (fps, trie, level, nodes, component))
     sketches = sketches[order] if len(sketches) else sketches
@@ -328,8 +340,13 @@ def _join(scheme: Exact | Drawn, buckets: int, every: bool, last: bool, table: p
             again += _entries(own[s:e], names[s:e], groups[s:e], sketched[s:e], scheme.tries(levels), number, buckets)
         _, first, place = np.unique(groups, return_index=True, return_inverse=True)
         fits = partial(_fits, sketched) if len(sketches) else None
+        touched = np.zeros(len(own), bool)
         for x, y in near_pairs(own, starts[~hot], ends[~hot], levels, scheme.max_bits, first[place], every, fits):
-            links.append(np.stack([names[x], names[y]]))
+            if ends_only:
+                touched[x] = touched[y] = True
+            else:
+                links.append(np.stack([names[x], names[y]]))
+        links.append(np.stack([names[touched], names[touched]]))
     u, v = np.unique(np.sort(np.concatenate(links, axis=1), axis=0), axis=1)
     rows = pa.table([u, v], ["u", "v"])
     if not again:
@@ -345,20 +362,20 @@ def _of_table(f):
     return run
 
 
-def links(nodes: DataFrame, scheme: Exact | Drawn = Exact(), every: bool = False) -> DataFrame:
+def links(nodes: DataFrame, scheme: Exact | Drawn = Exact(), every: bool = False, ends_only: bool = False) -> DataFrame:
     """(u, v): nodes of (fp, node, component) whose fingerprints differ in few bits, of different components.
 
-    Without ``every`` only as many as connect each subtree. With a column ``sketch`` of sizes and sketches only those whose sets may
+    Without ``every`` only as many as connect each subtree. With ``ends_only`` only the nodes that have a link, as u and v. With a column ``sketch`` of sizes and sketches only those whose sets may
     be similar.
     """
     spark = nodes.sparkSession
     nodes = nodes if "sketch" in nodes.columns else nodes.withColumn("sketch", F.lit(b""))
     entries = nodes.count() * len(scheme.tries())
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET + 1)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries * scheme.sketch.itemsize // (BUCKET * _SKETCH.itemsize) + 1)
     dealt = nodes.select("fp", "node", "component", "sketch").mapInArrow(partial(_deal, buckets, scheme), _DEALT)
     found = None
     for last in (False, True):
-        joiner = partial(_join, scheme, buckets, every, last)
+        joiner = partial(_join, scheme, buckets, every, last, ends_only=ends_only)
         both = materialise(dealt.groupBy("bucket").applyInArrow(_of_table(joiner), _JOINED), "links")
         own = both.filter("u is not null").select("u", "v")
         found = own if found is None else found.union(own)
@@ -413,7 +430,9 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int |
     Texts of equal sets are one node, so are all without a word. Repeated rows are all returned. Only doc_id and
     text are read. An empty table gives an empty table.
 
-    Links that connect are looked at first; then all pairs of fingerprints whose nodes are still in different components.
+    Links that connect are looked at first; then all pairs of fingerprints whose nodes are still in different components. In
+    a large group of texts that are somewhat less similar these are very many, so no pair leaves its subtree that the sets'
+    parities rule out: they leave few that are not similar.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -425,7 +444,11 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int |
     first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), scheme), shingle)
     found = materialise(connected_components(first), "found")
     placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", "sketch", F.coalesce("component", "node").alias("component")), "placed")
-    more = shingles.similar(docs, heads, links(placed, scheme, every=True), shingle)
+    # pairs still apart: which nodes have any, and of these, whose entries then carry parities too, those that may be similar
+    ends = materialise(links(placed, scheme, every=True, ends_only=True).select(F.col("u").alias("node")), "ends")
+    wide = placed.join(ends.hint("shuffle_hash"), "node").join(heads.select("node", "parities").hint("shuffle_hash"), "node")
+    wide = materialise(wide.select("fp", "node", "component", F.concat("sketch", "parities").alias("sketch")), "wide")
+    more = shingles.similar(docs, heads, links(wide, replace(scheme, sketch=_WIDE), every=True), shingle)
     if not more.isEmpty():
         found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
     named = heads.select("node", "least").join(found.hint("shuffle_hash"), "node", "left")
