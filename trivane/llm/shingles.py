@@ -115,13 +115,17 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(differ <= sizes + others - 2 * required(sizes, others)))
 
 
-def similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar. ``heads`` has node, size and parities of each set of ``docs``."""
+def similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, shingle: int, possible: bool = False) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar. ``heads`` has node, size and parities of each set of ``docs``.
+
+    Pairs that are ``possible`` by sizes and parities already are not held against these again.
+    """
     spark = docs.sparkSession
-    first = heads.selectExpr("node as u", "size", "parities")
-    second = heads.selectExpr("node as v", "size as other_size", "parities as other")
-    pairs = pairs.join(first.hint("shuffle_hash"), "u").join(second.hint("shuffle_hash"), "v")
-    pairs = pairs.select("u", "v", "size", "other_size", "parities", "other").mapInArrow(_possible, "u long, v long")
+    if not possible:
+        first = heads.selectExpr("node as u", "size", "parities")
+        second = heads.selectExpr("node as v", "size as other_size", "parities as other")
+        pairs = pairs.join(first.hint("shuffle_hash"), "u").join(second.hint("shuffle_hash"), "v")
+        pairs = pairs.select("u", "v", "size", "other_size", "parities", "other").mapInArrow(_possible, "u long, v long")
     pairs = materialise(pairs, "possible")
     slot = f"shiftrightunsigned(node, {64 - SLOTS})"
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).selectExpr(f"cast({slot} div 8 as int) as byte", f"shiftleft(1, cast({slot} % 8 as int)) as bit")

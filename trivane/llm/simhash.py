@@ -39,6 +39,8 @@ FREE = 2
 #: Node pairs that are held at a time, entries that are dealt at a time and of a bucket, and fingerprints of a subtree that is
 #: dealt out again.
 FRONTIER, DEALT, BUCKET, HOT = 1 << 17, 1 << 19, 1 << 18, 1 << 16
+#: The share of the tries that look for links that connect, before all look for what is left.
+SOME = 0.25
 #: Budget of ``near_copies``; its tries meet a pair of FAR differing bits with this chance at least.
 COPY_BITS, FAR, CHANCE = 16, 12, 0.9
 
@@ -131,11 +133,12 @@ class Drawn:
     levels: int
     max_bits: int = COPY_BITS
     sketch: np.dtype = _SKETCH
+    share: float = 1.0  # of the tries, where only some links are looked for
 
     def tries(self, skip: int = 0) -> list[tuple[np.ndarray, int]]:
         room = 64 - skip
         levels = min(self.levels if not skip else 8, max(1, room - self.max_bits))
-        number = math.ceil(math.log(1 - CHANCE) / math.log(1 - meeting(levels, FAR, room)))
+        number = math.ceil(self.share * math.log(1 - CHANCE) / math.log(1 - meeting(levels, FAR, room)))
         orders = (np.random.default_rng([skip, levels, i]).permutation(room) + skip for i in range(number))
         return [(np.concatenate([np.arange(skip), order]), skip + levels) for order in orders]
 
@@ -420,6 +423,12 @@ def levels_for(nodes: int) -> int:
     return max(8, math.ceil(0.7 * math.log2(max(nodes, 2))))
 
 
+def _placed(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with their components so far, written."""
+    out = nodes.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", "sketch", F.coalesce("component", "node").alias("component"))
+    return materialise(out, "placed")
+
+
 def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int | None = None) -> DataFrame:
     """doc_id and component_id of every row with a doc_id.
 
@@ -431,8 +440,8 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int |
     text are read. An empty table gives an empty table.
 
     Links that connect are looked at first; then all pairs of fingerprints whose nodes are still in different components. In
-    a large group of texts that are somewhat less similar these are very many, so no pair leaves its subtree that the sets'
-    parities rule out: they leave few that are not similar.
+    a large group of texts that are somewhat less similar these are very many. So the nodes that have any are found first, and
+    of their pairs none leaves its subtree that the sets' parities rule out, which leave few that are not similar.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
@@ -441,16 +450,19 @@ def near_copies(docs: DataFrame, shingle: int = shingles.SHINGLE, levels: int |
     heads = materialise(heads, "heads")
     kept = heads.filter("size > 0").select("fp", "node", "sketch")
     scheme = Drawn(levels or levels_for(kept.count()))
-    first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), scheme), shingle)
+    some = replace(scheme, share=SOME)
+    first = shingles.similar(docs, heads, links(kept.withColumn("component", F.col("node")), some), shingle)
     found = materialise(connected_components(first), "found")
-    placed = materialise(kept.join(found.hint("shuffle_hash"), "node", "left").select("fp", "node", "sketch", F.coalesce("component", "node").alias("component")), "placed")
-    # pairs still apart: which nodes have any, and of these, whose entries then carry parities too, those that may be similar
+    placed = _placed(kept, found)
+    # nodes that have pairs still apart; their entries carry parities too, so that few pairs leave a subtree that are not similar
     ends = materialise(links(placed, scheme, every=True, ends_only=True).select(F.col("u").alias("node")), "ends")
-    wide = placed.join(ends.hint("shuffle_hash"), "node").join(heads.select("node", "parities").hint("shuffle_hash"), "node")
-    wide = materialise(wide.select("fp", "node", "component", F.concat("sketch", "parities").alias("sketch")), "wide")
-    more = shingles.similar(docs, heads, links(wide, replace(scheme, sketch=_WIDE), every=True), shingle)
-    if not more.isEmpty():
-        found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
+    wide = kept.join(ends.hint("shuffle_hash"), "node").join(heads.select("node", "parities").hint("shuffle_hash"), "node")
+    wide = materialise(wide.select("fp", "node", F.concat("sketch", "parities").alias("sketch")), "wide")
+    for connect in (True, False):  # first what connects, then all that is still apart
+        tried = links(_placed(wide, found), replace(some if connect else scheme, sketch=_WIDE), every=not connect)
+        more = shingles.similar(docs, heads, tried, shingle, possible=True)
+        if not more.isEmpty():
+            found = materialise(connected_components(more.union(found.select("node", "component"))), "found")
     named = heads.select("node", "least").join(found.hint("shuffle_hash"), "node", "left")
     named = materialise(named.select("node", "least", F.coalesce("component", "node").alias("component")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
