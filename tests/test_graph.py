@@ -376,6 +376,14 @@ def test_perturbations(spark):
     assert bad.filter("corrupted").join(split, ["head", "tail", "relation"], "left_semi").count() == 0
 
 
+def test_corrupted_dense(spark):
+    """A triple for which every attempt is a triple stays, with its flag, and the job does not fail."""
+    rows = triples(spark, [(f"e{i}", f"e{j}", f"r{k}") for i in range(4) for j in range(4) for k in range(3)]).withColumn("split", F.lit("train"))
+    bad = perturb.corrupted(rows, 0.5)
+    assert bad.filter("corrupted").count() == 24
+    assert sorted(map(tuple, bad.drop("corrupted").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_readers(spark, tmp_path):
     lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     got = readers.wordnet(lines("  licence", "00001740 03 n 01 entity 0 002 ~ 00001930 n 0000 @ 00002137 n 0000 | gloss"))

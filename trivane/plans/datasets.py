@@ -47,7 +47,7 @@ def grid(triples: DataFrame, removed: int, step: int, levels: int, shares: list[
     """The datasets of the sparsity and noise grid: (level, share, head, tail, relation, corrupted).
 
     Level -1 is the base, without the ``removed`` triples; the cells of ``perturb.grid`` have theirs beside the base's. A
-    triple that is corrupted in several cells is the same in all of them.
+    triple that is corrupted in several cells is the same in all of them, and has null parts if all attempts at it fail.
     """
     cells = settled(perturb.grid(triples, removed, step, levels, shares, seed))
     out = perturb.shuffled(triples, seed, KEY, "_out")
