@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivane.operators.ranking import ranked
+from trivane.operators.ranking import ranked, settled
 
 
 def _first_seen(seen: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def entity_ids(triples: DataFrame, position: str = "pos") -> DataFrame:
 
 
 def relation_ids(triples: DataFrame, position: str = "pos") -> DataFrame:
-    return _first_seen(triples.select(F.col("relation").alias("key"), F.lit(0).alias("side"), F.col(position).alias("pos")))
+    return settled(_first_seen(triples.select(F.col("relation").alias("key"), F.lit(0).alias("side"), F.col(position).alias("pos"))))  # few rows, of known size
 
 
 def to_dense(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

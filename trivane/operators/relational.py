@@ -39,8 +39,8 @@ def with_centiles(counts: DataFrame, key: str) -> DataFrame:
 
 def candidates(triples: DataFrame, concepts: DataFrame, entity_min: int = 10, relation_min: int = 5) -> DataFrame:
     """Triples between concepts whose entities and relation appear often; an entity counts once in a triple."""
-    entities = entity_counts(triples, once=True).filter(F.col("n") >= entity_min).join(concepts, "entity", "left_semi")
-    relations = relation_counts(triples).filter(F.col("n") >= relation_min)
+    entities = settled(entity_counts(triples, once=True).filter(F.col("n") >= entity_min).join(concepts, "entity", "left_semi").select("entity"))
+    relations = settled(relation_counts(triples).filter(F.col("n") >= relation_min))  # of known size: a shuffle by so few keys would be skewed
     out = triples.join(relations, "relation", "left_semi")
     for side in ("head", "tail"):
         out = out.join(entities.select(F.col("entity").alias(side)), side, "left_semi")
@@ -55,12 +55,12 @@ def selected(
     most: int = 600_000,
 ) -> DataFrame:
     """Triples in ranges of probability and centiles, both ends included; at most ``most``, in the order of their parts."""
-    entities = with_centiles(entity_counts(triples, once=True), "entity").filter(F.col("centile").between(*entity_centiles))
-    relations = with_centiles(relation_counts(triples), "relation").filter(F.col("centile").between(*relation_centiles))
+    entities = settled(with_centiles(entity_counts(triples, once=True), "entity").filter(F.col("centile").between(*entity_centiles)).select("entity"))
+    relations = settled(with_centiles(relation_counts(triples), "relation").filter(F.col("centile").between(*relation_centiles)))
     out = triples.filter(F.col("probability").between(*probability)).join(relations, "relation", "left_semi")
     for side in ("head", "tail"):
         out = out.join(entities.select(F.col("entity").alias(side)), side, "left_semi")
-    return first_rows(out, [F.col(c) for c in ("head", "relation", "tail")], most)
+    return first_rows(settled(out), [F.col(c) for c in ("head", "relation", "tail")], most)  # read in several passes
 
 
 def grid_sizes(triples: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
@@ -73,7 +73,7 @@ def grid_sizes(triples: DataFrame, grid: list[dict[str, float]]) -> DataFrame:
     names = ("min_probability", "max_probability", "min_centile", "max_centile")
     held = [(*(float(x[n]) for n in names[:2]), *(int(x.get(n, default)) for n, default in zip(names[2:], (0, 100)))) for x in grid]
     sets = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x)]) for x in held])
-    centiles = with_centiles(entity_counts(triples, once=True), "entity")
+    centiles = settled(with_centiles(entity_counts(triples, once=True), "entity").select("entity", "centile"))
     rows = triples.select("head", "tail", "probability")
     for side in ("head", "tail"):
         rows = rows.join(centiles.select(F.col("entity").alias(side), F.col("centile").alias(f"_{side}")), side)

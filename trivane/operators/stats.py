@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivane.operators.ranking import ranked
+from trivane.operators.ranking import ranked, settled
 
 
 def entity_counts(triples: DataFrame, once: bool = False) -> DataFrame:
@@ -22,7 +22,7 @@ def relation_counts(triples: DataFrame) -> DataFrame:
 def frequent_triples(triples: DataFrame, counted: DataFrame, entity_min: int = 10, relation_min: int = 5) -> DataFrame:
     """Triples whose parts appear often enough in ``counted``."""
     entities = entity_counts(counted).filter(F.col("n") >= entity_min)
-    relations = relation_counts(counted).filter(F.col("n") >= relation_min)
+    relations = settled(relation_counts(counted).filter(F.col("n") >= relation_min))
     out = triples
     for side in ("head", "tail"):
         out = out.join(entities.select(F.col("entity").alias(side)), side, "left_semi")
