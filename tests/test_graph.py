@@ -264,6 +264,43 @@ def test_tiles_odd_vectors(spark):
     assert rows(scoring.scored_corruptions(test, universe, vectors, relations, below=5.0)) == rows(want.filter("energy <= 5"))
 
 
+@pytest.mark.parametrize("distance", ["L1", "L2"])
+def test_screens(monkeypatch, distance):
+    """Single precision rules pairs out before their energies are computed, and none that is wanted; ties, odd and huge vectors included."""
+    rng = np.random.default_rng(3)
+    looked, one_by_one = [], tiles.energies_of
+    monkeypatch.setattr(tiles, "energies_of", lambda *x: looked.append(x[3].shape[1]) or one_by_one(*x))
+    wide = lambda x: pa.array([None if v is None else list(v) for v in x], pa.list_(pa.float64()))
+
+    def table(others, own, r, most):
+        n, m = len(others), len(own)
+        entities = {"kind": [tiles.ENTITY] * n, "name": [f"e{i}" for i in range(n)], "item": range(n), "vec": wide(others), "r": wide([None] * n), "group": [None] * n, "most": [None] * n, "relation": [None] * n, "known": [None] * n}
+        asked = {"kind": ["head", "tail"] * (m // 2), "name": [f"q{i}" for i in range(m)], "item": [None] * m, "vec": wide(own), "r": wide(r), "group": range(m), "most": most, "relation": ["x"] * m, "known": [False] * m}
+        kinds = {"item": pa.int64(), "group": pa.int64(), "most": pa.float64(), "relation": pa.string(), "known": pa.bool_()}
+        cells = {c: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x, kinds.get(c)) for x in (entities[c], asked[c])]) for c in entities}
+        return pa.table(cells)
+
+    def rows(held, take, screen):
+        out = pa.Table.from_batches(list(tiles.computed(held, take, distance, screen))).to_pylist()
+        if take is tiles.corruptions:
+            return sorted(map(repr, out))
+        return [sorted((x["value"], x["item"]) for x in out if x["group"] == g and x["value"] == x["value"])[:20] for g in range(12)]
+
+    others, own, r = (rng.normal(size=(n, 16)) * 3 for n in (3000, 12, 12))
+    others[100:400] = others[0]  # ties
+    want = np.sort(tiles.energies(True, own.T, r.T, others.T, distance), axis=1)
+    plain = table(others, own, r, list(want[:, 10]))
+    for take, screen in ((tiles.nearest(20), tiles.among(20)), (tiles.corruptions, tiles.within)):
+        looked.clear()
+        assert rows(plain, take, screen) == rows(plain, take, None)
+        assert 0 < sum(looked) < 3000 * 12 / 10
+    odd = [list(x) for x in others]
+    odd[5], odd[6], odd[7] = None, [1.0], [None] * 16
+    for held in (table(odd, own, r, [40.0] * 12), table(others * 1e30, own * 1e30, r, [1e31] * 12), table(np.vstack([others, [[np.nan] * 16]]), own, r, [30.0] * 12), table(others, own, r, [None] * 12)):
+        for take, screen in ((tiles.nearest(20), tiles.among(20)), (tiles.corruptions, tiles.within)):
+            assert rows(held, take, screen) == rows(held, take, None)
+
+
 def test_link_ranks_by_tiles(spark):
     """Ranks from counts are those from all scored rows: ties, valid triples, hubs and triples without a vector."""
     test, universe, vectors, relations = _space(spark, "L1")
@@ -299,6 +336,16 @@ def test_top_pairs(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_top_pairs_share_the_work(spark, monkeypatch):
+    """Searches of both sides are one job of many groups, also where a tile would hold all: before, two jobs of a task each."""
+    test, universe, vectors, relations = _space(spark, "L1")
+    test = test.union(triples(spark, [(f"e{i}", f"e{i + 1}", f"r{i % 3}") for i in range(150)]))
+    groups, taken = [], tiles.taken
+    monkeypatch.setattr(tiles, "taken", lambda left, *x: groups.append(left.select("place", "deal").distinct().count()) or taken(left, *x))
+    scoring.top_pairs(test, universe, vectors, relations, 5)
+    assert len(groups) == 1 and groups[0] >= 8
+
+
 def test_energy_cache(spark, tmp_path):
     """Only what is missing is added; the cache is not shuffled; another session opens it with its own buckets."""
     path, asked = f"file://{tmp_path}/cache", []
