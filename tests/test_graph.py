@@ -301,6 +301,20 @@ def test_screens(monkeypatch, distance):
             assert rows(held, take, screen) == rows(held, take, None)
 
 
+def test_index_that_leaves_all(spark, monkeypatch):
+    """Where the rings rule little out, searches go to tiles, not to each ring: before, a search's row was made for each of these."""
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(f"e{i}", rng.normal(size=16).tolist()) for i in range(300)], "key string, vec array<double>")
+    relations = spark.createDataFrame([("r", rng.normal(size=16).tolist())], "key string, vec array<double>")
+    universe, test = vectors.select(F.col("key").alias("entity")), triples(spark, [(f"e{i}", f"e{i + 9}", "r") for i in range(20)])
+    made, taken = [], tiles.taken
+    monkeypatch.setattr(tiles, "taken", lambda left, *x: made.append(left.count()) or taken(left, *x))
+    got = pruned.below(test, universe, vectors, relations, 19.0)
+    want = scoring.scored_corruptions(test, universe, vectors, relations).filter("energy <= 19")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    assert made[0] == 40
+
+
 def test_link_ranks_by_tiles(spark):
     """Ranks from counts are those from all scored rows: ties, valid triples, hubs and triples without a vector."""
     test, universe, vectors, relations = _space(spark, "L1")
