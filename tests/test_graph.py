@@ -481,6 +481,24 @@ def test_ids_and_counts(spark):
     assert {r["key"]: r["idx"] for r in ids.redensified(ids.entity_ids(rows), gone).collect()} == {"b": 0, "c": 1}
 
 
+def test_ids_are_hashed_not_sorted(spark, monkeypatch):
+    """Repeated rows are made one by the sort that ranks them, and first places are minima of numbers: structs were aggregated by sorting."""
+    rows = triples(spark, [("b", "a", "r"), ("b", "a", "r"), ("a", "c", "r"), (None, "a", "r"), (None, "a", "r"), ("a", "b", "q")])
+    order = [F.col(c) for c in ("head", "tail", "relation")]
+    placed = ranked(rows, order, rank="pos", distinct=True)
+    want = [(None, "a", "r", 1), ("a", "b", "q", 2), ("a", "c", "r", 3), ("b", "a", "r", 4)]
+    assert sorted(map(tuple, placed.collect()), key=lambda x: x[3]) == want
+    seen = []
+    monkeypatch.setattr(ids, "ranked", lambda df, *x, **y: seen.append(df) or ranked(df, *x, **y))
+    assert sorted((r["idx"], r["key"]) for r in ids.entity_ids(placed).collect()) == [(0, None), (1, "a"), (2, "b"), (3, "c")]
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ids, "MANY", 0)
+    some = placed.filter("head is not null")
+    dense = ids.to_dense(some, ids.entity_ids(some), ids.relation_ids(some))
+    assert sorted(map(tuple, dense.collect())) == [(0, 1, 0, 2), (0, 2, 1, 3), (1, 0, 1, 4)]
+    assert "ShuffledHashJoin" in dense._jdf.queryExecution().executedPlan().toString()
+
+
 def test_perturbations(spark):
     rows = triples(spark, [(f"h{i}", f"t{i % 7}", f"r{i % 3}") for i in range(60)])
     drawn = perturb.sparser(rows, 40)

@@ -19,16 +19,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None, rank: str = "rank", distinct: bool = False) -> DataFrame:
     """Add the 1-based ``rank`` of each row in ``order``, and a running sum for each of ``sums``.
 
     Rows are range-partitioned, sorted and numbered inside their partition, and moved on by what the partitions before
-    hold; of these only one row for each partition comes to the driver. ``order`` must have no ties. The numbering
-    runs jobs at once, before the caller's plan.
+    hold; of these only one row for each partition comes to the driver. ``order`` must have no ties. With ``distinct``
+    equal rows are made one where they meet in a partition, so that they are shuffled once; ``order`` must then be all columns. The
+    numbering runs jobs at once, before the caller's plan.
     """
     sums = sums or {}
     held = df.withColumns(sums) if sums else df
-    placed = held.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = held.repartitionByRange(*order)
+    if distinct:  # by the sort that is made anyway: a hash table of whole rows costs more
+        copy = F.row_number().over(Window.partitionBy(*placed.columns).orderBy(*order))
+        placed = placed.withColumn("_copy", copy).filter("_copy = 1").drop("_copy")
+    placed = placed.sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()  # the partition from bit 33 on, below it the row
     parts = settled(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", at))
     totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums]).collect()

@@ -25,13 +25,18 @@ EDGES = [
 ]
 
 
-def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct triples between the rows of the tables."""
+def structure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples between the rows of the tables, repeats and all."""
     out = None
     for name, a, head, b, tail, relation in EDGES:
         one = table(spark, sf_dir, name).select(_named(a, head).alias("head"), _named(b, tail).alias("tail"), F.lit(relation).alias("relation"))
         out = one if out is None else out.union(one)
-    return out.distinct()
+    return out
+
+
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct triples between the rows of the tables."""
+    return structure_rows(spark, sf_dir).distinct()
 
 
 STRUCTURE = "tri AS (" + " UNION ".join(f"SELECT '{a}' || {h} AS head, '{b}' || {t} AS tail, '{r}' AS relation FROM {n}" for n, a, h, b, t, r in EDGES) + ")"

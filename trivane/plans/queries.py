@@ -269,7 +269,7 @@ re AS (SELECT relation AS key, row_number() OVER (ORDER BY min(pos)) - 1 AS idx
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     from trivane.operators.ranking import ranked
 
-    return ranked(X.structure(spark, d), [F.col(c) for c in KEY], rank="pos")
+    return ranked(X.structure_rows(spark, d), [F.col(c) for c in KEY], rank="pos", distinct=True)
 
 
 @query(f"WITH {X.STRUCTURE}, {_FIRST} SELECT key, idx FROM en")
