@@ -18,7 +18,7 @@ from trivane.functions import columns as C
 from trivane.operators import evaluation, ids, ontology, perturb, pruned, scoring, stats, tiles
 from trivane.operators.best import SCHEMA, partial_best
 from trivane.operators.ranking import cut_off, first_rows, ntile, ranked, ranked_within
-from trivane.plans import compiled, datasets
+from trivane.plans import compiled, datasets, fixture
 from trivane.plans import queries as Q
 from trivane.plans.dataset_queries import scored_with_cache
 from trivane.sources import catalogs, folder, readers
@@ -499,6 +499,19 @@ def test_ids_are_hashed_not_sorted(spark, monkeypatch):
     assert "ShuffledHashJoin" in dense._jdf.queryExecution().executedPlan().toString()
 
 
+def test_structure_of_null_and_repeated_keys(spark, tmp_path):
+    """A triple of two tables, their keys being null, is there once; heads are counted before a shuffle, as they are in one partition."""
+    rows = {"customer": ("c_custkey", "c_nationkey", [(None, 1), (2, 1), (2, 1)]), "supplier": ("s_suppkey", "s_nationkey", [(None, 1), (2, 1)]), "nation": ("n_nationkey", "n_regionkey", [(1, 0)]), "orders": ("o_orderkey", "o_custkey", [(5, 2)])}
+    for name, (a, b, held) in rows.items():
+        spark.createDataFrame(held, f"{a} long, {b} long").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([(5, 7, 2), (5, 7, 2), (5, 8, 2)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = fixture.structure(spark, str(tmp_path))
+    want = [(None, "n:1", "in_nation"), ("c:2", "n:1", "in_nation"), ("n:1", "r:0", "in_region"), ("o:5", "c:2", "placed_by"), ("o:5", "p:7", "contains"), ("o:5", "p:8", "contains"), ("p:7", "s:2", "supplied_by"), ("p:8", "s:2", "supplied_by"), ("s:2", "n:1", "in_nation")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan  # by names of all three parts before
+
+
 def test_perturbations(spark):
     rows = triples(spark, [(f"h{i}", f"t{i % 7}", f"r{i % 3}") for i in range(60)])
     drawn = perturb.sparser(rows, 40)

@@ -35,8 +35,18 @@ def structure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct triples between the rows of the tables."""
-    return structure_rows(spark, sf_dir).distinct()
+    """Distinct triples between the rows of the tables. Keys are made distinct before they become names, those of a head in one
+    partition: who counts heads shuffles few rows."""
+    by_relation: dict[str, DataFrame] = {}
+    for name, a, head, b, tail, relation in EDGES:
+        keys = table(spark, sf_dir, name).select(head, tail).repartition(head).distinct()
+        one = keys.select(_named(a, head).alias("head"), _named(b, tail).alias("tail"), F.lit(relation).alias("relation"))
+        # a relation of two tables may have a triple of both, if keys are null
+        by_relation[relation] = by_relation[relation].union(one).distinct() if relation in by_relation else one
+    first, *others = by_relation.values()
+    for one in others:
+        first = first.union(one)
+    return first
 
 
 STRUCTURE = "tri AS (" + " UNION ".join(f"SELECT '{a}' || {h} AS head, '{b}' || {t} AS tail, '{r}' AS relation FROM {n}" for n, a, h, b, t, r in EDGES) + ")"
