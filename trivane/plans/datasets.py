@@ -18,7 +18,7 @@ KEY = ["head", "tail", "relation"]
 
 def dataset(triples: DataFrame) -> Dataset:
     """Triples with their split, and ids in the order in which the sorted triples show entities and relations."""
-    placed = ranked(triples.select(*KEY).distinct(), [F.col(c) for c in KEY], rank="pos")
+    placed = ranked(triples.select(*KEY), [F.col(c) for c in KEY], rank="pos", distinct=True)
     return Dataset(triples, settled(ids.entity_ids(placed)), settled(ids.relation_ids(placed)))
 
 
