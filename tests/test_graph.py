@@ -357,6 +357,19 @@ def test_searches_pass_by(monkeypatch):
     assert got == want and len(got) == 40 * 50
 
 
+def test_places_of_entities(spark, monkeypatch):
+    """Where the index leaves few pairs, an entity is shuffled for few deals of the searches: before, once for each ``SEARCHES`` of them."""
+    test, universe, vectors, relations = _space(spark, "L1")
+    monkeypatch.setattr(tiles, "SEARCHES", 4)
+    sent, taken = [], tiles.taken
+    monkeypatch.setattr(tiles, "taken", lambda left, right, *x: sent.append((left.count(), right.count())) or taken(left, right, *x))
+    monkeypatch.setattr(pruned, "SHARE", 1.0)
+    got = pruned.skyline(test, universe, vectors, relations, pivots=8, rings=8)
+    want = scoring.skyline(scoring.score(test, vectors, relations), scoring.scored_corruptions(test, universe, vectors, relations))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    assert sent[0][1] <= 3 * vectors.count()
+
+
 def test_index_that_leaves_all(spark, monkeypatch):
     """Where the rings rule little out, searches go to tiles, not to each ring: before, a search's row was made for each of these."""
     rng = np.random.default_rng(5)
