@@ -419,6 +419,22 @@ def test_top_pairs(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_top_pairs_of_large_tables(spark):
+    """The bytes of a search's best and of the entities grow as the tables: before, an entity was shuffled once for each 512 searches."""
+    frame = lambda n: spark.range(n).withColumn("name", F.col("id").cast("string"))
+    left, right, _ = tiles.dealt(frame(20_000), frame(200_000), ["name"], "name", scoring.TOP_SIZES)
+    deals, places = (left.agg(F.count_distinct(c)).first()[0] for c in ("deal", "place"))
+    assert deals <= 16 and places <= 8 and right.count() == deals * 200_000
+
+
+def test_nearest_of_equal_ones():
+    """A tile gives k rows of a search, also where very many are equal: before, all of them."""
+    asked, met = pa.table({"group": [7, 9]}), pa.table({"item": list(range(100, 0, -1))})
+    values = np.array([[1.0] * 100, [*range(98), np.nan, np.nan]])
+    got = tiles.nearest(3)(asked, met, values, np.ones((2, 100), bool), {}).to_pylist()
+    assert [(x["group"], x["item"], x["value"]) for x in got] == [(7, 1, 1.0), (7, 2, 1.0), (7, 3, 1.0), (9, 100, 0.0), (9, 99, 1.0), (9, 98, 2.0)]
+
+
 def test_top_pairs_share_the_work(spark, monkeypatch):
     """Searches of both sides are one job of many groups, also where a tile would hold all: before, two jobs of a task each."""
     test, universe, vectors, relations = _space(spark, "L1")

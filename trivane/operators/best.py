@@ -16,7 +16,7 @@ GATHERED, HELD = 1 << 16, 1 << 20
 SCHEMA = pa.schema([("group", pa.int64()), ("item", pa.int64()), ("value", pa.float64())])
 
 
-def _cut(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+def least(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Of (group, item, value) the k of each group with the least value, then item."""
     group, item, value = rows
     order = np.lexsort((item, value, group))
@@ -32,7 +32,7 @@ def partial_best(batches: Iterator[pa.RecordBatch], k: int, held_rows: int = HEL
     held, waiting, n = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], [], 0
 
     def merged() -> list[np.ndarray]:
-        return _cut([np.concatenate(c) for c in zip(held, *waiting)], k)
+        return least([np.concatenate(c) for c in zip(held, *waiting)], k)
 
     for batch in batches:
         waiting.append([batch[c].to_numpy(zero_copy_only=False) for c in SCHEMA.names])
@@ -46,10 +46,13 @@ def partial_best(batches: Iterator[pa.RecordBatch], k: int, held_rows: int = HEL
     yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], schema=SCHEMA)
 
 
-def best(rows: DataFrame, k: int) -> DataFrame:
+def best(rows: DataFrame, k: int, partial: bool = True) -> DataFrame:
     """(group, item, value, place): of ``rows`` (group long, item long, value double) the k least values of each group, ties by
-    item. A row counts as often as it is there; nulls must not occur."""
+    item. A row counts as often as it is there; nulls must not occur. Without ``partial`` they are shuffled as they are, which then
+    must be few of a group."""
     ship_code(rows.sparkSession)
-    parts = rows.select("group", "item", "value").mapInArrow(lambda batches: partial_best(batches, k), "group long, item long, value double")
+    parts = rows.select("group", "item", "value")
+    if partial:
+        parts = parts.mapInArrow(lambda batches: partial_best(batches, k), "group long, item long, value double")
     place = F.row_number().over(Window.partitionBy("group").orderBy("value", "item"))
     return parts.withColumn("place", place).filter(F.col("place") <= k)
